@@ -6,10 +6,10 @@ shard's residual capacity is highest.  Law of the assignment: `bytes`.
 
 Scale.  The number of groups is not bounded, so the packer never sees them one by one:
 
-* a group heavier than `heavy_share` of a shard in some dimension is cut into
-  pieces of at most that weight, dealt by a hash of doc_id (a group of copies that
-  holds a third of all rows becomes many pieces); the number of pieces is at most
-  3 * shards / heavy_share, whatever the input;
+* a group heavier than `heavy_share` of a shard in some dimension is placed on its
+  own, and one heavier than `cut_share` is cut into pieces of about half that, dealt
+  by a hash of doc_id (a group of copies that holds a third of all rows becomes many
+  pieces); there are at most 3 * shards / heavy_share of them, whatever the input;
 * lighter groups are bundled by (size class, hash of the text); at most
   `bundles` * 24 bundles exist, whatever the input.
 
@@ -59,10 +59,10 @@ def pack(weights: np.ndarray, shards: int, importance=(8.0, 1.0, 2.0)) -> np.nda
     return out
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, heavy_share: float = 1 / 64, bundles: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, heavy_share: float = 1 / 64, cut_share: float = 0.5, bundles: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs.
 
-    shards: how many; heavy_share: the largest piece, as a share of a shard;
+    shards: how many; heavy_share, cut_share: as shares of a shard;
     bundles: hash bundles for each size class.  Other columns of docs are not read,
     whatever they are called.
     """
@@ -82,7 +82,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, heavy_share: float = 1 / 64, bu
     even = [max(1.0, (x or 0) / shards) for x in total]
     share = F.greatest(F.col("bytes") / even[0], F.col("tokens") / even[1], F.col("n") / even[2])
     # the heavy groups number at most 3 * shards / heavy_share, so they may be broadcast
-    heavy = groups.select("grp", F.least(F.ceil(share / heavy_share), F.col("n")).cast("long").alias("pieces"), share.alias("share")).where(F.col("share") > heavy_share).select("grp", "pieces")
+    heavy = groups.select("grp", F.when(share > cut_share, F.ceil(share / (cut_share / 2))).otherwise(F.lit(1)).cast("long").alias("pieces"), share.alias("share")).where(F.col("share") > heavy_share).select("grp", "pieces")
     unit = (
         rows.join(F.broadcast(heavy), rows["grp"].eqNullSafe(heavy["grp"]), "left")
         .select("doc_id", "size", "words", "text_crc32", rows["grp"].alias("grp"), "pieces")
