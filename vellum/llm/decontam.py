@@ -202,12 +202,8 @@ def _scan(found: DataFrame, items: list[tuple[object, list[bytes]]], window: int
     return found.mapInArrow(run, found.schema)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.05, chunk_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items for each document.
-
-    spans holds start and end word positions, alternating.
-    """
-    small_batches(docs.sparkSession)
+def _chunks(items: DataFrame, chunk_words: int, item_id: str, item_text: str) -> list[list]:
+    """The items' words, in chunks for one automaton each."""
     chunks: list[list] = [[]]
     size = 0
     for row in items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").toLocalIterator():
@@ -218,8 +214,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
         if words:
             chunks[-1].append((row["i"], words))
             size += len(words)
+    return chunks
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.05, chunk_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items for each document.
+
+    spans holds start and end word positions, alternating.
+    """
+    small_batches(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    for chunk in chunks:
+    for chunk in _chunks(items, chunk_words, item_id, item_text):
         found = _scan(found, chunk, window)
     n_hit = F.expr("aggregate(spans, struct(0L as n, -1L as sign), (a, x) -> struct(a.n + a.sign * x as n, -a.sign as sign), a -> a.n)")
     found = found.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("items_sha256", F.sha2(F.array_join("items", ",").cast("binary"), 256))
@@ -244,3 +249,24 @@ def cut_spans(text: str | None, spans: list[int]) -> str | None:
         last = at[b - 1][1]
     out.append(raw[last:])
     return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.05, chunk_words: int = 2_000_000, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated."""
+    small_batches(docs.sparkSession)
+    chunks = _chunks(items, chunk_words, "item_id", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(chunks)
+    key, at, limit = hashlib.sha256(repr((window, chunks)).encode()).hexdigest(), docs.columns.index(text_col), round(coverage * 10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(at).to_pylist()]
+            spans: list[list] = [[] for _ in words]
+            for k, chunk in enumerate(shared.value):
+                auto = _automaton(f"{key}{k}", chunk, window)
+                for i, w in enumerate(words):
+                    spans[i] += auto.hits(w)[0]
+            hit = [sum(b - a for a, b in _joined(s)) for s in spans]
+            yield batch.filter(pa.array([not h or h * 10_000 < limit * len(w) for h, w in zip(hit, words, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

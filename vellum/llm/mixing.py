@@ -125,3 +125,17 @@ def mix(docs: DataFrame, budget_share: float = 1.5, weights=WEIGHTS, cap: float
     first = F.col("end") - F.col("size")
     taken = F.col("size") * F.col("whole") + chosen_words(F.col("end")) - chosen_words(first)
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "source")
+
+
+def apply_mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them.
+
+    taken / size, rounded up or down by a seeded hash of doc_id so that sources keep
+    their targets: 0, 1 or 2 times.  A text without words costs nothing and stays once.
+    """
+    got = mix(docs, seed=seed, **options).groupBy("doc_id").agg(F.sum("size").alias("m_size"), F.sum("taken").alias("m_taken")).withColumnRenamed("doc_id", "m_id")
+    u = F.pmod(F.xxhash64("m_id", F.lit(seed + 3)), F.lit(1 << 30)) / float(1 << 30)
+    times = F.when(F.col("m_size") == 0, F.lit(1)).otherwise(F.floor(F.col("m_taken") / F.col("m_size") + u)).cast("int")
+    plan = got.select("m_id", times.alias("m_times")).where(F.col("m_times") > 0)
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["m_id"]))
+    return joined.withColumn("m_copy", F.explode(F.array_repeat(F.lit(0), F.col("m_times")))).select(*[docs[c] for c in docs.columns])

@@ -159,16 +159,17 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels by full-batch Adagrad; the classes weigh equally."""
-    w = np.zeros(x.shape[1])
-    grad2 = np.full(x.shape[1], 1e-8)
+    x, y = x.astype(np.float32), y.astype(np.float32)
+    w = np.zeros(x.shape[1], dtype=np.float32)
+    grad2 = np.full(x.shape[1], 1e-8, dtype=np.float32)
     total = [max(1e-9, (1 - y).sum()), max(1e-9, y.sum())]
-    weight = y / total[1] + (1 - y) / total[0]
+    weight = (y / total[1] + (1 - y) / total[0]).astype(np.float32)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
         g = x.T @ (weight * (p - y)) + decay * w
         grad2 += g * g
         w -= rate * g / np.sqrt(grad2)
-    return w
+    return w.astype(float)
 
 
 _MEMO: dict[str, Shapes] = {}

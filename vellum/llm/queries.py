@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontam, language, lines, mixing, quality, sharding, simhash, toxicity, warc
+from vellum.llm import decontam, katz, language, lines, mixing, quality, sharding, simhash, toxicity, warc
 from vellum.llm.common import fold, table
 
 
@@ -35,6 +35,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = katz.score(docs, fold("doc_id", 10) != 0)
+    return got.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -53,5 +59,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_lines, op4_decontamination, op5_warc, op7_simhash, op8_quality, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_lines, op4_decontamination, op5_warc, op6_katz, op7_simhash, op8_quality, op9_mixing, op10_sharding)}
 ORACLE: dict[str, str] = {}

@@ -256,3 +256,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     named = components(link_forest(reps, distance))
     heads = reps.join(named, reps["rep"] == named["node"], "left").select(F.col("fp").alias("head_fp"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(heads, prints["fp"] == heads["head_fp"], "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, of which one document of each component is left, the one with the smallest doc_id.
+
+    A row without doc_id is in no component and stays.
+    """
+    heads = near_duplicates(docs.select("doc_id", "text"), distance, shingle).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    left = docs.where(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi").select(*docs.columns)
+    return left.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

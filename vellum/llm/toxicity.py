@@ -191,17 +191,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), batch.column(1)], names=["sketch", "text", "toxic"])
 
 
+def _lexicon(model: Model) -> Lexicon:
+    """One lexicon for each Python worker."""
+    key = hashlib.sha256(repr((sorted(model.terms.items()), sorted(model.stems.items()))).encode()).hexdigest()
+    if key not in _LEXICA:
+        _LEXICA.clear()
+        _LEXICA[key] = Lexicon(model.terms, model.stems)
+    return _LEXICA[key]
+
+
 def _raw(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
     """doc_id, s, n_matches."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = hashlib.sha256(repr((sorted(model.terms.items()), sorted(model.stems.items()))).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _LEXICA:
-            _LEXICA.clear()
-            _LEXICA[key] = Lexicon(shared.value.terms, shared.value.stems)
-        lexicon = _LEXICA[key]
+        lexicon = _lexicon(shared.value)
         for batch in batches:
             got = [lexicon.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", "s", "n_matches"])
@@ -266,3 +271,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     # at the cut the curve is 0.7 but for rounding
     raw = raw.withColumn("score", F.when(F.col("s") >= model.cut, F.greatest(curve, F.lit(0.7))).otherwise(F.least(curve, F.lit(0.6999999))))
     return raw.select("doc_id", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_matches", "s")
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text is below the cut."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _lexicon(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([lexicon.score(t)[0] < shared.value.cut for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
