@@ -16,7 +16,8 @@ Scale.  Texts are written once as blocks: word ids, hashes of their words, docum
 lengths.  A block asks for counts with two shuffles, of words and then of word pairs:
 its distinct keys go to hash buckets as packed arrays, a bucket adds up what all
 blocks report, stores its part of the count table, and answers each block in the
-order it asked.  A key, however frequent, is one entry for each block.  Pairs are dealt by
+order it asked.  The first answer also numbers the words (bucket after bucket), so
+pairs travel and are stored as sorted, difference-coded numbers.  A key, however frequent, is one entry for each block.  Pairs are dealt by
 their history, so a bucket can sum up alpha(v); histories with over a thousandth of
 all tokens (fewer than a thousand words) are dealt by the pair, and their sums, one
 row for each, go through the driver.  Buckets and blocks have a bounded number of
@@ -104,6 +105,26 @@ class Unigram:
         return np.where(c > 0, p, self.unseen)
 
 
+def small(a: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the narrower type that holds them."""
+    return a.astype(np.uint32 if not len(a) or a.max() < 1 << 32 else np.uint64)
+
+
+def steps(a: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Numbers that ascend within runs, as differences; the runs' first ones stay whole."""
+    d = np.diff(a, prepend=a[:1])
+    d[first] = a[first]
+    return d
+
+
+def unsteps(d: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Undo steps, for runs of these lengths."""
+    x = np.cumsum(d.astype(np.uint64))
+    begin = np.r_[0, np.cumsum(runs.astype(np.int64))[:-1]] if len(runs) else np.zeros(0, dtype=np.int64)
+    before = np.where(begin > 0, x[np.maximum(begin - 1, 0)], 0).astype(np.uint64) if len(runs) else np.zeros(0, dtype=np.uint64)
+    return x - np.repeat(before, runs)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     """Spread hashes anew, so that buckets do not follow from the order of hashes."""
     h = h * np.uint64(0x9E3779B97F4A7C15)
@@ -168,18 +189,21 @@ class Block:
         order = order[order != START]  # never a token
         return order, n[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
-    def pairs(self, buckets: int, hot: np.ndarray) -> tuple:
-        """Histories, words and training counts of the distinct pairs, the bucket starts, and each token's pair."""
+    def pairs(self, number: np.ndarray, buckets: int, hot: np.ndarray) -> tuple:
+        """Histories, words and training counts of the distinct pairs, the bucket starts, and each token's pair.
+
+        number: the corpus-wide number of each word id.
+        """
         prev = np.empty_like(self.tok)
         prev[1:] = self.tok[:-1]
         prev[np.r_[0, self.end[:-1]]] = START
         code, at = np.unique(prev.astype(np.int64) * len(self.hash) + self.tok, return_inverse=True)
         v, w = code // len(self.hash), code % len(self.hash)
         n = np.bincount(at, weights=self.train, minlength=len(code)).astype(np.int64)
-        vh, wh = self.hash[v], self.hash[w]
-        spread = np.where(np.isin(vh, hot), _mix(vh ^ _mix(wh)), _mix(vh))
+        vn, wn = number[v], number[w]
+        spread = np.where(np.isin(vn, hot), _mix(vn ^ _mix(wn)), _mix(vn))
         bucket = (spread % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((wh, vh, bucket))
+        order = np.lexsort((wn, vn, bucket))
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         return v[order], w[order], n[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), place[at]
@@ -217,42 +241,44 @@ def _add_words(asked: pa.Table) -> pa.Table:
     h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     c = np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
     seen = c > 0
-    stats = {"types": int(seen.sum()), "total": int(c.sum()), "n": np.bincount(np.minimum(c[seen], K + 2), minlength=K + 3).tolist()[: K + 2]}
+    stats = {"bucket": bucket, "size": len(h), "types": int(seen.sum()), "total": int(c.sum()), "n": np.bincount(np.minimum(c[seen], K + 2), minlength=K + 3).tolist()[: K + 2]}
     rows = [("stats", bucket, None, json.dumps(stats).encode()), ("table", bucket, None, pack(h[seen], c[seen]))]
     # the most frequent words of a bucket, for the choice of hot histories
     top = np.argsort(-c, kind="stable")[:1000]
-    rows.append(("top", bucket, None, pack(h[top], c[top])))
+    rows.append(("top", bucket, None, pack(top.astype(np.uint64), c[top])))
     k = 0
     for name, p in zip(asked.column("block").to_pylist(), parts, strict=True):
-        rows.append(("answer", bucket, name, pack(c[at[k : k + len(p[0])]].astype(np.uint32))))
+        own = at[k : k + len(p[0])].astype(np.uint64)  # ascends, as the hashes asked for do
+        rows.append(("answer", bucket, name, pack(small(c[own]), small(np.diff(own, prepend=np.uint64(0))))))
         k += len(p[0])
     return pa.Table.from_batches([_rows(ANSWER_NAMES, rows, ANSWER_KINDS)])
 
 
-def _counts(answers: list[dict], total: int) -> np.ndarray:
-    """Answers of all buckets, in order, as one array."""
-    parts = [unpack(a["data"])[0] for a in sorted(answers, key=lambda a: a["bucket"])]
-    out = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
-    assert len(out) == total, "an answer is missing"
-    return out.astype(np.int64)
+def _told(answers: list[dict], block: Block, buckets: int, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training count and corpus-wide number of each word id of a block; the text's start is numbered last."""
+    order, _, _ = block.words(buckets)
+    c, number = np.zeros(len(block.hash), dtype=np.int64), np.full(len(block.hash), offset[-1], dtype=np.uint64)
+    parts = [(a["bucket"], *unpack(a["data"])) for a in sorted(answers, key=lambda a: a["bucket"])]
+    counts = np.concatenate([p[1] for p in parts])
+    assert len(counts) == len(order), "an answer is missing"
+    c[order] = counts
+    number[order] = np.concatenate([np.cumsum(p[2].astype(np.uint64)) + offset[p[0]] for p in parts])
+    return c, number
 
 
-def _ask_pairs(word_buckets: int, buckets: int, hot: np.ndarray):
+def _ask_pairs(word_buckets: int, buckets: int, offset: np.ndarray, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data, answers in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 block = Block(data)
-                order, _, _ = block.words(word_buckets)
-                c = np.zeros(len(block.hash), dtype=np.int64)
-                c[order] = _counts(answers, len(order))
-                v, w, n, start, _ = block.pairs(buckets, hot)
+                c, number = _told(answers, block, word_buckets, offset)
+                v, w, n, start, _ = block.pairs(number, buckets, hot)
                 rows = []
                 for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)):
                     if i < j:
                         first = np.flatnonzero(np.r_[True, v[i + 1 : j] != v[i : j - 1]])
-                        wh = block.hash[w[i:j]]
-                        # a word after a given history is told by 48 bits
-                        rows.append((b, name, pack(block.hash[v[i:j][first]], np.diff(np.r_[first, j - i]).astype(np.uint32), (wh & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((wh >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16), n[i:j].astype(np.uint32), c[w[i:j]].astype(np.uint32))))
+                        heads = number[v[i:j][first]]
+                        rows.append((b, name, pack(small(np.diff(heads, prepend=np.uint64(0))), np.diff(np.r_[first, j - i]).astype(np.uint32), small(steps(number[w[i:j]], first)), n[i:j].astype(np.uint32), small(c[w[i:j]]))))
                 yield _rows(ASKED_NAMES, rows, ASKED_KINDS)
 
     return run
@@ -263,16 +289,17 @@ def _add_pairs(unigram: Unigram, hot: np.ndarray):
         """A bucket's pairs: totals, the table's part, sums of hot histories, and each block's answer."""
         bucket = asked.column("bucket")[0].as_py()
         parts = [unpack(x) for x in asked.column("data").to_pylist()]
+        parts = [[np.cumsum(p[0].astype(np.uint64)), *p[1:]] for p in parts]
         v = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        w = np.concatenate([p[2].astype(np.uint64) | (p[3].astype(np.uint64) << np.uint64(32)) for p in parts])
+        w = np.concatenate([unsteps(p[2], p[1]) for p in parts])
         order = np.lexsort((w, v))
         vs, ws = v[order], w[order]
         first = np.flatnonzero(np.r_[True, (vs[1:] != vs[:-1]) | (ws[1:] != ws[:-1])])
         of = np.empty(len(order), dtype=np.int64)
         of[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
-        c = np.bincount(of, weights=np.concatenate([p[4] for p in parts])).astype(np.int64)
+        c = np.bincount(of, weights=np.concatenate([p[3] for p in parts])).astype(np.int64)
         vs, ws = vs[first], ws[first]
-        cw = np.concatenate([p[5] for p in parts])[order][first].astype(np.int64)
+        cw = np.concatenate([p[4] for p in parts])[order][first].astype(np.int64)
         # sums by history: how many words follow it once, twice, ... and their P together
         hist, group = np.unique(vs, return_inverse=True)
         seen = c > 0
@@ -283,7 +310,7 @@ def _add_pairs(unigram: Unigram, hot: np.ndarray):
         runs = np.flatnonzero(np.r_[True, vs[seen][1:] != vs[seen][:-1]]) if seen.any() else np.zeros(0, dtype=np.int64)
         rows = [
             ("stats", bucket, None, json.dumps({"n": n}).encode()),
-            ("table", bucket, None, pack(vs[seen][runs], np.diff(np.r_[runs, seen.sum()]).astype(np.uint32), (ws[seen] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (ws[seen] >> np.uint64(32)).astype(np.uint16), c[seen].astype(np.uint32))),
+            ("table", bucket, None, pack(small(np.diff(vs[seen][runs], prepend=np.uint64(0))), np.diff(np.r_[runs, seen.sum()]).astype(np.uint32), small(steps(ws[seen], runs)), small(c[seen]))),
             ("hot", bucket, None, pack(hist[is_hot], p_seen[is_hot], *(x[is_hot] for x in m))),
         ]
         k = 0
@@ -296,25 +323,23 @@ def _add_pairs(unigram: Unigram, hot: np.ndarray):
             # histories with a pair that was never seen need their sums; all need to know whether nothing was discounted
             need = np.flatnonzero((np.bincount(run_of, weights=counts == 0, minlength=len(p[0])) > 0) & ~is_hot[g])
             whole = (m[:, g].sum(0) == 0).astype(np.uint8)
-            rows.append(("answer", bucket, name, pack(counts.astype(np.uint32), whole, need.astype(np.uint32), p_seen[g[need]], *(x[g[need]].astype(np.uint32) for x in m))))
+            rows.append(("answer", bucket, name, pack(small(counts), whole, need.astype(np.uint32), p_seen[g[need]], *(x[g[need]].astype(np.uint32) for x in m))))
         return pa.Table.from_batches([_rows(ANSWER_NAMES, rows, ANSWER_KINDS)])
 
     return run
 
 
-def _score(word_buckets: int, buckets: int, hot: np.ndarray, hot_p: np.ndarray, hot_m: np.ndarray, unigram: Unigram, d: np.ndarray, train_docs: int):
+def _score(word_buckets: int, buckets: int, offset: np.ndarray, hot: np.ndarray, hot_p: np.ndarray, hot_m: np.ndarray, unigram: Unigram, d: np.ndarray, train_docs: int):
     """mapInArrow body: blocks with both answers to scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for docs, data, words, pairs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 block = Block(data)
-                order, _, _ = block.words(word_buckets)
-                c = np.zeros(len(block.hash), dtype=np.int64)
-                c[order] = _counts(words, len(order))
+                c, number = _told(words, block, word_buckets, offset)
                 c_hist = c.copy()
                 c_hist[START] = train_docs
-                v, w, _, start, at = block.pairs(buckets, hot)
+                v, w, _, start, at = block.pairs(number, buckets, hot)
                 answers = {a["bucket"]: a["data"] for a in pairs}
                 log = np.zeros(len(v))
                 for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)):
@@ -325,7 +350,7 @@ def _score(word_buckets: int, buckets: int, hot: np.ndarray, hot_p: np.ndarray,
                     ids = v[i:j]
                     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
                     run_of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, j - i]))
-                    vh, cv = block.hash[ids[first]], c_hist[ids[first]]
+                    vh, cv = number[ids[first]], c_hist[ids[first]]
                     k = np.searchsorted(hot, vh)
                     is_hot = (k < len(hot)) & (hot[np.minimum(k, max(0, len(hot) - 1))] == vh) if len(hot) else np.zeros(len(vh), dtype=bool)
                     p, ms = np.zeros(len(first)), np.zeros((K, len(first)))
@@ -371,13 +396,16 @@ def score(docs: DataFrame, train: Column, block_words: int = 1_500_000, bucket_e
         unigram = Unigram.of(sum(s["total"] for s in stats), sum(s["types"] for s in stats), [sum(s["n"][r] for s in stats) for r in range(K + 2)])
         train_docs = docs.where(F.coalesce(train, F.lit(False))).count()
         hot = []
-        for r in told.where("kind = 'top'").select("data").toLocalIterator():
-            h, c = unpack(bytes(r["data"]))
-            hot.append(h[c > hot_share * max(1, unigram.total)])
-        start = np.array([xxhash.xxh64_intdigest(SPECIAL[START], 7)], dtype=np.uint64)
-        hot = np.unique(np.concatenate([*hot, start]))  # fewer than 1 / hot_share words
+        sizes = np.zeros(word_buckets, dtype=np.uint64)
+        for x in stats:
+            sizes[x["bucket"]] = x["size"]
+        offset = np.r_[np.uint64(0), np.cumsum(sizes)].astype(np.uint64)
+        for r in told.where("kind = 'top'").select("bucket", "data").toLocalIterator():
+            at, c = unpack(bytes(r["data"]))
+            hot.append(at[c > hot_share * max(1, unigram.total)] + offset[r["bucket"]])
+        hot = np.unique(np.concatenate([*hot, offset[-1:]]))  # fewer than 1 / hot_share words, and the text's start
         answered = lambda path: spark.read.schema(ANSWER).parquet(path).where("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))  # noqa: E731  one entry for each bucket
-        asked = blocks.select("block", "data").join(answered(words), "block").select("block", "data", "answers").mapInArrow(_ask_pairs(word_buckets, buckets, hot), ASKED)
+        asked = blocks.select("block", "data").join(answered(words), "block").select("block", "data", "answers").mapInArrow(_ask_pairs(word_buckets, buckets, offset, hot), ASKED)
         pairs = scratch(spark, "katz-pairs")
         asked.groupBy("bucket").applyInArrow(_add_pairs(unigram, hot), ANSWER).write.partitionBy("kind").parquet(pairs)
         release(spark)
@@ -391,7 +419,7 @@ def score(docs: DataFrame, train: Column, block_words: int = 1_500_000, bucket_e
             hot_p[at] += p
             hot_m[:, at] += np.stack(m) if len(h) else np.zeros((K, 0))
         whole = blocks.join(answered(words).withColumnRenamed("answers", "words"), "block").join(answered(pairs).withColumnRenamed("answers", "pairs"), "block")
-        out = written(whole.select("docs", "data", "words", "pairs").mapInArrow(_score(word_buckets, buckets, hot, hot_p, hot_m, unigram, d, train_docs), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
+        out = written(whole.select("docs", "data", "words", "pairs").mapInArrow(_score(word_buckets, buckets, offset, hot, hot_p, hot_m, unigram, d, train_docs), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", spark_rows)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(unigram.total).cast("long").alias("train_tokens"), "base_score", "score")
