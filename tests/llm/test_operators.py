@@ -1,0 +1,575 @@
+"""Operators against brute force, round trips and held-out accuracy; and the edge cases each docstring defines."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from vellum.llm import common, decontam, graph, katz, language, lines, mixing, quality, queries, sharding, simhash, toxicity, warc
+
+LONG = "lorem ipsum dolor sit amet " * 30_000
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, fp string, rep string, n string, shard string, size string, words string, unit string, rn int, key string, h2 array<int>"
+
+
+def table(spark, rows):
+    """documents with extra columns whose names the operators use inside."""
+    return spark.createDataFrame([(*r, *([None] * 11)) for r in rows], SCHEMA)
+
+
+EDGE = [
+    (1, "The quick brown fox jumps over the lazy dog and runs away", "en", "a", 1),
+    (1, "The quick brown fox jumps over the lazy dog and runs away", "en", "a", 1),
+    (2, None, "en", None, None),
+    (3, "", None, "b", 0),
+    (4, " \n\t ", "de", "b", 3),
+    (5, LONG, "la", "b", len(LONG)),
+    (6, "12345 67890 !!", "en", "c", None),
+    (7, "Übergrößenträger   straße ñandú 漢字 😀", "de", "ä", 5),
+    (8, "The quick brown fox jumps over the lazy dog and runs away", None, "a", 1),
+    (None, "a row without an id", "en", "a", 2),
+]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return table(spark, EDGE)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return table(spark, [])
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def corpus(seed=0, n=120, words=400):
+    """Texts over a small vocabulary, with copies and near copies."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(words)]
+    out = []
+    for i in range(n):
+        if i % 6 == 5:
+            t = out[-1]
+        elif i % 6 == 4:
+            w = out[-1].split(" ")
+            w[rng.randrange(len(w))] = "zzz"
+            t = " ".join(w)
+        else:
+            t = " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 120)))
+        out.append(t)
+    return out
+
+
+# ---------------------------------------------------------------- 1 language
+
+
+def test_language_parse_is_longest_match():
+    text = " abcabxabcd "
+    a = language.Substrings(text)
+    for word in ("abcd", "abx", "zzz", " abq", "", "cabxa"):
+        n, k = 0, 0
+        while k < len(word):  # greedy longest match by definition
+            m = max((j for j in range(1, len(word) - k + 1) if word[k : k + j] in text), default=1)
+            n, k = n + 1, k + m
+        assert a.phrases(word) == n, word
+
+
+def test_language_edge(spark, edge, none):
+    texts = {"en": " the quick brown fox ", "de": " der schnelle straße "}
+    got = [r for r in rows(language.identify(edge, texts))]
+    assert len(got) == len(EDGE)
+    by = defaultdict(set)
+    for r in got:
+        by[r["doc_id"]].add((r["lang_pred"], round(r["score"], 9)))
+    assert {p for i in (2, 3, 4, 6) for p, _ in by[i]} == {"und"} and all(len(v) == 1 for v in by.values())
+    assert {p for p, _ in by[1]} == {"en"} and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["lang_pred"] for r in rows(language.identify(edge, {}))} == {"und"}
+    assert rows(language.identify(none, texts)) == []
+    found = language.training_texts(edge, F.lit(True), rows_per_language=1, chars_per_language=10)
+    assert set(found) <= {"en", "de", "la"} and language.training_texts(none, F.lit(True)) == {}
+
+
+def test_language_memo_is_bounded():
+    p = language.Parser({"a": " ab ", "b": " cd "}, memo=8)
+    assert p(" ".join(f"ab{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)))[0] == "a" and len(p.ids) <= 8
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_language_held_out(spark, sf):
+    docs = common.table(spark, f"/root/testdata/{sf}", "documents")
+    got = queries.op1_language(spark, f"/root/testdata/{sf}").where("held_out").join(docs, "doc_id").where("lang is not null")
+    assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
+
+
+# ---------------------------------------------------------------- 2 toxicity
+
+
+def edits(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        p, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+    return d[-1]
+
+
+def test_levenshtein_automaton():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(60)]
+    for w in words[:20]:
+        for v in words:
+            for k in (0, 1, 2):
+                auto = toxicity.Levenshtein(w, k)
+                s = auto.start()
+                for c in v:
+                    s = auto.step(s, c)
+                d = edits(w, v)
+                assert auto.distance(s) == (d if d <= k else None), (w, v, k)
+
+
+def test_lexicon_prefilter_loses_nothing():
+    rng = random.Random(5)
+    terms = {"".join(rng.choice("abcd") for _ in range(rng.randint(5, 8))): 1.0 for _ in range(30)}
+    lex = toxicity.Lexicon(terms, {})
+    for _ in range(3000):
+        t = list(rng.choice(list(terms)))
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice([[], [rng.choice("abcd")], [t[k], rng.choice("abcd")]])
+            t = t or ["a"]
+        w = "".join(t)
+        near = min(edits(w, x) for x in terms) <= 1
+        assert (lex._weigh(w) > 0) == (w in terms or near and len(w) >= 4), w
+
+
+def test_toxicity_context():
+    lex = toxicity.Lexicon({"idiot": 1.0}, {"grawl": 1.0})
+    plain = lex.score("you are an idiot idiot")[0]
+    assert plain > lex.score('he said "idiot idiot" and left')[0] > 0
+    assert lex.score("an id10t, an idi0t")[1] == 2 and lex.score("grawlish grawling")[1] == 2
+    assert lex.score(None) == lex.score("") == (0.0, 0)
+
+
+def test_toxicity_edge(spark, edge, none):
+    labels = spark.createDataFrame([(1, None, None), (2, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    m = toxicity.learn(edge, labels)
+    assert all(0 <= r["score"] <= 1 for r in rows(toxicity.score(edge, m)))
+    assert rows(toxicity.score(none, m)) == [] and toxicity.keep_clean(edge, m).count() == len(EDGE)
+    assert toxicity.keep_clean(edge, m).schema == edge.schema
+    assert toxicity.learn(none, labels.limit(0)).terms == dict.fromkeys(toxicity.SEEDS, 1.0)
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    got = queries.op2_toxicity(spark, d).where("held_out").join(common.table(spark, d, "labels"), "doc_id").select("toxic", "predicted", "score").toPandas()
+    tp = ((got.toxic == 1) & (got.predicted == 1)).sum()
+    assert tp / (got.predicted == 1).sum() > 0.9 and tp / (got.toxic == 1).sum() > 0.85
+    assert ((got.score >= 0.7) == (got.predicted == 1)).all()
+
+
+# ---------------------------------------------------------------- 3 lines
+
+
+def base(text):
+    raw = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    tri = Counter(zip(w, w[1:], w[2:]))
+    hit = set()
+    for i in range(len(w) - 2):
+        if tri[w[i], w[i + 1], w[i + 2]] > 1:
+            hit |= {i, i + 1, i + 2}
+    seen, dup = set(), 0
+    for line in raw.split(b"\n"):
+        if re.search(rb"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(len(x.decode()) for x in w), len(re.findall(rb"[#*$%&|<>]", raw)), dup, len(hit)
+
+
+def test_lines_base(spark, edge):
+    texts = corpus(1) + [t for _, t, *_ in EDGE] + ["a b\na b\n\n a b\r\n# $ |<>\na b c a b c"]
+    for t in texts:
+        got = lines.judge(t, lines.LineRules())
+        assert got[:5] == base(t), t and t[:80]
+        assert got[5] == (got[0] < 50 or 100 * got[4] > 50 * got[0]) and (not got[6] or not got[5])
+
+
+def test_lines_rules():
+    prose = "This is a sentence of the text, and it ends. "
+    many = [" ".join(f"{w}{i}{k}" for k in range(3) for w in "some words make lines".split()) + "." for i in range(8)]
+    r = lines.LineRules()
+    assert r.fails(b"Home | About | Contact | Help", b"Home | About | Contact | Help".split()) == "navigation"
+    assert r.fails(b"a%%% b### c", b"a%%% b### c".split()) == "symbols"
+    assert r.fails(b"BUY!! NOW!!", b"BUY!! NOW!!".split()) == "shouting"
+    assert r.fails(b"All rights reserved 2020", b"All rights reserved 2020".split()) == "boilerplate"
+    assert r.fails(prose.encode(), prose.encode().split()) is None
+    text = "\n".join(many) + "\nHome | About | Us"
+    got = lines.judge(text, r)
+    assert got[6] and "Home" not in got[8] and got[7] == got[0] - 5
+
+
+def test_lines_edge(edge, none):
+    got = rows(lines.clean(edge))
+    assert len(got) == len(EDGE) and rows(lines.clean(none)) == []
+    assert {r["doc_id"]: r["kept"] for r in got}[2] is False
+
+
+# ---------------------------------------------------------------- 4 decontamination
+
+
+def norm(t):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+
+
+def contaminated(text, items, window=13):
+    w, hit, found = norm(text), set(), set()
+    for i, t in items:
+        iw = norm(t)
+        k = min(window, len(iw))
+        wins = {tuple(iw[j : j + k]) for j in range(len(iw) - k + 1)} if iw else set()
+        for j in range(len(w) - k + 1):
+            if wins and tuple(w[j : j + k]) in wins:
+                hit |= set(range(j, j + k))
+                found.add(str(i))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+
+@pytest.mark.parametrize("chunk", [2_000_000, 40])
+def test_decontamination(spark, chunk):
+    rng = random.Random(7)
+    vocab = ["aa", "bb", "cc", "dd", "Ee", "f1", "ü"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 3, 5, 12, 13, 14, 30])))) for i in range(14)] + [(90, None), (91, "..."), (92, "Aa, bb"), (93, "aa bb")]
+    docs = []
+    for i in range(100, 160):
+        t = " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60)))
+        if i % 3 == 0:
+            w = rng.choice(items[:14])[1].split()
+            t += " X " + "; ".join(w[: rng.randint(1, len(w))]) + " tail" * rng.randint(0, 300)
+        docs.append((i, t, "en", "s", 0))
+    docs += EDGE
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n_words", F.lit("x"))
+    got = rows(decontam.contamination(table(spark, docs), bench, chunk_words=chunk))
+    want = Counter((i, *contaminated(t, items)) for i, t, *_ in docs)
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == want
+    kept = decontam.keep_clean(table(spark, docs), bench, chunk_words=chunk)
+    assert Counter(r["doc_id"] for r in rows(kept)) == Counter(i for i, t, *_ in docs if not contaminated(t, items)[4])
+    text_of = {i: t for i, t, *_ in docs}
+    for r in got:
+        text = text_of[r["doc_id"]]
+        assert len(norm(decontam.cut_spans(text, r["spans"]))) == r["n_words"] - r["n_hit"]
+
+
+def test_decontamination_empty(spark, edge, none):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert not any(r["contaminated"] for r in rows(decontam.contamination(edge, bench)))
+    assert rows(decontam.contamination(none, bench.union(spark.createDataFrame([(1, "a b")], bench.schema)))) == []
+
+
+# ---------------------------------------------------------------- 5 WARC
+
+
+def test_loser_tree():
+    rng = random.Random(2)
+    for k in range(0, 9):
+        runs = [sorted(rng.randrange(20) for _ in range(rng.randrange(9))) for _ in range(k)]
+        assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
+
+
+def test_url_key():
+    assert warc.url_key("https://www.Example.org:443/A?b=C#d") == "org,example)/a?b=c"
+    assert warc.url_key(None) == "" and warc.url_key("http://x.org:81") == "org,x:81)/"
+
+
+PAGES = [(i, f"http://h{i % 3}.org/p{i % 5}", h) for i, h in enumerate(["x" * 120, "x" * 120, "y" * 99, "y" * 99, None, "", "WARC/1.1\r\n\r\n" * 20, "é\r\n\r\n" * 60, "x" * 120, "é\r\n\r\n" * 60])]
+
+
+def test_warc_round_trip(spark):
+    pages = spark.createDataFrame([*PAGES, (None, None, "z" * 200)], "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("file", F.lit(2))
+    pages = pages.repartition(3)
+    got = {r["page_id"]: r for r in rows(warc.archived(pages))}
+    first = {}
+    for i, _, h in PAGES:
+        b = (h or "").encode()
+        rep = first.setdefault(b, i) if len(b) >= 100 else i
+        r = got[i]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(b), hashlib.sha256(b).hexdigest())
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if rep == i else ("revisit", rep))
+    assert got[None]["record_type"] == "response" and len(got) == len(PAGES) + 1
+    assert rows(warc.archived(pages.limit(0))) == []
+
+
+def test_warc_index_is_ordered(spark):
+    rng = random.Random(4)
+    pages = spark.createDataFrame([(i, f"http://h{rng.randrange(5)}.org/{rng.randrange(9)}", "t" * i) for i in range(200)], "page_id long, url string, html string").repartition(5)
+    folder = common.scratch(spark, "t")
+    runs = warc.write_archives(pages, folder, F.col("page_id") * -1, run_rows=7, file_bytes=500)
+    assert runs.select("run").distinct().count() > 5 and runs.select("file").distinct().count() > 5
+    merged = [(r["url_key"], r["at"], r["page_id"]) for r in warc.merge_index(runs, 30).collect()]
+    assert merged == sorted(merged) and len(merged) == 200
+    got = warc.read_archives(runs, folder)
+    assert got.agg(F.sum("payload_bytes")).first()[0] == sum(range(200))
+
+
+# ---------------------------------------------------------------- 6 Katz
+
+
+def test_katz_against_brute_force(spark):
+    texts = [(i + 100, t, None, None, None) for i, t in enumerate(corpus(6, 90, 60))] + [r for r in EDGE if r[0] != 5 and r[0] is not None]
+    train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
+    for hot in (1e-3, 0.02):
+        got = rows(katz.score(table(spark, texts).repartition(3), common.fold("doc_id", 10) != 0, block_words=300, bucket_entries=500, hot_share=hot))
+        uni, bi = Counter(), defaultdict(Counter)
+        toks = [(i, re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) + [None]) for i, t, *_ in texts]
+        for i, t in toks:
+            if train(i):
+                uni.update(t)
+                for v, w in zip(["<s>", *t], t):
+                    bi[v][w] += 1
+        total, types = sum(uni.values()), len(uni)
+        of = lambda c: [0] + [c[r] for r in range(1, katz.K + 2)]
+        p_uni = katz.Unigram.of(total, types, of(Counter(uni.values())))
+        p = lambda w: float(p_uni(np.array([uni.get(w, 0)]))[0])
+        assert sum(map(p, uni)) + p_uni.unseen == pytest.approx(1)
+        d = katz.discounts(of(Counter(c for m in bi.values() for c in m.values())))
+        disc = lambda c: float(d[c]) if c <= katz.K else 1.0
+
+        def cond(v, w):
+            m = bi.get(v)
+            if not m:
+                return p(w)
+            n = sum(m.values()) + all(c > katz.K for c in m.values())
+            if w in m:
+                return disc(m[w]) * m[w] / n
+            return (1 - sum(disc(c) * c for c in m.values()) / n) / (1 - sum(map(p, m))) * p(w)
+
+        for v in list(bi)[:20]:
+            assert sum(cond(v, w) for w in uni) + cond(v, b"not a word") == pytest.approx(1)
+        want = sorted((i, len(t), sum(w in uni for w in t), total, round(sum(np.log10((uni.get(w, 0) + 0.1) / (total + 0.1 * (types + 1))) for w in t), 6), round(sum(np.log10(cond(v, w)) for v, w in zip(["<s>", *t], t)), 6)) for i, t in toks)
+        assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
+
+
+def test_katz_edge(spark, edge, none):
+    assert len(rows(katz.score(edge, F.lit(True)))) == len(EDGE)
+    got = rows(katz.score(edge, F.lit(False)))
+    assert all(r["score"] == 0 and r["base_score"] == 0 and r["train_tokens"] == 0 for r in got)
+    assert rows(katz.score(none, F.lit(True))) == []
+
+
+def test_katz_packing():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << 40, 500, dtype=np.uint64), rng.integers(0, 9, 0, dtype=np.uint32)
+    x, y = katz.unpack(katz.pack(a, b))
+    assert (x == a).all() and y.dtype == b.dtype and not len(y)
+    runs = np.array([3, 1, 4], dtype=np.uint32)
+    v = np.array([5, 7, 9, 2, 1, 2, 3, 50], dtype=np.uint64)
+    assert (katz.unsteps(katz.steps(v, np.array([0, 3, 4])), runs) == v).all()
+
+
+# ---------------------------------------------------------------- 7 SimHash
+
+
+def fp_of(text):
+    import xxhash
+
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    if not w:
+        return 0
+    sh = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+    hs = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def groups(fps, ids, distance=4):
+    up = {i: i for i in ids}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    items = list(zip(fps, ids))
+    for k, (f, i) in enumerate(items):
+        for g, j in items[:k]:
+            if (f ^ g).bit_count() <= distance:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_against_brute_force(spark, none):
+    texts = [(i + 100, t, None, None, None) for i, t in enumerate(corpus(8, 150, 300))] + [r for r in EDGE]
+    got = rows(simhash.near_duplicates(table(spark, texts).repartition(4)))
+    ids = sorted({i for i, *_ in texts if i is not None})
+    text_of = {i: t for i, t, *_ in texts}
+    fps = {i: fp_of(text_of[i]) for i in ids}
+    want = groups([fps[i] for i in ids], ids)
+    assert len(got) == len(texts)
+    assert all(r["fp"] % (1 << 64) == fps[r["doc_id"]] and r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    kept = rows(simhash.keep_one(table(spark, texts)))
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(want.values())) and sum(r["doc_id"] is None for r in kept) == 1
+    assert rows(simhash.near_duplicates(none)) == []
+
+
+def test_simhash_long_text_in_steps():
+    words = [f"w{i % 977}" for i in range(70_000)]
+    assert simhash.fingerprint(" ".join(words)) == fp_of(" ".join(words))
+
+
+@pytest.mark.parametrize("hot", [10, 20_000])
+def test_link_forest(spark, hot):
+    """Clusters and chains of fingerprints, with crowded keys cut into cells."""
+    rng = random.Random(9)
+    fps = [rng.getrandbits(64) for _ in range(80)]
+    for b in list(fps[:15]):
+        x = b
+        for _ in range(6):
+            for _ in range(rng.randint(1, 5)):
+                x ^= 1 << rng.randrange(64)
+            fps.append(x)
+    centre = fps[0]
+    fps += [centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(120)]
+    fps = sorted(set(fps))
+    reps = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, rep long")
+    named = {r["node"]: r["component"] for r in graph.components(simhash.link_forest(reps, hot=hot)).collect()}
+    assert {i: named.get(i, i) for i in range(len(fps))} == groups(fps, list(range(len(fps))))
+
+
+def test_thresholds_cover_the_distance():
+    for n in (10, 10**4, 10**6, 10**9):
+        plan = simhash.allot(np.full(64, 0.5), n, np.eye(64))
+        assert sum(e + 1 for _, e in plan) == simhash.DISTANCE + 1
+        bits = [b for g, _ in plan for b in g]
+        assert len(bits) == len(set(bits))
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, 200)] + [(300, 300 + i) for i in range(50)]
+    up = {}
+    for a, b in links:
+        up.setdefault(a, a), up.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(up[a], up[b])
+            changed |= up[a] != m or up[b] != m
+            up[a] = up[b] = m
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: v for k, v in up.items() if k != 200}
+
+
+# ---------------------------------------------------------------- 8 quality
+
+
+def test_expectation_maximisation_recovers_accuracies():
+    rng = np.random.default_rng(0)
+    n, acc = 20_000, np.array([[0.9, 0.8, 0.7, 0.85], [0.95, 0.9, 0.8, 0.9]])
+    y = (rng.random(n) < 0.8).astype(int)
+    votes = np.where(rng.random((n, 4)) < acc[y], y[:, None], 1 - y[:, None])
+    votes[rng.random((n, 4)) < 0.2] = quality.NONE
+    pat, counts = np.unique(votes, axis=0, return_counts=True)
+    post, found = quality.expectation_maximisation(pat, counts.astype(float))
+    assert np.abs(found - acc).max() < 0.06
+    lookup = {tuple(p): q for p, q in zip(pat, post)}
+    assert np.mean([(lookup[tuple(v)] > 0.5) == t for v, t in zip(votes, y)]) > 0.93
+
+
+def test_quality_against_labels(spark):
+    d = "/root/testdata/sf0.01"
+    got = queries.op8_quality(spark, d).join(common.table(spark, d, "labels"), "doc_id").select("kept", "quality").toPandas()
+    assert (got.kept == (got.quality == 1)).mean() > 0.93 and got.kept[got.quality == 1].mean() > 0.98
+
+
+def test_quality_edge(edge, none):
+    m = quality.learn(edge)
+    assert len(rows(quality.score(edge, m))) == len(EDGE) and rows(quality.score(none, quality.learn(none))) == []
+    assert all(0 <= r["score"] <= 1 for r in rows(quality.score(edge, m)))
+
+
+# ---------------------------------------------------------------- 9 mixing
+
+
+def test_sainte_lague_is_highest_quotients():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(1, 6)
+        votes, most = [rng.choice([0, 1, 3.5, 10, 10, 77]) for _ in range(n)], [rng.randint(0, 9) for _ in range(n)]
+        seats = rng.randint(0, 25)
+        got, want = mixing.sainte_lague(votes, seats, most), [0] * n
+        for _ in range(seats):
+            q = [(votes[i] / (2 * want[i] + 1), -i) for i in range(n) if want[i] < most[i] and votes[i] > 0]
+            if not q:
+                break
+            want[-max(q)[1]] += 1
+        assert got == want, (votes, seats, most)
+
+
+def test_targets():
+    assert mixing.targets([100, 100, 100], [5, 2, 1], 450) == pytest.approx([200, 500 / 3, 250 / 3])
+    assert mixing.targets([10, 1000], [5, 2], 1515) == pytest.approx([20, 1495]) and mixing.targets([0, 5], [5, 2], 7.5) == [0, 7.5]
+
+
+def test_mixing(spark, none):
+    texts = [(i + 100, t, None, s, None) for i, (t, s) in enumerate(zip(corpus(2, 200), [*"aaab" * 40, *"cd" * 20]))] + EDGE
+    got = rows(mixing.mix(table(spark, texts), block_words=10, shard_words=700))
+    again = rows(mixing.mix(table(spark, list(reversed(texts))).repartition(5), block_words=10, shard_words=700))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["size"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(texts)
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["source_size"] is not None
+    names = sorted(s for s in sizes if s is not None) + [None]
+    want = mixing.targets([sizes[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()))
+    for s, w in zip(names, want):
+        assert target[s] == pytest.approx(w) and abs(taken[s] - w) <= max(40, 0.03 * w)
+    assert rows(mixing.mix(none)) == []
+    mixed = mixing.apply_mix(table(spark, texts), block_words=10)
+    assert mixed.columns == none.columns and max(Counter(r["doc_id"] for r in rows(mixed) if r["doc_id"] not in (1,)).values()) <= 2
+
+
+# ---------------------------------------------------------------- 10 sharding
+
+
+def test_sharding(spark, none):
+    texts = [(i + 100, t, None, None, None) for i, t in enumerate(corpus(4, 600))] + [(1000 + i, "same text again", None, None, None) for i in range(400)] + [r for r in EDGE if r[0] != 5]
+    got = rows(sharding.shard(table(spark, texts).repartition(6), shards=7))
+    assert len(got) == len(texts)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) == set(range(7))
+    sizes = Counter()
+    text_of = {i: t for i, t, *_ in texts}
+    for r in got:
+        raw = (text_of[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) < 0.06 * sum(sizes.values()) / 7
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[text_of[r["doc_id"]]].add(r["shard"])
+    assert all(len(v) == 1 for t, v in by_text.items() if t != "same text again") and len(by_text["same text again"]) > 1
+    assert rows(sharding.shard(none)) == []
+
+
+def test_packing_prefers_room():
+    at = sharding.pack(np.array([[10, 1, 1], [10, 1, 1], [5, 0.5, 1], [5, 0.5, 1]], dtype=float), 2)
+    assert at[0] != at[1] and at[2] != at[3]
+
+
+def test_arrow_batches_stay_small(spark):
+    common.small_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512 and pa

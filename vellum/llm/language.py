@@ -126,6 +126,7 @@ _PARSERS: dict[str, Parser] = {}
 
 def training_texts(docs: DataFrame, train: Column, rows_per_language: int = 200, chars_per_language: int = 60_000, seed: int = 42) -> dict[str, str]:
     """Bounded text of each language, from columns doc_id, text and lang."""
+    docs = docs.select("doc_id", "text", "lang")
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.length("text").alias("n"), F.xxhash64("doc_id", F.lit(seed)).alias("h"))
     ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "n"))).where(F.col("rn") <= rows_per_language)
     ranked = ranked.withColumn("before", F.sum("n").over(Window.partitionBy("lang").orderBy("rn")) - F.col("n")).where(F.col("before") < chars_per_language)

@@ -176,8 +176,8 @@ def _writer(folder: str, file_bytes: int, run_rows: int):
                     out.write(data)
                     rows.append((url_key(url), at, page_id, "response" if refers_to is None else "revisit", name, size, len(data)))
                     size += len(data)
-                if len(rows) >= run_rows:
-                    yield flush()
+                    if len(rows) >= run_rows:
+                        yield flush()
         finally:
             if out:
                 out.close()
