@@ -104,5 +104,5 @@ def from_directory(spark: SparkSession, root: str, conf: dict, tracked: list[str
     else:
         listed = spark.createDataFrame([(t,) for t in tracked], "path string").withColumn("tracked", F.lit(True))
         files = files.join(listed, "path", "left").withColumn("tracked", F.coalesce("tracked", F.lit(False)))
-    texts = found.where(F.lower("path").rlike(r"\.(html?|css|js|json|md)$")).select(rel.alias("path"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    texts = found.where(F.lower("path").rlike(r"\.(html?|css|js|json|md)$")).select(rel.alias("path"), F.decode("content", "UTF-8").alias("html"))
     return Corpus(files.persist(), texts, merge(DEFAULTS, conf), tracked is not None, local)

@@ -27,10 +27,13 @@ def lazy_udf(fn: Callable, kind: str | T.DataType) -> Callable[..., Column]:
 def vectorised(fn: Callable, kind: str) -> Callable[..., Column]:
     """A pandas UDF of a one-value function; null in, null out."""
 
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or (isinstance(x, float) and x != x) else fn(x) for x in s], dtype=object)
+    is_struct = kind.startswith("struct<")
 
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    def run(s: pd.Series):
+        got = [None if x is None or (isinstance(x, float) and x != x) else fn(x) for x in s]
+        return pd.DataFrame([g or {} for g in got]) if is_struct else pd.Series(got, dtype=object)
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame if is_struct else pd.Series}
     return lazy_udf(run, kind)
 
 

@@ -66,6 +66,11 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space, line ends included, at both ends."""
+    return F.regexp_replace(F.regexp_replace(col(c), r"(?U)^\s+", ""), r"(?U)\s+\z", "")
+
+
 def strip_tags(c: Column | str, by: str = " ") -> Column:
     """Plain text of markup: tags out, white space folded."""
     return squeeze(F.regexp_replace(col(c), TAG, by))

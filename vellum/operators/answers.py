@@ -21,7 +21,7 @@ def answer_blocks(files: DataFrame, key: str = "path", text: str = "text") -> Da
     marked = lines.withColumn("fences", F.sum(fence).over(upto)).withColumn("opens", (F.col("line").rlike(KEY) & (F.col("fences") % 2 == 0)))
     numbered = marked.withColumn("ord", F.sum(F.col("opens").cast("int")).over(upto))
     heads = numbered.where("opens").select(key, "ord", F.lower(F.regexp_extract("line", KEY, 1)).alias("kind"), tx.squeeze(F.regexp_extract("line", KEY, 2)).alias("name"))
-    body = numbered.where(~F.col("opens")).groupBy(key, "ord").agg(F.trim(text_in_order("line", ["pos"], "\n")).alias("body"))
+    body = numbered.where(~F.col("opens")).groupBy(key, "ord").agg(tx.strip(text_in_order("line", ["pos"], "\n")).alias("body"))
     return heads.join(body, [key, "ord"], "full_outer").select(key, "ord", "kind", "name", F.coalesce("body", F.lit("")).alias("body"))
 
 
@@ -74,8 +74,8 @@ def proposals(files: DataFrame, key: str = "path", text: str = "text") -> DataFr
     """key, ord, code, proposal, note of a proposals file: a section for each code, a note below `Noot:`."""
     section = r"(?ms)^## +([A-Z]+\d+)[^\n]*\n(.*?)(?=^## |\z)"
     rows = files.select(key, F.posexplode(F.arrays_zip(tx.every(text, section, 1).alias("code"), tx.every(text, section, 2).alias("body"))).alias("ord", "s")).select(key, "ord", "s.code", "s.body")
-    note = F.trim(F.regexp_extract("body", r"(?ms)^Noot:\s*(.*)\z", 1))
-    return rows.select(key, "ord", "code", F.trim(F.regexp_replace("body", r"(?ms)^Noot:.*\z", "")).alias("proposal"), note.alias("note"))
+    note = tx.strip(F.regexp_extract("body", r"(?ms)^Noot:\s*(.*)\z", 1))
+    return rows.select(key, "ord", "code", tx.strip(F.regexp_replace("body", r"(?ms)^Noot:.*\z", "")).alias("proposal"), note.alias("note"))
 
 
 def written_back(files: DataFrame, new: DataFrame, key: str = "path", text: str = "text") -> DataFrame:

@@ -79,7 +79,7 @@ def expand_submissions(files: DataFrame, name: str = "name", content: str = "con
 def decoded(content: str = "content"):
     """Text of bytes: UTF-8 (with or without mark) if valid, else Windows-1252."""
     valid = F.is_valid_utf8(F.col(content).cast("string"))
-    text = F.when(valid, F.decode(content, F.lit("UTF-8"))).otherwise(F.decode(content, F.lit("windows-1252")))
+    text = F.when(valid, F.decode(content, "UTF-8")).otherwise(F.decode(content, "windows-1252"))
     return F.regexp_replace(text, r"^\x{FEFF}", "")
 
 

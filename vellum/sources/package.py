@@ -87,7 +87,7 @@ def topics(entries: DataFrame, key: str = "path") -> DataFrame:
     """Topics of each package; one without manifest has its pages in path order."""
     chosen = choose_manifest(entries, key)
     base = F.regexp_replace("entry", r"[^/]*$", "")
-    listed = chosen.select(key, base.alias("base"), F.explode(topics_udf(F.decode("bytes", F.lit("UTF-8")))).alias("t")).select(key, "t.*", F.concat("base", "t.href").alias("zip_path"))
+    listed = chosen.select(key, base.alias("base"), F.explode(topics_udf(F.decode("bytes", "UTF-8"))).alias("t")).select(key, "t.*", F.concat("base", "t.href").alias("zip_path"))
     bare = entries.join(chosen.select(key), key, "left_anti").where(F.lower("entry").rlike(r"\.html?$"))
     walked = bare.select(key, F.row_number().over(Window.partitionBy(key).orderBy("entry")).alias("ord"), F.regexp_replace(F.substring_index("entry", "/", -1), r"\.[^.]*$", "").alias("title"), F.expr("cast(array() as array<string>)").alias("module"), F.lit(False).alias("hidden"), F.col("entry").alias("href"), F.lit("page").alias("kind"), F.lit(None).cast("string").alias("dropbox_code"), F.col("entry").alias("zip_path"))
     return listed.unionByName(walked)
