@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +47,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Within, shuffle files go when the query that wrote them ends: its result is a table, nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder; a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    with brief_shuffles(spark):
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -60,12 +77,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of steps whose results are written; it does so only when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fold(doc_id: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import release, scratch, small_batches, utf8, written
+from vellum.llm.common import small_batches, utf8, written
 
 K = 5
 END, START = 0, 1  #: ids in each block; their hashes are those of no word
@@ -373,7 +373,7 @@ def _score(word_buckets: int, buckets: int, offset: np.ndarray, hot: np.ndarray,
     return run
 
 
-def score(docs: DataFrame, train: Column, block_words: int = 1_500_000, bucket_entries: int = 2_000_000, hot_share: float = 1e-3) -> DataFrame:
+def score(docs: DataFrame, train: Column, block_words: int = 1_250_000, bucket_entries: int = 2_000_000, hot_share: float = 1e-3) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for docs(doc_id, text); train tells the rows to learn from.
 
     block_words and bucket_entries bound what a task holds; they do not change results.
@@ -388,10 +388,8 @@ def score(docs: DataFrame, train: Column, block_words: int = 1_500_000, bucket_e
         tokens = blocks.select(F.sum(F.octet_length("data"))).first()[0] or 0  # a byte or two for each token, so this over-estimates little
         word_buckets = max(least, -(-tokens // (2 * bucket_entries)))
         buckets = max(least, -(-tokens // bucket_entries))
-        words = scratch(spark, "katz-words")
-        blocks.select("block", "data").mapInArrow(_ask_words(word_buckets), ASKED).groupBy("bucket").applyInArrow(_add_words, ANSWER).write.partitionBy("kind").parquet(words)
-        release(spark)
-        told = spark.read.schema(ANSWER).parquet(words)
+        words = written(blocks.select("block", "data").mapInArrow(_ask_words(word_buckets), ASKED).groupBy("bucket").applyInArrow(_add_words, ANSWER), "katz-words", "kind")
+        told = words
         stats = [json.loads(bytes(r["data"])) for r in told.where("kind = 'stats'").select("data").toLocalIterator()]
         unigram = Unigram.of(sum(s["total"] for s in stats), sum(s["types"] for s in stats), [sum(s["n"][r] for s in stats) for r in range(K + 2)])
         train_docs = docs.where(F.coalesce(train, F.lit(False))).count()
@@ -404,12 +402,10 @@ def score(docs: DataFrame, train: Column, block_words: int = 1_500_000, bucket_e
             at, c = unpack(bytes(r["data"]))
             hot.append(at[c > hot_share * max(1, unigram.total)] + offset[r["bucket"]])
         hot = np.unique(np.concatenate([*hot, offset[-1:]]))  # fewer than 1 / hot_share words, and the text's start
-        answered = lambda path: spark.read.schema(ANSWER).parquet(path).where("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))  # noqa: E731  one entry for each bucket
+        answered = lambda told: told.where("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))  # noqa: E731  one entry for each bucket
         asked = blocks.select("block", "data").join(answered(words), "block").select("block", "data", "answers").mapInArrow(_ask_pairs(word_buckets, buckets, offset, hot), ASKED)
-        pairs = scratch(spark, "katz-pairs")
-        asked.groupBy("bucket").applyInArrow(_add_pairs(unigram, hot), ANSWER).write.partitionBy("kind").parquet(pairs)
-        release(spark)
-        told = spark.read.schema(ANSWER).parquet(pairs)
+        pairs = written(asked.groupBy("bucket").applyInArrow(_add_pairs(unigram, hot), ANSWER), "katz-pairs", "kind")
+        told = pairs
         stats = [json.loads(bytes(r["data"])) for r in told.where("kind = 'stats'").select("data").toLocalIterator()]
         d = discounts([sum(s["n"][r] for s in stats) for r in range(K + 2)])
         hot_p, hot_m = np.zeros(len(hot)), np.zeros((K, len(hot)))
