@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -96,7 +97,7 @@ def from_dict(spark: SparkSession, contents: dict[str, str | None], conf: dict |
 def from_directory(spark: SparkSession, root: str, conf: dict, tracked: list[str] | None, local: bool = True) -> Corpus:
     """A corpus below root, in any store that Spark reads; tracked: see sources.files.git_tracked."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), "^(file:)?/+", "/")
+    base = re.sub("^[a-z0-9+.-]+:/+", "/", root.rstrip("/") + "/")
     rel = F.substring_index(F.regexp_replace("path", "^[a-z0-9+.-]+:/+", "/"), base, -1)
     files = found.select(rel.alias("path"), F.col("modificationTime").cast("double").alias("mtime"))
     if tracked is None:

@@ -189,7 +189,7 @@ def letter(n: Column) -> Column:
 def row_values(c: Column | str) -> Column:
     """Values of a table row: split at bars if there are any, else each of the bits."""
     c = F.trim(col(c))
-    return F.when(c.contains("|"), F.transform(F.split(c, r"\|", -1), F.trim)).otherwise(F.filter(F.split(F.regexp_replace(c, "[^01]", ""), ""), lambda x: x != ""))
+    return F.when(c.contains("|"), F.transform(F.split(c, r"\|", -1), lambda x: F.trim(x))).otherwise(F.filter(F.split(F.regexp_replace(c, "[^01]", ""), ""), lambda x: x != ""))
 
 
 def label_value(c: Column | str) -> Column:

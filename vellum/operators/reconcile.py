@@ -47,10 +47,10 @@ def flatten_settings(docs: DataFrame, keys: list[str], doc: str) -> DataFrame:
 
     Keys that begin with _ are comments; a null is "not set" and left out.
     """
-    top = docs.select(*keys, F.explode(F.from_json(doc, "map<string,string>")).alias("k", "v")).where(~F.col("k").startswith("_") & F.col("v").isNotNull())
-    nested = top.where(F.col("v").startswith("{")).select(*keys, "k", F.explode(F.from_json("v", "map<string,string>")).alias("k2", "v2")).where(~F.col("k2").startswith("_") & F.col("v2").isNotNull())
-    flat = top.where(~F.col("v").startswith("{")).select(*keys, F.lit(None).cast("string").alias("object"), F.col("k").alias("field"), F.col("v").alias("value"))
-    return flat.unionByName(nested.select(*keys, F.col("k").alias("object"), F.col("k2").alias("field"), F.col("v2").alias("value")))
+    top = docs.select(*keys, F.explode(F.from_json(doc, "map<string,string>")).alias("_k", "_v")).where(~F.col("_k").startswith("_") & F.col("_v").isNotNull())
+    nested = top.where(F.col("_v").startswith("{")).select(*keys, "_k", F.explode(F.from_json("_v", "map<string,string>")).alias("_k2", "_v2")).where(~F.col("_k2").startswith("_") & F.col("_v2").isNotNull())
+    flat = top.where(~F.col("_v").startswith("{")).select(*keys, F.lit(None).cast("string").alias("object"), F.col("_k").alias("field"), F.col("_v").alias("value"))
+    return flat.unionByName(nested.select(*keys, F.col("_k").alias("object"), F.col("_k2").alias("field"), F.col("_v2").alias("value")))
 
 
 def setting_changes(desired: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:

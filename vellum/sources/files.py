@@ -71,7 +71,7 @@ def expand_submissions(files: DataFrame, name: str = "name", content: str = "con
     is_zip = F.lower(name).endswith(".zip")
     plain = files.where(~is_zip & ~F.col(name).rlike(JUNK)).select(*keys, F.col(name).alias("name"), F.col(content).alias("content"))
     packed = files.where(is_zip).select(F.to_json(F.struct(*keys)).alias("k"), F.col(content).alias("content"))
-    schema = F.lit(files.select(*keys).schema.simpleString().replace("struct<", "").removesuffix(">"))
+    schema = files.select(*keys).schema
     opened = unzip(packed, "k").select(F.from_json("k", schema).alias("k"), F.col("entry").alias("name"), F.col("bytes").alias("content")).select("k.*", "name", "content")
     return plain.unionByName(opened.select(*keys, "name", "content"))
 
