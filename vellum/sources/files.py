@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 JUNK = r"(^|/)(__MACOSX/|\.DS_Store$|\._|~\$|Thumbs\.db$)"
 
 
+#: Where Windows-1252 differs from ISO-8859-1: code to letter.
+CP1252 = {b: c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+
+
 def git_tracked(root: str) -> list[str] | None:
     """Tracked paths of a working copy, None without version control."""
     try:
@@ -79,7 +83,8 @@ def expand_submissions(files: DataFrame, name: str = "name", content: str = "con
 def decoded(content: str = "content"):
     """Text of bytes: UTF-8 (with or without mark) if valid, else Windows-1252."""
     valid = F.is_valid_utf8(F.col(content).cast("string"))
-    text = F.when(valid, F.decode(content, "UTF-8")).otherwise(F.decode(content, "windows-1252"))
+    latin = F.translate(F.decode(content, "iso-8859-1"), "".join(map(chr, CP1252)), "".join(CP1252.values()))
+    text = F.when(valid, F.decode(content, "UTF-8")).otherwise(latin)
     return F.regexp_replace(text, r"^\x{FEFF}", "")
 
 
