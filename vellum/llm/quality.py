@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ class Facts:
     shout_share: float  #: words in capitals
     mark_share: float  #: words that end in two marks or more
     word_chars: float  #: mean length
-    repeat_share: float  #: word pairs that are not the first of their kind
+    repeat_share: float  #: word pairs that are not the first of their kind (within 100,000 words)
     dup_lines: float  #: lines equal to an earlier one
     stops: float  #: sentence ends for each word
 
@@ -66,55 +67,65 @@ LABELLERS = {
 }
 
 
-class Shapes:
-    """Memo from word to its flags and hashed features."""
+class Shapes(dict):
+    """Memo from word to a row of flags and hashed features."""
 
     def __init__(self, limit: int = 300_000):
-        self.limit, self.known = limit, {}
-        self.rows = np.zeros((limit, 8), dtype=np.int32)
-
-    def at(self, words: list[str]) -> np.ndarray:
-        known, out = self.known, []
-        if len(known) + len(words) > self.limit:
-            known.clear()
-        for w in words:
-            i = known.get(w)
-            if i is None:
-                i = known[w] = len(known)
-                self.rows[i] = self._row(w)
-            out.append(i)
-        return self.rows[out]
+        super().__init__()
+        self.limit = limit
+        self.flags = np.zeros((limit, 6), dtype=np.float32)
+        self.hashed = np.zeros((limit, 2), dtype=np.int32)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = i = len(self)
+        row = self._row(word)
+        self.flags[i], self.hashed[i] = row[:6], row[6:]
+        return i
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """Row numbers; they hold until the next call."""
+        if len(self) + len(words) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
     @staticmethod
     def _row(w: str) -> tuple:
-        shape = re.sub(r"(.)\1+", r"\1+", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))
-        core = w.strip(".,;:!?()\"'").lower()
-        return (
-            any(c in "#*$%&|<>" for c in w),
-            w in ("|", ">", "*", "/", "-", "»"),
-            len(w) > 1 and w.isupper(),
-            len(w) > 1 and not w[-1].isalnum() and w[-1] == w[-2],
-            len(w),
-            w[-1] in ".!?",
-            xxhash.xxh32_intdigest("s" + shape) % (DIM // 2),
-            DIM // 2 + xxhash.xxh32_intdigest("p" + core[:3]) % (DIM // 2),
-        )
-
-
-def facts(text: str | None, shapes: Shapes) -> tuple[Facts, np.ndarray]:
+        core = w.rstrip(MARKS)
+        tail = w[len(core) :]
+        marks = len(tail) > 1 and tail[-1] == tail[-2]
+        if core.isalpha():  # most words; their shape needs no look at each character
+            shape = ("x" if core.islower() else "X" if core.isupper() else "Xx" if core[1:].islower() else "Xm") + (tail if len(tail) < 2 else tail[0] + "+")
+            symbol, bar = False, False
+        else:
+            shape = re.sub(r"(.)\1+", r"\1+", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))
+            symbol, bar = any(c in "#*$%&|<>" for c in w), w in BARS
+            marks = marks or len(w) > 1 and not w[-1].isalnum() and w[-1] == w[-2]
+            core = core.lstrip("(\"'")
+        return (symbol, bar, len(w) > 1 and w.isupper(), marks, len(w), w[-1] in ".!?", _slot("s" + shape), DIM // 2 + _slot("p" + core[:3].lower()))
+
+
+MARKS, BARS = ".,;:!?()\"'", frozenset("|>*/-»")
+
+
+@lru_cache(100_000)
+def _slot(feature: str) -> int:
+    return xxhash.xxh32_intdigest(feature) % (DIM // 2)
+
+
+def facts(text: str | None, shapes: Shapes, step: int = 100_000) -> tuple[Facts, np.ndarray]:
     """The facts, and counts of hashed features."""
     words = (text or "").split()
     if not words:
         return Facts(0, 0, 0, 0, 0, 0, 0, 0, 0), np.zeros(DIM)
-    sums, counts = np.zeros(6), np.zeros(DIM)
-    for k in range(0, len(words), 100_000):
-        rows = shapes.at(words[k : k + 100_000])
-        sums += rows[:, :6].sum(0)
-        counts += np.bincount(rows[:, 6:].ravel(), minlength=DIM)
     n = len(words)
-    pairs = max(1, n - 1)
+    sums, counts, kinds = np.zeros(6), np.zeros(DIM), 0
+    for k in range(0, n, step):
+        ids = shapes.ids(words[k : k + step])
+        sums += shapes.flags[ids].sum(0, dtype=float)
+        counts += np.bincount(shapes.hashed[ids].ravel(), minlength=DIM)
+        kinds += len(np.unique(ids[:-1] * shapes.limit + ids[1:]))
     lines = [x for x in text.split("\n") if x.strip()]
-    return Facts(n, *(sums[:4] / n), sums[4] / n, 1 - len(set(zip(words, words[1:], strict=False))) / pairs if n > 1 else 0.0, 1 - len(set(lines)) / len(lines) if lines else 0.0, sums[5] / n), counts
+    return Facts(n, *(sums[:4] / n), sums[4] / n, 1 - kinds / (n - -(-n // step)) if n > 1 and n > -(-n // step) else 0.0, 1 - len(set(lines)) / len(lines) if lines else 0.0, sums[5] / n), counts
 
 
 def votes(f: Facts) -> int:
