@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions import kernels
 from vellum.functions import text as tx
 from vellum.operators import answers, assemble, feedback, menu, privacy, reconcile, rewrite, sequence, worklist
-from vellum.queries import links, long, paths, query
+from vellum.queries import long, paths, query
 from vellum.queries_more import LINES_SQL, QUESTIONS_SQL, docx_udf, line_questions, nation_menus, page_corpus
 
 # ---------------------------------------------------------------- filters
@@ -143,15 +143,19 @@ def j2_left_outer(t):
     return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def j3_orphans(t):
-    return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_totalprice > 300000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT DISTINCT a.page_id FROM pages a, (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) l, (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '[?#].*$', '') AS path FROM pages) p WHERE a.page_id = l.page_id AND lower(l.href) = lower(p.path) AND p.page_id <> a.page_id")
+@query("""WITH p AS (SELECT page_id, lower(regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '[?#].*$', '')) AS path FROM pages)
+SELECT DISTINCT a.page_id FROM p a JOIN p b ON b.page_id = a.page_id + 1 JOIN p c ON c.path = b.path AND c.page_id <> a.page_id""")
 def j5_links_to_other_pages(t):
+    """Each page gets a link to the next page's path; links to any other page count, those to itself do not."""
     p = paths(t).select(F.col("page_id").alias("to"), F.lower("path").alias("low"))
-    return links(t).withColumn("low", F.lower("href")).join(p, "low").where("to <> page_id").select("page_id").distinct()
+    extra = t.pages.join(p.select((F.col("to") - 1).alias("page_id"), "low"), "page_id").select("page_id", F.concat(F.lit('<a href="'), "low", F.lit('">')).alias("html"))
+    anchors = t.pages.select("page_id", "html").unionByName(extra).select("page_id", F.explode(tx.every("html", r'<a href="([^"]+)"')).alias("href"))
+    return anchors.withColumn("low", F.lower("href")).join(p, "low").where("to <> page_id").select("page_id").distinct()
 
 
 @query("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) > 1")
@@ -159,9 +163,9 @@ def j7_ambiguous_packages(t):
     return reconcile.at_most_one(t.supplier, "s_nationkey", "s_suppkey").select("s_nationkey", "n")
 
 
-@query("SELECT o_orderkey AS code FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT o_orderkey AS code FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def j13_unknown_codes(t):
-    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.col("o_orderkey").alias("code"))
+    return t.orders.join(t.customer.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.col("o_orderkey").alias("code"))
 
 
 @query("SELECT c_custkey::VARCHAR AS code, c_name || '!' AS naam, c_name AS known FROM customer WHERE c_acctbal < 0")
