@@ -573,3 +573,14 @@ def test_packing_prefers_room():
 def test_arrow_batches_stay_small(spark):
     common.small_batches(spark)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512 and pa
+
+
+def test_scratch_tables_can_be_cleaned(spark):
+    import os
+
+    path = common.scratch(spark, "t")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file://")
+    assert os.path.isdir(local)
+    common.clean(spark)
+    assert not os.path.exists(local)

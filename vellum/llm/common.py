@@ -42,9 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this session's scratch tables, once nothing reads results that are built on them."""
+    jvm = spark.sparkContext._jvm
+    for path in _SCRATCH:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _SCRATCH.clear()
 
 
 @contextmanager

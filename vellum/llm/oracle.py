@@ -42,3 +42,33 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS rep FROM p)
 SELECT page_id, strlen(html) AS payload_bytes, d AS payload_digest, CASE WHEN strlen(html) >= 100 AND rep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN strlen(html) >= 100 AND rep <> page_id THEN rep END AS refers_to FROM f
 """
+
+#: Seeded folds by CRC-32 (reflected, polynomial EDB88320), which DuckDB lacks.
+CRC32 = """
+tab AS (SELECT [list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) FOR n IN range(256)] AS t),
+fold AS (SELECT doc_id, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc FROM (SELECT DISTINCT doc_id FROM documents), tab)"""
+
+#: d of Good-Turing as katz.discounts has it, from counts n1 to n6 in a row of c.
+DISCOUNTS = """
+{out} AS (SELECT CASE WHEN list_min(n[1:5]) > 0 AND a <> 1 AND list_bool_and([((r + 1) * n[r + 1] / (n[r] * r)::DOUBLE - a) / (1 - a) > 0 AND ((r + 1) * n[r + 1] / (n[r] * r)::DOUBLE - a) / (1 - a) < 1 FOR r IN range(1, 6)])
+  THEN [((r + 1) * n[r + 1] / (n[r] * r)::DOUBLE - a) / (1 - a) FOR r IN range(1, 6)] ELSE [(r - 0.5::DOUBLE) / r FOR r IN range(1, 6)] END AS d, n FROM
+  (SELECT n, CASE WHEN n[1] > 0 THEN 6 * n[6] / n[1]::DOUBLE ELSE 1 END AS a FROM (SELECT [count(*) FILTER (WHERE c = 1), count(*) FILTER (WHERE c = 2), count(*) FILTER (WHERE c = 3), count(*) FILTER (WHERE c = 4), count(*) FILTER (WHERE c = 5), count(*) FILTER (WHERE c = 6)] AS n FROM {counts})))"""
+
+KATZ = rf"""
+WITH {CRC32},
+x AS (SELECT d.doc_id, crc % 10 = 0 AS held_out, list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}'), [' end']) AS ws FROM documents d JOIN fold ON d.doc_id = fold.doc_id),
+t AS (SELECT doc_id, held_out, unnest(ws) AS w, unnest(list_concat([' start'], ws[1:len(ws) - 1])) AS v FROM x),
+u AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+tot AS (SELECT sum(c)::BIGINT AS big_n, count(*) AS big_v FROM u),
+{DISCOUNTS.format(out="du", counts="u")},
+mass AS (SELECT *, greatest(lft, 1::DOUBLE / (big_n + 1)) AS unseen FROM (SELECT d AS du, big_n, big_v, list_sum([n[r] * r * (1 - d[r]) FOR r IN range(1, 6)]) / big_n AS lft FROM du, tot)),
+pu AS (SELECT w, c, CASE WHEN c <= 5 THEN du[c] ELSE 1 END * c / big_n * (1 - unseen) / (1 - lft) AS p FROM u, mass),
+b AS (SELECT v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY ALL),
+{DISCOUNTS.format(out="db", counts="b")},
+h AS (SELECT v, sum(b.c) + (min(b.c) > 5)::INT AS base, CASE WHEN min(b.c) > 5 THEN 1 ELSE sum(CASE WHEN b.c <= 5 THEN (1 - d[b.c]) * b.c ELSE 0 END) END AS freed, sum(p) AS seen FROM b JOIN pu ON pu.w = b.w, db GROUP BY 1),
+s AS (SELECT t.doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(pu.c) AS n_known,
+  sum(log10((coalesce(pu.c, 0) + 0.1::DOUBLE) / (big_n + 0.1::DOUBLE * (big_v + 1)))) AS base_score,
+  sum(log10(CASE WHEN b.c IS NOT NULL THEN CASE WHEN b.c <= 5 THEN d[b.c] ELSE 1 END * b.c / h.base WHEN h.v IS NULL THEN coalesce(pu.p, unseen) ELSE freed / h.base / (1 - seen) * coalesce(pu.p, unseen) END)) AS score
+  FROM t LEFT JOIN pu ON pu.w = t.w LEFT JOIN b ON b.v = t.v AND b.w = t.w LEFT JOIN h ON h.v = t.v, mass, db GROUP BY 1)
+SELECT doc_id, held_out, n_tokens, n_known, big_n AS train_tokens, base_score, score FROM s, tot
+"""

@@ -60,4 +60,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_lines, op4_decontamination, op5_warc, op6_katz, op7_simhash, op8_quality, op9_mixing, op10_sharding)}
-ORACLE: dict[str, str] = {"op3_lines": oracle.LINES, "op4_decontamination": oracle.DECONTAMINATION, "op5_warc": oracle.WARC}
+ORACLE: dict[str, str] = {"op3_lines": oracle.LINES, "op4_decontamination": oracle.DECONTAMINATION, "op5_warc": oracle.WARC, "op6_katz": oracle.KATZ}
