@@ -178,3 +178,9 @@ def test_rewrites(spark):
     assert rows(rewrite.code_block_repairs(df, "id", "c")) == [(1, "<pre class='a'><code>x\n\ny</code></pre>")]
     log = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, b string")
     assert rows(rewrite.replace_section(log, spark.createDataFrame([("b", "3")], "k string, b string"), "k", "b")) == [("a", "1"), ("b", "3")]
+
+
+def test_slide_sections_keep_plain_shapes(spark):
+    shapes = spark.createDataFrame([("p", 0, 1, "Title Slide", "title", "ctrTitle", "T"), ("p", 1, 1, "Title Slide", "text", None, "a<b"), ("p", 2, 1, "Title Slide", "text", "sldNum", "1"), ("p", 3, 2, "Content", "note", None, "n")], "path string, ord int, slide int, layout string, kind string, placeholder string, text string").withColumn("image", F.lit(None).cast("string"))
+    got = {r["slide"]: r["html"] for r in assemble.slide_html(shapes).collect()}
+    assert got == {1: '<section class="slide title"><h2>T</h2><p>a&lt;b</p></section>', 2: '<section class="slide content"><aside class="notes">n</aside></section>'}

@@ -218,7 +218,7 @@ def docx_html(blocks: DataFrame, key: str = "path", offset: int = 0) -> DataFram
 def slide_html(shapes: DataFrame, key: str = "path") -> DataFrame:
     """key, slide, kind, html: a section for each slide; the layout's name tells a title slide."""
     kind = F.when(F.lower(F.coalesce(F.max("layout"), F.lit(""))).rlike("title slide|titel|section"), "title").otherwise("content")
-    shown = shapes.where(~((F.col("kind") == "text") & F.col("placeholder").isin("sldNum", "dt", "ftr")))
+    shown = shapes.where(~((F.col("kind") == "text") & F.coalesce("placeholder", F.lit("")).isin("sldNum", "dt", "ftr")))
     text = tx.escape(F.coalesce("text", F.lit("")))
     piece = F.when(F.col("kind") == "title", F.concat(F.lit("<h2>"), text, F.lit("</h2>"))).when(F.col("kind") == "text", F.concat(F.lit("<p>"), text, F.lit("</p>"))).when(F.col("kind") == "row", F.concat(F.lit("<p class='row'>"), text, F.lit("</p>"))).when(F.col("kind") == "picture", F.concat(F.lit('<img src="'), F.coalesce("image", F.lit("")), F.lit('">'))).otherwise(F.concat(F.lit('<aside class="notes">'), text, F.lit("</aside>")))
     rows = shown.withColumn("piece", piece).groupBy(key, "slide").agg(kind.alias("kind"), text_in_order("piece", ["ord"]).alias("pieces"))
