@@ -73,19 +73,18 @@ def report_order(parts: DataFrame, keys: list[str], has_cover: str, order: list[
     return parts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(has_cover), *order)))
 
 
-def reports(parts: DataFrame, patterns: list[str], template: DataFrame, by: str = "[naam]") -> DataFrame:
+def reports(parts: DataFrame, patterns: list[str], template: list[str], by: str = "[naam]") -> DataFrame:
     """code, text, n_names, n_images, n_code, empty of parts(code, place, kind, name, text, n_images).
 
     Names go from texts and from file names; a report whose lines are all the
-    template's, without an image of its own, is empty.  template(line).
+    template's, without an image of its own, is empty.  template: the lines of one document.
     """
     body, n = redacted(F.col("text"), patterns, by)
     title, m = redacted(F.col("name"), patterns, by)
     rows = parts.withColumn("n", n + m).withColumn("piece", F.concat(F.lit("## "), title, F.lit("\n\n"), F.when(F.col("kind") == "code", code_text(body)).otherwise(body))).withColumn("lines", text_lines(body))
     per = rows.groupBy("code").agg(text_in_order("piece", ["place"], "\n\n").alias("text"), F.sum("n").alias("n_names"), F.sum("n_images").alias("n_images"), F.count_if(F.col("kind") == "code").alias("n_code"), F.flatten(F.collect_list("lines")).alias("lines"))
-    lines = template.agg(F.array_distinct(F.collect_list("line")).alias("template"))  # the lines of one template
-    joined = per.crossJoin(F.broadcast(lines))
-    return joined.select("code", "text", "n_names", "n_images", "n_code", is_empty_template(F.col("lines"), F.coalesce("template", F.array()), F.col("n_images")).alias("empty"))
+    known = F.array(*map(F.lit, template)) if template else F.expr("cast(array() as array<string>)")
+    return per.select("code", "text", "n_names", "n_images", "n_code", is_empty_template(F.col("lines"), known, F.col("n_images")).alias("empty"))
 
 
 def overview(report_rows: DataFrame, status: DataFrame, n_students: int) -> DataFrame:

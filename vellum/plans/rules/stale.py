@@ -20,9 +20,12 @@ def first_newer(derived: DataFrame, sources: DataFrame, key: str = "derived") ->
     return newer.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def style_rows(c: Corpus, name: str, ord: int) -> DataFrame:
-    t = c.styles.get(name)
-    return c.spark.createDataFrame([(name, float(t), ord)] if t is not None else [], "source string, source_mtime double, ord int")
+def style_rows(c: Corpus, names: dict[str, int], paths: DataFrame) -> DataFrame:
+    """paths(derived) with the times of those style sheets, by name and place in the order, that the corpus knows."""
+    known = [F.struct(F.lit(n).alias("source"), F.lit(float(c.styles[n])).alias("source_mtime"), F.lit(o).alias("ord")) for n, o in names.items() if n in c.styles]
+    if not known:
+        return c.spark.createDataFrame([], "derived string, source string, source_mtime double, ord int")
+    return paths.select("derived", F.explode(F.array(*known)).alias("s")).select("derived", "s.source", "s.source_mtime", "s.ord")
 
 
 def sources_of(c: Corpus, paths: DataFrame, ord: int) -> DataFrame:
@@ -45,7 +48,7 @@ def syllabus_stale(c: Corpus) -> DataFrame:
     if there.isEmpty():
         return single(c, path, "does not exist")
     pages = sources_of(c, chapters(c).select(F.lit(path).alias("derived"), F.col("path").alias("source")), 0)
-    style = style_rows(c, "syllabus", 0).withColumn("derived", F.lit(path))
+    style = style_rows(c, {"syllabus": 0}, there)
     return found(first_newer(there, pages.unionByName(style)), F.concat(F.lit("is older than "), "source"), path="derived")
 
 
@@ -68,8 +71,7 @@ def handout_stale(c: Corpus) -> DataFrame:
     pages = decks(c).withColumn("derived", handout_of(c))
     images = pages.select("derived", "path", F.explode(tx.every("html", r'(?is)<img\b[^>]*?\bsrc\s*=\s*"([^"]+)"')).alias("url")).where(~F.col("url").rlike("^(https?://|data:)"))
     figures = images.select("derived", tx.local_target("path", "url").alias("source")).distinct()
-    sheets = style_rows(c, "deck", 1).unionByName(style_rows(c, "handout", 2))
-    sources = sources_of(c, pages.select("derived", F.col("path").alias("source")), 0).unionByName(pages.select("derived").crossJoin(F.broadcast(sheets))).unionByName(sources_of(c, figures, 3))  # two style sheets at most
+    sources = sources_of(c, pages.select("derived", F.col("path").alias("source")), 0).unionByName(style_rows(c, {"deck": 1, "handout": 2}, pages)).unionByName(sources_of(c, figures, 3))
     return found(first_newer(derived_files(c, pages), sources), F.concat(F.lit("is older than "), "source"), path="derived")
 
 
@@ -79,7 +81,7 @@ def sheet_stale(c: Corpus) -> DataFrame:
     pages = c.pages.where(tx.basename("path") == "Spiekblad.html").withColumn("url", tx.first("html", r'href="([^"]*-spiekblad\.pdf)"')).where("url is not null")
     pages = pages.withColumn("derived", tx.local_target("path", "url"))
     there = c.files.select(F.col("path").alias("derived"))
-    sources = sources_of(c, pages.select("derived", F.col("path").alias("source")), 0).unionByName(pages.select("derived").crossJoin(F.broadcast(style_rows(c, "spiekblad", 1))))  # one style sheet
+    sources = sources_of(c, pages.select("derived", F.col("path").alias("source")), 0).unionByName(style_rows(c, {"spiekblad": 1}, pages))
     return union(found(pages.join(there, "derived", "left_anti"), F.concat(F.lit("the cheat sheet does not exist: "), "url")), found(first_newer(derived_files(c, pages), sources), F.concat(F.lit("is older than "), "source"), path="derived"))
 
 

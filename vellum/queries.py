@@ -433,9 +433,9 @@ p AS (SELECT d.k, v, count(*) FILTER (WHERE want = have) AS s, count(*) FILTER (
 b AS (SELECT k, arg_max(v, (s, -v)) AS v FROM p GROUP BY 1), h AS (SELECT k, count(*) AS n FROM e GROUP BY 1)
 SELECT p.k AS l_orderkey, p.v::BIGINT AS variant, s AS n_same, nw AS n_new, c - s - nw AS n_changed, coalesce(n, 0) - s - (c - s - nw) AS n_orphan FROM p JOIN b ON p.k = b.k AND p.v = b.v LEFT JOIN h ON h.k = p.k""")
 def rcn6_staleness(t):
-    variants = t.spark.createDataFrame([(v,) for v, _, _ in reconcile.VARIANTS], "variant long")
+    variants = F.explode(F.array(*(F.lit(v).cast("long") for v, _, _ in reconcile.VARIANTS)))
     want = F.concat("l_returnflag", (F.col("variant") % 2).cast("string"), F.when((F.col("variant") >= 2) & (F.col("l_discount") > 0.05), "x").otherwise(""))
-    desired = t.lineitem.crossJoin(F.broadcast(variants)).select("l_orderkey", "variant", F.col("l_linenumber").alias("item"), want.alias("content"))  # the four variants
+    desired = t.lineitem.withColumn("variant", variants).select("l_orderkey", "variant", F.col("l_linenumber").alias("item"), want.alias("content"))
     existing = t.lineitem.where("l_quantity > 3").select("l_orderkey", F.col("l_linenumber").alias("item"), F.concat("l_returnflag", (F.col("l_linenumber") % 2).cast("string")).alias("content"))
     return reconcile.staleness(desired, existing, ["l_orderkey"], "item", "content")
 

@@ -91,7 +91,7 @@ def snk6_replaced_sections(t):
 @query("SELECT conv_id::VARCHAR AS code, '| ' || conv_id || ' | 0 | 0 | 0 | new |' AS line FROM (SELECT DISTINCT conv_id FROM conversations)")
 def snk12_overview(t):
     parts = t.conversations.select(F.col("conv_id").cast("string").alias("code"), F.col("turn").alias("place"), F.lit("docx").alias("kind"), F.lit("n").alias("name"), "text", F.lit(0).alias("n_images"))
-    reports = feedback.reports(parts, privacy.name_patterns(["Nobody Known"]), t.spark.createDataFrame([("x",)], "line string"))
+    reports = feedback.reports(parts, privacy.name_patterns(["Nobody Known"]), ["x"])
     return feedback.overview(reports, reports.select("code", F.lit("new").alias("status")), 1).select("code", "line")
 
 
@@ -281,7 +281,7 @@ def imp7_slide_sections(t):
 @query("SELECT conv_id::VARCHAR AS code, string_agg('## n' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
 def exp9_reports(t):
     parts = t.conversations.select(F.col("conv_id").cast("string").alias("code"), F.col("turn").alias("place"), F.lit("docx").alias("kind"), F.lit("n").alias("name"), "text", F.lit(0).alias("n_images"))
-    return feedback.reports(parts, privacy.name_patterns(["Nobody Known"]), t.spark.createDataFrame([("x",)], "line string")).select("code", "text")
+    return feedback.reports(parts, privacy.name_patterns(["Nobody Known"]), ["x"]).select("code", "text")
 
 
 @query("SELECT conv_id, chapter_no, count(*) AS n FROM (SELECT conv_id, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS chapter_no FROM conversations) GROUP BY ALL")

@@ -211,7 +211,7 @@ def agg12_import_totals(t):
 @query("""SELECT conv_id::VARCHAR AS code, count(*) FILTER (WHERE role = 'user') AS n_code, 2 * count(*)::BIGINT AS n_images, false AS empty FROM conversations GROUP BY 1""")
 def agg13_report_counts(t):
     parts = t.conversations.select(F.col("conv_id").cast("string").alias("code"), F.col("turn").alias("place"), F.when(F.col("role") == "user", "code").otherwise("docx").alias("kind"), F.col("role").alias("name"), "text", F.lit(2).alias("n_images"))
-    out = feedback.reports(parts, privacy.name_patterns(["Nobody Known"]), t.spark.createDataFrame([("x",)], "line string"))
+    out = feedback.reports(parts, privacy.name_patterns(["Nobody Known"]), ["x"])
     return out.select("code", "n_code", "n_images", "empty")
 
 
