@@ -74,7 +74,7 @@ class Levenshtein:
 class Lexicon:
     """Terms in a trie, and stems; finds a word's weight."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: float = 0.7, memo: int = 500_000):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: float = 0.7, memo: int = 150_000):
         self.terms, self.stems, self.fuzzy, self.memo = terms, stems, fuzzy, memo
         self.stem_lengths = sorted({len(s) for s in stems})
         self.trie: dict = {}
@@ -176,7 +176,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for w in set(TOKEN.findall((text or "").lower())):
                 found.setdefault(w, [0, 0])[0 if toxic else 1] += 1
-        if len(found) > 200_000:
+        if len(found) > 60_000:
             yield flush()
     yield flush()
 
