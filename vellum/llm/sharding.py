@@ -18,7 +18,7 @@ their shard plus a row number within a bundle, so no window holds a whole shard.
 
 Nulls: a null text counts no bytes and forms a group of its own, apart from the
 empty text.  Rows that repeat (equal doc_id and text) each get a slot.  An empty
-table gives an empty result.  Ties in the dot product go to the emptier, then lower shard.
+table gives an empty result.  Ties in the dot product go to the lower shard.
 """
 
 from __future__ import annotations
@@ -50,10 +50,8 @@ def pack(weights: np.ndarray, shards: int, importance=(8.0, 1.0, 2.0)) -> np.nda
     left = np.ones((shards, w.shape[1]))
     order = np.lexsort((np.arange(n), -w.max(1)))
     for i in order:
-        # a full dimension repels: residuals are raised to keep their sign and grow past linear
-        dot = (np.sign(left) * np.abs(left)) @ (imp * w[i])
-        over = np.maximum(w[i] - left, 0.0) @ imp
-        k = int(np.argmax(dot - over * w[i].max()))
+        # a shard that is over in a dimension has a negative residual there, which counts against it
+        k = int(np.argmax(left @ (imp * w[i])))
         out[i] = k
         left[k] -= w[i]
     return out
