@@ -489,6 +489,22 @@ def test_quality_against_labels(spark):
     assert (got.kept == (got.quality == 1)).mean() > 0.93 and got.kept[got.quality == 1].mean() > 0.98
 
 
+@pytest.mark.parametrize("limit", [300_000, 100_000])
+def test_quality_repeats_far_apart(limit):
+    """Word pairs count over the whole text, also where the memo is cleared in between."""
+    shapes = quality.Shapes(limit)
+    passage = [f"w{i}" for i in range(100_000)]
+    f, _ = quality.facts(" ".join(passage * 4), shapes)
+    assert abs(f.repeat_share - (1 - 100_000 / 399_999)) < 1e-9 and quality.LABELLERS["repetition"](f) == quality.BAD
+    once = [f"w{i}" for i in range(250_000)]
+    assert quality.facts(" ".join(once), shapes)[0].repeat_share == 0
+    rng = random.Random(5)
+    words = [rng.choice(passage[:300]) for _ in range(3_000)]
+    pairs = list(zip(words, words[1:]))
+    for step in (1, 2, 7, 1_000, 2_999, 3_000):
+        assert abs(quality.facts(" ".join(words), shapes, step)[0].repeat_share - (1 - len(set(pairs)) / len(pairs))) < 1e-12
+
+
 def test_quality_edge(edge, none):
     m = quality.learn(edge)
     assert len(rows(quality.score(edge, m))) == len(EDGE) and rows(quality.score(none, quality.learn(none))) == []

@@ -48,7 +48,7 @@ class Facts:
     shout_share: float  #: words in capitals
     mark_share: float  #: words that end in two marks or more
     word_chars: float  #: mean length
-    repeat_share: float  #: word pairs that are not the first of their kind (within 100,000 words)
+    repeat_share: float  #: word pairs that are not the first of their kind
     dup_lines: float  #: lines equal to an earlier one
     stops: float  #: sentence ends for each word
 
@@ -118,14 +118,19 @@ def facts(text: str | None, shapes: Shapes, step: int = 100_000) -> tuple[Facts,
     if not words:
         return Facts(0, 0, 0, 0, 0, 0, 0, 0, 0), np.zeros(DIM)
     n = len(words)
-    sums, counts, kinds = np.zeros(6), np.zeros(DIM), 0
+    sums, counts = np.zeros(6), np.zeros(DIM)
     for k in range(0, n, step):
         ids = shapes.ids(words[k : k + step])
         sums += shapes.flags[ids].sum(0, dtype=float)
         counts += np.bincount(shapes.hashed[ids].ravel(), minlength=DIM)
-        kinds += len(np.unique(ids[:-1] * shapes.limit + ids[1:]))
+    if n > step:  # the memo may have been cleared in between, so pairs get numbers of the text's own
+        own = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        ids, base = np.fromiter(map(own.__getitem__, words), dtype=np.int64, count=n), len(own)
+    else:
+        base = shapes.limit
+    kinds = len(np.unique(ids[:-1] * base + ids[1:]))
     lines = [x for x in text.split("\n") if x.strip()]
-    return Facts(n, *(sums[:4] / n), sums[4] / n, 1 - kinds / (n - -(-n // step)) if n > 1 and n > -(-n // step) else 0.0, 1 - len(set(lines)) / len(lines) if lines else 0.0, sums[5] / n), counts
+    return Facts(n, *(sums[:4] / n), sums[4] / n, 1 - kinds / (n - 1) if n > 1 else 0.0, 1 - len(set(lines)) / len(lines) if lines else 0.0, sums[5] / n), counts
 
 
 def votes(f: Facts) -> int:
