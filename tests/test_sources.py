@@ -118,3 +118,20 @@ def test_directory_corpus(spark, tmp_path):
     c = from_directory(spark, str(tmp_path), {}, ["Labo/a.html"])
     assert [tuple(r) for r in c.pages.select("path", "html", "is_audit").collect()] == [("Labo/a.html", "<p>é — x</p>", True)]
     assert files.git_tracked(str(tmp_path)) is None and F
+
+
+def test_every_text_goes_through_archives(spark):
+    """Texts of any length, in several archives of bounded size; equal and missing ids keep their rows."""
+    from vellum import queries
+
+    texts = [(i, f"text {i} " * (i * 40), "en" if i % 2 else None) for i in range(1, 40)] + [(1, "", "en"), (None, "x" * 300, "de"), (50, None, "en")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = queries.unzipped(docs, archive_bytes=20_000).collect()
+    assert sorted(((r["doc_id"], bytes(r["bytes"]).decode()) for r in got), key=repr) == sorted(((i, t) for i, t, _ in texts if t is not None), key=repr)
+
+
+def test_unzip_query_shows_every_document(spark):
+    from vellum import queries
+
+    d = "/root/testdata/sf0.001"
+    assert queries.QUERIES["src9_unzip_whole"](spark, d).count() == spark.read.parquet(f"{d}/documents.parquet").count()

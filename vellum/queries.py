@@ -484,13 +484,29 @@ def srt4_positions(t):
     return t.orders.select(F.col("o_custkey").alias("code"), "o_orderkey", long(F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).alias("place"))
 
 
+def unzipped(docs: DataFrame, archive_bytes: int = 8_000_000) -> DataFrame:
+    """doc_id, bytes of every text, packed into archives by language and hash and read back entry by entry.
+
+    The archives' number grows with the input, so that each holds about archive_bytes at most.
+    A row without text has no entry.
+    """
+    from vellum.sources.files import unzip
+
+    texts = docs.where("text is not null")
+    n = -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // archive_bytes)
+    dealt = texts.select("lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("bucket"), F.concat(F.lit("d/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt")).alias("n"), F.col("text").alias("b"))
+    packed = dealt.repartition(n, "lang", "bucket").groupBy("lang", "bucket").agg(F.array_sort(F.collect_list(F.struct("n", "b"))).alias("x"))
+    packed = packed.select("bucket", assemble.zip_udf(F.transform("x", lambda v: v["n"]), F.transform("x", lambda v: v["b"])).alias("content"))
+    return unzip(packed, "bucket").select(F.regexp_extract("entry", r"d/(-?\d*)\.txt", 1).try_cast("long").alias("doc_id"), "bytes")
+
+
 @query("SELECT lower(hex(encode(text))) AS raw, doc_id FROM documents WHERE len(text) < 200")
 def src9_unzip(t):
-    """Short texts packed into archives by language and read back entry by entry."""
-    from vellum.sources.files import unzip
+    """All texts through archives; the short ones are shown."""
+    return unzipped(t.documents).where(F.length(F.decode("bytes", "UTF-8")) < 200).select(F.lower(F.hex("bytes")).alias("raw"), "doc_id")
+
 
-    small = t.documents.where(F.length("text") < 200)
-    packed = small.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("n"), F.col("text").alias("b")))).alias("x"))
-    packed = packed.select("lang", assemble.zip_udf(F.transform("x", lambda v: v["n"]), F.transform("x", lambda v: v["b"])).alias("content"))
-    got = unzip(packed, "lang")
-    return got.select(F.lower(F.hex("bytes")).alias("raw"), F.regexp_extract("entry", r"d/(\d+)\.txt", 1).cast("long").alias("doc_id"))
+@query("SELECT lower(hex(encode(text))) AS raw, doc_id FROM documents WHERE text IS NOT NULL")
+def src9_unzip_whole(t):
+    """All texts through archives."""
+    return unzipped(t.documents).select(F.lower(F.hex("bytes")).alias("raw"), "doc_id")
