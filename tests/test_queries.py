@@ -64,3 +64,14 @@ def test_core_stands_without_the_training_data_package():
         "assert len(e.queries()) > 150 and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_accents_of_every_language(spark, tmp_path):
+    """German, unknown and missing languages too, row by row against the standard library."""
+    import unicodedata
+
+    rows = [(1, "Müller grüßt", "de"), (2, "straße", "de"), (3, "žluť", "cs"), (4, "naïve", None), (5, "plain", None), (6, "été", "fr"), (7, None, "de"), (None, "ß", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["str3c_without_accents_whole"](spark, str(tmp_path)).collect()
+    want = [(i, None if t is None else not any(unicodedata.combining(c) for c in unicodedata.normalize("NFD", t))) for i, t, _ in rows]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

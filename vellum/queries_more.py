@@ -374,6 +374,12 @@ def str3c_without_accents(t):
     return t.documents.where("lang in ('en', 'fr', 'es')").select("doc_id", (kernels.without_accents_udf("text") == F.col("text")).alias("plain"))
 
 
+@query("SELECT doc_id, strip_accents(text) = text AS plain FROM documents")
+def str3c_without_accents_whole(t):
+    """Texts of every language, or of none."""
+    return t.documents.select("doc_id", (kernels.without_accents_udf("text") == F.col("text")).alias("plain"))
+
+
 @query("SELECT o_orderkey, 'x = ' || o_custkey || ';' AS line FROM orders")
 def str10_spacing(t):
     return t.orders.select("o_orderkey", kernels.spaced_udf(F.concat(F.lit("x="), F.col("o_custkey").cast("string"), F.lit(";"))).alias("line"))
