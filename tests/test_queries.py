@@ -75,3 +75,16 @@ def test_accents_of_every_language(spark, tmp_path):
     got = entry.queries()["str3c_without_accents_whole"](spark, str(tmp_path)).collect()
     want = [(i, None if t is None else not any(unicodedata.combining(c) for c in unicodedata.normalize("NFD", t))) for i, t, _ in rows]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_coverage_of_every_nation(spark, tmp_path):
+    """Nation 4 has customers and counts as any other; nation 5 has none."""
+    for name, rows, schema in [
+        ("nation", [(3, "C"), (4, "D"), (5, "E")], "n_nationkey long, n_name string"),
+        ("customer", [(30, 3), (40, 4)], "c_custkey long, c_nationkey long"),
+        ("orders", [(40, "1-URGENT", 500000.0), (30, "5-LOW", 500000.0)], "o_custkey long, o_orderpriority string, o_totalprice double"),
+    ]:
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = entry.queries()["j8_coverage_whole"](spark, str(tmp_path)).collect()
+    assert {r["n_nationkey"]: r["status"] for r in got} == {3: "uncovered", 4: "covered", 5: "no-source"}
+    assert {r["status"]: r["n"] for r in entry.queries()["agg7_per_status_whole"](spark, str(tmp_path)).collect()} == {"uncovered": 1, "covered": 1, "no-source": 1}

@@ -260,9 +260,9 @@ def agg6_coverage_ratio(t):
     return got.withColumn("uncovered", F.nullif(F.array_join(F.transform("uncovered", lambda x: x.cast("string")), ","), F.lit("")))
 
 
-def nation_coverage(t):
+def nation_coverage(t, customers="n_nationkey % 5 <> 4"):
     cov = t.orders.where("o_orderpriority = '1-URGENT' and o_totalprice > 400000").select("o_custkey").distinct()
-    sources = t.customer.select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("o_custkey")).where("n_nationkey % 5 <> 4")
+    sources = t.customer.select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("o_custkey")).where(customers)
     return reconcile.coverage(t.nation.select("n_nationkey", "n_name"), sources, cov, ["n_nationkey"], "o_custkey")
 
 
@@ -280,6 +280,21 @@ def agg7_per_status(t):
     return nation_coverage(t).groupBy("status").agg(F.count("*").alias("n"))
 
 
+WHOLE_COVERAGE_SQL = """c AS (SELECT n_nationkey, n_name, CASE WHEN bool_or(c_custkey IS NOT NULL) IS NOT TRUE THEN 'no-source' WHEN bool_or(o IS NOT NULL) THEN 'covered' ELSE 'uncovered' END AS status
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN (SELECT DISTINCT o_custkey AS o FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000) ON o = c_custkey GROUP BY 1, 2)"""
+
+
+@query(f"WITH {WHOLE_COVERAGE_SQL} SELECT * FROM c")
+def j8_coverage_whole(t):
+    """With the customers of every nation."""
+    return nation_coverage(t, "true")
+
+
+@query(f"WITH {WHOLE_COVERAGE_SQL} SELECT status, count(*) AS n FROM c GROUP BY 1")
+def agg7_per_status_whole(t):
+    return nation_coverage(t, "true").groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT user_id, arg_max(k, (n, -k)) AS variant, max(n) AS n FROM (SELECT user_id, (event_id % 4)::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1""")
 def agg8_best_variant(t):
     per = t.events.groupBy("user_id", long(F.col("event_id") % 4).alias("variant")).agg(F.count("*").alias("n"))
