@@ -267,6 +267,19 @@ def test_decontamination(spark, chunk):
         assert len(norm(decontam.cut_spans(text, r["spans"]))) == r["n_words"] - r["n_hit"]
 
 
+@pytest.mark.parametrize("chunk", [2_000_000, 40])
+def test_decontamination_cuts_spans(spark, chunk):
+    """A passage below the limit goes from its document; other texts and columns stay."""
+    leak = " ".join(f"leak{i}" for i in range(60))
+    head, tail = (" ".join(f"{c}{i}" for i in range(970)) for c in "ab")
+    docs = table(spark, [(1, f"{head} {leak} {tail}", "en", "s", 7), (2, tail, "en", "s", 8), (3, leak, "en", "s", 9), (4, None, "en", "s", None)])
+    bench = spark.createDataFrame([(1, leak), (2, leak)], "item_id long, text string")
+    out = decontam.keep_clean(docs, bench, chunk_words=chunk, cut=True)
+    assert out.schema == docs.schema
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in rows(out)} == {1: (f"{head}  {tail}", 7), 2: (tail, 8), 4: (None, None)}
+    assert not any(r["n_hit"] for r in rows(decontam.contamination(out, bench)))
+
+
 def test_decontamination_empty(spark, edge, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in rows(decontam.contamination(edge, bench)))

@@ -251,8 +251,8 @@ def cut_spans(text: str | None, spans: list[int]) -> str | None:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.05, chunk_words: int = 2_000_000, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated."""
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.05, chunk_words: int = 2_000_000, text_col: str = "text", cut: bool = False) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated; with cut, their texts without the spans that are hit."""
     small_batches(docs.sparkSession)
     chunks = _chunks(items, chunk_words, "item_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(chunks)
@@ -266,7 +266,11 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage
                 auto = _automaton(f"{key}{k}", chunk, window)
                 for i, w in enumerate(words):
                     spans[i] += auto.hits(w)[0]
-            hit = [sum(b - a for a, b in _joined(s)) for s in spans]
+            spans = [_joined(s) for s in spans]
+            hit = [sum(b - a for a, b in s) for s in spans]
+            if cut and any(hit):
+                texts = [cut_spans(t, [x for ab in s for x in ab]) for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.filter(pa.array([not h or h * 10_000 < limit * len(w) for h, w in zip(hit, words, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
