@@ -79,7 +79,7 @@ def test_globs(spark):
 
 
 CODE = [
-    ("int a=1;", "int a = 1;"), ("if(a==b&&c){", "if (a == b && c){"), ('s="a=b";', 's = "a=b";'), ("x+=1;", "x += 1;"), ("List&lt;int&gt; a;", "List&lt;int&gt; a;"), ("Map<string,List<int>> m;", "Map<string,List<int>> m;"),
+    ("int a=1;", "int a = 1;"), ("if(a==b&&c){", "if (a == b && c){"), ('s="a=b";', 's = "a=b";'), ("x+=1;", "x+=1;"), ("List&lt;int&gt; a;", "List&lt;int&gt; a;"), ("Map<string,List<int>> m;", "Map<string,List<int>> m;"),
     ("f(a,b);", "f(a, b);"), ("p->x=a<<2;", "p->x = a<<2;"), ("for(i=0;i&lt;n;i++){", "for (i = 0; i &lt; n; i++){"), ("#include <a.h>", "#include <a.h>"), ("a=1 // b=2", "a=1 // b=2"), ("a=1; // b=2", "a = 1; // b=2"), ("a = b;", "a = b;"), ("return -1;", "return -1;"),
 ]
 
@@ -102,10 +102,60 @@ def test_lists_and_names():
     assert k.name_series("A en B en C", ["A", "A en B", "B", "C"]) in (["A", "B", "C"], ["A en B", "C"])
     assert k.collision_names(["x.png"] * 3 + ["x-2.png"]) == ["x.png", "x-2.png", "x-2-3.png", "x-2-2.png"]
     assert k.longest_run("a b c d".split(), "x b c d a b".split()) == (1, 3)
-    assert k.drop_blocks('a<h2>O</h2> <div class="solution-container"><div>x</div></div>b') == "ab"
+    assert k.list_items("<ul><li>a<ol><li>b</li></ol></li><li>open</ul>", "ol") == [("<li>", "b")] and k.list_items("<ul><li>a</li><li>open</ul>", "ul") == [("<li>", "a")]
+    assert k.blanks_without_class('<ol class="vragen"><li>invulruimte</li></ol><ul><li><ol><li>x</li></ol></li></ul>') is False and k.blanks_without_class("<ul><li><ol><li>invulruimte</li></ol></li></ul>")
     assert k.to_xhtml("<p>a<foo>b<br>&lt;</p></x>") == {"xhtml": "<p>ab<br/>&lt;</p>", "unwrapped": ["foo"]} and k.well_formed("<a>") and not k.well_formed("<a/>")
 
 
+BLOCK = '<div class="x solution-container"><div>x</div></div>'
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        (f"a<h2>Oplossing</h2> {BLOCK}b", "ab"), (f"a<h4> OPLOSSING\n</h4>{BLOCK}b{BLOCK}c", "abc"),
+        (f"a<h3>Oefening 3</h3>{BLOCK}b", "a<h3>Oefening 3</h3>b"),  # another heading stays
+        (f"<h2>Oplossing</h2><p>x</p>{BLOCK}", "<h2>Oplossing</h2><p>x</p>"),  # so does one that is not right before the block
+        (f"<h2 id='{'i' * 200}'>Oplossing</h2>{BLOCK}b", f"<h2 id='{'i' * 200}'>Oplossing</h2>b"),  # or begins too far before it
+        ('a<div class="solution-container"><div>x</div><p>kept</p>', "a<p>kept</p>"),  # never closed: up to the last div tag
+        ("no block", "no block"), ("", ""),
+    ],
+)
+def test_dropped_solutions(before, after):
+    assert k.drop_blocks(before) == after
+
+
+@pytest.mark.parametrize(
+    ("line", "shared", "lines"),
+    [
+        ("  if (a) {", True, ["  if (a)", "  {"]), ("} else{", True, ["} else", "{"]), ("do {", True, ["do", "{"]), ("{", False, ["{"]), ("int a[] = {", False, ["int a[] = {"]),
+        ("x = new List&lt;int&gt;() { 1 };", False, ["x = new List&lt;int&gt;() { 1 };"]), ("if (a) { b(); }", True, ["if (a) { b(); }"]), ("struct s {", True, ["struct s {"]),
+        ("// if (a) {", False, ["// if (a) {"]), ("if(a) {\r", True, ["if (a)\r", "{\r"]), ("a=1;\r", False, ["a = 1;\r"]),
+    ],
+)
+def test_braces(line, shared, lines):
+    from vellum.functions.lexer import shared_brace, tidy
+
+    assert shared_brace(line.rstrip()) is shared and tidy(line) == lines
+
+
+@pytest.mark.parametrize(
+    ("line", "names"),
+    [
+        ("int a=1;", ["="]), ("for(i=0;i&lt;n;i++)", ["=", "comparison", ";", "keyword("]), ("a &amp;&amp;b;", ["&&/||"]), ("0,17 Hz", []), ("x == y; // a=b", []), ("<b>x=1;", []),
+        ("Map&lt;string, List&lt;int[]&gt;&gt; m;", []), ("a&lt;b &amp;&amp; c&gt;d;", ["comparison"]), ("x += 1; p->q; a << 1; i++;", []), ("x=>y;", ["=", "comparison"]), ('s = "a=b,c";', []), ("f(-1,-2);", [","]),
+    ],
+)
+def test_tight_operators(line, names):
+    assert k.tight_operators(line) == names
+
+
+def test_squeezed_looks_into_strings():
+    from vellum.functions.lexer import squeezed
+
+    assert squeezed('s = "a=b"') and squeezed("a==b") and not squeezed("a =b") and not squeezed("a=>b") and not squeezed("a ==b") and not squeezed("=")
+
+
 def test_configuration():
     got = conf.merge(conf.DEFAULTS, {"_note": 1, "check": {"disable": {"x": "y"}, "skip_pages": ["a"]}})
     assert got["check"]["disable"] == {"x": "y"} and got["check"]["orphan_roots"] == ["Labo"]

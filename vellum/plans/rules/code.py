@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.corpus import Corpus
 from vellum.functions import text as tx
-from vellum.functions.kernels import tight_udf, unclosed_udf
+from vellum.functions.kernels import shared_brace_udf, squeezed_udf, tight_udf, unclosed_udf
 from vellum.plans.registry import found, rule, union
 
 
@@ -30,19 +30,12 @@ def code_lines(c: Corpus) -> DataFrame:
     return lines.select("path", (F.col("nr") + F.col("pos")).alias("nr"), (F.col("pos") + 1).alias("k"), "line")
 
 
-#: Patterns of the code rules (fixed values).
-BRACE = r"\) ?\{|\belse ?\{|\bdo ?\{"
-INITIALISER = r"=\s*new\b[^;{]*\)\s*\{"
-OPERATOR = r"""[A-Za-z0-9_\)\]](==|!=|<=|>=|&&|\|\||=(?!=))[A-Za-z0-9_\("']|[A-Za-z0-9_\)\]](?<![<>!=])=(?!=)[A-Za-z0-9_\("']"""
-
-
 @rule("code-style", applies=lambda c: True if c.conf["check"]["code_style_languages"] else "no languages are configured")
 def code_style(c: Corpus) -> DataFrame:
     """In code blocks a brace has a line of its own and operators have spaces; at most two findings a line."""
     lines = code_lines(c).withColumn("bare", F.rtrim(F.regexp_replace("line", r"//.*$", ""))).where(F.trim(F.regexp_replace("bare", r"\s", "")) != "")
-    ends = F.col("bare").endswith("{") & (F.trim("bare") != "{") & ~F.col("bare").contains("=")
-    brace = lines.where(ends | F.regexp_replace(tx.decode_basic("bare"), INITIALISER, "=").rlike(BRACE))
-    tight = lines.withColumn("names", tight_udf("line")).where(F.col("bare").rlike(OPERATOR) | (F.size("names") > 0))
+    brace = lines.where(F.col("bare").contains("{")).where(shared_brace_udf("bare"))
+    tight = lines.where(squeezed_udf("bare") | (F.size(tight_udf("line")) > 0))
     say = lambda what: F.concat(F.lit(f"code line: {what}: "), F.trim("bare"))
     return union(found(brace, say("the brace needs its own line"), line="nr"), found(tight, say("spaces around the operator"), line="nr"))
 
@@ -88,8 +81,8 @@ def unclosed_comment(c: Corpus) -> DataFrame:
 
 
 def title_words(c: Corpus) -> str:
-    """A generic title: one of the words, perhaps with an adjective, and a number."""
-    return r"(gevorderde|basis|extra|bonus|laatste)?\s*(" + "|".join(map(re.escape, c.conf["check"]["exercise_title_words"])) + r")\s*[0-9]"
+    """A generic title: one of the words and a number."""
+    return "(?:" + "|".join(map(re.escape, c.conf["check"]["exercise_title_words"])) + r")\s*[0-9]"
 
 
 @rule("exercise-name", applies=lambda c: True if c.conf["check"]["exercise_title_words"] else "no title words are configured")
