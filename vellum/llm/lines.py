@@ -1,19 +1,22 @@
 """Quality rules, line first.
 
-Each line is judged alone: symbols, navigation, shouting, boilerplate phrases,
-missing punctuation, repetition of an earlier line.  Failing lines are removed; a
+Each line is judged alone: navigation, symbols, shouting, boilerplate phrases, a
+missing end mark, repetition of an earlier line.  Failing lines are removed; a
 document that loses more than `max_loss` of its words is rejected.  The counts of
 the base (n_dup_lines and so on) are always over the whole text as it came.
 
-Documents are read once and never shuffled; a text is held one at a time.
+Documents are read once and never shuffled; a text is held one at a time, a long one
+as its words and its distinct lines.
 
 Nulls and texts without words have 0 counts and fail the base.  Lines end at \\n;
-a \\r before it belongs to no word.  Rows that repeat are judged alike.
+a \\r before it belongs to no word.  Rows that repeat are judged alike.  A share of
+exactly the limit breaks a line's rule; a loss of exactly max_loss is kept.  An empty
+table gives an empty result.  Only the id and the text are read, whatever other
+columns are called.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,6 +29,10 @@ from vellum.llm.common import small_batches, utf8
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
+#: Lone words that part the entries of a navigation line (fixed values).
+SEPARATORS = ("|", "/", ">", "*", "»", "›", "•", "·")
+#: Marks that end a line of prose, and what may close after them (fixed values).
+ENDS, CLOSERS = ".!?:;…。！？", "\"'”’»)]"
 #: Phrases of pages rather than of prose (fixed values).
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "read more", "sign in", "log in", "subscribe to our newsletter", "share on facebook", "javascript", "lorem ipsum")
 
@@ -34,26 +41,28 @@ BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms
 class LineRules:
     """Thresholds; a line fails if one of its shares is at or over the limit."""
 
+    bar_share: float = 0.15  #: of words that are lone separators (navigation)
     symbol_share: float = 0.3  #: of words that hold a symbol
-    bar_share: float = 0.15  #: of words that are a lone bar or other separator (navigation)
     shout_share: float = 0.6  #: of words in capitals that end in two exclamation marks
-    plain_words: int = 60  #: a line of so many words without any punctuation is a list of key words
+    boilerplate_words: int = 40  #: a longer line that holds a boilerplate phrase is prose about it
+    plain_words: int = 8  #: a line of so many words ends in a mark
     max_loss: float = 0.5
     boilerplate: tuple[str, ...] = field(default=BOILERPLATE)
+    separators: tuple[str, ...] = field(default=SEPARATORS)
 
     def fails(self, line: bytes, words: list[bytes]) -> str | None:
         """The name of the first rule that the line breaks."""
         n = len(words)
-        if any(s in line for s in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")):
-            if sum(w in (b"|", b">", b"*", b"/") for w in words) >= self.bar_share * n:
-                return "navigation"
-            if sum(w.translate(None, SYMBOLS) != w for w in words) >= self.symbol_share * n:
-                return "symbols"
+        bars = {s.encode() for s in self.separators}
+        if sum(w in bars for w in words) >= self.bar_share * n:
+            return "navigation"
+        if line.translate(None, SYMBOLS) != line and sum(w.translate(None, SYMBOLS) != w for w in words) >= self.symbol_share * n:
+            return "symbols"
         if b"!!" in line and sum(w.endswith(b"!!") and (t := w.decode("utf-8", "replace")) == t.upper() for w in words) >= self.shout_share * n:
             return "shouting"
-        if n <= 40 and any(p in line.lower() for p in (p.encode() for p in self.boilerplate)):
+        if n <= self.boilerplate_words and any(p in line.lower() for p in (p.encode() for p in self.boilerplate)):
             return "boilerplate"
-        if n >= self.plain_words and not re.search(rb"[.,;:!?\xc2\xe2\xe3]", line):
+        if n >= self.plain_words and not words[-1].decode("utf-8", "replace").rstrip(CLOSERS).endswith(tuple(ENDS)):
             return "punctuation"
         return None
 
