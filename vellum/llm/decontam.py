@@ -9,13 +9,17 @@ Normal form: A-Z to lower case; words are maximal runs of ASCII letters, digits
 code points above 0x7F.
 
 Scale.  Documents are read once and never shuffled.  The items reach the driver in
-chunks of at most `chunk_words` words, one automaton each, so what a worker builds at
-once is bounded whatever the benchmark's size; hit spans of several chunks are joined
-row by row as the documents stream through.
-
-Nulls: a null text or item has no words.  An item without words never hits.  Items
-that repeat all count.  An empty benchmark contaminates nothing.  Contaminated means
-n_hit > 0 and n_hit / n_words at or over `coverage`.
+chunks of at most `chunk_words` words, one after the other; the documents stream
+through the automaton of one chunk, and what it hits travels with them to the next.
+Between two chunks the documents are a table in the shared folder, so that a worker
+holds one automaton at a time, whatever the benchmark's size.
+
+Nulls: a null text or item has no words.  An item without words never hits.  An item
+without an id hits words, but is neither counted nor named.  Items that repeat all
+count; those that share an id are one.  An empty benchmark contaminates nothing, an
+empty table of documents gives an empty result.  A share of exactly `coverage` is
+contaminated: n_hit > 0 and n_hit / n_words at or over it.  A text of any length is
+held as its words.  Other columns are carried along whole, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches, utf8
+from vellum.llm.common import small_batches, utf8, written
 
 WINDOW = 13
 #: Bytes to their normal form; what is no word byte becomes a space.
@@ -179,58 +183,76 @@ def _joined(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _scan(found: DataFrame, items: list[tuple[object, list[bytes]]], window: int) -> DataFrame:
-    """Adds the hits of these items to columns doc_id, text, n_words, spans, items."""
+HITS = ["__n_words", "__spans", "__items"]
+HIT_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+
+
+def _scan(rows: DataFrame, at: int, items: list[tuple[object, list[bytes]]], window: int) -> DataFrame:
+    """Adds the hits of these items to the last three columns; the text is column `at`."""
     key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
-    shared = found.sparkSession.sparkContext.broadcast(items)
+    shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = _automaton(key, shared.value, window)
         for batch in batches:
-            lengths, spans, names = [], batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            lengths, spans, names = [], batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            for i, text in enumerate(batch.column(at).to_pylist()):
                 words = words_of(text)
                 lengths.append(len(words))
                 own, of = auto.hits(words)
                 if own:
                     before = spans[i]
                     spans[i] = [x for ab in (_joined([*own, *zip(before[::2], before[1::2], strict=True)]) if before else own) for x in ab]
-                    names[i] = sorted({*names[i], *map(str, of)})
-            cols = [batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "n_words", "spans", "items"])
+                    names[i] = sorted({*names[i], *(str(x) for x in of if x is not None)})
+            hits = [pa.array(x, k) for x, k in zip((lengths, spans, names), HIT_KINDS, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: batch.num_columns - 3], *hits], names=batch.schema.names)
 
-    return found.mapInArrow(run, found.schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
-def _chunks(items: DataFrame, chunk_words: int, item_id: str, item_text: str) -> list[list]:
-    """The items' words, in chunks for one automaton each."""
-    chunks: list[list] = [[]]
+def _chunks(items: DataFrame, chunk_words: int, item_id: str, item_text: str) -> Iterator[list]:
+    """The items' words, in chunks for one automaton each; the driver holds one chunk and one partition of the items."""
+    chunk: list = []
     size = 0
     for row in items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).orderBy("i", "t").toLocalIterator():
         words = words_of(row["t"])
         if size and size + len(words) > chunk_words:
-            chunks.append([])
-            size = 0
+            yield chunk
+            chunk, size = [], 0
         if words:
-            chunks[-1].append((row["i"], words))
+            chunk.append((row["i"], words))
             size += len(words)
-    return chunks
+    yield chunk
+
+
+def _hit(docs: DataFrame, items: DataFrame, window: int, chunk_words: int, text_col: str, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs, columns c0, c1 and so on, with the number of words, the hit spans and the items hit as last three columns."""
+    small_batches(docs.sparkSession)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select("*", F.lit(0).cast("long").alias(HITS[0]), F.expr(f"cast(array() as array<bigint>) as {HITS[1]}"), F.expr(f"cast(array() as array<string>) as {HITS[2]}"))
+    for k, chunk in enumerate(_chunks(items, chunk_words, item_id, item_text)):
+        rows = _scan(written(rows, "decontamination") if k else rows, docs.columns.index(text_col), chunk, window)
+    return rows
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.05, chunk_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+#: Words in the spans, whose starts and ends alternate.
+N_HIT = "aggregate(__spans, struct(0L as n, -1L as sign), (a, x) -> struct(a.n + a.sign * x as n, -a.sign as sign), a -> a.n)"
+
+
+def _contaminated(coverage: float):
+    """In whole numbers, so that a share of exactly the limit counts."""
+    return (F.expr(N_HIT) > 0) & (F.expr(N_HIT) * 10_000 >= F.col(HITS[0]) * round(coverage * 10_000))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.05, chunk_words: int = 300_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items for each document.
 
     spans holds start and end word positions, alternating.
     """
-    small_batches(docs.sparkSession)
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    for chunk in _chunks(items, chunk_words, item_id, item_text):
-        found = _scan(found, chunk, window)
-    n_hit = F.expr("aggregate(spans, struct(0L as n, -1L as sign), (a, x) -> struct(a.n + a.sign * x as n, -a.sign as sign), a -> a.n)")
-    found = found.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("items_sha256", F.sha2(F.array_join("items", ",").cast("binary"), 256))
-    # in whole numbers, so that a share of exactly the limit counts
-    over = F.col("n_hit") * 10_000 >= F.col("n_words") * round(coverage * 10_000)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & over).alias("contaminated"), "spans", "items")
+    found = _hit(docs.select(id_col, text_col), items, window, chunk_words, text_col, item_id, item_text)
+    return found.select(
+        F.col("c0").alias("doc_id"), F.col(HITS[0]).alias("n_words"), F.expr(N_HIT).alias("n_hit"), F.size(HITS[2]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(HITS[2], ",").cast("binary"), 256).alias("items_sha256"), _contaminated(coverage).alias("contaminated"), F.col(HITS[1]).alias("spans"), F.col(HITS[2]).alias("items"),
+    )
 
 
 def cut_spans(text: str | None, spans: list[int]) -> str | None:
@@ -251,26 +273,18 @@ def cut_spans(text: str | None, spans: list[int]) -> str | None:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.05, chunk_words: int = 2_000_000, text_col: str = "text", cut: bool = False) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.05, chunk_words: int = 300_000, text_col: str = "text", cut: bool = False) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated; with cut, their texts without the spans that are hit."""
-    small_batches(docs.sparkSession)
-    chunks = _chunks(items, chunk_words, "item_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(chunks)
-    key, at, limit = hashlib.sha256(repr((window, chunks)).encode()).hexdigest(), docs.columns.index(text_col), round(coverage * 10_000)
+    found = _hit(docs, items, window, chunk_words, text_col).where(~_contaminated(coverage))
+    at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [words_of(t) for t in batch.column(at).to_pylist()]
-            spans: list[list] = [[] for _ in words]
-            for k, chunk in enumerate(shared.value):
-                auto = _automaton(f"{key}{k}", chunk, window)
-                for i, w in enumerate(words):
-                    spans[i] += auto.hits(w)[0]
-            spans = [_joined(s) for s in spans]
-            hit = [sum(b - a for a, b in s) for s in spans]
-            if cut and any(hit):
-                texts = [cut_spans(t, [x for ab in s for x in ab]) for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.filter(pa.array([not h or h * 10_000 < limit * len(w) for h, w in zip(hit, words, strict=True)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            cols, spans = batch.columns[: len(names)], batch.column(len(names) + 1).to_pylist()
+            if any(spans):
+                cols[at] = pa.array([cut_spans(t, s) for t, s in zip(cols[at].to_pylist(), spans, strict=True)], cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[: len(names)])
+
+    if cut:
+        found = found.mapInArrow(run, found.select(*found.columns[: len(names)]).schema)
+    return found.select(*(F.col(f"c{i}") for i in range(len(names)))).toDF(*names)
