@@ -1,9 +1,11 @@
 """DuckDB equivalents of those queries that SQL can express."""
 
-from vellum.llm.lines import BOILERPLATE
+from vellum.llm.lines import BOILERPLATE, CLOSERS, ENDS, SEPARATORS
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
+CLOSING = "'" + CLOSERS.replace("'", "''") + "'"
+
 LINES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORDS}') AS ws FROM d),
@@ -13,10 +15,11 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 l AS (SELECT doc_id, line, i, regexp_extract_all(line, '{WORDS}') AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
 ln AS (SELECT *, len(ws) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS dup FROM l WHERE len(ws) > 0),
 v AS (SELECT doc_id, n, dup,
-  (regexp_matches(line, '[#*$%&|<>]') AND (len([x for x in ws if x IN ('|', '>', '*', '/')]) >= 0.15::DOUBLE * n OR len([x for x in ws if regexp_matches(x, '[#*$%&|<>]')]) >= 0.3::DOUBLE * n))
+  len([x for x in ws if x IN ({", ".join(repr(x) for x in SEPARATORS)})]) >= 0.15::DOUBLE * n
+  OR (regexp_matches(line, '[#*$%&|<>]') AND len([x for x in ws if regexp_matches(x, '[#*$%&|<>]')]) >= 0.3::DOUBLE * n)
   OR (contains(line, '!!') AND len([x for x in ws if x LIKE '%!!' AND x = upper(x)]) >= 0.6::DOUBLE * n)
   OR (n <= 40 AND regexp_matches(lower(line), '{"|".join(BOILERPLATE)}'))
-  OR (n >= 60 AND NOT regexp_matches(line, '[.,;:!?\x{{80}}-\x{{BF}}\x{{2000}}-\x{{3FFF}}]')) AS bad FROM ln),
+  OR (n >= 8 AND rtrim(ws[n], {CLOSING}) = rtrim(ws[n], {CLOSING} || '{ENDS}')) AS bad FROM ln),
 s AS (SELECT doc_id, count(*) FILTER (WHERE dup) AS n_dup_lines, coalesce(sum(n) FILTER (WHERE dup OR bad), 0) AS lost FROM v GROUP BY 1),
 j AS (SELECT b.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost FROM base b LEFT JOIN rep ON rep.doc_id = b.doc_id LEFT JOIN s ON s.doc_id = b.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
@@ -36,11 +39,13 @@ SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """
 
-WARC = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS rep FROM p)
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1), '^www[.]', '') AS host,
+  regexp_extract(lower(url), '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(lower(url), '^[^?#]+([?][^#]+)', 1) AS query FROM pages),
+k AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || query AS url_key, ((page_id % 315360000) + 315360000) % 315360000 AS at, min(page_id) OVER (PARTITION BY d) AS rep FROM p)
 SELECT page_id, strlen(html) AS payload_bytes, d AS payload_digest, CASE WHEN strlen(html) >= 100 AND rep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-CASE WHEN strlen(html) >= 100 AND rep <> page_id THEN rep END AS refers_to FROM f
+CASE WHEN strlen(html) >= 100 AND rep <> page_id THEN rep END AS refers_to, row_number() OVER (ORDER BY url_key, at, page_id) - 1 AS position,
+row_number() OVER (PARTITION BY url_key ORDER BY at, page_id) AS nth, lag(page_id) OVER (PARTITION BY url_key ORDER BY at, page_id) AS previous_id FROM k
 """
 
 #: Seeded folds by CRC-32 (reflected, polynomial EDB88320), which DuckDB lacks.

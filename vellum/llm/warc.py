@@ -9,15 +9,27 @@ run again leaves no double records.
 
 Index.  Runs are merged by a loser tree.  The key space is cut into ranges, so each
 merging task gets a bounded slice of every run; the key ends in page_id, which lets
-the captures of one URL, however many, span several ranges.  The slices in range
-order are the globally ordered capture histories.
-
-Reading.  Index entries are dealt by file and read in order of offset, so each file is
-read once, forward; revisits take size and digest from the record they refer to.
-
-A null html is an empty payload, a null url has an empty key.  Rows that repeat a
-page_id are records of their own; they are responses if that id is the smallest of
-their payload.  An empty table writes nothing and gives an empty result.
+the captures of one URL, however many, span several ranges.  The merge numbers the
+captures of its slice and of each URL within it, and names the capture before; the
+slices' ends (one row for each task) turn this into the position in the global order,
+the capture's number in its URL's history and the page captured before it.
+
+Reading.  Entries of the merged index are dealt by file and read in order of offset, so
+each file is read once, forward; a record carries its place in the merged order along.
+Revisits take size and digest from the record they refer to.
+
+Payloads.  Equal ones are found by id and digest alone.  Up to `broadcast_rows` repeated
+digests (about 100 bytes each) are broadcast to the pages; beyond that the pages are
+joined on id and digest, so that a payload with very many copies is no hot key of the
+texts.
+
+A null html is an empty payload, a null url has an empty key, a null page_id comes
+before all others and in no reference.  Rows that repeat a page_id are records of their
+own; they are responses if that id is the smallest of their payload.  Ties of key, time
+and id keep the order of the runs.  A payload of any length is one record, held whole by
+one task.  A capture time may be any 64-bit number of seconds; WARC-Date shows it within
+the years 1 to 9999.  An empty table writes nothing and gives an empty result.  Only
+page_id, url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -27,11 +39,12 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from datetime import UTC, datetime
+from datetime import datetime, timedelta
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,11 +72,16 @@ def url_key(url: str | None) -> str:
     return f"{key}){(p.path or '/').lower()}" + (f"?{p.query.lower()}" if p.query else "")
 
 
+def warc_date(at: int) -> str:
+    """Seconds since 1970 as a date of WARC; what lies outside the years 1 to 9999 is moved to their ends."""
+    return f"{datetime(1970, 1, 1) + timedelta(seconds=min(max(at, -62_135_596_800), 253_402_300_799)):%Y-%m-%dT%H:%M:%S}Z".rjust(20, "0")
+
+
 def record(page_id: int | None, url: str | None, at: int, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record, not compressed."""
     kind = "response" if refers_to is None else "revisit"
     block = HTTP + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {datetime.fromtimestamp(at, UTC):%Y-%m-%dT%H:%M:%SZ}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {warc_date(at)}"]
     if url:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
@@ -156,7 +174,7 @@ def _writer(folder: str, file_bytes: int, run_rows: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows.sort(key=lambda r: (r[0], r[1], -1 if r[2] is None else r[2]))
+            rows.sort(key=lambda r: (r[0], r[1], _id(r[2])))
             token = uuid.uuid4().hex
             cols = list(zip(*rows, strict=True))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
@@ -187,34 +205,44 @@ def _writer(folder: str, file_bytes: int, run_rows: int):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, at: Column, least_bytes: int = 100, file_bytes: int = 64 << 20, run_rows: int = 100_000) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, at: Column, least_bytes: int = 100, file_bytes: int = 64 << 20, run_rows: int = 100_000, broadcast_rows: int = 200_000) -> DataFrame:
     """Write pages(page_id, url, html) below folder; the index of committed records, as sorted runs.  at: capture time in epoch seconds."""
     small_batches(pages.sparkSession)
     body = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), at.cast("long").alias("at"), "html", F.sha2(body, 256).alias("digest"))
-    long = F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes
-    first = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("rep"), F.count("*").alias("n")).where(F.col("n") > 1).select(F.col("digest").alias("d"), "rep")
-    # one row for each repeated payload; a payload with very many copies is a hot key of the left side, which AQE splits
-    dealt = rows.join(first, (rows["digest"] == first["d"]) & long, "left")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), at.cast("long").alias("at"), "html", F.sha2(body, 256).alias("digest"), (F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes).alias("long"))
+    ids = rows.where("long").select("page_id", "digest")
+    first = written(ids.groupBy("digest").agg(F.min("page_id").alias("rep"), F.count("*").alias("n")).where("n > 1 and rep is not null").select(F.col("digest").alias("d"), "rep"), "warc-repeated")
+    if first.count() <= broadcast_rows:
+        dealt = rows.join(F.broadcast(first), (rows["digest"] == first["d"]) & rows["long"], "left")
+    else:
+        known = ids.distinct().join(first, F.col("digest") == F.col("d")).select(F.col("page_id").alias("k"), "d", "rep")
+        dealt = rows.join(known, rows["page_id"].eqNullSafe(known["k"]) & (rows["digest"] == known["d"]) & rows["long"], "left")
     refers = F.when(F.col("rep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("rep")), F.col("rep"))
     return written(dealt.select("page_id", "url", "at", "html", "digest", refers.alias("refers_to")).mapInArrow(_writer(folder, file_bytes, run_rows), INDEX), "warc-runs")
 
 
+MERGED = INDEX + ", slice int, place long, nth long, previous long"
+MERGED_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs: dict[str, list[tuple]] = {}
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs.setdefault(row[7], []).append((row[0], row[1], -1 if row[2] is None else row[2], row))
+            runs.setdefault(row[7], []).append((row[0], row[1], _id(row[2]), row))
     for rows in runs.values():
         rows.sort(key=lambda r: r[:3])  # slices of a run come in order but for a reread block; linear then
+    own = TaskContext.get().partitionId() if TaskContext.get() else 0
     step: list[tuple] = []
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=FIELDS)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), MERGED_KINDS, strict=True)], names=[*FIELDS, "slice", "place", "nth", "previous"])
 
-    for row in LoserTree([runs[k] for k in sorted(runs)], key=lambda r: r[:3]):
-        step.append(row[3])
+    key, nth, previous = None, 0, None
+    for place, (_, _, _, row) in enumerate(LoserTree([runs[k] for k in sorted(runs)], key=lambda r: r[:3])):
+        key, nth, previous = (row[0], nth + 1, previous) if row[0] == key else (row[0], 1, None)
+        step.append((*row, own, place, nth, previous))
+        previous = row[2]
         if len(step) == 10_000:
             yield batch_of(step)
             step = []
@@ -222,54 +250,95 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(step)
 
 
+def _id(page_id: int | None) -> tuple:
+    """Ids in order, a missing one first."""
+    return (page_id is not None, page_id or 0)
+
+
+def carried(ends: list) -> list[tuple]:
+    """What each slice begins with, from the slices' (slice, rows, first key, last key, last nth, last page) in order.
+
+    Gives (slice, captures before it, first key, how many of that key came before, the last of them).
+    """
+    out, before, key, nth, page = [], 0, None, 0, None
+    for number, n, first, last, last_nth, last_page in ends:
+        goes_on = first == key
+        out.append((number, before, first, nth if goes_on else 0, page if goes_on else None))
+        nth = last_nth + (nth if goes_on and last == first else 0)
+        before, key, page = before + n, last, last_page
+    return out
+
+
 def merge_index(runs: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
-    """All runs in one order by (url_key, at, page_id), over range partitions."""
-    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // rows_per_task))
-    return runs.repartitionByRange(n, "url_key", "at", "page_id").mapInArrow(_merge, INDEX)
+    """All runs in one order by (url_key, at, page_id), with position, nth (of its URL) and previous_id (of its URL)."""
+    spark = runs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // rows_per_task))
+    merged = written(runs.repartitionByRange(n, "url_key", "at", "page_id").mapInArrow(_merge, MERGED), "warc-merged")
+    last = F.max_by(F.struct("url_key", "nth", "page_id"), "place").alias("last")
+    ends = merged.groupBy("slice").agg(F.count("*").alias("n"), F.min("url_key").alias("first"), last).orderBy("slice").collect()  # one row for each task
+    starts = spark.createDataFrame(carried([(r["slice"], r["n"], r["first"], r["last"]["url_key"], r["last"]["nth"], r["last"]["page_id"]) for r in ends]), "s int, before long, s_key string, had long, s_page long")
+    whole = merged.join(F.broadcast(starts), F.col("slice") == F.col("s"))
+    goes_on = (F.col("url_key") == F.col("s_key")) & (F.col("had") > 0)
+    return whole.select(
+        *FIELDS, (F.col("before") + F.col("place")).alias("position"), (F.col("nth") + F.when(goes_on, F.col("had")).otherwise(0)).alias("nth"),
+        F.when(goes_on & (F.col("nth") == 1), F.col("s_page")).otherwise(F.col("previous")).alias("previous_id"),
+    )
+
+
+#: What the index knows of a record, beside where it lies.
+PLACED = ["position", "nth", "previous_id"]
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, position long, nth long, previous_id long"
 
 
 def _reader(folder: str):
-    """mapInArrow body: (file, offset, length) in that order to the records' own fields."""
+    """mapInArrow body: (file, offset, length, position, nth, previous_id), by file and offset, to the records' own fields and their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = pafs.FileSystem.from_uri(folder)
         name = source = None
-        for batch in batches:
-            out = []
-            for file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if file != name:
-                    if source:
-                        source.close()
-                    name, source = file, store.open_input_file(f"{path}/{file}")
-                headers, payload = parse(zlib.decompress(source.read_at(length, offset), 31))
-                number = lambda k: int(v) if (v := headers.get(k, "").removeprefix("<urn:page:").removesuffix(">")) else None
-                claimed = headers["warc-payload-digest"].removeprefix("sha256:")
-                whole = headers["warc-type"] == "response"
-                digest = hashlib.sha256(payload).hexdigest() if whole else claimed
-                if digest != claimed:
-                    raise ValueError(f"{file}: the payload at {offset} does not match its digest")
-                out.append((number("warc-record-id"), len(payload) if whole else None, digest, headers["warc-type"], number("warc-refers-to")))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-        if source:
-            source.close()
+        try:
+            for batch in batches:
+                out = []
+                for file, offset, length in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+                    if file != name:
+                        if source:
+                            source.close()
+                        name, source = file, store.open_input_file(f"{path}/{file}")
+                    headers, payload = parse(zlib.decompress(source.read_at(length, offset), 31))
+                    number = lambda k: int(v) if (v := headers.get(k, "").removeprefix("<urn:page:").removesuffix(">")) else None
+                    claimed = headers["warc-payload-digest"].removeprefix("sha256:")
+                    whole = headers["warc-type"] == "response"
+                    digest = hashlib.sha256(payload).hexdigest() if whole else claimed
+                    if digest != claimed:
+                        raise ValueError(f"{file}: the payload at {offset} does not match its digest")
+                    out.append((number("warc-record-id"), len(payload) if whole else None, digest, headers["warc-type"], number("warc-refers-to")))
+                cols = list(zip(*out, strict=True)) or [[]] * 5
+                own = [pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *batch.columns[3:]], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *PLACED])
+        finally:
+            if source:
+                source.close()
 
     return run
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every indexed record."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, position, nth, previous_id of every record of a merged index."""
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    listed = index.select("file", "offset", "length").repartition(n, "file").sortWithinPartitions("file", "offset")
-    got = written(listed.mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "warc-read")
+    listed = index.select("file", "offset", "length", *PLACED).repartition(n, "file").sortWithinPartitions("file", "offset")
+    got = written(listed.mapInArrow(_reader(folder), READ), "warc-read")
     whole = got.where("record_type = 'response'").groupBy(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest")).agg(F.min("payload_bytes").alias("r_bytes"))
     full = got.join(whole, (got["refers_to"] == whole["r_id"]) & (got["payload_digest"] == whole["r_digest"]), "left")
-    return full.select("page_id", F.coalesce("payload_bytes", "r_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return full.select("page_id", F.coalesce("payload_bytes", "r_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", *PLACED)
+
+
+#: Pages have no capture time of their own; ids stand in for it, within ten years of this second.
+EPOCH, SPAN = 1_704_067_200, 315_360_000
 
 
 def archived(pages: DataFrame) -> DataFrame:
     """Write, merge the index, read back through it."""
     folder = scratch(pages.sparkSession, "warc")
-    at = F.lit(1_704_067_200) + F.coalesce(F.col("page_id"), F.lit(0))
+    at = F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(SPAN))
     runs = write_archives(pages.select("page_id", "url", "html"), folder, at)
-    return read_archives(written(merge_index(runs), "warc-index"), folder)
+    return read_archives(merge_index(runs), folder)
