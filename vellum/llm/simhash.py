@@ -7,9 +7,11 @@ differing bits; documents of linked fingerprints, transitively, are a component.
 Search.  The 64 bits are grouped into partitions, correlated bits together.  If
 thresholds e_i >= -1 have sum(e_i + 1) = distance + 1, two linked fingerprints differ
 in at most e_i bits of some partition i (else they would differ in distance + 1 bits).
-Bit statistics over all distinct fingerprints estimate how many candidates each
-partition yields for each threshold; dynamic programming allots unequal thresholds,
-and the number of partitions, for the least probes plus candidates.  Then each
+Bit statistics over all distinct fingerprints tell which bits go together; the
+distances of all of them to a seeded set of `references` fingerprints, partition by
+partition, estimate how many candidates each partition yields for each threshold.
+Dynamic programming allots unequal thresholds, and the number of partitions, for the
+least probes plus candidates; the choice changes the work, never the links.  Then each
 fingerprint is filed under its bits in partition i and probes all keys within e_i
 bits; candidates that share a key are verified.
 
@@ -21,12 +23,17 @@ row for each fingerprint it read.  No link between different fingerprints is los
 for the components.  Nothing but bit statistics and counts reaches the driver.
 
 A null text, or one without words, has fingerprint zero and links like any other.
-Fewer than four words are one shingle.  Rows that repeat share a component.
+Fewer than four words are one shingle; a text of any length is hashed in steps.  A bit
+set in exactly half of the hashes is 0.  Rows that repeat share a component.  Rows with
+one doc_id and different texts are judged by their texts.  A row without doc_id names
+no component.  An empty table gives an empty result.  Only the id and the text are
+read, whatever other columns are called; `keep_one` carries them along.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches, utf8, written
+from vellum.llm.common import checkpointed, small_batches, utf8, written
 from vellum.llm.graph import components
 
 DISTANCE = 4
@@ -74,6 +81,18 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def fingerprinted(rows: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """rows with the text's fingerprint as last column, own_fp."""
+    at = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*batch.schema.names, "own_fp"])
+
+    return rows.mapInArrow(run, rows.select("*", F.lit(0).cast("long").alias("own_fp")).schema)
+
+
 def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often bits i and j are both set, in a task's fingerprints."""
     total = np.zeros((64, 64))
@@ -103,36 +122,86 @@ def group_bits(corr: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def allot(share: np.ndarray, n: int, corr: np.ndarray, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
-    """Partitions with their thresholds; share: how often each bit is set among n fingerprints."""
-    differ = 2 * share * (1 - share)
+def groupings(corr: np.ndarray, distance: int = DISTANCE) -> list[list[list[int]]]:
+    """The bits in one partition, in two, and so on."""
+    return [group_bits(corr, parts) for parts in range(1, distance + 2)]
+
+
+def independent(differ: np.ndarray, bits: list[int], distance: int = DISTANCE) -> np.ndarray:
+    """Chance that a pair differs in at most 0, 1, ... of these bits, if each differs on its own."""
+    p = np.zeros(distance + 1)
+    p[0] = 1.0
+    for q in differ[bits]:
+        p[1:] = p[1:] * (1 - q) + p[:-1] * q
+        p[0] *= 1 - q
+    return p.cumsum()
+
+
+#: What a verified candidate costs, in rows that are filed or probe.
+CANDIDATE = 0.02
+
+
+def allot(n: int, options: list[list[list[int]]], near: list[list[np.ndarray]], distance: int = DISTANCE) -> list[tuple[list[int], int]]:
+    """Partitions with their thresholds, from the groupings and each group's chances that a pair is within 0, 1, ... bits."""
     best: tuple[float, list] = (float("inf"), [])
-    for parts in range(1, distance + 2):
-        groups = group_bits(corr, parts)
-        costs = []
-        for g in groups:
-            p = np.zeros(distance + 1)  # chance that a pair differs in exactly e of the group's bits
-            p[0] = 1.0
-            for q in differ[g]:
-                p[1:] = p[1:] * (1 - q) + p[:-1] * q
-                p[0] *= 1 - q
-            ball = np.cumsum([1.0] + [float(np.prod([(len(g) - i) / (i + 1) for i in range(e)])) for e in range(1, distance + 1)])
-            # index e + 1: threshold e; candidates cost about a tenth of a probe row
-            costs.append([0.0] + [n * ball[e] + n + 0.1 * n * n / 2 * p[: e + 1].sum() * (1 if e == 0 else 2) for e in range(distance + 1)])
+    for groups, chances in zip(options, near, strict=True):
         table = {0: (0.0, ())}
-        for c in costs:
+        for g, p in zip(groups, chances, strict=True):
+            ball = np.cumsum([float(math.comb(len(g), e)) for e in range(distance + 1)])
+            # place e + 1 is threshold e; beyond 0 a pair is found from both its sides
+            cost = [0.0, *(n * ball[e] + n * (e > 0) + CANDIDATE * n * n / 2 * p[e] * (1 if e == 0 else 2) for e in range(distance + 1))]
             after: dict[int, tuple[float, tuple]] = {}
-            for used, (cost, es) in table.items():
+            for used, (spent, es) in table.items():
                 for x in range(distance + 2 - used):
-                    if (found := cost + c[x]) < after.get(used + x, (float("inf"), ()))[0]:
+                    if (found := spent + cost[x]) < after.get(used + x, (float("inf"), ()))[0]:
                         after[used + x] = (found, (*es, x - 1))
             table = after
-        cost, es = table[distance + 1]
-        if cost < best[0]:
-            best = (cost, [(g, e) for g, e in zip(groups, es, strict=True) if e >= 0])
+        spent, es = table[distance + 1]
+        if spent < best[0]:
+            best = (spent, [(g, e) for g, e in zip(groups, es, strict=True) if e >= 0])
     return best[1]
 
 
+def _near_counts(references: np.ndarray, options: list[list[list[int]]], distance: int):
+    """mapInArrow body: fp to how often it is within 0, 1, ... bits of a reference, in each group of each grouping."""
+    masks = [(k, j, np.uint64(sum(1 << b for b in g))) for k, groups in enumerate(options) for j, g in enumerate(groups)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(masks), distance + 1))
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for start in range(0, len(fp), 10_000):
+                x = fp[start : start + 10_000, None] ^ references[None, :]
+                x = x[x != 0]  # not a fingerprint with itself
+                for i, (_, _, mask) in enumerate(masks):
+                    total[i] += np.bincount(np.minimum(np.bitwise_count(x & mask), distance + 1), minlength=distance + 2)[: distance + 1]
+        rows = [(k, j, e, total[i, e]) for i, (k, j, _) in enumerate(masks) for e in range(distance + 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), pa.int32(), pa.float64()], strict=True)], names=["k", "j", "e", "n"])
+
+    return run
+
+
+def plan(reps: DataFrame, n: int, distance: int = DISTANCE, references: int = 128, seed: int = 42) -> list[tuple[list[int], int]]:
+    """Partitions and thresholds for the n fingerprints of reps."""
+    stats = reps.select("fp").mapInArrow(_bit_counts, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # 2080 rows
+    both = np.zeros((64, 64))
+    for r in stats:
+        both[r["i"], r["j"]] = both[r["j"], r["i"]] = r["n"]
+    share = both.diagonal() / max(1, n)
+    cov = both / max(1, n) - np.outer(share, share)
+    dev = np.sqrt(np.maximum(cov.diagonal(), 1e-12))
+    options = groupings(cov / np.outer(dev, dev), distance)
+    refs = np.array([r["fp"] for r in reps.select("fp").orderBy(F.xxhash64("fp", F.lit(seed)), "fp").limit(references).collect()], dtype=np.int64).view(np.uint64)
+    counts = [[np.zeros(distance + 1) for _ in groups] for groups in options]
+    for r in reps.select("fp").mapInArrow(_near_counts(refs, options, distance), "k int, j int, e int, n double").groupBy("k", "j", "e").agg(F.sum("n").alias("n")).collect():
+        counts[r["k"]][r["j"]][r["e"]] = r["n"]
+    pairs = max(1, n * len(refs) - len(refs))
+    differ = 2 * share * (1 - share)
+    # where hardly any pair was that near, the single bits tell more
+    near = [[np.where((c := counts[k][j].cumsum()) >= 10, c / pairs, np.maximum(independent(differ, g, distance), c / pairs)) for j, g in enumerate(groups)] for k, groups in enumerate(options)]
+    return allot(n, options, near, distance)
+
+
 def _extract(fp: np.ndarray, bits: list[int]) -> np.ndarray:
     """The given bits of each fingerprint, side by side."""
     out = np.zeros(len(fp), dtype=np.uint64)
@@ -224,19 +293,12 @@ def _links(distance: int):
 def link_forest(reps: DataFrame, distance: int = DISTANCE, hot: int = 20_000, rows_per_task: int = 400_000) -> DataFrame:
     """Links (a, b) between rep of reps(fp, rep), enough to join what the fingerprints link."""
     spark = reps.sparkSession
-    stats = reps.select("fp").mapInArrow(_bit_counts, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # 2080 rows
-    both = np.zeros((64, 64))
-    for r in stats:
-        both[r["i"], r["j"]] = both[r["j"], r["i"]] = r["n"]
     n = reps.count()
-    share = both.diagonal() / max(1, n)
-    cov = both / max(1, n) - np.outer(share, share)
-    dev = np.sqrt(np.maximum(cov.diagonal(), 1e-12))
-    plan = allot(share, n, cov / np.outer(dev, dev), distance)
-    filed = reps.select("fp", "rep").mapInArrow(_filed(plan, distance), "key long, fp long, rep long, probe boolean")
-    per = sum(1 + sum(1 for k in range(1, e + 1) for _ in itertools.combinations(range(len(g)), k)) for g, e in plan)
+    found = plan(reps, n, distance)
+    filed = reps.select("fp", "rep").mapInArrow(_filed(found, distance), "key long, fp long, rep long, probe boolean")
+    per = sum(1 + sum(1 for k in range(1, e + 1) for _ in itertools.combinations(range(len(g)), k)) for g, e in found)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * per // rows_per_task))
-    exact = reps.select("fp", "rep").mapInArrow(_filed([(g, 0) for g, _ in plan], distance), "key long, fp long, rep long, probe boolean")
+    exact = reps.select("fp", "rep").mapInArrow(_filed([(g, 0) for g, _ in found], distance), "key long, fp long, rep long, probe boolean")
     crowded = exact.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / hot).cast("int").alias("cells"))
     crowded = written(crowded, "simhash-hot")
     if not crowded.isEmpty():
@@ -251,18 +313,43 @@ def link_forest(reps: DataFrame, distance: int = DISTANCE, hot: int = 20_000, ro
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id of the component) for each row."""
+    return _grouped(docs, distance, shingle, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, distance: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates with the component's smallest fingerprint as head."""
     prints = written(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    reps = written(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    named = components(link_forest(reps, distance))
-    heads = reps.join(named, reps["rep"] == named["node"], "left").select(F.col("fp").alias("head_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(heads, prints["fp"] == heads["head_fp"], "left").select("doc_id", "fp", "component_id")
+    reps = written(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-reps")
+    named = components(link_forest(reps.select("fp", F.col("fp").alias("rep")), distance))
+    of = reps.join(named, reps["fp"] == named["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("head"))
+    of = checkpointed(of)
+    least = of.where("fp <> head").groupBy(F.col("head").alias("h")).agg(F.min("least").alias("other"))  # one row for each component of several
+    of = of.join(least, of["head"] == least["h"], "left").select(F.col("fp").alias("of_fp"), "head", "least", "other")
+    first = of.where("of_fp = head").select(F.col("head").alias("k"), F.least("least", "other").alias("component_id"))
+    heads = of.join(first, of["head"] == first["k"]).select("of_fp", "head", "component_id")
+    return prints.join(heads, prints["fp"] == heads["of_fp"], "left").select("doc_id", "fp", "head", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, all columns, of which one document of each component is left, the one with the smallest doc_id.
 
-    A row without doc_id is in no component and stays.
+    Of rows with that id and different texts, the one with the smaller fingerprint; of
+    rows with that id and text, one.  A row without doc_id is in no component and stays.
     """
-    heads = near_duplicates(docs.select("doc_id", "text"), distance, shingle).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    left = docs.where(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi").select(*docs.columns)
-    return left.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    rows = docs.toDF(*names)
+    found = _grouped(rows, distance, shingle, own, text).where("doc_id = component_id")
+    # smallest doc_id first, so a component has one row here unless that id has several texts
+    first = found.groupBy("head").agg(F.min(F.struct("doc_id", "fp")).alias("first")).select("first.*")
+    several = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    several = written(several, "simhash-repeated")
+    single = first.join(several, first["doc_id"] == several["id"], "left_anti").select(F.col("doc_id").alias("id"))
+    kept = rows.where(F.col(own).isNotNull()).join(single, F.col(own) == F.col("id"), "left_semi")
+    if several.isEmpty():
+        return kept.unionByName(rows.where(F.col(own).isNull())).toDF(*docs.columns)
+    # rows whose id repeats are told apart by their fingerprint, which only they compute again
+    again = rows.join(several, F.col(own) == F.col("id"), "left_semi")
+    marked = fingerprinted(again, shingle, text)
+    chosen = marked.join(first, (F.col(own) == F.col("doc_id")) & (F.col("own_fp") == F.col("fp")), "left_semi").dropDuplicates([own, "own_fp"]).select(*names)
+    return kept.unionByName(chosen).unionByName(rows.where(F.col(own).isNull())).toDF(*docs.columns)
