@@ -6,20 +6,23 @@ of good texts, without any labelled row; a pattern's posterior is the label of i
 texts.  Posterior labels of a bounded sample train a linear scorer on hashed
 features, which then scores every whole text.
 
-Scale.  One pass counts vote patterns over all texts (at most 3 ** labellers patterns
-reach the driver); the scorer is fitted on at most `sample` rows; another pass
-scores.  No text is shuffled.
+Scale.  The texts are read once, whole: each leaves its votes, and its features as a
+short packed string (about a fifth of the text), in a table below the shared folder.
+Counting vote patterns (at most 3 ** labellers reach the driver), fitting the scorer
+on at most `sample` rows, and scoring read that table.  No text is shuffled.
 
 Null and empty texts get the votes their lack of words earns, and a score as any
-other.  Rows that repeat get equal scores.  An empty table gives an empty result.
+other.  Rows that repeat get equal scores.  A text of any length is held as its words;
+its word pairs are counted over the whole of it.  A score of exactly a half is kept.
+An empty table gives an empty result.  Only the id and the text are read, whatever
+other columns are called.  Results do not depend on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches
+from vellum.llm.common import small_batches, written
 
 GOOD, BAD, NONE = 1, 0, 2
 DIM = 4096
@@ -90,17 +93,10 @@ class Shapes(dict):
 
     @staticmethod
     def _row(w: str) -> tuple:
-        core = w.rstrip(MARKS)
-        tail = w[len(core) :]
-        marks = len(tail) > 1 and tail[-1] == tail[-2]
-        if core.isalpha():  # most words; their shape needs no look at each character
-            shape = ("x" if core.islower() else "X" if core.isupper() else "Xx" if core[1:].islower() else "Xm") + (tail if len(tail) < 2 else tail[0] + "+")
-            symbol, bar = False, False
-        else:
-            shape = re.sub(r"(.)\1+", r"\1+", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))
-            symbol, bar = any(c in "#*$%&|<>" for c in w), w in BARS
-            marks = marks or len(w) > 1 and not w[-1].isalnum() and w[-1] == w[-2]
-            core = core.lstrip("(\"'")
+        shape = re.sub(r"(.)\1+", r"\1+", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))
+        symbol, bar = any(c in "#*$%&|<>" for c in w), w in BARS
+        marks = len(w) > 1 and not w[-1].isalnum() and w[-1] == w[-2]
+        core = w.strip(MARKS)
         return (symbol, bar, len(w) > 1 and w.isupper(), marks, len(w), w[-1] in ".!?", _slot("s" + shape), DIM // 2 + _slot("p" + core[:3].lower()))
 
 
@@ -141,11 +137,14 @@ def votes(f: Facts) -> int:
     return code
 
 
+def own_features(f: Facts) -> np.ndarray:
+    """The facts on a common scale; the last is the bias."""
+    return np.array([f.symbol_share, f.bar_share, f.shout_share, f.mark_share, min(f.word_chars, 20) / 20, f.repeat_share, f.dup_lines, min(f.stops, 1.0), min(np.log1p(f.words), 10) / 10, 1.0])
+
+
 def features(f: Facts, counts: np.ndarray) -> np.ndarray:
-    """Hashed shares, and the facts on a common scale; the last is the bias."""
-    x = np.sqrt(counts / max(1, f.words))
-    own = [f.symbol_share, f.bar_share, f.shout_share, f.mark_share, min(f.word_chars, 20) / 20, f.repeat_share, f.dup_lines, min(f.stops, 1.0), min(np.log1p(f.words), 10) / 10, 1.0]
-    return np.r_[x, own]
+    """Hashed shares, and the facts on a common scale."""
+    return np.r_[np.sqrt(counts / max(1, f.words)), own_features(f)]
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -189,13 +188,34 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.5, de
 
 
 _MEMO: dict[str, Shapes] = {}
+FACTS = len(Facts.__dataclass_fields__)
+
+
+def packed(f: Facts, counts: np.ndarray) -> bytes:
+    """A text's facts and its counts above zero."""
+    at = np.flatnonzero(counts)
+    return np.array(astuple(f)).tobytes() + at.astype("<u2").tobytes() + counts[at].astype("<u4").tobytes()
+
+
+def unpacked(data: bytes) -> tuple[Facts, np.ndarray, np.ndarray]:
+    """Facts, and the places and values of the counts."""
+    head = 8 * FACTS
+    n = (len(data) - head) // 6
+    return Facts(*np.frombuffer(data, float, FACTS)), np.frombuffer(data, "<u2", n, head), np.frombuffer(data, "<u4", n, head + 2 * n)
 
 
-def _count_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shapes, seen = _MEMO.setdefault("shapes", Shapes()), Counter()
-    for batch in batches:
-        seen.update(votes(facts(t, shapes)[0]) for t in batch.column(0).to_pylist())
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["code", "n"])
+def examined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, code (the votes as one number) and data (facts and counts) of every text, as a table."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = _MEMO.setdefault("shapes", Shapes())
+        for batch in batches:
+            got = [facts(t, shapes) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(f) for f, _ in got], pa.int64()), pa.array([packed(f, c) for f, c in got], pa.binary())], names=["doc_id", "code", "data"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, code long, data binary"), "quality")
 
 
 @dataclass(frozen=True)
@@ -205,50 +225,53 @@ class Model:
     weights: np.ndarray
 
 
-def learn(docs: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> Model:
-    """Fit on docs; sample bounds the rows that train the linear scorer."""
-    small_batches(docs.sparkSession)
-    seen = docs.select(text_col).mapInArrow(_count_votes, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
-    codes = [r["code"] for r in seen]
+def learn(seen: DataFrame, sample: int = 3000, seed: int = 42) -> Model:
+    """Fit on a table of `examined` texts; sample bounds the rows that train the linear scorer."""
+    patterns_seen = seen.groupBy("code").agg(F.count("*").alias("n")).orderBy("code").collect()
+    codes = [r["code"] for r in patterns_seen]
     k = len(LABELLERS)
     patterns = np.array([[c // 3 ** (k - 1 - i) % 3 for i in range(k)] for c in codes], dtype=int).reshape(-1, k)
-    post, acc = expectation_maximisation(patterns, np.array([r["n"] for r in seen], dtype=float))
+    post, acc = expectation_maximisation(patterns, np.array([r["n"] for r in patterns_seen], dtype=float))
     posterior = dict(zip(codes, post.tolist(), strict=True))
-    ids = docs.select(F.col(id_col).alias("s_id")).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64("s_id", F.lit(seed)), "s_id").limit(sample)
-    texts = docs.join(F.broadcast(ids), docs[id_col] == ids["s_id"]).select(F.col(text_col).alias("text"))
-
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = _MEMO.setdefault("shapes", Shapes())
-        for batch in batches:
-            got = [(votes(f), features(f, c).astype(np.float32)) for f, c in (facts(t, shapes) for t in batch.column(0).to_pylist())]
-            at = [np.flatnonzero(x).astype(np.int32) for _, x in got]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for (_, x), i in zip(got, at, strict=True)], pa.list_(pa.float32()))], names=["code", "at", "x"])
-
-    rows = texts.mapInArrow(featured, "code long, at array<int>, x array<float>").toArrow()
-    x = np.zeros((rows.num_rows, DIM + 10), dtype=np.float32)
-    for i, (at, v) in enumerate(zip(rows["at"].to_pylist(), rows["x"].to_pylist(), strict=True)):
-        x[i, at] = v
-    order = np.lexsort((*x[:, -10:].T, np.array(rows["code"].to_pylist(), dtype=np.int64)))  # rows come in any order; sums should not
-    y = np.array([posterior.get(c, 0.5) for c in rows["code"].to_pylist()])
-    weights = train(x[order], y[order]) if len(x) else np.zeros(DIM + 10)
+    # texts that count alike are one row, so that copies do not fill the sample
+    hashed = seen.select("code", "data", F.xxhash64("data", F.lit(seed)).alias("h"))
+    picked = hashed.select(F.col("h").alias("p")).distinct().orderBy("p").limit(sample)
+    rows = hashed.join(F.broadcast(picked), F.col("h") == F.col("p")).groupBy("h").agg(F.min(F.struct("data", "code")).alias("r")).orderBy("h").select("r.*").collect()
+    x = np.zeros((len(rows), DIM + 10), dtype=np.float32)
+    for i, r in enumerate(rows):
+        x[i] = features(*_counted(bytes(r["data"])))
+    y = np.array([posterior[r["code"]] for r in rows])
+    weights = train(x, y) if len(x) else np.zeros(DIM + 10)
     return Model(posterior, {name: (float(acc[0, i]), float(acc[1, i])) for i, name in enumerate(LABELLERS)}, np.round(weights, 9))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, posterior (of the votes), score (of the scorer, 0 to 1) and kept (score of a half or more)."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _counted(data: bytes) -> tuple[Facts, np.ndarray]:
+    f, at, n = unpacked(data)
+    counts = np.zeros(DIM)
+    counts[at] = n
+    return f, counts
+
+
+def score(seen: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_words, posterior (of the votes), score (of the scorer, 0 to 1) and kept (score of a half or more) of `examined` texts."""
+    shared = seen.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, m = _MEMO.setdefault("shapes", Shapes()), shared.value
+        m = shared.value
         for batch in batches:
             got = []
-            for text in batch.column(1).to_pylist():
-                f, c = facts(text, shapes)
-                z = float(features(f, c) @ m.weights)
-                got.append((f.words, m.posterior.get(votes(f), 0.5), 1 / (1 + np.exp(-np.clip(z, -50, 50)))))
+            for code, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                f, at, n = unpacked(data)
+                z = float(np.sqrt(n / max(1, f.words)) @ m.weights[at]) + float(own_features(f) @ m.weights[DIM:])
+                got.append((int(f.words), m.posterior.get(code, 0.5), 1 / (1 + np.exp(-np.clip(z, -50, 50)))))
             cols = list(zip(*got, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array([s >= 0.5 for s in cols[2]], pa.bool_())], names=["doc_id", "n_words", "posterior", "score", "kept"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, posterior double, score double, kept boolean")
+    kind = seen.schema["doc_id"].dataType.simpleString()
+    return seen.mapInArrow(run, f"doc_id {kind}, n_words long, posterior double, score double, kept boolean")
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
+    """Examine, learn and score all rows of docs."""
+    seen = examined(docs, id_col, text_col)
+    return score(seen, learn(seen, **fit))

@@ -48,7 +48,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.score(docs, quality.learn(docs))
+    return quality.classify(docs)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
