@@ -10,13 +10,16 @@ quotients target / (2 k + 1), then each source's quota is apportioned to its sha
 in the same way.  A shard takes each of its blocks quota // blocks times and a
 seeded choice of them once more, so no word is taken more than twice.
 
-Scale.  A source's rows are dealt over ceil(words / shard_words) shards by a hash of
-doc_id, so a source with a third of all rows is many bounded windows.  The driver
-gets one row for each shard: at most sources + words / shard_words.
+Scale.  A source's rows are dealt over shards of about `shard_words` words and at most
+`shard_rows` rows by a hash of doc_id (of the text where it is null), so a source with a
+third of all rows is many bounded windows.  There are about `most_shards` shards at
+most, one row each for the driver; beyond that shards grow with the input.
 
 Nulls and empty texts have size 0 and take 0.  A null source is a source of its own,
 the last.  Rows that repeat are separate rows.  Equal seeded hashes are ordered by
-doc_id.  An empty table gives an empty result.
+doc_id and size.  A text of any length is a run of blocks like any other.  An empty
+table gives an empty result.  Only the id, the text and the source are read by `mix`;
+`apply_mix` carries all other columns along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -81,29 +84,31 @@ def sainte_lague(votes: list[float], seats: int, most: list[int]) -> list[int]:
     return got.tolist()
 
 
-def mix(docs: DataFrame, budget_share: float = 1.5, weights=WEIGHTS, cap: float = 2.0, block_words: int = 50, shard_words: int = 1_000_000, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, budget_share: float = 1.5, weights=WEIGHTS, cap: float = 2.0, block_words: int = 50, shard_words: int = 1_000_000, shard_rows: int = 100_000, most_shards: int = 100_000, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken (and source) for each row of docs.
 
-    block_words bounds the rounding of a source's quota; shard_words the rows of one window.
+    block_words bounds the rounding of a source's quota; shard_words, shard_rows and most_shards the rows of one window.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    name = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed))).otherwise(F.xxhash64(F.col(id_col), F.lit(seed)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), name.alias("dealt"))
     rows = checkpointed(rows)
-    sums = rows.groupBy("source").agg(F.sum("size").alias("words")).toPandas()
-    found = {s if isinstance(s, str) else None: int(w) for s, w in zip(sums["source"].tolist(), sums["words"].tolist(), strict=True)}
+    sums = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
+    found = {r["source"]: (r["words"], r["n"]) for r in sums}
     names = sorted(k for k in found if k is not None) + ([None] if None in found else [])  # Python orders by code point
-    sizes = [found[k] for k in names]
+    sizes = [found[k][0] for k in names]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], budget_share * sum(sizes), cap)
-    plan = spark.createDataFrame([(k, s, g, max(1, math.ceil(s / shard_words))) for k, s, g in zip(names, sizes, goal, strict=True)], "source string, source_size long, target double, n_shards long")
+    words_each, rows_each = max(shard_words, sum(sizes) / most_shards), max(shard_rows, sum(n for _, n in found.values()) / most_shards)
+    plan = spark.createDataFrame([(k, s, g, max(1, math.ceil(s / words_each), math.ceil(found[k][1] / rows_each))) for k, s, g in zip(names, sizes, goal, strict=True)], "source string, source_size long, target double, n_shards long")
     # one row for each source: the number of distinct sources, checked before it is broadcast
     plan = F.broadcast(plan) if len(names) <= 100_000 else plan
-    laid = rows.join(plan, rows["source"].eqNullSafe(plan["source"]), "left").select("doc_id", rows["source"].alias("source"), "size", "source_size", "target", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "n_shards").alias("shard"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("h"))
+    laid = rows.join(plan, rows["source"].eqNullSafe(plan["source"]), "left").select("doc_id", rows["source"].alias("source"), "size", "source_size", "target", F.pmod("dealt", "n_shards").alias("shard"), F.xxhash64(F.lit(seed + 1), "dealt").alias("h"))
+    per_shard = laid.groupBy("source", "shard").agg(F.sum("size").alias("words")).collect()
     part = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size")
     laid = laid.withColumn("end", F.sum("size").over(part.rowsBetween(Window.unboundedPreceding, 0)))
-    per_shard = rows.join(plan, rows["source"].eqNullSafe(plan["source"]), "left").groupBy(rows["source"], F.pmod(F.xxhash64("doc_id", F.lit(seed)), "n_shards").alias("shard")).agg(F.sum("size").alias("words")).toPandas()
     shards: dict = {k: [] for k in names}
-    for s, k, w in zip(per_shard["source"].tolist(), per_shard["shard"].tolist(), per_shard["words"].tolist(), strict=True):
-        shards[s if isinstance(s, str) else None].append((int(k), int(w)))
+    for r in per_shard:
+        shards[r["source"]].append((r["shard"], r["words"]))
     blocks = {k: [(j, w, w // block_words + (w % block_words > 0)) for j, w in sorted(v)] for k, v in shards.items()}
     most = [int(cap * sum(b for _, _, b in blocks[k])) for k in names]
     seats = round(sum(goal) / block_words)
@@ -133,9 +138,10 @@ def apply_mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     taken / size, rounded up or down by a seeded hash of doc_id so that sources keep
     their targets: 0, 1 or 2 times.  A text without words costs nothing and stays once.
     """
-    got = mix(docs, seed=seed, **options).groupBy("doc_id").agg(F.sum("size").alias("m_size"), F.sum("taken").alias("m_taken")).withColumnRenamed("doc_id", "m_id")
-    u = F.pmod(F.xxhash64("m_id", F.lit(seed + 3)), F.lit(1 << 30)) / float(1 << 30)
-    times = F.when(F.col("m_size") == 0, F.lit(1)).otherwise(F.floor(F.col("m_taken") / F.col("m_size") + u)).cast("int")
-    plan = got.select("m_id", times.alias("m_times")).where(F.col("m_times") > 0)
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["m_id"]))
-    return joined.withColumn("m_copy", F.explode(F.array_repeat(F.lit(0), F.col("m_times")))).select(*[docs[c] for c in docs.columns])
+    got = mix(docs, seed=seed, **options).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    u = F.pmod(F.xxhash64("doc_id", F.lit(seed + 3)), F.lit(1 << 30)) / float(1 << 30)
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + u)).cast("int")
+    plan = got.select(F.col("doc_id").alias("id"), times.alias("times")).where(F.col("times") > 0)
+    whole = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    copies = whole.join(plan, whole[f"c{docs.columns.index('doc_id')}"].eqNullSafe(plan["id"])).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return copies.select(*whole.columns).toDF(*docs.columns)
