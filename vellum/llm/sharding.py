@@ -10,15 +10,18 @@ Scale.  The number of groups is not bounded, so the packer never sees them one b
   own, and one heavier than `cut_share` is cut into pieces of about half that, dealt
   by a hash of doc_id (a group of copies that holds a third of all rows becomes many
   pieces); there are at most 3 * shards / heavy_share of them, whatever the input;
-* lighter groups are bundled by (size class, hash of the text); at most
-  `bundles` * 24 bundles exist, whatever the input.
+* lighter groups are bundled by (size class, hash of the text), in a class into
+  `bundles` bundles, or more where there are over `bundle_rows` rows for each, but at
+  most `most_bundles`; some ten classes hold most texts of a corpus.
 
 Only those bounded totals reach the driver.  Slots are offsets of bundles within
 their shard plus a row number within a bundle, so no window holds a whole shard.
 
-Nulls: a null text counts no bytes and forms a group of its own, apart from the
+Nulls: a null doc_id is an id like any other; a null text counts no bytes and forms a group of its own, apart from the
 empty text.  Rows that repeat (equal doc_id and text) each get a slot.  An empty
-table gives an empty result.  Ties in the dot product go to the lower shard.
+table gives an empty result.  Dot products that agree to nine decimals tie; the lower shard gets the
+group.  A text of any
+length is one row, and alone in its group it is placed whole.
 """
 
 from __future__ import annotations
@@ -51,17 +54,17 @@ def pack(weights: np.ndarray, shards: int, importance=(8.0, 1.0, 2.0)) -> np.nda
     order = np.lexsort((np.arange(n), -w.max(1)))
     for i in order:
         # a shard that is over in a dimension has a negative residual there, which counts against it
-        k = int(np.argmax(left @ (imp * w[i])))
+        k = int(np.argmax(np.round((left * (imp * w[i])).sum(1), 9)))
         out[i] = k
         left[k] -= w[i]
     return out
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, heavy_share: float = 1 / 64, cut_share: float = 0.5, bundles: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, heavy_share: float = 1 / 64, cut_share: float = 0.5, bundles: int = 256, bundle_rows: int = 50_000, most_bundles: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs.
 
     shards: how many; heavy_share, cut_share: as shares of a shard;
-    bundles: hash bundles for each size class.  Other columns of docs are not read,
+    bundles, bundle_rows, most_bundles: hash bundles for each size class.  Other columns of docs are not read,
     whatever they are called.
     """
     spark = docs.sparkSession
@@ -77,6 +80,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, heavy_share: float = 1 / 64, cu
     groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.sum("words").alias("tokens"), F.count("*").alias("n"))
     groups = checkpointed(groups)
     total = groups.agg(F.sum("bytes"), F.sum("tokens"), F.sum("n")).first()
+    bundles = max(bundles, min(most_bundles, -(-(total[2] or 0) // bundle_rows)))
     even = [max(1.0, (x or 0) / shards) for x in total]
     share = F.greatest(F.col("bytes") / even[0], F.col("tokens") / even[1], F.col("n") / even[2])
     # the heavy groups number at most 3 * shards / heavy_share, so they may be broadcast
