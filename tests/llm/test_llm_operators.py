@@ -97,9 +97,58 @@ def test_language_edge(spark, edge, none):
     assert set(found) <= {"en", "de", "la"} and language.training_texts(none, F.lit(True)) == {}
 
 
-def test_language_memo_is_bounded():
-    p = language.Parser({"a": " ab ", "b": " cd "}, memo=8)
-    assert p(" ".join(f"ab{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)))[0] == "a" and len(p.ids) <= 8
+def test_language_letters():
+    """Numerals that are not letters make no word; those between letters part them."""
+    for t in ("½ ²", "Ⅷ", "①", "12 _ !", "", None):
+        assert language.letters(t) == [] and language.Parser({"a": " ab "})(t) == ("und", 0.0)
+    assert language.letters("aⅧb Ünï½x 漢字2") == ["a", "b", "ünï", "x", "漢字"]
+
+
+def naive_language(text, texts):
+    """By definition: letters one by one, the longest match by substring search."""
+    line = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    if not line or not texts:
+        return "und", 0.0
+    line = f" {' '.join(line)} "
+    bits = {}
+    for lang, known in texts.items():
+        k = n = 0
+        while k < len(line):
+            m = 1
+            while k + m < len(line) and line[k : k + m + 1] in known:
+                m += 1
+            k, n = k + m, n + 1
+        bits[lang] = n * np.log2(len(known) + 2)
+    best = min(sorted(bits), key=bits.get)
+    return best, 1 / sum(2.0 ** (bits[best] - b) for b in bits.values())
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    """The whole query on a small table: the fold, the sample, and every parse."""
+    rng = random.Random(12)
+    docs = [(i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 25))), lang, "s", 0) for i, (lang, letters) in enumerate([("xx", "aeiouklm"), ("yy", "aeiorstü"), ("zz", "eioumnzß")] * 30)]
+    docs += [(500 + i, t, lang, "s", 0) for i, (t, lang) in enumerate([(None, "xx"), ("", "yy"), ("½ Ⅷ 7", "zz"), ("aeklm", None), (docs[0][1], "xx"), (docs[0][1], "xx")])]
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    train = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    texts = defaultdict(dict)
+    for i, t, lang, *_ in docs:  # all of it is within the sample's bounds, each text once
+        if train(i) and lang and t is not None:
+            texts[lang].setdefault(t, i)
+    learned = language.training_texts(common.table(spark, str(tmp_path), "documents"), common.fold("doc_id", 4) != 2)
+    assert {k: sorted(v.split()) for k, v in learned.items()} == {k: sorted(w for t in v for w in language.letters(t)) for k, v in texts.items()}
+    got = {r["doc_id"]: r for r in rows(queries.op1_language(spark, str(tmp_path)))}
+    assert len(got) == len(docs)
+    for i, t, *_ in docs:
+        lang, score = naive_language(t, learned)
+        assert (got[i]["held_out"], got[i]["lang_pred"]) == (not train(i), lang) and got[i]["score"] == pytest.approx(score), t
+
+
+def test_language_sample_prefers_short_texts(spark):
+    long = "abc " * 2000
+    docs = table(spark, [(1, long, "x", "s", 0), (2, "one two", "x", "s", 0), (3, "one two", "x", "s", 0), (4, "three", "x", "s", 0), (5, long, "y", "s", 0)])
+    got = language.training_texts(docs, F.lit(True), chars_per_language=12)
+    assert sorted(got["x"].split()) == ["one", "three", "two"] and got["y"].split() == ["abc"] * 2000
+    assert set(language.training_texts(docs, F.lit(True), most_languages=1)) == {"x"}
 
 
 @pytest.mark.parametrize("sf", ["sf0.01"])
@@ -146,8 +195,66 @@ def test_lexicon_prefilter_loses_nothing():
             t[k : k + 1] = rng.choice([[], [rng.choice("abcd")], [t[k], rng.choice("abcd")]])
             t = t or ["a"]
         w = "".join(t)
-        near = min(edits(w, x) for x in terms) <= 1
-        assert (lex._weigh(w) > 0) == (w in terms or near and len(w) >= 4), w
+        assert (lex._weigh(w) > 0) == (min(edits(w, x) for x in terms) <= 1), w
+
+
+def test_lexicon_walk_is_the_only_way(monkeypatch):
+    """Terms, misspelled terms and stems are all found by the automaton's walk; without it nothing is."""
+    lex = toxicity.Lexicon({"idiot": 1.0, "bad": 1.0}, {"grawl": 1.0})
+    words = "idiot idoit idiott ideot bad bads grawl grawlish grawling xgrawl gra other".split()
+    assert [lex._weigh(w) for w in words] == [1, 0, 0.7, 0.7, 1, 0, 1, 1, 1, 0, 0, 0]
+    monkeypatch.setattr(toxicity.Lexicon, "matches", lambda self, word: [])
+    assert not any(toxicity.Lexicon({"idiot": 1.0, "bad": 1.0}, {"grawl": 1.0}).weights(words))
+
+
+def naive_toxicity(text, model):
+    """Context-weighted matches with an edit distance to every term, and a prefix test for every stem."""
+    low = (text or "").lower()
+    spots = [(m.start(), m.end(), m[0]) for m in toxicity.TOKEN.finditer(low)]
+    total = n = 0
+    for i, (start, end, word) in enumerate(spots):
+        w = word.translate(toxicity.LEET) if not word.isalpha() and any(c.isalpha() for c in word) else word
+        near = [1.0 if w == t else 0.7 for t in model.terms if w == t or len(t) >= 5 and edits(w, t) == 1]
+        weight = max([*near, *(1.0 for s in model.stems if w.startswith(s))], default=0)
+        if weight:
+            n += 1
+            a, b = max(0, i - 6), min(len(spots), i + 7)
+            around = [x for _, _, x in spots[a:b]]
+            if sum(low[spots[a][0] : start].count(q) for q in toxicity.QUOTES) % 2 and any(q in low[end : spots[b - 1][1] + 1] for q in toxicity.QUOTES):
+                weight *= 0.3
+            weight *= 0.5 if set(around[: i - a]) & toxicity.REPORTING else 1
+            total += weight * (1.25 if set(around) & toxicity.ADDRESS else 1)
+    return total * (0.5 if n == 1 else 1) / (1 + len(spots) / 100), n
+
+
+def test_toxicity_query_against_brute_force(spark, tmp_path):
+    """The whole query on a small table: each text's matches by edit distance over the whole lexicon, then the curve."""
+    rng = random.Random(21)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(80)]
+    bad = ["zorkel", "zorkle", "qumpit", "vaxxod"]
+    docs, labels = [], []
+    for i in range(160):
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 60))]
+        toxic = i % 3 == 0
+        for _ in range(5 if toxic else 0):
+            w = rng.choice(bad)
+            words.insert(rng.randrange(len(words)), rng.choice([w, w, w.upper(), w[:2] + w[3:], '"' + w + '"', "you " + w, "said " + w, w.replace("o", "0")]))
+        docs.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    docs += [r for r in EDGE if r[0] != 5 and r[0] is not None and r[0] > 1]
+    table(spark, [d for k, d in enumerate(docs) if k < 160] + [(d[0] + 1000, *d[1:]) for d in docs[160:]]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs_df = common.table(spark, str(tmp_path), "documents")
+    model = toxicity.learn(docs_df.select("doc_id", "text"), common.table(spark, str(tmp_path), "labels").where(common.fold("doc_id", 3) != 1))
+    assert set(bad) <= set(model.terms)
+    got = {r["doc_id"]: r for r in rows(queries.op2_toxicity(spark, str(tmp_path)))}
+    assert len(got) == docs_df.count()
+    for r in rows(docs_df):
+        s, n = naive_toxicity(r["text"], model)
+        want = 1 - 0.3 ** (s / model.cut)
+        out = got[r["doc_id"]]
+        assert out["n_matches"] == n and out["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert out["predicted"] == (s >= model.cut) == (out["score"] >= 0.7) and out["score"] == pytest.approx(want, abs=1e-6), r["text"]
 
 
 def test_toxicity_context():
@@ -211,6 +318,14 @@ def test_lines_rules():
     assert r.fails(b"BUY!! NOW!!", b"BUY!! NOW!!".split()) == "shouting"
     assert r.fails(b"All rights reserved 2020", b"All rights reserved 2020".split()) == "boilerplate"
     assert r.fails(prose.encode(), prose.encode().split()) is None
+    for line in ("Home / About / Contact / Help", "Start » Products » Chairs", "One • Two • Three", "a | b"):
+        assert r.fails(line.encode(), line.encode().split()) == "navigation", line
+    assert r.fails(b"either/or and 1/2 of it > that of all the others, as was said.", b"either/or and 1/2 of it > that of all the others, as was said.".split()) is None
+    for end, want in ((".", None), ("!?", None), ("…”", None), ('.")', None), ("。", None), ("", "punctuation"), (",", "punctuation"), ("-", "punctuation")):
+        line = f"eight words stand in this line without more{end}".encode()
+        assert r.fails(line, line.split()) == want, end
+    assert r.fails(b"seven words need no mark at all", b"seven words need no mark at all".split()) is None
+    assert lines.LineRules(boilerplate_words=3).fails(b"Please read more of it here.", b"Please read more of it here.".split()) is None
     text = "\n".join(many) + "\nHome | About | Us"
     got = lines.judge(text, r)
     assert got[6] and "Home" not in got[8] and got[7] == got[0] - 5
@@ -238,7 +353,7 @@ def contaminated(text, items, window=13):
         for j in range(len(w) - k + 1):
             if wins and tuple(w[j : j + k]) in wins:
                 hit |= set(range(j, j + k))
-                found.add(str(i))
+                found |= {str(i)} - {"None"}
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
@@ -255,6 +370,8 @@ def test_decontamination(spark, chunk):
             t += " X " + "; ".join(w[: rng.randint(1, len(w))]) + " tail" * rng.randint(0, 300)
         docs.append((i, t, "en", "s", 0))
     docs += EDGE
+    items += [(None, items[2][1]), (None, "only an item without an id holds this")]
+    docs.append((400, "x only an item without an id holds this x", "en", "s", 0))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n_words", F.lit("x"))
     got = rows(decontam.contamination(table(spark, docs), bench, chunk_words=chunk))
     want = Counter((i, *contaminated(t, items)) for i, t, *_ in docs)
@@ -325,10 +442,49 @@ def test_warc_index_is_ordered(spark):
     folder = common.scratch(spark, "t")
     runs = warc.write_archives(pages, folder, F.col("page_id") * -1, run_rows=7, file_bytes=500)
     assert runs.select("run").distinct().count() > 5 and runs.select("file").distinct().count() > 5
-    merged = [(r["url_key"], r["at"], r["page_id"]) for r in warc.merge_index(runs, 30).collect()]
-    assert merged == sorted(merged) and len(merged) == 200
-    got = warc.read_archives(runs, folder)
-    assert got.agg(F.sum("payload_bytes")).first()[0] == sum(range(200))
+    index = warc.merge_index(runs, 30)
+    merged = sorted(rows(index), key=lambda r: r["position"])
+    assert [r["position"] for r in merged] == list(range(200))
+    order = [(r["url_key"], r["at"], r["page_id"]) for r in merged]
+    assert order == sorted(order)
+    seen = defaultdict(list)
+    for r in merged:
+        assert (r["nth"], r["previous_id"]) == (len(seen[r["url_key"]]) + 1, seen[r["url_key"]][-1] if seen[r["url_key"]] else None)
+        seen[r["url_key"]].append(r["page_id"])
+    got = rows(warc.read_archives(index, folder))
+    assert sum(r["payload_bytes"] for r in got) == sum(range(200))
+    assert {r["page_id"]: r["position"] for r in got} == {r["page_id"]: r["position"] for r in merged}
+
+
+def test_warc_history_of_one_url_spans_tasks(spark):
+    """One URL holds almost all captures, over many slices; without the merge their numbers would begin anew in each."""
+    pages = spark.createDataFrame([(i, "http://a.org/" if i % 50 else f"http://{'ab'[i % 100 > 0]}{i}.org", None) for i in range(300)] + [(None, "http://a.org/", None)], "page_id long, url string, html string").repartition(4)
+    index = warc.merge_index(warc.write_archives(pages, common.scratch(spark, "t"), F.coalesce("page_id", F.lit(-5)), run_rows=20), 10)
+    one = sorted((r for r in rows(index) if r["url_key"] == "org,a)/"), key=lambda r: r["position"])
+    assert [r["nth"] for r in one] == list(range(1, 296)) and [r["previous_id"] for r in one][1:] == [r["page_id"] for r in one][:-1] and one[0]["page_id"] is None
+
+
+def test_warc_ends_of_slices():
+    ends = [(0, 3, "a", "b", 2, 7), (1, 2, "b", "b", 2, 9), (3, 4, "b", "c", 1, 1), (4, 1, "d", "d", 1, 2)]
+    assert warc.carried(ends) == [(0, 0, "a", 0, None), (1, 3, "b", 2, 7), (3, 5, "b", 4, 9), (4, 9, "d", 0, None)]
+
+
+def test_warc_takes_any_id_and_time(spark):
+    ids = [0, -1, 10**12, 2**62, -(2**63), 2**63 - 1]
+    pages = spark.createDataFrame([(i, "http://x.org/", "z" * 150) for i in ids], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in rows(warc.archived(pages))}
+    assert set(got) == set(ids) and {r["refers_to"] for r in got.values()} == {None, -(2**63)}
+    assert warc.warc_date(-(2**63)) == "0001-01-01T00:00:00Z" and warc.warc_date(2**63 - 1) == "9999-12-31T23:59:59Z" and warc.warc_date(0) == "1970-01-01T00:00:00Z"
+
+
+def test_warc_many_repeated_payloads(spark):
+    """The joined way, beyond what may be broadcast, gives what the broadcast way gives."""
+    pages = spark.createDataFrame([*PAGES, *PAGES, (None, None, "x" * 120)], "page_id long, url string, html string").repartition(3)
+    kinds = []
+    for limit in (0, 200_000):
+        runs = warc.write_archives(pages, common.scratch(spark, "t"), F.lit(0), broadcast_rows=limit)
+        kinds.append(Counter((r["page_id"], r["record_type"]) for r in rows(runs)))
+    assert kinds[0] == kinds[1] and kinds[0][None, "revisit"] == 1
 
 
 # ---------------------------------------------------------------- 6 Katz
@@ -456,13 +612,59 @@ def test_link_forest(spark, hot):
 
 
 def test_thresholds_cover_the_distance():
+    options = simhash.groupings(np.eye(64))
+    near = [[simhash.independent(np.full(64, 0.5), g) for g in groups] for groups in options]
     for n in (10, 10**4, 10**6, 10**9):
-        plan = simhash.allot(np.full(64, 0.5), n, np.eye(64))
+        plan = simhash.allot(n, options, near)
         assert sum(e + 1 for _, e in plan) == simhash.DISTANCE + 1
         bits = [b for g, _ in plan for b in g]
         assert len(bits) == len(set(bits))
 
 
+def test_unequal_thresholds_on_skewed_bits(spark):
+    """40 of 64 bits follow four hidden ones: partitions of those tell little and get less, the others more; no link is lost."""
+    rng = np.random.default_rng(11)
+    n = 30_000
+    bits = rng.integers(0, 2, (n, 64), dtype=np.uint64)
+    for k in range(4):
+        bits[:, 10 * k : 10 * k + 10] = bits[:, [10 * k]] ^ (rng.random((n, 10)) < 0.02)
+    fps = (bits << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    fps = np.unique(np.r_[fps, fps[:300] ^ np.uint64(1 << 45 | 1 << 50 | 1 << 63)])
+    reps = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, rep long")
+    plan = simhash.plan(reps, len(fps))
+    assert len({e for _, e in plan}) > 1 and sum(e + 1 for _, e in plan) == simhash.DISTANCE + 1
+    up = simhash.Forest(len(fps))
+    for k in range(0, len(fps), 500):
+        a, b = np.nonzero(np.bitwise_count(fps[k : k + 500, None] ^ fps[None, :]) <= simhash.DISTANCE)
+        up.add(a + k, b)
+    named = {r["node"]: r["component"] for r in graph.components(simhash.link_forest(reps)).collect()}
+    assert [named.get(i, i) for i in range(len(fps))] == up.label.tolist()
+
+
+def test_candidates_are_estimated_from_pairs(spark):
+    """Bits that always go together differ together: pair distances tell, single bits do not."""
+    rng = random.Random(13)
+    fps = sorted({sum((0xFF * rng.randrange(2)) << 8 * k for k in range(8)) for _ in range(400)})
+    options = [[list(range(16)), list(range(16, 64))]]
+    got = list(simhash._near_counts(np.array(fps[:50], dtype=np.uint64), options, 4)([pa.RecordBatch.from_arrays([pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["fp"])]))[0].to_pylist()
+    want = Counter()
+    for f in fps:
+        for g in fps[:50]:
+            for j, bits in enumerate(options[0]):
+                d = sum((f ^ g) >> b & 1 for b in bits)
+                if f != g and d <= 4:
+                    want[0, j, d] += 1
+    assert {(r["k"], r["j"], r["e"]): r["n"] for r in got if r["n"]} == want
+
+
+def test_rows_that_share_an_id(spark):
+    """Different texts under one id are two documents; equal ones are one."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black brown")
+    docs = table(spark, [(1, a, "x", "s", 0), (1, b, "x", "s", 1), (1, a, "y", "s", 2), (2, b, "x", "s", 3), (3, c, "x", "s", 4), (None, c, "x", "s", 5), (None, None, None, None, None)])
+    kept = sorted(((r["doc_id"], r["text"]) for r in rows(simhash.keep_one(docs))), key=repr)
+    assert kept == sorted([(1, a), (1, b), (3, c), (None, c), (None, None)], key=repr) and simhash.keep_one(docs).columns == docs.columns
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, 200)] + [(300, 300 + i) for i in range(50)]
@@ -518,10 +720,62 @@ def test_quality_repeats_far_apart(limit):
         assert abs(quality.facts(" ".join(words), shapes, step)[0].repeat_share - (1 - len(set(pairs)) / len(pairs))) < 1e-12
 
 
+def naive_facts(text):
+    """The labellers' view, word by word."""
+    w = (text or "").split()
+    if not w:
+        return quality.Facts(*[0] * 9)
+    n, pairs, seen_lines = len(w), list(zip(w, w[1:])), [x for x in text.split("\n") if x.strip()]
+    share = lambda test: sum(map(test, w)) / n
+    return quality.Facts(
+        n, share(lambda x: any(c in "#*$%&|<>" for c in x)), share(lambda x: x in quality.BARS), share(lambda x: len(x) > 1 and x.isupper()),
+        share(lambda x: len(x) > 1 and not x[-1].isalnum() and x[-1] == x[-2]), sum(map(len, w)) / n, 1 - len(set(pairs)) / len(pairs) if pairs else 0.0,
+        1 - len(set(seen_lines)) / len(seen_lines) if seen_lines else 0.0, share(lambda x: x[-1] in ".!?"),
+    )
+
+
+def test_quality_query_against_brute_force(spark, tmp_path):
+    """The whole query: facts and features text by text, EM over single texts, and the scorer's sum."""
+    rng = random.Random(17)
+    texts = corpus(16, 80, 150) + [" ".join(w.upper() + "!!" for w in t.split()) for t in corpus(18, 12)] + [" | ".join(t.split()) for t in corpus(19, 12)] + [". ".join(t.split()) + "." for t in corpus(20, 12)]
+    docs = [(i, t + rng.choice(["", ".", "\n" + t]), "en", "s", 0) for i, t in enumerate(texts)] + [(i + 1000, *r) for i, *r in EDGE if i not in (5, None)]
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(queries.op8_quality(spark, str(tmp_path)))
+    facts = [naive_facts(t) for _, t, *_ in docs]
+    codes = [quality.votes(f) for f in facts]
+    per_text = np.array([[c // 3 ** (8 - i) % 3 for i in range(9)] for c in codes])
+    post, _ = quality.expectation_maximisation(per_text, np.ones(len(docs)))  # one pattern for each text
+    slot = lambda x: quality.xxhash.xxh32_intdigest(x) % 2048
+    x = np.zeros((len(docs), quality.DIM))
+    for i, (_, t, *_) in enumerate(docs):
+        for w in (t or "").split():
+            shape = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w)
+            shape = "".join(c if k == 0 or shape[k - 1] != c else "+" if k == 1 or shape[k - 2] != c else "" for k, c in enumerate(shape))
+            x[i, slot("s" + shape)] += 1
+            x[i, 2048 + slot("p" + w.strip(quality.MARKS)[:3].lower())] += 1
+    seen = quality.examined(common.table(spark, str(tmp_path), "documents"))
+    weights = quality.learn(seen).weights
+    want = {}
+    for (i, t, *_), f, c, p in zip(docs, facts, x, post):
+        z = quality.features(f, c) @ weights
+        want[i] = (f.words, p, 1 / (1 + np.exp(-z)))
+    assert len(got) == len(docs)
+    for r in got:
+        n, p, s = want[r["doc_id"]]
+        assert r["n_words"] == n and r["posterior"] == pytest.approx(p, abs=1e-6) and r["score"] == pytest.approx(s, abs=1e-6) and r["kept"] == (r["score"] >= 0.5)
+
+
+def test_quality_does_not_depend_on_partitions(spark):
+    texts = [(i, t, None, None, None) for i, t in enumerate(corpus(22, 90, 60))]
+    models = [quality.learn(quality.examined(table(spark, r).repartition(n)), sample=40) for r, n in ((texts, 1), (texts[::-1], 7))]
+    assert (models[0].weights == models[1].weights).all() and models[0].posterior == models[1].posterior
+
+
 def test_quality_edge(edge, none):
-    m = quality.learn(edge)
-    assert len(rows(quality.score(edge, m))) == len(EDGE) and rows(quality.score(none, quality.learn(none))) == []
-    assert all(0 <= r["score"] <= 1 for r in rows(quality.score(edge, m)))
+    seen = quality.examined(edge)
+    m = quality.learn(seen)
+    assert len(rows(quality.score(seen, m))) == len(EDGE) and rows(quality.classify(none)) == []
+    assert all(0 <= r["score"] <= 1 for r in rows(quality.score(seen, m)))
 
 
 # ---------------------------------------------------------------- 9 mixing
@@ -569,6 +823,58 @@ def test_mixing(spark, none):
     assert mixed.columns == none.columns and max(Counter(r["doc_id"] for r in rows(mixed) if r["doc_id"] not in (1,)).values()) <= 2
 
 
+def test_mixing_against_brute_force(spark):
+    """taken, word by word: the words of each shard laid out in seeded order, the blocks chosen one by one."""
+    texts = [(i + 100, t, None, s, None) for i, (t, s) in enumerate(zip(corpus(2, 150), [*"aaab" * 30, *"cd" * 15]))] + EDGE
+    df = table(spark, texts)
+    block, got = 10, rows(mixing.mix(df, block_words=10, shard_words=700, shard_rows=20))
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    # the seeded hashes come from the engine, everything else is counted here
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(42))).otherwise(F.xxhash64("doc_id", F.lit(42)))
+    hashed = [r.asDict() for r in df.select("doc_id", "text", "source", own.alias("dealt")).withColumn("h", F.xxhash64(F.lit(43), "dealt")).collect()]
+    per = defaultdict(list)
+    for r in hashed:
+        per[r["source"]].append(r)
+    names = sorted(k for k in per if k is not None) + [None]
+    sizes = [sum(size(r["text"]) for r in per[k]) for k in names]
+    goal = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes))
+    shards = {}
+    for k, s in zip(names, sizes):
+        n = max(1, -(-s // 700), -(-len(per[k]) // 20))
+        shards[k] = [[r for r in per[k] if r["dealt"] % n == j] for j in range(n)]
+        shards[k] = [x for x in shards[k] if x]
+    total = lambda x: sum(size(r["text"]) for r in x)
+    n_blocks = {k: [-(-total(x) // block) for x in v] for k, v in shards.items()}
+    quota = mixing.sainte_lague(goal, round(sum(goal) / block), [2 * sum(n_blocks[k]) for k in names])
+    want = Counter()
+    for k, q in zip(names, quota):
+        live = [(x, b) for x, b in zip(shards[k], n_blocks[k]) if b]
+        for (x, b), seats in zip(live, mixing.sainte_lague([total(x) for x, _ in live], q, [2 * b for _, b in live])):
+            number = next(j for j in range(10**6) if x[0]["dealt"] % max(1, -(-total(per[k]) // 700), -(-len(per[k]) // 20)) == j)
+            turn = spark.range(1).select(F.pmod(F.xxhash64(F.lit(44), F.lit(k).cast("string"), F.lit(number).cast("long")), F.lit(b)).alias("r")).first()["r"]
+            more = seats % b
+            often = [seats // b + (((i + turn + 1) * more) // b > ((i + turn) * more) // b) for i in range(b)]
+            assert sum(often) == seats
+            at = 0
+            for r in sorted(x, key=lambda r: (r["h"], r["doc_id"] is not None, r["doc_id"] or 0, size(r["text"]))):
+                want[r["doc_id"], size(r["text"])] += sum(often[w // block] for w in range(at, at + size(r["text"])))
+                at += size(r["text"])
+    have = Counter()
+    for r in got:
+        have[r["doc_id"], r["size"]] += r["taken"]
+    assert {k: v for k, v in have.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_mixing_keeps_any_columns(spark, none):
+    """Columns that are called as the operator's own come through; so do rows without an id."""
+    docs = table(spark, [(1, "a b c", "en", "s", 1), (None, "d e f", "en", "s", 2), (2, "", "en", "t", 3)])
+    for name in ("m_copy", "m_times", "times", "copy", "id", "row", "c0", "taken", "a.b"):
+        df = docs.withColumn(name, F.lit("kept"))
+        out = mixing.apply_mix(df)
+        assert out.columns == df.columns and {r[name] for r in out.collect()} <= {"kept"}
+    assert mixing.apply_mix(none).collect() == []
+
+
 # ---------------------------------------------------------------- 10 sharding
 
 
@@ -594,6 +900,42 @@ def test_sharding(spark, none):
     assert rows(sharding.shard(none)) == []
 
 
+def literal_packing(weights, shards, importance=(8.0, 1.0, 2.0)):
+    """Heaviest first, each to the shard with the highest dot product, in plain Python."""
+    even = [sum(w[d] for w in weights) / shards or 1.0 for d in range(3)]
+    unit = [[x / e for x, e in zip(w, even)] for w in weights]
+    left, out = [[1.0] * 3 for _ in range(shards)], [0] * len(weights)
+    for i in sorted(range(len(unit)), key=lambda i: (-max(unit[i]), i)):
+        value = [sum(a * b * c for a, b, c in zip(importance, unit[i], room)) for room in left]
+        out[i] = max(range(shards), key=lambda k: (round(value[k], 9), -k))
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], unit[i])]
+    return out
+
+
+def test_sharding_against_literal_packing(spark):
+    """Groups of equal texts so few and light that each is a bundle of its own: shards are those of the literal packing."""
+    rng = random.Random(23)
+    texts = [(i, "w" * rng.randint(1, 40) + f" {i // 2}", None, None, None) for i in range(60)]
+    texts = [(i, texts[i // 2 * 2][1], *r) for i, _, *r in texts]
+    got = {r["doc_id"]: r for r in rows(sharding.shard(table(spark, texts), shards=3, heavy_share=0.0001, cut_share=2.0))}
+    by = defaultdict(list)
+    for i, t, *_ in texts:
+        by[t].append(i)
+    units = {t: (len(ids) * (len(t) + 16), len(ids) * 2, len(ids)) for t, ids in by.items()}
+    keys = spark.createDataFrame([(t,) for t in by], "t string").select("t", F.struct(F.xxhash64("t").alias("a"), F.hash("t").alias("b"), F.length("t").alias("n")).alias("g")).select("t", F.xxhash64("g", F.lit(0).cast("long")).alias("u")).collect()
+    order = [r["t"] for r in sorted(keys, key=lambda r: r["u"])]  # ties in weight follow the units' numbers
+    at = dict(zip(order, literal_packing([units[t] for t in order], 3)))
+    assert {t: {got[i]["shard"] for i in ids} for t, ids in by.items()} == {t: {k} for t, k in at.items()}
+
+
+def test_packing_against_literal_packing():
+    rng = random.Random(24)
+    for _ in range(40):
+        w = [(rng.randint(1, 90), rng.randint(0, 9), rng.randint(1, 3)) for _ in range(rng.randint(0, 40))]
+        n = rng.randint(1, 7)
+        assert sharding.pack(np.array(w, dtype=float).reshape(-1, 3), n).tolist() == literal_packing(w, n)
+
+
 def test_packing_prefers_room():
     at = sharding.pack(np.array([[10, 1, 1], [10, 1, 1], [5, 0.5, 1], [5, 0.5, 1]], dtype=float), 2)
     assert at[0] != at[1] and at[2] != at[3]

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from vellum.llm.common import table
 
@@ -64,3 +65,26 @@ def test_run_on_empty_tables(spark, tmp_path):
     d = write_inputs(spark, tmp_path, empty=True)
     assert corpus_pipeline.run(spark, d).collect() == []
 
+
+
+def test_stages_keep_extra_columns(spark, tmp_path):
+    """Columns called as the operators' own ones pass every stage but the last."""
+    d = write_inputs(spark, tmp_path, edges=True)
+    names = ["fp", "h", "rep", "id", "c0", "times", "m_copy", "size", "toxic", "own_fp", "n_hit", "spans", "key"]
+    docs = table(spark, d, "documents")
+    for n in names:
+        docs = docs.withColumn(n, F.lit("kept"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(r[n] == "kept" for r in got for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == docs.count()
+
+
+def test_leaks_below_the_limit_are_cut(spark, tmp_path):
+    d = write_inputs(spark, tmp_path)
+    leak = prose(999, 40)
+    long = prose(500, 900) + " " + leak + " " + prose(501, 900)
+    docs = spark.createDataFrame([(1, long, "en", "a", 1), (2, prose(3), "en", "a", 1)], table(spark, d, "documents").schema)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_benchmark(spark, docs, d).collect()}
+    assert leak.rstrip(".") not in got[1] and got[1].startswith(prose(500, 900)) and got[2] == prose(3)
