@@ -2,8 +2,11 @@
 
 Each stage takes all that its predecessor kept and returns the columns of documents;
 the last returns the shard assignment.  Toxic documents go; of each near-duplicate
-component one document stays; contaminated documents go; mixing repeats or leaves out
-documents for its targets; sharding assigns each row a shard and a slot.
+component one document stays; contaminated documents go, and hit spans go from the
+others; mixing repeats or leaves out documents for its targets; sharding assigns each
+row a shard and a slot.  What a stage does with nulls, empty and very long texts, ties,
+repeated rows, empty tables and further columns is stated where its operator is
+defined; all stages carry further columns along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"), cut=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
