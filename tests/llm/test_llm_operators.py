@@ -490,39 +490,45 @@ def test_warc_many_repeated_payloads(spark):
 # ---------------------------------------------------------------- 6 Katz
 
 
-def test_katz_against_brute_force(spark):
-    texts = [(i + 100, t, None, None, None) for i, t in enumerate(corpus(6, 90, 60))] + [r for r in EDGE if r[0] != 5 and r[0] is not None]
+@pytest.mark.parametrize(("order", "hot"), [(2, 1e-3), (2, 0.02), (3, 1e-3), (3, 0.02), (4, 0.01)])
+def test_katz_against_brute_force(spark, order, hot):
+    texts = [(i + 100, t, None, None, None) for i, t in enumerate(corpus(6, 90, 25))] + [r for r in EDGE if r[0] != 5 and r[0] is not None]
     train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
-    for hot in (1e-3, 0.02):
-        got = rows(katz.score(table(spark, texts).repartition(3), common.fold("doc_id", 10) != 0, block_words=300, bucket_entries=500, hot_share=hot))
-        uni, bi = Counter(), defaultdict(Counter)
-        toks = [(i, re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) + [None]) for i, t, *_ in texts]
-        for i, t in toks:
-            if train(i):
-                uni.update(t)
-                for v, w in zip(["<s>", *t], t):
-                    bi[v][w] += 1
-        total, types = sum(uni.values()), len(uni)
-        of = lambda c: [0] + [c[r] for r in range(1, katz.K + 2)]
-        p_uni = katz.Unigram.of(total, types, of(Counter(uni.values())))
-        p = lambda w: float(p_uni(np.array([uni.get(w, 0)]))[0])
-        assert sum(map(p, uni)) + p_uni.unseen == pytest.approx(1)
-        d = katz.discounts(of(Counter(c for m in bi.values() for c in m.values())))
-        disc = lambda c: float(d[c]) if c <= katz.K else 1.0
-
-        def cond(v, w):
-            m = bi.get(v)
-            if not m:
-                return p(w)
-            n = sum(m.values()) + all(c > katz.K for c in m.values())
-            if w in m:
-                return disc(m[w]) * m[w] / n
-            return (1 - sum(disc(c) * c for c in m.values()) / n) / (1 - sum(map(p, m))) * p(w)
-
-        for v in list(bi)[:20]:
-            assert sum(cond(v, w) for w in uni) + cond(v, b"not a word") == pytest.approx(1)
-        want = sorted((i, len(t), sum(w in uni for w in t), total, round(sum(np.log10((uni.get(w, 0) + 0.1) / (total + 0.1 * (types + 1))) for w in t), 6), round(sum(np.log10(cond(v, w)) for v, w in zip(["<s>", *t], t)), 6)) for i, t in toks)
-        assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
+    got = rows(katz.score(table(spark, texts).repartition(3), common.fold("doc_id", 10) != 0, order, block_words=300, bucket_entries=500, hot_share=hot))
+    toks = [(i, re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) + [None]) for i, t, *_ in texts]
+    after = [defaultdict(Counter) for _ in range(order)]  # by the history's length
+    for i, t in toks:
+        for k in range(len(t) if train(i) else 0):
+            for n in range(order):
+                if n <= k + 1:
+                    after[n][tuple(["<s>", *t][k + 1 - n : k + 1])][t[k]] += 1
+    uni = after[0][()]
+    total, types = sum(uni.values()), len(uni)
+    of = lambda c: [0] + [c[r] for r in range(1, katz.K + 2)]
+    p_uni = katz.Unigram.of(total, types, of(Counter(uni.values())))
+    d = [katz.discounts(of(Counter(c for m in level.values() for c in m.values()))) for level in after]
+    disc = lambda n, c: float(d[n][c]) if c <= katz.K else 1.0
+    memo = {}
+
+    def p(h, w):
+        """Katz by definition, recursively."""
+        n = len(h)
+        if not n:
+            return float(p_uni(np.array([uni.get(w, 0)]))[0])
+        m = after[n].get(h)
+        if not m:
+            return p(h[1:], w)
+        if h not in memo:
+            base = sum(m.values()) + all(c > katz.K for c in m.values())
+            memo[h] = base, (1 - sum(disc(n, c) * c for c in m.values()) / base) / (1 - sum(p(h[1:], x) for x in m))
+        base, alpha = memo[h]
+        return disc(n, m[w]) * m[w] / base if w in m else alpha * p(h[1:], w)
+
+    for n in range(order):
+        for h in list(after[n])[:20]:
+            assert sum(p(h, w) for w in uni) + p(h, b"not a word") == pytest.approx(1)
+    want = sorted((i, len(t), sum(w in uni for w in t), total, round(sum(np.log10((uni.get(w, 0) + 0.1) / (total + 0.1 * (types + 1))) for w in t), 6), round(sum(np.log10(p(tuple(["<s>", *t][max(0, k + 2 - order) : k + 1]), w)) for k, w in enumerate(t)), 6)) for i, t in toks)
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
 
 
 def test_katz_edge(spark, edge, none):

@@ -1,30 +1,39 @@
 """Language model scores with Katz backoff.
 
-A bigram model over words and text ends, learned from the rows that `train` accepts:
+An n-gram model of any order over words and text ends, learned from the rows that
+`train` accepts.  With h a history of k - 1 words and h' the same without its first:
 
-* P(w | v) = d(c) c(v, w) / c(v) where v w was seen c times, with Good-Turing
-  discounts d for c up to 5;
-* otherwise alpha(v) P(w), where alpha(v) hands the mass that discounting frees to
-  the words not seen after v, normalised exactly: alpha(v) is that mass over one less
-  the sum of P over the words seen after v;
+* P(w | h) = d(c) c(h, w) / c(h) where h w was seen c times, with Good-Turing
+  discounts d of its own for each k, for c up to 5;
+* otherwise alpha(h) P(w | h'), evaluated in the same way, down to
 * P(w) = d(c) c(w) / N, and what is left goes to one type for all unseen words.
 
-If all counts after v are over 5 there is nothing to discount; its counts are then
-scaled by c(v) / (c(v) + 1).  The first word's history is the text's start.
+alpha(h) hands the mass that discounting frees to the words not seen after h, normalised
+exactly: it is that mass over one less the sum of P(w | h') over the words seen after h.
+If all counts after h are over 5 there is nothing to discount; its counts are then
+scaled by c(h) / (c(h) + 1).  A history that was never seen gives P(w | h').  Histories
+reach back to the text's start and count it as one word.
 
 Scale.  Texts are written once as blocks: word ids, hashes of their words, document
-lengths.  A block asks for counts with two shuffles, of words and then of word pairs:
-its distinct keys go to hash buckets as packed arrays, a bucket adds up what all
-blocks report, stores its part of the count table, and answers each block in the
-order it asked.  The first answer also numbers the words (bucket after bucket), so
-pairs travel and are stored as sorted, difference-coded numbers.  A key, however frequent, is one entry for each block.  Pairs are dealt by
-their history, so a bucket can sum up alpha(v); histories with over a thousandth of
-all tokens (fewer than a thousand words) are dealt by the pair, and their sums, one
+lengths.  A block asks for counts level by level, with one shuffle each: its distinct
+keys go to hash buckets as packed arrays, a bucket adds up what all blocks report,
+stores its part of the level's count table, and answers each block in the order it
+asked.  Answers also number the keys (bucket after bucket), so that a level's histories
+are numbers of the level below, and keys travel and are stored as sorted,
+difference-coded numbers.  A key, however frequent, is one entry for each block.  Keys
+are dealt by their history, so a bucket can sum up alpha(h): a word seen after h was
+seen after h' too, so its P(w | h') follows from its count one level below, which
+travels along, and from c(h'), which the block knows.  Histories with over a thousandth
+of all tokens (fewer than a thousand) are dealt by the whole key, and their sums, one
 row for each, go through the driver.  Buckets and blocks have a bounded number of
-entries; their number grows with the input.  Counts cover all training rows.
-
-A null text is empty: its one token is the end.  Rows that repeat count and score as
-often as they occur.  Without training rows every token is unseen, at probability 1.
+entries; their number, and that of the tasks, grows with the input.  Counts cover all
+training rows.
+
+A null text is empty: its one token is the end.  A text of any length is part of one
+block.  Rows that repeat count and score as often as they occur.  Without training rows
+every token is unseen, at probability 1.  An empty table gives an empty result.  Only
+the id and the text are read, and what `train` looks at, whatever other columns are
+called.
 """
 
 from __future__ import annotations
@@ -44,6 +53,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import small_batches, utf8, written
 
 K = 5
+ORDER = 3
 END, START = 0, 1  #: ids in each block; their hashes are those of no word
 SPECIAL = [b" end", b" start"]
 
@@ -173,13 +183,14 @@ def _blocks(block_words: int):
 
 
 class Block:
-    """A block's tokens, its distinct words and its distinct word pairs, in the order they are asked for."""
+    """A block's tokens, and its distinct words and longer keys in the order they are asked for."""
 
     def __init__(self, data: bytes):
         self.hash, self.tok, self.length, train = unpack(data)
-        self.end = np.cumsum(self.length)
+        self.begin = np.r_[0, np.cumsum(self.length)[:-1]].astype(np.int64)
         self.train = np.repeat(train.astype(bool), self.length)
-        self.train_docs = int(train.sum())
+        #: Place of each token in its text.
+        self.place = np.arange(len(self.tok)) - np.repeat(self.begin, self.length)
 
     def words(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order of the word ids asked for, their training counts, and where each bucket starts."""
@@ -189,24 +200,60 @@ class Block:
         order = order[order != START]  # never a token
         return order, n[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
-    def pairs(self, number: np.ndarray, buckets: int, hot: np.ndarray) -> tuple:
-        """Histories, words and training counts of the distinct pairs, the bucket starts, and each token's pair.
-
-        number: the corpus-wide number of each word id.
-        """
-        prev = np.empty_like(self.tok)
-        prev[1:] = self.tok[:-1]
-        prev[np.r_[0, self.end[:-1]]] = START
-        code, at = np.unique(prev.astype(np.int64) * len(self.hash) + self.tok, return_inverse=True)
-        v, w = code // len(self.hash), code % len(self.hash)
-        n = np.bincount(at, weights=self.train, minlength=len(code)).astype(np.int64)
-        vn, wn = number[v], number[w]
-        spread = np.where(np.isin(vn, hot), _mix(vn ^ _mix(wn)), _mix(vn))
+
+@dataclass
+class Below:
+    """What a block knows of the keys of one level: their words, counts and numbers, P by key, and the key at each token.
+
+    `base` is what counts are divided by, a history's count but for scaling; it is asked
+    for by the key's history.  Token places before `since` have no key of this level.
+    """
+
+    word: np.ndarray
+    count: np.ndarray
+    number: np.ndarray
+    p: np.ndarray
+    base: np.ndarray
+    at: np.ndarray
+    since: int
+
+
+class Keys:
+    """A block's distinct keys of one level above `below`: history, word, training count, bucket starts, and the key at each token."""
+
+    def __init__(self, block: Block, below: Below, words: Below, level: int, buckets: int, hot: np.ndarray):
+        if level == 2:
+            hist = np.where(block.place > 0, np.r_[0, block.tok[:-1]], START)
+            self.since = 0
+        else:  # the key below that ended at the token before
+            hist = np.r_[0, below.at[:-1]]
+            self.since = below.since + 1
+        self.live = block.place >= self.since
+        tok = block.tok[self.live].astype(np.int64)
+        size = max(1, len(block.hash))
+        code, at = np.unique(hist[self.live].astype(np.int64) * size + tok, return_inverse=True)
+        h, w = code // size, code % size
+        n = np.bincount(at, weights=block.train[self.live], minlength=len(code)).astype(np.int64)
+        hn, wn = below.number[h], words.number[w]
+        spread = np.where(np.isin(hn, hot), _mix(hn ^ _mix(wn)), _mix(hn))
         bucket = (spread % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((wn, vn, bucket))
+        order = np.lexsort((wn, hn, bucket))
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
-        return v[order], w[order], n[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), place[at]
+        self.hist, self.word, self.n, self.hist_number, self.word_number = h[order], w[order], n[order], hn[order], wn[order]
+        self.start = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        self.at = np.zeros(len(block.tok), dtype=np.int64)
+        self.at[self.live] = place[at]
+        # the key one level below of each: the word itself, or the shorter key that ends at the same token
+        if level == 2:
+            self.low = self.word
+        else:
+            self.low = np.zeros(len(order), dtype=np.int64)
+            self.low[self.at[self.live]] = below.at[self.live]
+
+    def parts(self):
+        """(bucket, from, to) of the buckets asked."""
+        return ((b, i, j) for b, (i, j) in enumerate(zip(self.start[:-1].tolist(), self.start[1:].tolist(), strict=True)) if i < j)
 
 
 ASKED = "bucket int, block string, data binary"
@@ -222,6 +269,18 @@ ANSWER_KINDS = [pa.string(), *ASKED_KINDS]
 ASKED_NAMES, ANSWER_NAMES = ["bucket", "block", "data"], ["kind", "bucket", "block", "data"]
 
 
+@dataclass(frozen=True)
+class Level:
+    """What the driver knows of a level once its counts are there."""
+
+    buckets: int
+    offset: np.ndarray  #: number of the first key of each bucket, and of the first after the last
+    d: np.ndarray
+    hot: np.ndarray  #: numbers of the histories, one level below, that are dealt by the whole key
+    hot_sum: np.ndarray  #: of P over the words seen after each, but for its base
+    hot_m: np.ndarray  #: how many words were seen once, twice, ... after each
+
+
 def _ask_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,6 +293,12 @@ def _ask_words(buckets: int):
     return run
 
 
+def _top(c: np.ndarray, least: int = 1000) -> bytes:
+    """The most frequent keys of a bucket, for the choice of hot histories."""
+    top = np.argsort(-c, kind="stable")[:least]
+    return pack(top.astype(np.uint64), c[top])
+
+
 def _add_words(asked: pa.Table) -> pa.Table:
     """A bucket's words: totals, the table's part, and each block's answer."""
     bucket = asked.column("bucket")[0].as_py()
@@ -242,10 +307,7 @@ def _add_words(asked: pa.Table) -> pa.Table:
     c = np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
     seen = c > 0
     stats = {"bucket": bucket, "size": len(h), "types": int(seen.sum()), "total": int(c.sum()), "n": np.bincount(np.minimum(c[seen], K + 2), minlength=K + 3).tolist()[: K + 2]}
-    rows = [("stats", bucket, None, json.dumps(stats).encode()), ("table", bucket, None, pack(h[seen], c[seen]))]
-    # the most frequent words of a bucket, for the choice of hot histories
-    top = np.argsort(-c, kind="stable")[:1000]
-    rows.append(("top", bucket, None, pack(top.astype(np.uint64), c[top])))
+    rows = [("stats", bucket, None, json.dumps(stats).encode()), ("table", bucket, None, pack(h[seen], c[seen])), ("top", bucket, None, _top(c))]
     k = 0
     for name, p in zip(asked.column("block").to_pylist(), parts, strict=True):
         own = at[k : k + len(p[0])].astype(np.uint64)  # ascends, as the hashes asked for do
@@ -254,39 +316,86 @@ def _add_words(asked: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(ANSWER_NAMES, rows, ANSWER_KINDS)])
 
 
-def _told(answers: list[dict], block: Block, buckets: int, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Training count and corpus-wide number of each word id of a block; the text's start is numbered last."""
-    order, _, _ = block.words(buckets)
-    c, number = np.zeros(len(block.hash), dtype=np.int64), np.full(len(block.hash), offset[-1], dtype=np.uint64)
+def _known_words(block: Block, answers: list[dict], level: Level, unigram: Unigram, train_docs: int) -> Below:
+    """The words of a block; the text's start is numbered last, and occurs as often as there are texts."""
+    order, _, _ = block.words(level.buckets)
+    c, number = np.zeros(len(block.hash), dtype=np.int64), np.full(len(block.hash), level.offset[-1], dtype=np.uint64)
     parts = [(a["bucket"], *unpack(a["data"])) for a in sorted(answers, key=lambda a: a["bucket"])]
     counts = np.concatenate([p[1] for p in parts])
     assert len(counts) == len(order), "an answer is missing"
     c[order] = counts
-    number[order] = np.concatenate([np.cumsum(p[2].astype(np.uint64)) + offset[p[0]] for p in parts])
-    return c, number
-
+    number[order] = np.concatenate([np.cumsum(p[2].astype(np.uint64)) + level.offset[p[0]] for p in parts])
+    p = unigram(c)
+    c = c.copy()
+    c[START] = train_docs
+    return Below(np.arange(len(c)), c, number, p, np.ones(len(c)), block.tok.astype(np.int64), 0)
+
+
+def _known(block: Block, keys: Keys, answers: list[dict], below: Below, level: Level) -> Below:
+    """Counts, numbers and P of a block's keys, from their buckets' answers and from one level below."""
+    by = {a["bucket"]: a["data"] for a in answers}
+    n = len(keys.word)
+    p, count, number, base_of = np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint64), np.ones(n)
+    d, hot = level.d, level.hot
+    for b, i, j in keys.parts():
+        c, whole, need, sums, own, *m = unpack(by[b])
+        c = c.astype(np.int64)
+        h, low = keys.hist[i:j], keys.low[i:j]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        run_of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, j - i]))
+        hn, ch = below.number[h[first]], below.count[h[first]]
+        k = np.searchsorted(hot, hn)
+        is_hot = (k < len(hot)) & (hot[np.minimum(k, max(0, len(hot) - 1))] == hn) if len(hot) else np.zeros(len(hn), dtype=bool)
+        total, ms = np.zeros(len(first)), np.zeros((K, len(first)))
+        total[need], ms[:, need] = sums, np.stack(m)
+        total[is_hot], ms[:, is_hot] = level.hot_sum[k[is_hot]], level.hot_m[:, k[is_hot]]
+        whole = np.where(is_hot, ms.sum(0) == 0, whole.astype(bool))
+        # what discounting frees, and alpha; all words after one history share the base one level below
+        freed = np.where(whole, 1.0, ((1 - d[1:, None]) * ms * np.arange(1, K + 1)[:, None]).sum(0))
+        base = np.maximum(ch + whole, 1)
+        alpha = np.where(ch > 0, freed / base / np.maximum(1 - total / below.base[low[first]], 1e-300), 1.0)
+        p[i:j] = np.where(c > 0, d[np.minimum(c, K) * (c <= K)] * c / base[run_of], alpha[run_of] * below.p[low])
+        count[i:j], base_of[i:j] = c, base[run_of]
+        if len(own):
+            number[i:j] = np.cumsum(own.astype(np.uint64)) + level.offset[b]
+    return Below(keys.word, count, number, p, base_of, keys.at, keys.since)
+
+
+def _climb(block: Block, answers: list[list[dict]], levels: list[Level], unigram: Unigram, train_docs: int) -> tuple[Below, Below, np.ndarray]:
+    """What the block knows of words and of the highest level answered, and each token's P there."""
+    words = below = _known_words(block, answers[0], levels[0], unigram, train_docs)
+    p = words.p[block.tok]
+    for k, (told, level) in enumerate(zip(answers[1:], levels[1:], strict=True), 2):
+        keys = Keys(block, below, words, k, level.buckets, level.hot)
+        below = _known(block, keys, told, below, level)
+        p = np.where(keys.live, below.p[keys.at], p)  # a text's first words have no longer history
+    return words, below, p
+
+
+def _ask(levels: list[Level], buckets: int, hot: np.ndarray, unigram: Unigram, train_docs: int):
+    """mapInArrow body: blocks with the answers so far to what they ask on the next level."""
 
-def _ask_pairs(word_buckets: int, buckets: int, offset: np.ndarray, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data, answers in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for name, data, *answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 block = Block(data)
-                c, number = _told(answers, block, word_buckets, offset)
-                v, w, n, start, _ = block.pairs(number, buckets, hot)
+                words, below, _ = _climb(block, answers, levels, unigram, train_docs)
+                keys = Keys(block, below, words, len(levels) + 1, buckets, hot)
                 rows = []
-                for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)):
-                    if i < j:
-                        first = np.flatnonzero(np.r_[True, v[i + 1 : j] != v[i : j - 1]])
-                        heads = number[v[i:j][first]]
-                        rows.append((b, name, pack(small(np.diff(heads, prepend=np.uint64(0))), np.diff(np.r_[first, j - i]).astype(np.uint32), small(steps(number[w[i:j]], first)), n[i:j].astype(np.uint32), small(c[w[i:j]]))))
+                for b, i, j in keys.parts():
+                    first = np.flatnonzero(np.r_[True, keys.hist[i + 1 : j] != keys.hist[i : j - 1]])
+                    heads = keys.hist_number[i:j][first]
+                    rows.append((b, name, pack(small(np.diff(heads, prepend=np.uint64(0))), np.diff(np.r_[first, j - i]).astype(np.uint32), small(steps(keys.word_number[i:j], first)), keys.n[i:j].astype(np.uint32), small(below.count[keys.low[i:j]]))))
                 yield _rows(ASKED_NAMES, rows, ASKED_KINDS)
 
     return run
 
 
-def _add_pairs(unigram: Unigram, hot: np.ndarray):
+def _add(weight, hot: np.ndarray, last: bool):
+    """applyInArrow body for one level; weight: P of a word by its count one level below, but for its base."""
+
     def run(asked: pa.Table) -> pa.Table:
-        """A bucket's pairs: totals, the table's part, sums of hot histories, and each block's answer."""
+        """A bucket's keys: totals, the table's part, sums of hot histories, and each block's answer."""
         bucket = asked.column("bucket")[0].as_py()
         parts = [unpack(x) for x in asked.column("data").to_pylist()]
         parts = [[np.cumsum(p[0].astype(np.uint64)), *p[1:]] for p in parts]
@@ -299,20 +408,22 @@ def _add_pairs(unigram: Unigram, hot: np.ndarray):
         of[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
         c = np.bincount(of, weights=np.concatenate([p[3] for p in parts])).astype(np.int64)
         vs, ws = vs[first], ws[first]
-        cw = np.concatenate([p[4] for p in parts])[order][first].astype(np.int64)
+        low = np.concatenate([p[4] for p in parts])[order][first].astype(np.int64)
         # sums by history: how many words follow it once, twice, ... and their P together
         hist, group = np.unique(vs, return_inverse=True)
         seen = c > 0
         m = np.stack([np.bincount(group, weights=c == r, minlength=len(hist)) for r in range(1, K + 1)]).astype(np.int64)
-        p_seen = np.bincount(group, weights=np.where(seen, unigram(cw), 0.0), minlength=len(hist))
+        sums = np.bincount(group, weights=np.where(seen, weight(low), 0.0), minlength=len(hist))
         is_hot = np.isin(hist, hot)
         n = np.bincount(np.minimum(c[seen], K + 2), minlength=K + 3).tolist()[: K + 2]
         runs = np.flatnonzero(np.r_[True, vs[seen][1:] != vs[seen][:-1]]) if seen.any() else np.zeros(0, dtype=np.int64)
         rows = [
-            ("stats", bucket, None, json.dumps({"n": n}).encode()),
+            ("stats", bucket, None, json.dumps({"bucket": bucket, "size": len(first), "n": n}).encode()),
             ("table", bucket, None, pack(small(np.diff(vs[seen][runs], prepend=np.uint64(0))), np.diff(np.r_[runs, seen.sum()]).astype(np.uint32), small(steps(ws[seen], runs)), small(c[seen]))),
-            ("hot", bucket, None, pack(hist[is_hot], p_seen[is_hot], *(x[is_hot] for x in m))),
+            ("hot", bucket, None, pack(hist[is_hot], sums[is_hot], *(x[is_hot] for x in m))),
         ]
+        if not last:
+            rows.append(("top", bucket, None, _top(c)))
         k = 0
         for name, p in zip(asked.column("block").to_pylist(), parts, strict=True):
             own = of[k : k + len(p[2])]
@@ -320,64 +431,58 @@ def _add_pairs(unigram: Unigram, hot: np.ndarray):
             counts = c[own]
             run_of = np.repeat(np.arange(len(p[0])), p[1])
             g = np.searchsorted(hist, p[0])
-            # histories with a pair that was never seen need their sums; all need to know whether nothing was discounted
+            # histories with a key that was never seen need their sums; all need to know whether nothing was discounted
             need = np.flatnonzero((np.bincount(run_of, weights=counts == 0, minlength=len(p[0])) > 0) & ~is_hot[g])
             whole = (m[:, g].sum(0) == 0).astype(np.uint8)
-            rows.append(("answer", bucket, name, pack(small(counts), whole, need.astype(np.uint32), p_seen[g[need]], *(x[g[need]].astype(np.uint32) for x in m))))
+            number = small(np.diff(own.astype(np.uint64), prepend=np.uint64(0))) if not last else np.zeros(0, dtype=np.uint32)  # ascends, as the keys asked for do
+            rows.append(("answer", bucket, name, pack(small(counts), whole, need.astype(np.uint32), sums[g[need]], number, *(x[g[need]].astype(np.uint32) for x in m))))
         return pa.Table.from_batches([_rows(ANSWER_NAMES, rows, ANSWER_KINDS)])
 
     return run
 
 
-def _score(word_buckets: int, buckets: int, offset: np.ndarray, hot: np.ndarray, hot_p: np.ndarray, hot_m: np.ndarray, unigram: Unigram, d: np.ndarray, train_docs: int):
-    """mapInArrow body: blocks with both answers to scores."""
+def _score(levels: list[Level], unigram: Unigram, train_docs: int):
+    """mapInArrow body: blocks with all answers to scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, data, words, pairs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for docs, data, *answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 block = Block(data)
-                c, number = _told(words, block, word_buckets, offset)
-                c_hist = c.copy()
-                c_hist[START] = train_docs
-                v, w, _, start, at = block.pairs(number, buckets, hot)
-                answers = {a["bucket"]: a["data"] for a in pairs}
-                log = np.zeros(len(v))
-                for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)):
-                    if i == j:
-                        continue
-                    count, whole, need, p_seen, *m = unpack(answers[b])
-                    count = count.astype(np.int64)
-                    ids = v[i:j]
-                    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-                    run_of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, j - i]))
-                    vh, cv = number[ids[first]], c_hist[ids[first]]
-                    k = np.searchsorted(hot, vh)
-                    is_hot = (k < len(hot)) & (hot[np.minimum(k, max(0, len(hot) - 1))] == vh) if len(hot) else np.zeros(len(vh), dtype=bool)
-                    p, ms = np.zeros(len(first)), np.zeros((K, len(first)))
-                    p[need], ms[:, need] = p_seen, np.stack(m)
-                    p[is_hot], ms[:, is_hot] = hot_p[k[is_hot]], hot_m[:, k[is_hot]]
-                    whole = np.where(is_hot, ms.sum(0) == 0, whole.astype(bool))
-                    # what discounting frees, and alpha
-                    freed = np.where(whole, 1.0, ((1 - d[1:, None]) * ms * np.arange(1, K + 1)[:, None]).sum(0))
-                    base = np.maximum(cv + whole, 1)
-                    alpha = np.where(cv > 0, freed / base / np.maximum(1 - p, 1e-300), 1.0)
-                    seen = count > 0
-                    direct = d[np.minimum(count, K) * (count <= K)] * count / base[run_of]
-                    log[i:j] = np.log10(np.where(seen, direct, alpha[run_of] * unigram(c[w[i:j]])))
-                begin = np.r_[0, block.end[:-1]]
-                known = c[block.tok] > 0
-                base_log = np.log10((c + 0.1) / (unigram.total + 0.1 * (unigram.types + 1)))[block.tok] if unigram.total else np.full(len(block.tok), np.log10(0.1 / 0.1))
-                sums = [np.add.reduceat(x, begin) for x in (known.astype(np.int64), base_log, log[at])]
+                words, _, p = _climb(block, answers, levels, unigram, train_docs)
+                c = words.count[block.tok]
+                base_log = np.log10((c + 0.1) / (unigram.total + 0.1 * (unigram.types + 1))) if unigram.total else np.zeros(len(c))
+                sums = [np.add.reduceat(x, block.begin) for x in ((c > 0).astype(np.int64), base_log, np.log10(p))]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(block.length), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, train: Column, block_words: int = 1_250_000, bucket_entries: int = 2_000_000, hot_share: float = 1e-3) -> DataFrame:
+def _hot(told: DataFrame, offset: np.ndarray, least: float) -> np.ndarray:
+    """Numbers of the keys that occur more often than that."""
+    found = [np.zeros(0, dtype=np.uint64)]
+    for r in told.where("kind = 'top'").select("bucket", "data").toLocalIterator():
+        at, c = unpack(bytes(r["data"]))
+        found.append(at[c > least] + offset[r["bucket"]])
+    return np.concatenate(found)
+
+
+def _summary(told: DataFrame, buckets: int) -> tuple[list[dict], np.ndarray]:
+    """The buckets' totals, and the number of each bucket's first key."""
+    stats = [json.loads(bytes(r["data"])) for r in told.where("kind = 'stats'").select("data").toLocalIterator()]
+    sizes = np.zeros(buckets, dtype=np.uint64)
+    for x in stats:
+        sizes[x["bucket"]] = x["size"]
+    return stats, np.r_[np.uint64(0), np.cumsum(sizes)].astype(np.uint64)
+
+
+def score(docs: DataFrame, train: Column, order: int = ORDER, block_words: int = 600_000, bucket_entries: int = 1_000_000, hot_share: float = 1e-3) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for docs(doc_id, text); train tells the rows to learn from.
 
-    block_words and bucket_entries bound what a task holds; they do not change results.
+    order: words of a key, its history and itself, 2 or more.  block_words and
+    bucket_entries bound what a task holds; they do not change results.
     """
+    if order < 2:
+        raise ValueError("a backoff model has order 2 or more")
     spark = docs.sparkSession
     small_batches(spark)
     blocks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(_blocks(block_words), "block string, docs array<long>, data binary"), "katz-blocks")
@@ -385,37 +490,54 @@ def score(docs: DataFrame, train: Column, block_words: int = 1_250_000, bucket_e
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a block is large
     try:
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        tokens = blocks.select(F.sum(F.octet_length("data"))).first()[0] or 0  # a byte or two for each token, so this over-estimates little
-        word_buckets = max(least, -(-tokens // (2 * bucket_entries)))
-        buckets = max(least, -(-tokens // bucket_entries))
-        words = written(blocks.select("block", "data").mapInArrow(_ask_words(word_buckets), ASKED).groupBy("bucket").applyInArrow(_add_words, ANSWER), "katz-words", "kind")
-        told = words
-        stats = [json.loads(bytes(r["data"])) for r in told.where("kind = 'stats'").select("data").toLocalIterator()]
-        unigram = Unigram.of(sum(s["total"] for s in stats), sum(s["types"] for s in stats), [sum(s["n"][r] for s in stats) for r in range(K + 2)])
+        tokens, n_blocks = blocks.select(F.sum(F.octet_length("data")), F.count("*")).first()
+        tokens = tokens or 0  # a byte or two for each token, so this over-estimates little
+        tasks = max(least, -(-n_blocks // 2))
         train_docs = docs.where(F.coalesce(train, F.lit(False))).count()
-        hot = []
-        sizes = np.zeros(word_buckets, dtype=np.uint64)
-        for x in stats:
-            sizes[x["bucket"]] = x["size"]
-        offset = np.r_[np.uint64(0), np.cumsum(sizes)].astype(np.uint64)
-        for r in told.where("kind = 'top'").select("bucket", "data").toLocalIterator():
-            at, c = unpack(bytes(r["data"]))
-            hot.append(at[c > hot_share * max(1, unigram.total)] + offset[r["bucket"]])
-        hot = np.unique(np.concatenate([*hot, offset[-1:]]))  # fewer than 1 / hot_share words, and the text's start
-        answered = lambda told: told.where("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))  # noqa: E731  one entry for each bucket
-        asked = blocks.select("block", "data").join(answered(words), "block").select("block", "data", "answers").mapInArrow(_ask_pairs(word_buckets, buckets, offset, hot), ASKED)
-        pairs = written(asked.groupBy("bucket").applyInArrow(_add_pairs(unigram, hot), ANSWER), "katz-pairs", "kind")
-        told = pairs
-        stats = [json.loads(bytes(r["data"])) for r in told.where("kind = 'stats'").select("data").toLocalIterator()]
-        d = discounts([sum(s["n"][r] for s in stats) for r in range(K + 2)])
-        hot_p, hot_m = np.zeros(len(hot)), np.zeros((K, len(hot)))
-        for r in told.where("kind = 'hot'").select("data").toLocalIterator():
-            h, p, *m = unpack(bytes(r["data"]))
-            at = np.searchsorted(hot, h)
-            hot_p[at] += p
-            hot_m[:, at] += np.stack(m) if len(h) else np.zeros((K, 0))
-        whole = blocks.join(answered(words).withColumnRenamed("answers", "words"), "block").join(answered(pairs).withColumnRenamed("answers", "pairs"), "block")
-        out = written(whole.select("docs", "data", "words", "pairs").mapInArrow(_score(word_buckets, buckets, offset, hot, hot_p, hot_m, unigram, d, train_docs), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
+
+        def answered(told: DataFrame, name: str) -> DataFrame:
+            """The answers of each block, one entry for each bucket."""
+            return told.where("kind = 'answer'").repartition(tasks, "block").groupBy(F.col("block").alias(f"of_{name}")).agg(F.collect_list(F.struct("bucket", "data")).alias(name))
+
+        def with_answers(tables: list[DataFrame], *columns: str) -> DataFrame:
+            got = blocks.select("block", *columns).repartition(tasks, "block")
+            for k, told in enumerate(tables):
+                got = got.join(answered(told, f"a{k}"), F.col("block") == F.col(f"of_a{k}"))
+            return got.select(*columns, *(f"a{k}" for k in range(len(tables))))
+
+        def gathered(asked: DataFrame, buckets: int, add, name: str) -> DataFrame:
+            return written(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(add, ANSWER), name, "kind")
+
+        buckets = max(least, -(-tokens // (2 * bucket_entries)))
+        tables = [gathered(blocks.select("block", "data").mapInArrow(_ask_words(buckets), ASKED), buckets, _add_words, "katz-1")]
+        stats, offset = _summary(tables[0], buckets)
+        unigram = Unigram.of(sum(s["total"] for s in stats), sum(s["types"] for s in stats), [sum(s["n"][r] for s in stats) for r in range(K + 2)])
+        none = np.zeros(0)
+        levels = [Level(buckets, offset, none, none, none, none)]
+        hot = np.unique(np.r_[_hot(tables[0], offset, hot_share * max(1, unigram.total)), offset[-1:]])  # fewer than 1 / hot_share words, and the text's start
+        weight = unigram
+        buckets = max(least, -(-tokens // bucket_entries))
+        for k in range(2, order + 1):
+            asked = with_answers(tables, "block", "data").mapInArrow(_ask(levels, buckets, hot, unigram, train_docs), ASKED)
+            tables.append(gathered(asked, buckets, _add(weight, hot, k == order), f"katz-{k}"))
+            stats, offset = _summary(tables[-1], buckets)
+            d = discounts([sum(s["n"][r] for s in stats) for r in range(K + 2)])
+            hot_sum, hot_m = np.zeros(len(hot)), np.zeros((K, len(hot)))
+            for r in tables[-1].where("kind = 'hot'").select("data").toLocalIterator():
+                h, p, *m = unpack(bytes(r["data"]))
+                at = np.searchsorted(hot, h)
+                hot_sum[at] += p
+                hot_m[:, at] += np.stack(m) if len(h) else np.zeros((K, 0))
+            levels.append(Level(buckets, offset, d, hot, hot_sum, hot_m))
+            if k < order:
+                hot = np.unique(_hot(tables[-1], offset, hot_share * max(1, unigram.total)))
+                weight = _discounted(d)
+        out = written(with_answers(tables, "docs", "data").mapInArrow(_score(levels, unigram, train_docs), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", spark_rows)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(unigram.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _discounted(d: np.ndarray):
+    """The discounted count of a key that was seen c times."""
+    return lambda c: d[np.minimum(c, K) * (c <= K)] * c

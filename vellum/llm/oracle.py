@@ -42,10 +42,10 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 WARC = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1), '^www[.]', '') AS host,
   regexp_extract(lower(url), '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(lower(url), '^[^?#]+([?][^#]+)', 1) AS query FROM pages),
-k AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || query AS url_key, ((page_id % 315360000) + 315360000) % 315360000 AS at, min(page_id) OVER (PARTITION BY d) AS rep FROM p)
+k AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || query AS url_key, ((page_id % 315360000) + 315360000) % 315360000 AS captured, min(page_id) OVER (PARTITION BY d) AS rep FROM p)
 SELECT page_id, strlen(html) AS payload_bytes, d AS payload_digest, CASE WHEN strlen(html) >= 100 AND rep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-CASE WHEN strlen(html) >= 100 AND rep <> page_id THEN rep END AS refers_to, row_number() OVER (ORDER BY url_key, at, page_id) - 1 AS position,
-row_number() OVER (PARTITION BY url_key ORDER BY at, page_id) AS nth, lag(page_id) OVER (PARTITION BY url_key ORDER BY at, page_id) AS previous_id FROM k
+CASE WHEN strlen(html) >= 100 AND rep <> page_id THEN rep END AS refers_to, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS "position",
+row_number() OVER (PARTITION BY url_key ORDER BY captured, page_id) AS nth, lag(page_id) OVER (PARTITION BY url_key ORDER BY captured, page_id) AS previous_id FROM k
 """
 
 #: Seeded folds by CRC-32 (reflected, polynomial EDB88320), which DuckDB lacks.
@@ -62,7 +62,7 @@ DISCOUNTS = """
 KATZ = rf"""
 WITH {CRC32},
 x AS (SELECT d.doc_id, crc % 10 = 0 AS held_out, list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}'), [' end']) AS ws FROM documents d JOIN fold ON d.doc_id = fold.doc_id),
-t AS (SELECT doc_id, held_out, unnest(ws) AS w, unnest(list_concat([' start'], ws[1:len(ws) - 1])) AS v FROM x),
+t AS (SELECT doc_id, held_out, unnest(ws) AS w, unnest(list_concat([' start'], ws[1:len(ws) - 1])) AS v, unnest(list_concat([NULL, ' start'], ws[1:len(ws) - 2])[1:len(ws)]) AS u FROM x),
 u AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
 tot AS (SELECT sum(c)::BIGINT AS big_n, count(*) AS big_v FROM u),
 {DISCOUNTS.format(out="du", counts="u")},
@@ -71,9 +71,13 @@ pu AS (SELECT w, c, CASE WHEN c <= 5 THEN du[c] ELSE 1 END * c / big_n * (1 - un
 b AS (SELECT v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY ALL),
 {DISCOUNTS.format(out="db", counts="b")},
 h AS (SELECT v, sum(b.c) + (min(b.c) > 5)::INT AS base, CASE WHEN min(b.c) > 5 THEN 1 ELSE sum(CASE WHEN b.c <= 5 THEN (1 - d[b.c]) * b.c ELSE 0 END) END AS freed, sum(p) AS seen FROM b JOIN pu ON pu.w = b.w, db GROUP BY 1),
-s AS (SELECT t.doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(pu.c) AS n_known,
-  sum(log10((coalesce(pu.c, 0) + 0.1::DOUBLE) / (big_n + 0.1::DOUBLE * (big_v + 1)))) AS base_score,
-  sum(log10(CASE WHEN b.c IS NOT NULL THEN CASE WHEN b.c <= 5 THEN d[b.c] ELSE 1 END * b.c / h.base WHEN h.v IS NULL THEN coalesce(pu.p, unseen) ELSE freed / h.base / (1 - seen) * coalesce(pu.p, unseen) END)) AS score
-  FROM t LEFT JOIN pu ON pu.w = t.w LEFT JOIN b ON b.v = t.v AND b.w = t.w LEFT JOIN h ON h.v = t.v, mass, db GROUP BY 1)
+p2 AS (SELECT t.*, pu.c, CASE WHEN b.c IS NOT NULL THEN CASE WHEN b.c <= 5 THEN d[b.c] ELSE 1 END * b.c / h.base WHEN h.v IS NULL THEN coalesce(pu.p, unseen) ELSE freed / h.base / (1 - seen) * coalesce(pu.p, unseen) END AS p
+  FROM t LEFT JOIN pu ON pu.w = t.w LEFT JOIN b ON b.v = t.v AND b.w = t.w LEFT JOIN h ON h.v = t.v, mass, db),
+g AS (SELECT u, v, w, count(*) AS c, any_value(p) AS p FROM p2 WHERE NOT held_out AND u IS NOT NULL GROUP BY ALL),
+{DISCOUNTS.format(out="dg", counts="g")},
+k AS (SELECT u, v, sum(c) + (min(c) > 5)::INT AS base, CASE WHEN min(c) > 5 THEN 1 ELSE sum(CASE WHEN c <= 5 THEN (1 - d[c]) * c ELSE 0 END) END AS freed, sum(p) AS seen FROM g, dg GROUP BY ALL),
+s AS (SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(p2.c) AS n_known, sum(log10((coalesce(p2.c, 0) + 0.1::DOUBLE) / (big_n + 0.1::DOUBLE * (big_v + 1)))) AS base_score,
+  sum(log10(CASE WHEN g.c IS NOT NULL THEN CASE WHEN g.c <= 5 THEN d[g.c] ELSE 1 END * g.c / k.base WHEN k.v IS NULL THEN p2.p ELSE freed / k.base / (1 - seen) * p2.p END)) AS score
+  FROM p2 LEFT JOIN g ON g.u = p2.u AND g.v = p2.v AND g.w = p2.w LEFT JOIN k ON k.u = p2.u AND k.v = p2.v, dg, tot GROUP BY 1)
 SELECT doc_id, held_out, n_tokens, n_known, big_n AS train_tokens, base_score, score FROM s, tot
 """
