@@ -14,8 +14,8 @@ If all counts after h are over 5 there is nothing to discount; its counts are th
 scaled by c(h) / (c(h) + 1).  A history that was never seen gives P(w | h').  Histories
 reach back to the text's start and count it as one word.
 
-Scale.  Texts are written once as blocks: word ids, hashes of their words, document
-lengths.  A block asks for counts level by level, with one shuffle each: its distinct
+Scale.  Texts are written once as blocks, a file each: word ids, hashes of their words,
+document ids and lengths; no text is shuffled, only what is asked and answered.  A block asks for counts level by level, with one shuffle each: its distinct
 keys go to hash buckets as packed arrays, a bucket adds up what all blocks report,
 stores its part of the level's count table, and answers each block in the order it
 asked.  Answers also number the keys (bucket after bucket), so that a level's histories
@@ -42,15 +42,17 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches, utf8, written
+from vellum.llm.common import scratch, small_batches, utf8, written
 
 K = 5
 ORDER = 3
@@ -141,8 +143,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _blocks(block_words: int):
-    """mapInArrow body: (doc_id, text, train) to blocks."""
+def _blocks(folder: str, block_words: int):
+    """mapInArrow body: (doc_id, text, train) to blocks, a file each; a row tells its name and size.
+
+    Names are unique to the attempt, so a task that is lost and run again leaves no
+    block twice: only those in the committed table count.
+    """
 
     class Ids(dict):
         def __missing__(self, word: bytes) -> int:
@@ -150,18 +156,24 @@ def _blocks(block_words: int):
             return n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = pafs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
         ids, parts, lengths, train, names = Ids(), [], [], [], []
         ids.update({w: i for i, w in enumerate(SPECIAL)})
 
         def flush() -> pa.RecordBatch:
             hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in ids], dtype=np.uint64)
-            data = pack(hashes, np.concatenate(parts), np.array(lengths, dtype=np.int64), np.array(train, dtype=np.uint8))
-            out = pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([names], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["block", "docs", "data"])
+            known = np.array([x is not None for x in names])
+            data = pack(hashes, small_type(np.concatenate(parts), len(ids)), np.array(lengths, dtype=np.uint32), np.array(train, dtype=np.uint8), np.array([x or 0 for x in names], dtype=np.int64), known.astype(np.uint8))
+            name = uuid.uuid4().hex
+            with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+                out.write(data)
+            made = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)], pa.int64())], names=["block", "size"])
             ids.clear()
             ids.update({w: i for i, w in enumerate(SPECIAL)})
             for x in (parts, lengths, train, names):
                 x.clear()
-            return out
+            return made
 
         held = 0
         for batch in batches:
@@ -174,7 +186,6 @@ def _blocks(block_words: int):
                 held += len(words) + 1
                 if held >= block_words:
                     yield flush()
-                    names = []
                     held = 0
         if lengths:
             yield flush()
@@ -182,11 +193,29 @@ def _blocks(block_words: int):
     return run
 
 
+def small_type(a: np.ndarray, size: int) -> np.ndarray:
+    """Numbers below size in the narrowest type."""
+    return a.astype(np.uint16 if size <= 1 << 16 else np.uint32)
+
+
+def _fetch(folder: str):
+    """A function from a block's name to the block."""
+    store, path = pafs.FileSystem.from_uri(folder)
+
+    def fetch(name: str) -> Block:
+        with store.open_input_file(f"{path}/{name}") as f:
+            return Block(f.read())
+
+    return fetch
+
+
 class Block:
     """A block's tokens, and its distinct words and longer keys in the order they are asked for."""
 
     def __init__(self, data: bytes):
-        self.hash, self.tok, self.length, train = unpack(data)
+        self.hash, tok, length, train, names, known = unpack(data)
+        self.tok, self.length = tok.astype(np.int32), length.astype(np.int64)
+        self.docs = pa.array(names, mask=known == 0)
         self.begin = np.r_[0, np.cumsum(self.length)[:-1]].astype(np.int64)
         self.train = np.repeat(train.astype(bool), self.length)
         #: Place of each token in its text.
@@ -229,15 +258,18 @@ class Keys:
             hist = np.r_[0, below.at[:-1]]
             self.since = below.since + 1
         self.live = block.place >= self.since
-        tok = block.tok[self.live].astype(np.int64)
-        size = max(1, len(block.hash))
-        code, at = np.unique(hist[self.live].astype(np.int64) * size + tok, return_inverse=True)
-        h, w = code // size, code % size
+        # histories and words by the rank of their numbers, so that keys sort as they are asked for
+        h_order, w_order = np.argsort(below.number, kind="stable"), np.argsort(words.number, kind="stable")
+        rank_h, rank_w = np.empty(len(h_order), dtype=np.int64), np.empty(len(w_order), dtype=np.int64)
+        rank_h[h_order], rank_w[w_order] = np.arange(len(h_order)), np.arange(len(w_order))
+        size = max(1, len(w_order))
+        code, at = np.unique(rank_h[hist[self.live]] * size + rank_w[block.tok[self.live]], return_inverse=True)
+        h, w = h_order[code // size], w_order[code % size]
         n = np.bincount(at, weights=block.train[self.live], minlength=len(code)).astype(np.int64)
         hn, wn = below.number[h], words.number[w]
         spread = np.where(np.isin(hn, hot), _mix(hn ^ _mix(wn)), _mix(hn))
-        bucket = (spread % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((wn, hn, bucket))
+        bucket = small_type((spread % np.uint64(buckets)).astype(np.int64), buckets)
+        order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         self.hist, self.word, self.n, self.hist_number, self.word_number = h[order], w[order], n[order], hn[order], wn[order]
@@ -281,11 +313,12 @@ class Level:
     hot_m: np.ndarray  #: how many words were seen once, twice, ... after each
 
 
-def _ask_words(buckets: int):
+def _ask_words(folder: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fetch = _fetch(folder)
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block = Block(data)
+            for name in batch.column(0).to_pylist():
+                block = fetch(name)
                 order, n, start = block.words(buckets)
                 h = block.hash[order]
                 yield _rows(ASKED_NAMES, [(b, name, pack(h[i:j], n[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)) if i < j], ASKED_KINDS)
@@ -361,24 +394,28 @@ def _known(block: Block, keys: Keys, answers: list[dict], below: Below, level: L
     return Below(keys.word, count, number, p, base_of, keys.at, keys.since)
 
 
-def _climb(block: Block, answers: list[list[dict]], levels: list[Level], unigram: Unigram, train_docs: int) -> tuple[Below, Below, np.ndarray]:
+def _climb(block: Block, answers: list[dict], levels: list[Level], unigram: Unigram, train_docs: int) -> tuple[Below, Below, np.ndarray]:
     """What the block knows of words and of the highest level answered, and each token's P there."""
-    words = below = _known_words(block, answers[0], levels[0], unigram, train_docs)
+    told: list[list] = [[] for _ in levels]
+    for a in answers:
+        told[a["level"]].append(a)
+    words = below = _known_words(block, told[0], levels[0], unigram, train_docs)
     p = words.p[block.tok]
-    for k, (told, level) in enumerate(zip(answers[1:], levels[1:], strict=True), 2):
-        keys = Keys(block, below, words, k, level.buckets, level.hot)
-        below = _known(block, keys, told, below, level)
-        p = np.where(keys.live, below.p[keys.at], p)  # a text's first words have no longer history
+    for k, level in enumerate(levels[1:], 1):
+        keys = Keys(block, below, words, k + 1, level.buckets, level.hot)
+        below = _known(block, keys, told[k], below, level)
+        p[keys.live] = below.p[keys.at[keys.live]]  # a text's first words have no longer history
     return words, below, p
 
 
-def _ask(levels: list[Level], buckets: int, hot: np.ndarray, unigram: Unigram, train_docs: int):
+def _ask(folder: str, levels: list[Level], buckets: int, hot: np.ndarray, unigram: Unigram, train_docs: int):
     """mapInArrow body: blocks with the answers so far to what they ask on the next level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fetch = _fetch(folder)
         for batch in batches:
-            for name, data, *answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block = Block(data)
+            for name, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block = fetch(name)
                 words, below, _ = _climb(block, answers, levels, unigram, train_docs)
                 keys = Keys(block, below, words, len(levels) + 1, buckets, hot)
                 rows = []
@@ -391,6 +428,14 @@ def _ask(levels: list[Level], buckets: int, hot: np.ndarray, unigram: Unigram, t
     return run
 
 
+def _by_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order by v, then w; as one number where that fits."""
+    top = int(w.max()) + 1
+    if int(v.max()) < (1 << 64) // top - 1:
+        return np.argsort(v.astype(np.uint64) * np.uint64(top) + w.astype(np.uint64), kind="stable")
+    return np.lexsort((w, v))
+
+
 def _add(weight, hot: np.ndarray, last: bool):
     """applyInArrow body for one level; weight: P of a word by its count one level below, but for its base."""
 
@@ -401,7 +446,7 @@ def _add(weight, hot: np.ndarray, last: bool):
         parts = [[np.cumsum(p[0].astype(np.uint64)), *p[1:]] for p in parts]
         v = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
         w = np.concatenate([unsteps(p[2], p[1]) for p in parts])
-        order = np.lexsort((w, v))
+        order = _by_key(v, w)
         vs, ws = v[order], w[order]
         first = np.flatnonzero(np.r_[True, (vs[1:] != vs[:-1]) | (ws[1:] != ws[:-1])])
         of = np.empty(len(order), dtype=np.int64)
@@ -441,18 +486,19 @@ def _add(weight, hot: np.ndarray, last: bool):
     return run
 
 
-def _score(levels: list[Level], unigram: Unigram, train_docs: int):
+def _score(folder: str, levels: list[Level], unigram: Unigram, train_docs: int):
     """mapInArrow body: blocks with all answers to scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fetch = _fetch(folder)
         for batch in batches:
-            for docs, data, *answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block = Block(data)
+            for name, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block = fetch(name)
                 words, _, p = _climb(block, answers, levels, unigram, train_docs)
                 c = words.count[block.tok]
                 base_log = np.log10((c + 0.1) / (unigram.total + 0.1 * (unigram.types + 1))) if unigram.total else np.zeros(len(c))
                 sums = [np.add.reduceat(x, block.begin) for x in ((c > 0).astype(np.int64), base_log, np.log10(p))]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(block.length), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([block.docs, pa.array(block.length), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -485,31 +531,27 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_words: int =
         raise ValueError("a backoff model has order 2 or more")
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(_blocks(block_words), "block string, docs array<long>, data binary"), "katz-blocks")
+    folder = scratch(spark, "katz-texts")
+    blocks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(_blocks(folder, block_words), "block string, size long"), "katz-blocks")
     spark_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a block is large
     try:
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        tokens, n_blocks = blocks.select(F.sum(F.octet_length("data")), F.count("*")).first()
+        tokens, n_blocks = blocks.select(F.sum("size"), F.count("*")).first()
         tokens = tokens or 0  # a byte or two for each token, so this over-estimates little
         tasks = max(least, -(-n_blocks // 2))
         train_docs = docs.where(F.coalesce(train, F.lit(False))).count()
 
-        def answered(told: DataFrame, name: str) -> DataFrame:
-            """The answers of each block, one entry for each bucket."""
-            return told.where("kind = 'answer'").repartition(tasks, "block").groupBy(F.col("block").alias(f"of_{name}")).agg(F.collect_list(F.struct("bucket", "data")).alias(name))
-
-        def with_answers(tables: list[DataFrame], *columns: str) -> DataFrame:
-            got = blocks.select("block", *columns).repartition(tasks, "block")
-            for k, told in enumerate(tables):
-                got = got.join(answered(told, f"a{k}"), F.col("block") == F.col(f"of_a{k}"))
-            return got.select(*columns, *(f"a{k}" for k in range(len(tables))))
+        def with_answers(tables: list[DataFrame]) -> DataFrame:
+            """Each block's name and the answers it got, one for each level and bucket; each block has its end of text answered."""
+            told = reduce(DataFrame.unionAll, (t.where("kind = 'answer'").select("block", F.struct(F.lit(k).alias("level"), "bucket", "data").alias("answer")) for k, t in enumerate(tables)))
+            return told.repartition(tasks, "block").groupBy("block").agg(F.collect_list("answer").alias("answers"))
 
         def gathered(asked: DataFrame, buckets: int, add, name: str) -> DataFrame:
             return written(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(add, ANSWER), name, "kind")
 
         buckets = max(least, -(-tokens // (2 * bucket_entries)))
-        tables = [gathered(blocks.select("block", "data").mapInArrow(_ask_words(buckets), ASKED), buckets, _add_words, "katz-1")]
+        tables = [gathered(blocks.select("block").repartition(tasks).mapInArrow(_ask_words(folder, buckets), ASKED), buckets, _add_words, "katz-1")]
         stats, offset = _summary(tables[0], buckets)
         unigram = Unigram.of(sum(s["total"] for s in stats), sum(s["types"] for s in stats), [sum(s["n"][r] for s in stats) for r in range(K + 2)])
         none = np.zeros(0)
@@ -518,7 +560,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_words: int =
         weight = unigram
         buckets = max(least, -(-tokens // bucket_entries))
         for k in range(2, order + 1):
-            asked = with_answers(tables, "block", "data").mapInArrow(_ask(levels, buckets, hot, unigram, train_docs), ASKED)
+            asked = with_answers(tables).mapInArrow(_ask(folder, levels, buckets, hot, unigram, train_docs), ASKED)
             tables.append(gathered(asked, buckets, _add(weight, hot, k == order), f"katz-{k}"))
             stats, offset = _summary(tables[-1], buckets)
             d = discounts([sum(s["n"][r] for s in stats) for r in range(K + 2)])
@@ -532,7 +574,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_words: int =
             if k < order:
                 hot = np.unique(_hot(tables[-1], offset, hot_share * max(1, unigram.total)))
                 weight = _discounted(d)
-        out = written(with_answers(tables, "docs", "data").mapInArrow(_score(levels, unigram, train_docs), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
+        out = written(with_answers(tables).mapInArrow(_score(folder, levels, unigram, train_docs), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", spark_rows)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(unigram.total).cast("long").alias("train_tokens"), "base_score", "score")
