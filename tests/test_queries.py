@@ -72,7 +72,7 @@ def test_accents_of_every_language(spark, tmp_path):
 
     rows = [(1, "Müller grüßt", "de"), (2, "straße", "de"), (3, "žluť", "cs"), (4, "naïve", None), (5, "plain", None), (6, "été", "fr"), (7, None, "de"), (None, "ß", "de")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = entry.queries()["str3c_without_accents_whole"](spark, str(tmp_path)).collect()
+    got = entry.queries()["str3c_without_accents"](spark, str(tmp_path)).collect()
     want = [(i, None if t is None else not any(unicodedata.combining(c) for c in unicodedata.normalize("NFD", t))) for i, t, _ in rows]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
@@ -85,6 +85,6 @@ def test_coverage_of_every_nation(spark, tmp_path):
         ("orders", [(40, "1-URGENT", 500000.0), (30, "5-LOW", 500000.0)], "o_custkey long, o_orderpriority string, o_totalprice double"),
     ]:
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    got = entry.queries()["j8_coverage_whole"](spark, str(tmp_path)).collect()
+    got = entry.queries()["j8_coverage"](spark, str(tmp_path)).collect()
     assert {r["n_nationkey"]: r["status"] for r in got} == {3: "uncovered", 4: "covered", 5: "no-source"}
-    assert {r["status"]: r["n"] for r in entry.queries()["agg7_per_status_whole"](spark, str(tmp_path)).collect()} == {"uncovered": 1, "covered": 1, "no-source": 1}
+    assert {r["status"]: r["n"] for r in entry.queries()["agg7_per_status"](spark, str(tmp_path)).collect()} == {"uncovered": 1, "covered": 1, "no-source": 1}

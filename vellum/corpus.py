@@ -67,6 +67,13 @@ class Corpus:
         lists = pages.where(F.col("html").rlike(r'<ol\b[^>]*class="[^"]*\bvragen\b')).select("path", F.explode(kernels.question_lists_udf("html")).alias("q"))
         return lists.select("path", "q.*").persist()
 
+    def question_pages(self, with_test: bool = True) -> DataFrame:
+        """path, html of pages with a question list; of staging folders only the tests' one, and only if asked."""
+        c = self.conf
+        test = F.col("path").startswith(c["paths"]["toets"] + "/") if with_test else F.lit(False)
+        html = self.texts.where(F.lower("path").endswith(".html") & ~tx.has_part("path", ALWAYS_OUT) & (test | ~tx.has_part("path", c["staging"])))
+        return html.where(F.size(kernels.question_lists_udf(tx.without_comments("html"))) > 0).select("path", "html")
+
     @cached_property
     def menu(self) -> DataFrame:
         """Flattened menu, see operators.menu.flatten."""

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.functions.lexer import shared_brace, spaced, squeezed, tidy, tight_operators
+from vellum.functions.lexer import shared_brace, spaced, squeezed, tidy, tight_operators, without_generics  # noqa: F401
 from vellum.functions.markup import blanks_without_class, drop_blocks, list_items, question_lists
 
 

@@ -95,6 +95,11 @@ def lex(line: str) -> list[Token]:
     return out
 
 
+def without_generics(code: str) -> str:
+    """The code without the arguments of its types."""
+    return "".join(re.split("<|&lt;", t.raw, maxsplit=1)[0] if t.kind == "word" else t.raw for t in lex(code))
+
+
 def statement(line: str) -> list[Token] | None:
     """Tokens of a line that is code and not prose: without markup, ending in one of ;{}(), but for a comment."""
     if TAG.search(line) or INCLUDE.match(line):

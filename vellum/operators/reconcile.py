@@ -93,8 +93,14 @@ def content_plan(n_want: Column, n_have: Column, same: Column) -> Column:
     return F.when(n_have.isNull(), "create").when(same, "keep").when(n_have == 0, "replace").otherwise("keep-with-warning")
 
 
-def at_most_one(rows: DataFrame, key: str, id: str) -> DataFrame:
-    """Keys with more than one live row, with their ids: errors of a lookup by external id."""
+def live(rows: DataFrame, trashed: str = "trashed") -> DataFrame:
+    """Rows that are not in the trash; an unknown flag is none."""
+    return rows.where(~F.coalesce(F.col(trashed), F.lit(False)))
+
+
+def at_most_one(rows: DataFrame, key: str, id: str, trashed: str | None = None) -> DataFrame:
+    """Keys with more than one row, live if the trash column is named, with their ids: errors of a lookup by external id."""
+    rows = live(rows, trashed) if trashed else rows
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(id)).alias("ids")).where("n > 1")
 
 
@@ -180,3 +186,30 @@ def longest_is_marked(rows: DataFrame, keys: list[str], size: Column, marked: Co
     """Keys whose marked row is longer than all others, by factor and by margin."""
     per = rows.groupBy(*keys).agg(F.max(F.when(marked, size)).alias("marked_len"), F.max(F.when(~marked, size)).alias("other_len"))
     return per.where((F.col("marked_len") >= factor * F.col("other_len")) & (F.col("marked_len") - F.col("other_len") >= margin))
+
+
+#: Sub-objects of a test that are read and set on their own, and what an item-bank test keeps (fixed values).
+PARTS, ITEM_BANK_PARTS = ("cover", "publication"), ("grades_settings", "cover")
+
+
+def configured_parts(settings: DataFrame, keys: list[str], doc: str, item_bank: bool = False) -> DataFrame:
+    """keys, part, value (JSON): the sub-objects that a test's settings configure, which are all that is read back."""
+    names = ITEM_BANK_PARTS if item_bank else PARTS
+    parts = F.explode(F.map_filter(F.from_json(doc, "map<string,string>"), lambda k, v: k.isin(*names) & ~F.coalesce(v, F.lit("")).isin("", "{}", "[]", "null", "false")))
+    return settings.select(*keys, parts.alias("part", "value"))
+
+
+def manual_rows(settings: DataFrame, keys: list[str], doc: str) -> DataFrame:
+    """keys, ord, text: what has to be checked by hand, in the order of the settings."""
+    listed = F.from_json(F.get_json_object(doc, "$.met_de_hand"), "array<string>")
+    return settings.select(*keys, F.posexplode(listed).alias("ord", "text"))
+
+
+def shortened(value: Column, most: int = 60) -> Column:
+    """A value for display, its end cut off beyond so many characters."""
+    return F.when(F.length(value) <= most, value).otherwise(F.concat(F.substring(value, 1, most - 3), F.lit("...")))
+
+
+def by_name(rows: DataFrame, name: str, *then: str) -> DataFrame:
+    """In the order of names, whatever their case."""
+    return rows.orderBy(F.lower(name), *then)

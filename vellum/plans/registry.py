@@ -32,8 +32,8 @@ class Rule:
 RULES: dict[str, Rule] = {}
 
 
-def rule(id: str, mode: str = "standard", local_only: bool = False, applies: Callable[[Corpus], bool | str] = lambda c: True):
-    """Register a rule.  applies gives True, or the reason why the rule does not apply."""
+def rule(id: str, mode: str = "standard", local_only: bool = False, applies: Callable[[Corpus], bool | str | Needs] = lambda c: True):
+    """Register a rule.  applies gives True, the reason why the rule does not apply, or the table that must have rows."""
 
     def register(fn: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
         if id in RULES:
@@ -69,5 +69,21 @@ def union(first: DataFrame, *more: DataFrame) -> DataFrame:
     return first
 
 
-def any_rows(df: DataFrame, reason: str) -> bool | str:
-    return reason if df.isEmpty() else True
+@dataclass(frozen=True)
+class Needs:
+    """Applies if the table has a row; the runner asks for all such tables in one action."""
+
+    table: DataFrame
+    reason: str
+
+
+def any_rows(df: DataFrame, reason: str) -> Needs:
+    return Needs(df, reason)
+
+
+def settled(answers: dict[str, bool | str | Needs]) -> dict[str, bool | str]:
+    """True or the reason against it, for each rule: one job finds out which of the needed tables have rows."""
+    asked = {k: a for k, a in answers.items() if isinstance(a, Needs)}
+    parts = [a.table.select(F.lit(k).alias("k")).limit(1) for k, a in asked.items()]
+    there = {r["k"] for r in union(*parts).collect()} if parts else set()
+    return {k: (True if k in there else a.reason) if isinstance(a, Needs) else a for k, a in answers.items()}

@@ -23,7 +23,7 @@ def assignments(c: Corpus) -> DataFrame:
     return c.pages.where(tx.depth_glob("path", "Opdracht.html", (2, 3)))
 
 
-def has_overview(c: Corpus) -> bool | str:
+def has_overview(c: Corpus):
     return any_rows(overviews(c), "no overview page")
 
 

@@ -19,7 +19,7 @@ QUIZ_FIELDS = ("assignment_id", "deadline", "duration", "ioem")
 NO_FRAME = ("http", "#", "mailto:", "/", "tel:", "data:", "javascript:")
 
 
-def has_menu(c: Corpus) -> bool | str:
+def has_menu(c: Corpus):
     return any_rows(c.texts.where(F.col("path") == c.conf["menu"]), "no menu")
 
 

@@ -19,7 +19,7 @@ CORRECT = r'class="[^"]*\bjuist\b'
 ANSWER = r'(?s)<div class="oplossing">(?!\s*</div>)\s*\S'
 
 
-def has_questions(c: Corpus) -> bool | str:
+def has_questions(c: Corpus):
     return any_rows(c.questions, "no question list")
 
 
@@ -27,7 +27,7 @@ def chapters(c: Corpus) -> DataFrame:
     return c.pages.where(c.in_syllabus("path"))
 
 
-def has_chapters(c: Corpus) -> bool | str:
+def has_chapters(c: Corpus):
     return any_rows(chapters(c), "no chapters")
 
 
@@ -69,9 +69,8 @@ def importer_guess(c: Corpus) -> DataFrame:
     return found(hits, F.concat(F.lit("unsettled guess: "), "m.text"), line="m.nr")
 
 
-def has_manifest(c: Corpus) -> bool | str:
-    there = not c.texts.where(F.col("path") == c.conf["syllabus"]["manifest"]).isEmpty()
-    return True if there else has_chapters(c)
+def has_manifest(c: Corpus):
+    return any_rows(c.texts.where(F.col("path") == c.conf["syllabus"]["manifest"]).select("path").unionAll(chapters(c).select("path")), "no chapters")
 
 
 @rule("syllabus-manifest", applies=has_manifest)

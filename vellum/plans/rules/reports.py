@@ -19,7 +19,7 @@ TEMPLATE_LINK = r'href="([^"]*downloads/[^"]+\.docx)"'
 BUTTON = "Opdracht downloaden"
 
 
-def has_assignment(c: Corpus) -> bool | str:
+def has_assignment(c: Corpus):
     return any_rows(assignments(c), "no assignment page")
 
 

@@ -52,6 +52,12 @@ def syllabus_stale(c: Corpus) -> DataFrame:
     return found(first_newer(there, pages.unionByName(style)), F.concat(F.lit("is older than "), "source"), path="derived")
 
 
+def sheet_owner(path: str = "path"):
+    """Folder of the lab that a cheat sheet belongs to: its own, or the one above a folder of theory."""
+    own = tx.parent(path)
+    return F.when(tx.basename(own) == "Theorie", tx.parent(own)).otherwise(own)
+
+
 def decks(c: Corpus) -> DataFrame:
     folder = c.conf["paths"]["decks"] + "/"
     return c.pages.where(F.col("path").startswith(folder) & ~F.expr(f"substring(path, {len(folder) + 1})").contains("/"))
@@ -61,7 +67,7 @@ def handout_of(c: Corpus, path: str = "path"):
     return F.concat(F.lit(f"{c.conf['paths']['downloads']}/{c.conf['handout']['prefix']}"), tx.kebab(tx.stem(path)), F.lit(".pdf"))
 
 
-def has_decks(c: Corpus) -> bool | str:
+def has_decks(c: Corpus):
     return "handout.prefix is not set" if not c.conf["handout"]["prefix"] else any_rows(decks(c), "no deck")
 
 

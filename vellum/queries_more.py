@@ -18,90 +18,27 @@ from vellum.queries import ORACLE, QUERIES, Tables, links, long, query
 
 # ---------------------------------------------------------------- rules on the pages table
 
-#: rule: (folders and name of the page, what every page gets appended, findings that this makes on each page)
-SEEDED = {
-    "em-dash": ("Labo/%s.html", " a — b &mdash; c", 1),
-    "platform-hotlink": ("Labo/%s.html", "/content/enforced/1", 1),
-    "remote-image": ("Labo/%s.html", '<img src="https://e.example/a.png"><img src="http://e.example/b.png">', 2),
-    "remote-document": ("Labo/%s.html", '<a href="https://e.example/a.pdf">a</a><a href="https://e.example/a.htm">b</a>', 1),
-    "youtube-referrer": ("Labo/%s.html", '<iframe src="https://youtube.com/embed/a"></iframe>', 1),
-    "legacy-platform-link": ("Labo/%s.html", '<a href="https://chamilo.example/a">a</a>', 1),
-    "theme-wiring": ("Labo/%s.html", "", 2),
-    "foreign-assets": ("Labo/%s.html", '<script src="//cdn.example/a.js"></script><script src="a.js"></script>', 1),
-    "checklist-wiring": ("Labo1/%s.html", '<ul class="checklist"></ul>', 2),
-    "data-bron": ("Labo/%s.html", '<p data-bron="no.html /x.html">', 2),
-    "solution-placement": ("Labo/%s.html", '\n<h2 id="x">\n<div class="solution-container">', 1),
-    "spoiler-retired": ("Labo/%s.html", '\n<div class="spoiler-container">', 1),
-    "reveal-script-retired": ("Labo/%s.html", '\n<script src="../oplossingen.js"></script>', 1),
-    "unclosed-comment": ("Labo/%s.html", "<!-- a <!-- b -->", 1),
-    "exercise-name": ("Labo/%s.html", "\n<h1>Oefening 3</h1>", 1),
-    "code-style": ("Labo/%s.html", '\n<pre class="code-wrapper language-c"><code>int a=1;\nif (a) {\n</code></pre>', 2),
-    "no-verloop": ("Labo/%s/overview.html", "<h2>Verloop</h2>", 1),
-    "no-session-count": ("Labo/%s/overview.html", "<p>drie sessies voorzien</p>", 1),
-    "no-weight": ("Labo/%s/overview.html", "[ 20 % ]", 1),
-    "vragen-answered": ("Labo/%s.html", '<ol class="vragen"><li>a<ul><li>b</li></ul></li><li>c</li></ol>', 2),
-    "vragen-numbering": ("Labo/%s.html", '<ol class="vragen"><li>a</li></ol><ol class="vragen"><li>b</li></ol>', 1),
-    "vragen-class": ("Theorie/Syllabus/Theorie/%s.html", '<ol><li>a <span class="invulruimte"></span></li></ol>', 1),
-    "importer-guess": ("Theorie/Syllabus/Theorie/%s.html", '\n<p data-geraden="a">\n<p data-geraden="b">', 2),
-    "verslag-markup": ("Labo/%s/Opdracht.html", '<ol class="vragen"></ol><table class="verslag-tabel"></table>', 2),
-    "verslag-controle": ("Labo/%s/Opdracht.html", "</p><p>Laat dit controleren.</p>", 1),
-    "verslag-stale": ("Labo/%s/Opdracht.html", "", 1),
-    "opdracht-lead": ("Labo/%s/Opdracht.html", "", 1),
-    "download-button": ("Labo/%s/Opdracht.html", '<a href="../../downloads/x.docx">hier</a>', 1),
-    "spiekblad-stale": ("Labo/%s/Spiekblad.html", '<a href="x-spiekblad.pdf">', 1),
-    "audit-skip": ("Labo/%s.html", "<!-- audit-skip: lead nothing -->", 2),
-    "audit-code-class": ("Labo/%s.html", '<pre class="code-wrapper language-c">', 2),
-    "audit-lead-opener": ("Labo/%s.html", '<p class="lead">Hier lees je dit</p>', 1),
-    "audit-verkleinwoord": ("Labo/%s.html", " lampje blokjes lampje ", 2),
-    "audit-noord-nederlands": ("Labo/%s.html", " prima ", 1),
-    "audit-vulwoord": ("Labo/%s.html", " uiteraard natuurlijk ", 2),
-    "audit-led-spelling": ("Labo/%s.html", "\n<p>LED</p>\n<p>LED</p>", 1),
-    "audit-u-vorm": ("Labo/%s.html", "\nU kunt\nuw\n", 2),
-    "audit-lead": ("Labo/%s.html", "", 1),
-    "audit-figure": ("Labo/%s.html", "\n<img>\n", 1),
-    "audit-indienen": ("Labo/%s.html", "", 1),
-    "audit-oplossing": ("Labo/%s.html", "", 1),
-    "audit-identifier-taal": ("Labo/%s.html", "\nint pinLed;\nint pinLed;", 1),
-}
-
-
-def page_corpus(t: Tables, place: str, more: str = "", conf: dict | None = None) -> Corpus:
-    """All pages, whole, each at a path of its own with something appended."""
+def page_corpus(t: Tables, place: str, more="", conf: dict | None = None) -> Corpus:
+    """All pages, whole, each at a path of its own with something (a text or a column) appended."""
     head, _, tail = place.partition("%s")
-    texts = t.pages.select(F.concat(F.lit(head), F.col("page_id").cast("string"), F.lit(tail)).alias("path"), F.concat("html", F.lit(more)).alias("html"))
+    more = F.lit(more) if isinstance(more, str) else more
+    texts = t.pages.select(F.concat(F.lit(head), F.col("page_id").cast("string"), F.lit(tail)).alias("path"), F.concat("html", more).alias("html"))
     files = texts.select("path", F.lit(1.0).alias("mtime"), F.lit(True).alias("tracked"))
     return Corpus(files, texts, merge(DEFAULTS, conf or {}))
 
 
-def seeded_rule(id: str) -> None:
-    place, more, n = SEEDED[id]
-    conf = {"check": {"audit": {"exercise_patterns": ["*"], "identifier_words": ["pinLed"]}}}
-    mode = "audit" if id.startswith("audit-") else "standard"
-
-    def run(spark, sf_dir: str) -> DataFrame:
-        found = runner.findings(page_corpus(Tables(spark, sf_dir), place, more, conf), (mode,), [id])
-        return found.select(F.regexp_extract("pad", r"/(\d+)(?:\.html|/[A-Za-z]+\.html)$", 1).cast("long").alias("page_id")).groupBy("page_id").agg(F.count("*").alias("n"))
-
-    name = "rule_" + id.replace("-", "_")
-    QUERIES[name] = run
-    ORACLE[name] = f"SELECT page_id, {n}::BIGINT AS n FROM pages"
-
-
-for _id in SEEDED:
-    seeded_rule(_id)
-
-
 @query("""SELECT 'Labo/' || page_id || '.html' AS pad, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)\\s*=\\s*"([^"]+)"', 1)) AS href FROM pages) WHERE href LIKE '/%' AND href NOT LIKE '//%'""")
 def rule_links(t):
     found = runner.findings(page_corpus(t, "Labo/%s.html"), only=["links"])
     return found.select("pad", F.regexp_replace("boodschap", "^leads nowhere: ", "").alias("href"))
 
 
-@query("""SELECT 'fout' AS ernst, 'theme-wiring' AS regel, 2 * count(*) AS n FROM pages UNION ALL SELECT 'fout', 'platform-hotlink', count(*) FROM pages""")
+@query(r"""SELECT 'fout' AS ernst, 'theme-wiring' AS regel, 2 * count(*) AS n FROM pages UNION ALL SELECT 'fout', 'platform-hotlink', count(*) FROM pages UNION ALL
+SELECT 'fout', 'links', count(*) FROM (SELECT unnest(regexp_extract_all(html, '(?:href|src)\s*=\s*"([^"]+)"', 1)) AS href FROM pages) WHERE href LIKE '/%' AND href NOT LIKE '//%' HAVING count(*) > 0""")
 def findings_pages(t):
-    """All standard rules in one run; links are counted by rule_links."""
+    """All standard rules in one run."""
     found = runner.findings(page_corpus(t, "Labo/%s.html", "/content/enforced/1"), ("standard",))
-    return found.where("regel <> 'links'").groupBy("ernst", "regel").agg(F.count("*").alias("n"))
+    return found.groupBy("ernst", "regel").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 2 * count(*) AS fouten, 0::BIGINT AS waarschuwingen, 0::BIGINT AS adviezen, 0::BIGINT AS afwijkingen FROM pages")
@@ -369,13 +306,8 @@ def str3_ascii_slug(t):
     return t.customer.select("c_custkey", kernels.ascii_slug_udf(F.regexp_replace("c_name", "#", " # ")).alias("slug"))
 
 
-@query("SELECT doc_id, strip_accents(text) = text AS plain FROM documents WHERE lang IN ('en', 'fr', 'es')")
-def str3c_without_accents(t):
-    return t.documents.where("lang in ('en', 'fr', 'es')").select("doc_id", (kernels.without_accents_udf("text") == F.col("text")).alias("plain"))
-
-
 @query("SELECT doc_id, strip_accents(text) = text AS plain FROM documents")
-def str3c_without_accents_whole(t):
+def str3c_without_accents(t):
     """Texts of every language, or of none."""
     return t.documents.select("doc_id", (kernels.without_accents_udf("text") == F.col("text")).alias("plain"))
 
@@ -444,10 +376,11 @@ def rw1_rewritten_references(t):
     return done.select("page_id", long(F.regexp_count("html", F.lit('href="root:/'))).alias("n"))
 
 
-@query("SELECT page_id, html FROM pages")
+@query("""SELECT page_id, html || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '<h3>Oefening 3</h3>' ELSE '<h2>Oplossing</h2><p>x</p>' END || '<p>end</p>' AS html FROM pages""")
 def rw2_dropped_solutions(t):
-    """A solution block after every page, dropped again with its heading."""
-    more = F.concat("html", F.lit('<h2>Oplossing</h2><div class="solution-container"><div>a</div></div>'))
+    """A solution block after every page, dropped again: with its heading, below another one, and apart from its heading."""
+    head = F.when(F.col("page_id") % 3 == 0, "<h2>Oplossing</h2> ").when(F.col("page_id") % 3 == 1, "<h3>Oefening 3</h3>").otherwise("<h2>Oplossing</h2><p>x</p>")
+    more = F.concat("html", head, F.lit('<div class="solution-container"><div>a</div></div><p>end</p>'))
     return t.pages.select("page_id", kernels.drop_solutions_udf(more).alias("html"))
 
 
