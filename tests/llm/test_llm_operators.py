@@ -961,3 +961,15 @@ def test_scratch_tables_can_be_cleaned(spark):
     assert os.path.isdir(local)
     common.clean(spark)
     assert not os.path.exists(local)
+
+
+def test_scratch_of_a_stage_goes_but_for_its_result(spark):
+    import os
+
+    mark = common.scratch_mark()
+    first, last = (common.written(spark.range(3), "t") for _ in range(2))
+    paths = [p.removeprefix("file://") for p in common._SCRATCH[mark:]]
+    common.clean(spark, mark, but_last=True)
+    assert [os.path.exists(p) for p in paths] == [False, True] and last.count() == 3
+    common.clean(spark, mark)
+    assert not os.path.exists(paths[1])

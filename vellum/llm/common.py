@@ -53,13 +53,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _SCRATCH[-1]
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete this session's scratch tables, once nothing reads results that are built on them."""
+def scratch_mark() -> int:
+    """How many scratch paths there are by now."""
+    return len(_SCRATCH)
+
+
+def clean(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Delete this session's scratch tables from the mark on, once nothing reads results that are built on them."""
     jvm = spark.sparkContext._jvm
-    for path in _SCRATCH:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _SCRATCH.clear()
+    kept = _SCRATCH[-1:] if but_last and len(_SCRATCH) > since else []
+    for path in _SCRATCH[since:]:
+        if path not in kept:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _SCRATCH[since:] = kept
 
 
 @contextmanager
