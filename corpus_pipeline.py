@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm import decontam, mixing, sharding, simhash, toxicity
-from vellum.llm.common import fold, table, written
+from vellum.llm.common import clean, fold, scratch_mark, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; of what the stages write, only each one's result is kept, until the next one's is there."""
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        clean(spark, mark, but_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)
