@@ -69,6 +69,13 @@ def clean(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
     _SCRATCH[since:] = kept
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete one scratch path that nothing will read again."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _SCRATCH.remove(path)
+
+
 @contextmanager
 def brief_shuffles(spark: SparkSession):
     """Within, shuffle files go when the query that wrote them ends: its result is a table, nothing reads them again."""

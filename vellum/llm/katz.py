@@ -18,10 +18,11 @@ Scale.  Texts are written once as blocks, a file each: word ids, hashes of their
 document ids and lengths; no text is shuffled, only what is asked and answered.  A block asks for counts level by level, with one shuffle each: its distinct
 keys go to hash buckets as packed arrays, a bucket adds up what all blocks report,
 stores its part of the level's count table, and answers each block in the order it
-asked.  Answers also number the keys (bucket after bucket), so that a level's histories
-are numbers of the level below, and keys travel and are stored as sorted,
-difference-coded numbers.  A key, however frequent, is one entry for each block.  Keys
-are dealt by their history, so a bucket can sum up alpha(h): a word seen after h was
+asked.  Answers also number the keys (words by falling count, longer keys bucket after
+bucket), so that a level's histories are numbers of the level below, and keys travel and
+are stored as sorted, difference-coded numbers.  A key, however frequent, is one entry
+for each block.  Keys are dealt by their history, from order 3 on in runs of neighbouring
+histories, which lie closer than scattered ones; so a bucket can sum up alpha(h): a word seen after h was
 seen after h' too, so its P(w | h') follows from its count one level below, which
 travels along, and from c(h'), which the block knows.  Histories with over a thousandth
 of all tokens (fewer than a thousand) are dealt by the whole key, and their sums, one
@@ -42,7 +43,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import scratch, small_batches, utf8, written
+from vellum.llm.common import drop, scratch, small_batches, utf8, written
 
 K = 5
 ORDER = 3
@@ -143,11 +144,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _blocks(folder: str, block_words: int):
-    """mapInArrow body: (doc_id, text, train) to blocks, a file each; a row tells its name and size.
+def _blocks(folder: str, hashes: str, block_words: int):
+    """mapInArrow body: (doc_id, text, train) to blocks, a file each; a row tells its name and tokens.
 
-    Names are unique to the attempt, so a task that is lost and run again leaves no
-    block twice: only those in the committed table count.
+    The words' hashes, needed until words are counted, are files of their own; the block
+    keeps their order.  START, never a token, stands for a word not met before in the
+    block.  Names are unique to the attempt, so a task that is lost and run again leaves
+    no block twice: only those in the committed table count.
     """
 
     class Ids(dict):
@@ -156,19 +159,25 @@ def _blocks(folder: str, block_words: int):
             return n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = pafs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
+        stores = [pafs.FileSystem.from_uri(f) for f in (folder, hashes)]
+        for store, path in stores:
+            store.create_dir(path, recursive=True)
         ids, parts, lengths, train, names = Ids(), [], [], [], []
         ids.update({w: i for i, w in enumerate(SPECIAL)})
 
         def flush() -> pa.RecordBatch:
-            hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in ids], dtype=np.uint64)
+            h = np.array([xxhash.xxh64_intdigest(w, 7) for w in ids], dtype=np.uint64)
+            order = np.argsort(h, kind="stable")
+            order = order[order != START]
+            tok = np.concatenate(parts)
+            fresh = np.diff(np.maximum.accumulate(np.r_[START, tok])) > 0
             known = np.array([x is not None for x in names])
-            data = pack(hashes, small_type(np.concatenate(parts), len(ids)), np.array(lengths, dtype=np.uint32), np.array(train, dtype=np.uint8), np.array([x or 0 for x in names], dtype=np.int64), known.astype(np.uint8))
+            data = pack(small_type(order, len(ids)), small_type(np.where(fresh, START, tok), len(ids)), np.array(lengths, dtype=np.uint32), np.array(train, dtype=np.uint8), np.array([x or 0 for x in names], dtype=np.int64), known.astype(np.uint8))
             name = uuid.uuid4().hex
-            with store.open_output_stream(f"{path}/{name}", compression=None) as out:
-                out.write(data)
-            made = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)], pa.int64())], names=["block", "size"])
+            for (store, path), content in zip(stores, (data, pack(np.diff(h[order], prepend=np.uint64(0)))), strict=True):
+                with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+                    out.write(content)
+            made = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(tok)], pa.int64())], names=["block", "tokens"])
             ids.clear()
             ids.update({w: i for i, w in enumerate(SPECIAL)})
             for x in (parts, lengths, train, names):
@@ -199,12 +208,12 @@ def small_type(a: np.ndarray, size: int) -> np.ndarray:
 
 
 def _fetch(folder: str):
-    """A function from a block's name to the block."""
+    """A function from a block's name to its file's content."""
     store, path = pafs.FileSystem.from_uri(folder)
 
-    def fetch(name: str) -> Block:
+    def fetch(name: str) -> bytes:
         with store.open_input_file(f"{path}/{name}") as f:
-            return Block(f.read())
+            return f.read()
 
     return fetch
 
@@ -213,21 +222,21 @@ class Block:
     """A block's tokens, and its distinct words and longer keys in the order they are asked for."""
 
     def __init__(self, data: bytes):
-        self.hash, tok, length, train, names, known = unpack(data)
+        order, tok, length, train, names, known = unpack(data)
+        self.order = order.astype(np.int64)  #: word ids by hash, the order they are asked for
+        self.types = len(order) + 1
         self.tok, self.length = tok.astype(np.int32), length.astype(np.int64)
+        fresh = self.tok == START
+        self.tok[fresh] = START + np.arange(1, fresh.sum() + 1)
         self.docs = pa.array(names, mask=known == 0)
         self.begin = np.r_[0, np.cumsum(self.length)[:-1]].astype(np.int64)
         self.train = np.repeat(train.astype(bool), self.length)
         #: Place of each token in its text.
         self.place = np.arange(len(self.tok)) - np.repeat(self.begin, self.length)
 
-    def words(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order of the word ids asked for, their training counts, and where each bucket starts."""
-        n = np.bincount(self.tok, weights=self.train, minlength=len(self.hash)).astype(np.int64)
-        bucket = (_mix(self.hash) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((self.hash, bucket))
-        order = order[order != START]  # never a token
-        return order, n[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    def counts(self) -> np.ndarray:
+        """Training counts of the words, in the order they are asked for."""
+        return np.bincount(self.tok, weights=self.train, minlength=self.types).astype(np.int64)[self.order]
 
 
 @dataclass
@@ -250,7 +259,7 @@ class Below:
 class Keys:
     """A block's distinct keys of one level above `below`: history, word, training count, bucket starts, and the key at each token."""
 
-    def __init__(self, block: Block, below: Below, words: Below, level: int, buckets: int, hot: np.ndarray):
+    def __init__(self, block: Block, below: Below, words: Below, level: int, buckets: int, run: int, hot: np.ndarray):
         if level == 2:
             hist = np.where(block.place > 0, np.r_[0, block.tok[:-1]], START)
             self.since = 0
@@ -267,7 +276,7 @@ class Keys:
         h, w = h_order[code // size], w_order[code % size]
         n = np.bincount(at, weights=block.train[self.live], minlength=len(code)).astype(np.int64)
         hn, wn = below.number[h], words.number[w]
-        spread = np.where(np.isin(hn, hot), _mix(hn ^ _mix(wn)), _mix(hn))
+        spread = np.where(np.isin(hn, hot), _mix(hn ^ _mix(wn)), _mix(hn // np.uint64(run)))
         bucket = small_type((spread % np.uint64(buckets)).astype(np.int64), buckets)
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
@@ -306,22 +315,25 @@ class Level:
     """What the driver knows of a level once its counts are there."""
 
     buckets: int
-    offset: np.ndarray  #: number of the first key of each bucket, and of the first after the last
+    run: int  #: histories of neighbouring numbers, so many, are dealt together
+    offset: np.ndarray  #: number of the first key of each bucket, and of the first after the last; of words, that of the text's start alone
     d: np.ndarray
     hot: np.ndarray  #: numbers of the histories, one level below, that are dealt by the whole key
     hot_sum: np.ndarray  #: of P over the words seen after each, but for its base
     hot_m: np.ndarray  #: how many words were seen once, twice, ... after each
 
 
-def _ask_words(folder: str, buckets: int):
+def _ask_words(folder: str, hashes: str, buckets: int):
+    """mapInArrow body: blocks to what they ask of the words' buckets, which are ranges of hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fetch = _fetch(folder)
+        fetch, fetch_hashes = _fetch(folder), _fetch(hashes)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                block = fetch(name)
-                order, n, start = block.words(buckets)
-                h = block.hash[order]
-                yield _rows(ASKED_NAMES, [(b, name, pack(h[i:j], n[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)) if i < j], ASKED_KINDS)
+                n = Block(fetch(name)).counts()
+                h = np.cumsum(unpack(fetch_hashes(name))[0])
+                start = np.searchsorted((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+                yield _rows(ASKED_NAMES, [(b, name, pack(np.diff(h[i:j], prepend=np.uint64(0)), n[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(start[:-1], start[1:], strict=True)) if i < j], ASKED_KINDS)
 
     return run
 
@@ -333,37 +345,45 @@ def _top(c: np.ndarray, least: int = 1000) -> bytes:
 
 
 def _add_words(asked: pa.Table) -> pa.Table:
-    """A bucket's words: totals, the table's part, and each block's answer."""
+    """A bucket's words: totals, the table's part, and each block's answer, ranks by count and the count of each rank."""
     bucket = asked.column("bucket")[0].as_py()
     parts = [unpack(x) for x in asked.column("data").to_pylist()]
-    h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    h, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
     c = np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
     seen = c > 0
     stats = {"bucket": bucket, "size": len(h), "types": int(seen.sum()), "total": int(c.sum()), "n": np.bincount(np.minimum(c[seen], K + 2), minlength=K + 3).tolist()[: K + 2]}
-    rows = [("stats", bucket, None, json.dumps(stats).encode()), ("table", bucket, None, pack(h[seen], c[seen])), ("top", bucket, None, _top(c))]
+    by_count = np.argsort(-c, kind="stable")
+    rank = np.empty(len(h), dtype=np.uint64)
+    rank[by_count] = np.arange(len(h))
+    falls = c[by_count]
+    first = np.flatnonzero(np.r_[True, falls[1:] != falls[:-1]])
+    rows = [("stats", bucket, None, json.dumps(stats).encode()), ("table", bucket, None, pack(np.diff(h[seen], prepend=np.uint64(0)), small(c[seen]))), ("top", bucket, None, _top(falls))]
     k = 0
     for name, p in zip(asked.column("block").to_pylist(), parts, strict=True):
-        own = at[k : k + len(p[0])].astype(np.uint64)  # ascends, as the hashes asked for do
-        rows.append(("answer", bucket, name, pack(small(c[own]), small(np.diff(own, prepend=np.uint64(0))))))
+        own = rank[at[k : k + len(p[0])]]
+        rows.append(("answer", bucket, name, pack(small(own), first.astype(np.uint32), falls[first])))
         k += len(p[0])
     return pa.Table.from_batches([_rows(ANSWER_NAMES, rows, ANSWER_KINDS)])
 
 
 def _known_words(block: Block, answers: list[dict], level: Level, unigram: Unigram, train_docs: int) -> Below:
     """The words of a block; the text's start is numbered last, and occurs as often as there are texts."""
-    order, _, _ = block.words(level.buckets)
-    c, number = np.zeros(len(block.hash), dtype=np.int64), np.full(len(block.hash), level.offset[-1], dtype=np.uint64)
+    c, number = np.zeros(block.types, dtype=np.int64), np.full(block.types, level.offset[-1], dtype=np.uint64)
     parts = [(a["bucket"], *unpack(a["data"])) for a in sorted(answers, key=lambda a: a["bucket"])]
-    counts = np.concatenate([p[1] for p in parts])
-    assert len(counts) == len(order), "an answer is missing"
-    c[order] = counts
-    number[order] = np.concatenate([np.cumsum(p[2].astype(np.uint64)) + level.offset[p[0]] for p in parts])
+    assert sum(len(p[1]) for p in parts) == len(block.order), "an answer is missing"
+    c[block.order] = np.concatenate([falls[np.searchsorted(first, rank, "right") - 1] for _, rank, first, falls in parts])
+    number[block.order] = np.concatenate([_word_number(rank, b, level.buckets) for b, rank, _, _ in parts])
     p = unigram(c)
     c = c.copy()
     c[START] = train_docs
     return Below(np.arange(len(c)), c, number, p, np.ones(len(c)), block.tok.astype(np.int64), 0)
 
 
+def _word_number(rank: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Words are numbered by their rank first: frequent ones get small numbers, which take little room in keys."""
+    return rank.astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+
+
 def _known(block: Block, keys: Keys, answers: list[dict], below: Below, level: Level) -> Below:
     """Counts, numbers and P of a block's keys, from their buckets' answers and from one level below."""
     by = {a["bucket"]: a["data"] for a in answers}
@@ -402,27 +422,27 @@ def _climb(block: Block, answers: list[dict], levels: list[Level], unigram: Unig
     words = below = _known_words(block, told[0], levels[0], unigram, train_docs)
     p = words.p[block.tok]
     for k, level in enumerate(levels[1:], 1):
-        keys = Keys(block, below, words, k + 1, level.buckets, level.hot)
+        keys = Keys(block, below, words, k + 1, level.buckets, level.run, level.hot)
         below = _known(block, keys, told[k], below, level)
         p[keys.live] = below.p[keys.at[keys.live]]  # a text's first words have no longer history
     return words, below, p
 
 
-def _ask(folder: str, levels: list[Level], buckets: int, hot: np.ndarray, unigram: Unigram, train_docs: int):
+def _ask(folder: str, levels: list[Level], buckets: int, run_length: int, hot: np.ndarray, unigram: Unigram, train_docs: int):
     """mapInArrow body: blocks with the answers so far to what they ask on the next level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fetch = _fetch(folder)
         for batch in batches:
             for name, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block = fetch(name)
+                block = Block(fetch(name))
                 words, below, _ = _climb(block, answers, levels, unigram, train_docs)
-                keys = Keys(block, below, words, len(levels) + 1, buckets, hot)
+                keys = Keys(block, below, words, len(levels) + 1, buckets, run_length, hot)
                 rows = []
                 for b, i, j in keys.parts():
                     first = np.flatnonzero(np.r_[True, keys.hist[i + 1 : j] != keys.hist[i : j - 1]])
                     heads = keys.hist_number[i:j][first]
-                    rows.append((b, name, pack(small(np.diff(heads, prepend=np.uint64(0))), np.diff(np.r_[first, j - i]).astype(np.uint32), small(steps(keys.word_number[i:j], first)), keys.n[i:j].astype(np.uint32), small(below.count[keys.low[i:j]]))))
+                    rows.append((b, name, pack(small(np.diff(heads, prepend=np.uint64(0))), np.diff(np.r_[first, j - i]).astype(np.uint32), small(steps(keys.word_number[i:j], first)), keys.n[i:j].astype(np.uint32), small(np.where(keys.n[i:j] > 0, below.count[keys.low[i:j]], 0)))))
                 yield _rows(ASKED_NAMES, rows, ASKED_KINDS)
 
     return run
@@ -453,7 +473,7 @@ def _add(weight, hot: np.ndarray, last: bool):
         of[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
         c = np.bincount(of, weights=np.concatenate([p[3] for p in parts])).astype(np.int64)
         vs, ws = vs[first], ws[first]
-        low = np.concatenate([p[4] for p in parts])[order][first].astype(np.int64)
+        low = np.maximum.reduceat(np.concatenate([p[4] for p in parts])[order], first).astype(np.int64)  # 0 from blocks that did not learn the key
         # sums by history: how many words follow it once, twice, ... and their P together
         hist, group = np.unique(vs, return_inverse=True)
         seen = c > 0
@@ -493,7 +513,7 @@ def _score(folder: str, levels: list[Level], unigram: Unigram, train_docs: int):
         fetch = _fetch(folder)
         for batch in batches:
             for name, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block = fetch(name)
+                block = Block(fetch(name))
                 words, _, p = _climb(block, answers, levels, unigram, train_docs)
                 c = words.count[block.tok]
                 base_log = np.log10((c + 0.1) / (unigram.total + 0.1 * (unigram.types + 1))) if unigram.total else np.zeros(len(c))
@@ -503,12 +523,12 @@ def _score(folder: str, levels: list[Level], unigram: Unigram, train_docs: int):
     return run
 
 
-def _hot(told: DataFrame, offset: np.ndarray, least: float) -> np.ndarray:
-    """Numbers of the keys that occur more often than that."""
+def _hot(told: DataFrame, number, least: float) -> np.ndarray:
+    """Numbers of the keys that occur more often than that; number: of places in a bucket."""
     found = [np.zeros(0, dtype=np.uint64)]
     for r in told.where("kind = 'top'").select("bucket", "data").toLocalIterator():
         at, c = unpack(bytes(r["data"]))
-        found.append(at[c > least] + offset[r["bucket"]])
+        found.append(number(at[c > least], r["bucket"]))
     return np.concatenate(found)
 
 
@@ -521,7 +541,7 @@ def _summary(told: DataFrame, buckets: int) -> tuple[list[dict], np.ndarray]:
     return stats, np.r_[np.uint64(0), np.cumsum(sizes)].astype(np.uint64)
 
 
-def score(docs: DataFrame, train: Column, order: int = ORDER, block_words: int = 600_000, bucket_entries: int = 1_000_000, hot_share: float = 1e-3) -> DataFrame:
+def score(docs: DataFrame, train: Column, order: int = ORDER, block_words: int = 800_000, bucket_entries: int = 1_000_000, hot_share: float = 1e-3) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for docs(doc_id, text); train tells the rows to learn from.
 
     order: words of a key, its history and itself, 2 or more.  block_words and
@@ -531,14 +551,14 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_words: int =
         raise ValueError("a backoff model has order 2 or more")
     spark = docs.sparkSession
     small_batches(spark)
-    folder = scratch(spark, "katz-texts")
-    blocks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(_blocks(folder, block_words), "block string, size long"), "katz-blocks")
+    folder, hashes = scratch(spark, "katz-texts"), scratch(spark, "katz-hashes")
+    blocks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(_blocks(folder, hashes, block_words), "block string, tokens long"), "katz-blocks")
     spark_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a block is large
     try:
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        tokens, n_blocks = blocks.select(F.sum("size"), F.count("*")).first()
-        tokens = tokens or 0  # a byte or two for each token, so this over-estimates little
+        tokens, n_blocks = blocks.select(F.sum("tokens"), F.count("*")).first()
+        tokens = tokens or 0
         tasks = max(least, -(-n_blocks // 2))
         train_docs = docs.where(F.coalesce(train, F.lit(False))).count()
 
@@ -551,16 +571,19 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_words: int =
             return written(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(add, ANSWER), name, "kind")
 
         buckets = max(least, -(-tokens // (2 * bucket_entries)))
-        tables = [gathered(blocks.select("block").repartition(tasks).mapInArrow(_ask_words(folder, buckets), ASKED), buckets, _add_words, "katz-1")]
-        stats, offset = _summary(tables[0], buckets)
+        tables = [gathered(blocks.select("block").repartition(tasks).mapInArrow(_ask_words(folder, hashes, buckets), ASKED), buckets, _add_words, "katz-1")]
+        drop(spark, hashes)
+        stats, _ = _summary(tables[0], buckets)
         unigram = Unigram.of(sum(s["total"] for s in stats), sum(s["types"] for s in stats), [sum(s["n"][r] for s in stats) for r in range(K + 2)])
         none = np.zeros(0)
-        levels = [Level(buckets, offset, none, none, none, none)]
-        hot = np.unique(np.r_[_hot(tables[0], offset, hot_share * max(1, unigram.total)), offset[-1:]])  # fewer than 1 / hot_share words, and the text's start
+        start = np.array([buckets * max((s["size"] for s in stats), default=0)], dtype=np.uint64)  # over all words' numbers
+        levels = [Level(buckets, 1, start, none, none, none, none)]
+        hot = np.unique(np.r_[_hot(tables[0], partial(_word_number, buckets=buckets), hot_share * max(1, unigram.total)), start])  # fewer than 1 / hot_share words, and the text's start
         weight = unigram
         buckets = max(least, -(-tokens // bucket_entries))
         for k in range(2, order + 1):
-            asked = with_answers(tables).mapInArrow(_ask(folder, levels, buckets, hot, unigram, train_docs), ASKED)
+            run = 1 if k == 2 else max(1, bucket_entries // 64)  # words are numbered by frequency, which must not gather
+            asked = with_answers(tables).mapInArrow(_ask(folder, levels, buckets, run, hot, unigram, train_docs), ASKED)
             tables.append(gathered(asked, buckets, _add(weight, hot, k == order), f"katz-{k}"))
             stats, offset = _summary(tables[-1], buckets)
             d = discounts([sum(s["n"][r] for s in stats) for r in range(K + 2)])
@@ -570,9 +593,9 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_words: int =
                 at = np.searchsorted(hot, h)
                 hot_sum[at] += p
                 hot_m[:, at] += np.stack(m) if len(h) else np.zeros((K, 0))
-            levels.append(Level(buckets, offset, d, hot, hot_sum, hot_m))
+            levels.append(Level(buckets, run, offset, d, hot, hot_sum, hot_m))
             if k < order:
-                hot = np.unique(_hot(tables[-1], offset, hot_share * max(1, unigram.total)))
+                hot = np.unique(_hot(tables[-1], lambda at, b: at + levels[-1].offset[b], hot_share * max(1, unigram.total)))
                 weight = _discounted(d)
         out = written(with_answers(tables).mapInArrow(_score(folder, levels, unigram, train_docs), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
     finally:
