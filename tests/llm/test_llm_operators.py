@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from vellum.llm import common, decontam, graph, katz, language, lines, mixing, quality, queries, sharding, simhash, toxicity, warc
@@ -538,6 +539,23 @@ def test_katz_edge(spark, edge, none):
     assert rows(katz.score(none, F.lit(True))) == []
 
 
+def test_katz_blocks(tmp_path):
+    texts = ["b a b", None, "c  a a d", "", "d e b a"]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "train": i != 2} for i, t in enumerate(texts)])
+    folder, hashes = (f"file://{tmp_path}/{x}" for x in ("texts", "hashes"))
+    made = [r for b in katz._blocks(folder, hashes, 8)(iter([batch])) for r in b.to_pylist()]
+    assert [r["tokens"] for r in made] == [10, 6]
+    words = []
+    for r in made:
+        block = katz.Block(katz._fetch(folder)(r["block"]))
+        h = np.cumsum(katz.unpack(katz._fetch(hashes)(r["block"]))[0])
+        assert (np.diff(h) > 0).all() and len(h) == len(block.order) == block.types - 1
+        of = dict(zip(block.order.tolist(), h.tolist(), strict=True))
+        words += [of[t] for t in block.tok.tolist()]
+    want = [w for t in texts for w in [*katz.utf8(t).split(), b" end"]]
+    assert words == [xxhash.xxh64_intdigest(w, 7) for w in want]
+
+
 def test_katz_packing():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 40, 500, dtype=np.uint64), rng.integers(0, 9, 0, dtype=np.uint32)
