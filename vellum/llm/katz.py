@@ -222,6 +222,23 @@ def _blocks(folder: str, hashes: str, block_words: int):
     return run
 
 
+def _distinct(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers below size, ascending, and the place of each number among them.
+
+    Numbers that leave room for their position are sorted together with it, which is
+    faster than sorting positions by them.
+    """
+    bits = max(1, len(code)).bit_length()
+    if size >= 1 << (64 - bits):
+        return np.unique(code, return_inverse=True)
+    both = np.sort(code.astype(np.uint64) << np.uint64(bits) | np.arange(len(code), dtype=np.uint64))
+    ordered = (both >> np.uint64(bits)).astype(np.int64)
+    fresh = np.r_[True, ordered[1:] != ordered[:-1]][: len(code)]
+    at = np.empty(len(code), dtype=np.int64)
+    at[(both & np.uint64((1 << bits) - 1)).astype(np.int64)] = np.cumsum(fresh) - 1
+    return ordered[fresh], at
+
+
 def small_type(a: np.ndarray, size: int) -> np.ndarray:
     """Numbers below size in the narrowest type."""
     return a.astype(np.uint16 if size <= 1 << 16 else np.uint32)
@@ -288,15 +305,18 @@ class Keys:
             self.since = below.since + 1
         self.live = block.place >= self.since
         # histories and words by the rank of their numbers, so that keys sort as they are asked for
-        h_order, w_order = np.argsort(below.number, kind="stable"), np.argsort(words.number, kind="stable")
+        h_order, w_order = np.argsort(below.number), np.argsort(words.number)  # no two are equal
         rank_h, rank_w = np.empty(len(h_order), dtype=np.int64), np.empty(len(w_order), dtype=np.int64)
         rank_h[h_order], rank_w[w_order] = np.arange(len(h_order)), np.arange(len(w_order))
         size = max(1, len(w_order))
-        code, at = np.unique(rank_h[hist[self.live]] * size + rank_w[block.tok[self.live]], return_inverse=True)
-        h, w = h_order[code // size], w_order[code % size]
+        code, at = _distinct(rank_h[hist[self.live]] * size + rank_w[block.tok[self.live]], len(h_order) * size)
+        of_h = code // size
+        h, w = h_order[of_h], w_order[code - of_h * size]
         n = np.bincount(at, weights=block.train[self.live], minlength=len(code)).astype(np.int64)
         hn, wn = below.number[h], words.number[w]
-        spread = np.where(np.isin(hn, hot), _mix(hn ^ _mix(wn)), _mix(hn // np.uint64(run)))
+        spread = _mix(hn // np.uint64(run))
+        for i, j in zip(np.searchsorted(hn, hot, "left").tolist(), np.searchsorted(hn, hot, "right").tolist(), strict=True):  # hn ascends
+            spread[i:j] = _mix(hn[i:j] ^ _mix(wn[i:j]))
         bucket = small_type((spread % np.uint64(buckets)).astype(np.int64), buckets)
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
@@ -469,10 +489,10 @@ def _ask(folder: str, levels: list[Level], buckets: int, run_length: int, hot: n
 
 
 def _by_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The order by v, then w; as one number where that fits."""
+    """An order by v, then w; as one number where that fits."""
     top = int(w.max()) + 1
     if int(v.max()) < (1 << 64) // top - 1:
-        return np.argsort(v.astype(np.uint64) * np.uint64(top) + w.astype(np.uint64), kind="stable")
+        return np.argsort(v.astype(np.uint64) * np.uint64(top) + w.astype(np.uint64))
     return np.lexsort((w, v))
 
 
@@ -495,9 +515,11 @@ def _add(weight, hot: np.ndarray, last: bool):
         vs, ws = vs[first], ws[first]
         low = np.maximum.reduceat(np.concatenate([p[4] for p in parts])[order], first).astype(np.int64)  # 0 from blocks that did not learn the key
         # sums by history: how many words follow it once, twice, ... and their P together
-        hist, group = np.unique(vs, return_inverse=True)
+        begin = np.r_[True, vs[1:] != vs[:-1]]
+        hist, group = vs[begin], np.cumsum(begin) - 1
         seen = c > 0
-        m = np.stack([np.bincount(group, weights=c == r, minlength=len(hist)) for r in range(1, K + 1)]).astype(np.int64)
+        few = seen & (c <= K)
+        m = np.bincount((c[few] - 1) * len(hist) + group[few], minlength=K * len(hist)).reshape(K, len(hist))
         sums = np.bincount(group, weights=np.where(seen, weight(low), 0.0), minlength=len(hist))
         is_hot = np.isin(hist, hot)
         n = np.bincount(np.minimum(c[seen], K + 2), minlength=K + 3).tolist()[: K + 2]
@@ -515,7 +537,7 @@ def _add(weight, hot: np.ndarray, last: bool):
             k += len(p[2])
             counts = c[own]
             run_of = np.repeat(np.arange(len(p[0])), p[1])
-            g = np.searchsorted(hist, p[0])
+            g = group[own[np.cumsum(p[1]) - p[1]]]
             # histories with a key that was never seen need their sums; all need to know whether nothing was discounted
             need = np.flatnonzero((np.bincount(run_of, weights=counts == 0, minlength=len(p[0])) > 0) & ~is_hot[g])
             whole = (m[:, g].sum(0) == 0).astype(np.uint8)
