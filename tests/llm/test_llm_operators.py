@@ -556,6 +556,22 @@ def test_katz_blocks(tmp_path):
     assert words == [xxhash.xxh64_intdigest(w, 7) for w in want]
 
 
+@pytest.mark.parametrize("size", [1, 5, 1 << 20, 1 << 44, 1 << 62])
+def test_katz_distinct(size):
+    for n in (0, 1, 2, 1000):
+        code = np.random.default_rng(n).integers(0, size, n)
+        for got, want in zip(katz._distinct(code, size), np.unique(code, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("kind", ["u1", "u2", "u4", "u8", "i8", "f8"])
+def test_katz_packed_types(kind):
+    for n in (0, 1, 1000):
+        a = np.random.default_rng(n).integers(0, 200, n).astype(kind)
+        (b,) = katz.unpack(katz.pack(a))
+        assert b.dtype == a.dtype and b.tolist() == a.tolist()
+
+
 def test_katz_packing():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 40, 500, dtype=np.uint64), rng.integers(0, 9, 0, dtype=np.uint32)
