@@ -81,3 +81,50 @@ s AS (SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, coun
   FROM p2 LEFT JOIN g ON g.u = p2.u AND g.v = p2.v AND g.w = p2.w LEFT JOIN k ON k.u = p2.u AND k.v = p2.v, dg, tot GROUP BY 1)
 SELECT doc_id, held_out, n_tokens, n_known, big_n AS train_tokens, base_score, score FROM s, tot
 """
+
+#: CRC-32 of the distinct strings s of a table keys.
+CRC32_OF = """
+tab AS (SELECT [list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) FOR n IN range(256)] AS t),
+crcs AS (SELECT s, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], [ascii(c)::BIGINT FOR c IN string_split(s, '')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc FROM (SELECT DISTINCT s FROM keys), tab)"""
+
+#: Best (cost, audit) to each grammar state row by row, from the front; inserted turns close each step.
+CONVERSATIONS = rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+keys AS (SELECT s FROM raw),
+{CRC32_OF},
+d AS (SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role, CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN crc % 20 = 3 THEN 2 ELSE 1 END)) AS c FROM raw JOIN crcs ON raw.s = crcs.s WHERE crc % 20 <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), c) AS i FROM d),
+f AS (SELECT *, role[1] AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE 'k' END AS kind, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM o),
+agg AS (SELECT conv_id, max(turn) AS hi, min(turn) AS lo, count(DISTINCT turn) AS n_turns, count(*) FILTER (WHERE kind = 'b') AS blank, count(*) FILTER (WHERE kind = 'd') AS duplicate, count(*) FILTER (WHERE kind = 't') AS truncated, count(*) FILTER (WHERE prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY 1),
+ins AS (SELECT * FROM (VALUES (0, 2, 'user:'), (1, 2, 'user:'), (2, 3, 'assistant:'), (3, 2, 'user:')) t(s, t, line)),
+st AS (
+  SELECT conv_id, 0::BIGINT AS i, x.s AS s, x.cost::BIGINT AS cost, x.audit AS audit, x.rep AS rep FROM agg, (VALUES (0, 0, '', NULL::VARCHAR), (2, 5, 'I', 'user:'), (3, 10, 'II', 'user:' || chr(10) || 'assistant:')) x(s, cost, audit, rep)
+  UNION ALL
+  SELECT conv_id, i, s, (z).c, (z).a, (z).r FROM (SELECT conv_id, i, s, min(struct_pack(c := cost, a := audit, r := rep)) AS z FROM (
+    WITH e AS (
+      SELECT st.conv_id, f.i, s, cost + 2 AS cost, audit || 'D' AS audit, rep FROM st JOIN f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.i = st.i + 1
+      UNION ALL SELECT st.conv_id, f.i, CASE WHEN ini = 's' THEN 1 WHEN ini = 'u' THEN 2 ELSE 3 END, cost + CASE WHEN kind = 't' THEN 5 ELSE 0 END, audit || 'K', concat_ws(chr(10), rep, role || ':' || text) FROM st JOIN f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.i = st.i + 1
+        WHERE kind IN ('k', 't') AND ((ini = 's' AND s = 0) OR (ini = 'u' AND s <> 2) OR (ini = 'a' AND s = 2))
+      UNION ALL SELECT st.conv_id, f.i, ins.t, cost + CASE WHEN kind = 't' THEN 6 ELSE 1 END, audit || 'R', concat_ws(chr(10), rep, ins.line || text) FROM st JOIN ins ON ins.s = st.s JOIN f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.i = st.i + 1 WHERE kind IN ('k', 't')),
+    e1 AS (SELECT conv_id, i, ins.t AS s, cost + 5 AS cost, audit || 'I' AS audit, concat_ws(chr(10), rep, ins.line) AS rep FROM e JOIN ins ON ins.s = e.s),
+    e2 AS (SELECT conv_id, i, ins.t AS s, cost + 5 AS cost, audit || 'I' AS audit, concat_ws(chr(10), rep, ins.line) AS rep FROM e1 JOIN ins ON ins.s = e1.s)
+    SELECT * FROM e UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2) GROUP BY conv_id, i, s)),
+best AS (SELECT st.conv_id, min(struct_pack(c := cost, a := audit, r := rep)) AS z FROM st JOIN agg ON agg.conv_id IS NOT DISTINCT FROM st.conv_id AND st.i = agg.n WHERE s IN (0, 3) GROUP BY 1)
+SELECT a.conv_id, coalesce(hi - lo + 1 - n_turns, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce((z).c, 0) AS cost, coalesce((z).a, '') AS audit, sha256(coalesce((z).r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN agg ON agg.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+PHRASES = r"""
+WITH p AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+u AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(ws) AS w FROM p) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM u GROUP BY 1),
+b AS (SELECT lang, x, y, count(*) AS f FROM (SELECT lang, unnest(ws[:-2]) AS x, unnest(ws[2:]) AS y FROM p WHERE len(ws) > 1) GROUP BY ALL),
+t AS (SELECT lang, x, y, z, count(*) AS f FROM (SELECT lang, unnest(ws[:-3]) AS x, unnest(ws[2:-2]) AS y, unnest(ws[3:]) AS z FROM p WHERE len(ws) > 2) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM t UNION ALL SELECT lang, y, z, f FROM t) GROUP BY ALL),
+k2 AS (SELECT b.lang, b.x || ' ' || b.y AS phrase, b.f AS a, u1.f AS l, u2.f AS r FROM b LEFT JOIN c ON c.lang = b.lang AND c.x = b.x AND c.y = b.y JOIN u u1 ON u1.lang = b.lang AND u1.w = b.x JOIN u u2 ON u2.lang = b.lang AND u2.w = b.y WHERE b.f >= 10 AND 100 * coalesce(c.f, 0) < 50 * b.f),
+k3 AS (SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, unnest([1, 2]) AS k, unnest([u1.f, b1.f]) AS l, unnest([b2.f, u3.f]) AS r FROM t JOIN u u1 ON u1.lang = t.lang AND u1.w = t.x JOIN u u3 ON u3.lang = t.lang AND u3.w = t.z JOIN b b1 ON b1.lang = t.lang AND b1.x = t.x AND b1.y = t.y JOIN b b2 ON b2.lang = t.lang AND b2.x = t.y AND b2.y = t.z),
+s AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM (SELECT lang, phrase, a, 1 AS k, l, r FROM k2 UNION ALL SELECT lang, phrase, a, k, l, r FROM k3)),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""

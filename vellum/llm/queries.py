@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontam, katz, language, lines, mixing, oracle, quality, sharding, simhash, toxicity, warc
+from vellum.llm import bpe, conversations, decontam, katz, language, lines, mixing, oracle, phrases, quality, sharding, simhash, toxicity, warc
 from vellum.llm.common import fold, table
 
 
@@ -59,5 +59,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_lines, op4_decontamination, op5_warc, op6_katz, op7_simhash, op8_quality, op9_mixing, op10_sharding)}
-ORACLE: dict[str, str] = {"op3_lines": oracle.LINES, "op4_decontamination": oracle.DECONTAMINATION, "op5_warc": oracle.WARC, "op6_katz": oracle.KATZ}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary.from_json(public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")), "copies")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_lines, op4_decontamination, op5_warc, op6_katz, op7_simhash, op8_quality, op9_mixing, op10_sharding, op11_bpe, op12_conversations, op13_phrases)}
+ORACLE: dict[str, str] = {"op3_lines": oracle.LINES, "op4_decontamination": oracle.DECONTAMINATION, "op5_warc": oracle.WARC, "op6_katz": oracle.KATZ, "op12_conversations": oracle.CONVERSATIONS, "op13_phrases": oracle.PHRASES}
