@@ -101,6 +101,7 @@ def test_lists_and_names():
     assert k.parse_name("Verslag A: Deel 2", "A", ["A"]) == ("report", "Deel 2") and k.parse_name("Opdracht A: deel (!)", "A", ["A"])[0] is None
     assert k.name_series("A en B en C", ["A", "A en B", "B", "C"]) in (["A", "B", "C"], ["A en B", "C"])
     assert k.collision_names(["x.png"] * 3 + ["x-2.png"]) == ["x.png", "x-2.png", "x-2-3.png", "x-2-2.png"]
+    assert k.collision_names(["a.png", "A.png", "a.PNG", ".x", "b"], taken=["B"]) == ["a.png", "A-2.png", "a-2-3.PNG", ".x", "b-2"]
     assert k.longest_run("a b c d".split(), "x b c d a b".split()) == (1, 3)
     assert k.list_items("<ul><li>a<ol><li>b</li></ol></li><li>open</ul>", "ol") == [("<li>", "b")] and k.list_items("<ul><li>a</li><li>open</ul>", "ul") == [("<li>", "a")]
     assert k.blanks_without_class('<ol class="vragen"><li>invulruimte</li></ol><ul><li><ol><li>x</li></ol></li></ul>') is False and k.blanks_without_class("<ul><li><ol><li>invulruimte</li></ol></li></ul>")

@@ -63,6 +63,8 @@ def test_settings(spark):
     d = spark.createDataFrame([(1, None, "a", "9.99", "number"), (1, "g", "p", "1", "number"), (1, "g", "q", "2", "number"), (1, "cover", "x", "1", "number"), (1, "cover", "y", "2", "number")], "k int, object string, field string, value string, kind string")
     a = spark.createDataFrame([(1, None, "a", "9.990", "string"), (1, "g", "p", "1", "number"), (1, "g", "q", "3", "number"), (1, "cover", "x", "1", "number"), (1, "cover", "y", "0", "number")], d.schema)
     assert rows(reconcile.setting_changes(d, a, ["k"]).select("object", "field", "want", "have")) == [("cover", "y", "2", "0"), ("g", "q", "2", "3")]
+    more = a.unionByName(spark.createDataFrame([(1, "g", "other", "9", "number"), (1, "cover", "other", "9", "number")], d.schema))
+    assert {r["object"]: r["body"] for r in reconcile.settings_plan(d, more, ["k"], ["cover"]).collect()} == {"g": {"p": "1", "q": "2", "other": "9"}, "cover": {"y": "2"}}
     assert {r["object"]: r["body"] for r in reconcile.settings_plan(d, a, ["k"], ["cover"]).collect()} == {"g": {"p": "1", "q": "2"}, "cover": {"y": "2"}}
 
 
@@ -137,8 +139,13 @@ def test_answers(spark):
     assert rows(got.select("label", F.coalesce("row", F.lit(0)), F.coalesce("problem", F.lit("")))) == [("a", 1, ""), ("a", 2, ""), ("b", 3, "another number of values"), ("c", 0, "a line for no row")]
     parts = answers.answer_parts(spark.createDataFrame([(1, "p one\np two\n\n```\ncode\n```\n![a.pdf]{page=2 width=5}\n![x")], "k int, body string"), ["k"])
     assert [(r["kind"], r["text"]) for r in parts.orderBy("ord").collect()] == [("paragraph", "p one\np two"), ("fence", "code"), ("figure", "![a.pdf]{page=2 width=5}"), ("error", "![x")]
-    f = spark.createDataFrame([("f", "# T\n## S01 x\nold\nNoot: n\n## S02 y\nkeep  \n")], "path string, text string")
-    assert answers.written_back(f, spark.createDataFrame([("S01", "new")], "code string, proposal string")).first()["text"] == "# T\n## S01 x\n\nnew\n\nNoot: n\n## S02 y\nkeep  \n"
+    old = "# T\n## S01\nold\nVoor de lector: n\n## S02 \nkeep  \n## S03\nold   text\n## S04\ngo\n## note\n"
+    f = spark.createDataFrame([("f", old)], "path string, text string")
+    got = answers.written_back(f, spark.createDataFrame([("S01", "new\r\nline"), ("S03", " old text"), ("S04", ""), ("S99", "no")], "code string, proposal string")).first()
+    assert got["text"] == "# T\n## S01\n\nnew\nline\n\nVoor de lector: n\n\n## S02 \nkeep  \n## S03\nold   text\n## S04\n\nVoor de lector: De lector stuurde niets.\n\n" and got["changed"] == ["S01", "S04"]
+    again = answers.written_back(f.withColumn("text", F.lit(got["text"])), spark.createDataFrame([("S04", None)], "code string, proposal string")).first()
+    assert again["text"] == got["text"] and again["changed"] == []
+    assert rows(answers.proposals(f).select("code", "proposal", "note")) == [("S01", "old", "n"), ("S02", "keep", ""), ("S03", "old   text", ""), ("S04", "go\n## note", "")]
 
 
 def test_assembly(spark):
@@ -155,7 +162,7 @@ def test_assembly(spark):
     figs = spark.createDataFrame([(1, 0, 5.0, 0.0, 2.0), (1, 1, 1.0, 1.0, 2.0), (2, 0, 5.0, 9.0, 2.0), (2, 1, 1.0, 1.0, 2.0)], "k int, ord int, x double, y double, height double")
     assert rows(assemble.reading_order(figs, ["k"]).select("k", "ord", "place")) == [(1, 0, 2), (1, 1, 1), (2, 0, 2), (2, 1, 1)]
     frag = assemble.page_transform(spark.createDataFrame([("a.html", '<body><script>x</script><iframe src="https://youtube.com/embed/x"></iframe><p id="q">t</p></body>')], "path string, html string")).first()["fragment"]
-    assert frag == '<p>Video: <a href="https://youtube.com/embed/x">https://youtube.com/embed/x</a></p><p id="a-html-q">t</p>'
+    assert frag == '<div class="pdf-note"><strong>Interactive part.</strong> It works in a browser only; open the page online.</div><div class="pdf-note"><strong>Video.</strong><br><a href="https://www.youtube.com/watch?v=x">https://www.youtube.com/watch?v=x</a></div><p id="a-html-q">t</p>'
     links = spark.createDataFrame([("a.html", '<a href="B.html"><a href="c.pdf"><a href="no.html"><a href="https://x">')], "path string, html string")
     out = assemble.page_links(links, spark.createDataFrame([("b.html",)], "path string"), spark.createDataFrame([("c.pdf",)], "path string"))
     assert rows(out.select("href", "outcome")) == [("B.html", "anchor"), ("c.pdf", "file"), ("https://x", "outside"), ("no.html", "unresolved")]
@@ -174,8 +181,12 @@ def test_menu_tree(spark):
 def test_rewrites(spark):
     pages = spark.createDataFrame([("p", '<a href="x">x</a><img src="y"><a href="x">')], "path string, html string")
     assert rewrite.rewrite_references(pages, spark.createDataFrame([("p", "x", "Z")], "path string, ref string, new string")).first()["html"] == '<a href="Z">x</a><img src="y"><a href="Z">'
-    df = spark.createDataFrame([(1, "<pre class='a'><code>x</code></pre>\n<pre><code>y</code></pre>"), (2, "z")], "id int, c string")
-    assert rows(rewrite.code_block_repairs(df, "id", "c")) == [(1, "<pre class='a'><code>x\n\ny</code></pre>")]
+    cut = "<p>q</p><pre>\n <code class='a'> <code>a</code>\n<code></code><code>b &lt; c</code></code>\n</pre> t"
+    two = "<pre><code>x</code></pre>\n<pre><code>y</code></pre>"
+    many = "<pre><code>" + "<code>x</code>" * 30_000 + "</code></pre>"
+    df = spark.createDataFrame([(1, cut), (2, two), (3, "z"), (4, cut + two + cut), (5, None), (6, many)], "id int, c string")
+    done = "<p>q</p><pre>a\n\nb &lt; c</pre> t"
+    assert rows(rewrite.code_block_repairs(df, "id", "c")) == [(1, done), (4, done + two + done), (6, "<pre>" + "\n".join("x" * 30_000) + "</pre>")]
     log = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, b string")
     assert rows(rewrite.replace_section(log, spark.createDataFrame([("b", "3")], "k string, b string"), "k", "b")) == [("a", "1"), ("b", "3")]
 

@@ -7,6 +7,7 @@ pandas UDF.  Everything else lives in functions.text.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable
@@ -228,16 +229,16 @@ longest_run_udf = lazy_udf(_longest_runs, "struct<start:int,length:int>")
 drop_solutions_udf = vectorised(drop_blocks, "string")
 
 
-def collision_names(wanted: list[str]) -> list[str]:
-    """File names in order, each taken one with a growing suffix: x, x-2, x-2-3."""
-    taken, out = set(), []
+def collision_names(wanted: list[str], taken: list[str] = ()) -> list[str]:
+    """File names in order, each taken one (in any case) with a growing suffix: x, x-2, x-2-3."""
+    used, out = {t.lower() for t in taken}, []
     for name in wanted:
-        dot = name.rfind(".")
-        stem, ext = (name, "") if dot <= 0 else (name[:dot], name[dot:])
-        n = 2
-        while stem + ext in taken:
-            stem, n = f"{stem}-{n}", n + 1
-        taken.add(stem + ext)
+        stem, dot, ext = name.rpartition(".")
+        stem, ext = (stem, dot + ext) if stem else (name, "")
+        suffix = itertools.count(2)
+        while (stem + ext).lower() in used:
+            stem += f"-{next(suffix)}"
+        used.add((stem + ext).lower())
         out.append(stem + ext)
     return out
 

@@ -70,21 +70,39 @@ def answer_parts(bodies: DataFrame, keys: list[str], body: str = "body") -> Data
     return grouped.groupBy(*keys, "ord", "kind").agg(text_in_order("line", ["pos"], "\n").alias("text"), F.when(F.first("kind") == "figure", F.map_filter(options, lambda k, v: k != "")).alias("options"))
 
 
+#: A section's heading, the line that opens a note, and what a section without text says (fixed values).
+SECTION, NOTE, NOTHING = r"## (S\d+)[ \t]*\n", "Voor de lector:", "De lector stuurde niets."
+
+
+def _sections(files: DataFrame, key: str, text: str) -> DataFrame:
+    """key, ord, part, code, body, note: a proposals file cut before each section; what precedes them has no code."""
+    parts = files.select(key, F.posexplode(F.split(text, rf"(?m)^(?={SECTION})", -1)).alias("ord", "part")).withColumn("code", tx.first("part", rf"^{SECTION}"))
+    inner = tx.strip(F.regexp_replace("part", rf"^{SECTION}", ""))
+    noted = rf"(?ms)^{NOTE}\s*(.*?)\s*\z"
+    body = F.when(inner.rlike(noted), tx.strip(F.regexp_replace(inner, noted, ""))).otherwise(inner)
+    return parts.select(key, "ord", "part", "code", body.alias("body"), tx.strip(F.regexp_extract(inner, noted, 1)).alias("note"))
+
+
 def proposals(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """key, ord, code, proposal, note of a proposals file: a section for each code, a note below `Noot:`."""
-    section = r"(?ms)^## +([A-Z]+\d+)[^\n]*\n(.*?)(?=^## |\z)"
-    rows = files.select(key, F.posexplode(F.arrays_zip(tx.every(text, section, 1).alias("code"), tx.every(text, section, 2).alias("body"))).alias("ord", "s")).select(key, "ord", "s.code", "s.body")
-    note = tx.strip(F.regexp_extract("body", r"(?ms)^Noot:\s*(.*)\z", 1))
-    return rows.select(key, "ord", "code", tx.strip(F.regexp_replace("body", r"(?ms)^Noot:.*\z", "")).alias("proposal"), note.alias("note"))
+    """key, ord, code, proposal, note of a proposals file: a section for each code, a note behind its mark."""
+    return _sections(files, key, text).where("code is not null").select(key, (F.col("ord") - 1).alias("ord"), "code", F.col("body").alias("proposal"), "note")
 
 
 def written_back(files: DataFrame, new: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """The proposals file with the bodies of new(code, proposal) put in; all other sections byte for byte as they were."""
-    parts = files.select(key, F.posexplode(F.split(text, r"(?m)^(?=## )", -1)).alias("ord", "part")).withColumn("code", tx.first("part", r"^## +([A-Z]+\d+)"))
-    head, note = F.regexp_extract("part", r"^([^\n]*\n)", 1), F.regexp_extract("part", r"(?ms)^(Noot:.*)\z", 1)
-    changed = F.when(F.col("new_text").isNull(), F.col("part")).otherwise(F.concat(head, F.lit("\n"), "new_text", F.lit("\n\n"), note))
-    j = parts.join(new.select("code", F.col("proposal").alias("new_text")), "code", "left")
-    return j.withColumn("part", changed).groupBy(key).agg(text_in_order("part", ["ord"]).alias(text))
+    """The proposals file with the texts of new(code, proposal) put in; `changed` lists the codes whose section differs.
+
+    A section that says the same but for white space, and one that new does not name, stays
+    byte for byte; notes stay.  An empty text becomes a section without one, whose note
+    begins with what says that nothing is sent.
+    """
+    parts = _sections(files, key, text)
+    j = parts.join(new.select("code", tx.strip(F.regexp_replace(F.coalesce("proposal", F.lit("")), "\r\n", "\n")).alias("_new")), "code", "left")
+    note = F.when((F.col("_new") == "") & ~F.col("note").startswith(NOTHING), F.trim(F.concat(F.lit(NOTHING + " "), "note"))).otherwise(F.col("note"))
+    pieces = F.array(F.concat(F.lit("## "), "code", F.lit("\n")), F.when(F.col("_new") != "", F.concat("_new", F.lit("\n"))), F.when(note != "", F.concat(F.lit(NOTE + " "), note, F.lit("\n"))))
+    section = F.concat(F.array_join(F.filter(pieces, lambda p: p.isNotNull()), "\n"), F.lit("\n"))
+    differs = F.col("_new").isNotNull() & (tx.squeeze(section) != tx.squeeze("part"))
+    j = j.withColumn("_part", F.when(differs, section).otherwise(F.col("part"))).withColumn("_code", F.when(differs, F.col("code")))
+    return j.groupBy(key).agg(text_in_order("_part", ["ord"]).alias(text), F.array_sort(F.collect_list("_code")).alias("changed"))
 
 
 def review_sheet(proposed: DataFrame, keymap: DataFrame) -> DataFrame:

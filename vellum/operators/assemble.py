@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions.kernels import choices_udf, drop_solutions_udf, lazy_udf, question_lists_udf, unescape_udf, xhtml_udf
+from vellum.functions.tokens import frames_to_links_udf, printable_udf, without_scripts_udf
 from vellum.operators.privacy import item_hash
 from vellum.operators.sequence import nested_headings, text_in_order
 
@@ -29,24 +30,19 @@ def container_of(c: Column | str, mark: str = "container") -> Column:
     return F.coalesce(tx.first(body, rf'(?is)<div[^>]*class="[^"]*\b{mark}\b[^"]*"[^>]*>(.*)</div>'), body)
 
 
-def without_scripts(c: Column, note: str = '<p class="note">interactive part</p>') -> Column:
-    """Scripts out; a widget's container becomes a note."""
-    c = F.regexp_replace(c, r"(?is)<script\b[^>]*>.*?</script>|<script\b[^>]*/>", "")
-    return F.regexp_replace(c, r'(?is)<div[^>]*class="[^"]*\bwidget\b[^"]*"[^>]*>.*?</div>', note)
+def without_scripts(c: Column | str) -> Column:
+    """Scripts out; one that shows something of its own leaves a note."""
+    return without_scripts_udf(tx.col(c))["html"]
 
 
-def frames_to_links(c: Column) -> Column:
-    """Frames become links; a video is named as one."""
-    c = F.regexp_replace(c, r'(?is)<iframe\b[^>]*\bsrc="([^"]*(?:youtube|vimeo)[^"]*)"[^>]*>.*?</iframe>', '<p>Video: <a href="$1">$1</a></p>')
-    return F.regexp_replace(c, r'(?is)<iframe\b[^>]*\bsrc="([^"]*)"[^>]*>.*?</iframe>', '<p><a href="$1">$1</a></p>')
+def frames_to_links(c: Column | str) -> Column:
+    """Frames become links to what they show."""
+    return frames_to_links_udf(tx.col(c))
 
 
-def printable(c: Column) -> Column:
-    """A sheet's own content: no heading, lead, downloads; links unwrapped."""
-    c = F.regexp_replace(container_of(c), r"(?is)<h1\b[^>]*>.*?</h1>", "")
-    c = F.regexp_replace(c, r'(?is)<p class="[^"]*\blead\b[^"]*"[^>]*>.*?</p>', "")
-    c = F.regexp_replace(c, r'(?is)<p[^>]*>\s*<a\b[^>]*href="[^"]*\.(?:pdf|docx|zip)"[^>]*>.*?</a>\s*</p>', "")
-    return F.trim(F.regexp_replace(c, r"(?is)</?a\b[^>]*>", ""))
+def printable(c: Column | str) -> Column:
+    """struct(html, error): a sheet's own content: no scripts, heading, intro, downloads; links unwrapped."""
+    return printable_udf(tx.col(c))
 
 
 def page_links(pages: DataFrame, in_bundle: DataFrame, files: DataFrame) -> DataFrame:
@@ -108,9 +104,9 @@ def subtitle(n_exercises: Column, n_other: Column, with_solutions: bool) -> Colu
 
 
 def slides(decks: DataFrame) -> DataFrame:
-    """path, pos, number, html of each slide; the number attribute, else the position."""
-    rows = decks.select("path", F.posexplode(tx.every("html", r'(?is)(<section class="slide[^"]*"[^>]*>.*?</section>)')).alias("p", "html"))
-    no = F.coalesce(F.nullif(F.regexp_extract("html", r'data-(?:nr|number)="(\d+)"', 1), F.lit("")).cast("int"), F.col("p") + 1)
+    """path, pos, number, html of each slide; the number is its data-slide, else its position."""
+    rows = decks.select("path", F.posexplode(tx.every("html", r'(?s)(<section class="slide.*?</section>)')).alias("p", "html"))
+    no = F.coalesce(tx.first("html", r'data-slide="(\d+)"').cast("int"), F.col("p") + 1)
     return rows.select("path", (F.col("p") + 1).alias("pos"), no.alias("number"), "html")
 
 
@@ -150,13 +146,16 @@ def nested_list(items: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def header_reason(rows: DataFrame, keys: list[str], styled: Column) -> DataFrame:
-    """keys, reason: why the first row of a table is a header, null if it isn't; more than one column and two rows are needed.
+    """keys, is_header, reason: whether the first row of a table is a header, and why or why not.
 
-    rows(keys, row, col, all_bold, header, text).
+    It is if marked as one (flag), if each of its cells with text is all bold (bold), or if
+    the table's style sets it off (style: from two columns and three rows on).  Else the
+    table has one column, or no signal.  rows(keys, row, col, all_bold, header, text).
     """
-    per = rows.groupBy(*keys).agg(F.max("col").alias("c"), F.max("row").alias("r"), F.bool_or(F.col("header") & (F.col("row") == 0)).alias("flag"), F.bool_and(F.when(F.col("row") == 0, F.col("all_bold"))).alias("bold"), F.bool_or(F.when(F.col("row") > 0, F.col("all_bold"))).alias("bold_below"), F.bool_or(styled).alias("styled"))
-    reason = F.when(F.col("flag"), "flag").when((F.col("c") > 0) & (F.col("r") > 1), F.when(F.col("bold") & ~F.coalesce("bold_below", F.lit(False)), "bold").when(F.col("styled"), "style"))
-    return per.select(*keys, reason.alias("reason"))
+    top, text = F.col("row") == 0, F.trim("text") != ""
+    per = rows.groupBy(*keys).agg(F.max(F.when(top, F.col("col"))).alias("c"), F.max("row").alias("r"), F.bool_or(F.col("header") & top).alias("flag"), F.bool_and(F.when(top & text, F.col("all_bold"))).alias("bold"), F.bool_or(styled).alias("styled"))
+    reason = F.when(F.col("flag"), "flag").when(F.col("bold"), "bold").when(F.col("styled") & (F.col("c") > 0) & (F.col("r") > 1), "style").when(F.col("c") > 0, "no signal").otherwise("one column")
+    return per.withColumn("reason", reason).select(*keys, F.col("reason").isin("flag", "bold", "style").alias("is_header"), "reason")
 
 
 def empty_columns(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -68,13 +68,14 @@ def setting_changes(desired: DataFrame, actual: DataFrame, keys: list[str]) -> D
 def settings_plan(desired: DataFrame, actual: DataFrame, keys: list[str], partial: list[str]) -> DataFrame:
     """keys, object, body: what to send.
 
-    A plain object goes whole when any of its fields differs; objects in `partial`
-    send only the fields that differ.
+    A plain object goes whole when any of its fields differs: what it has now, overlaid by
+    the wanted fields.  Objects in `partial` send only the fields that differ.
     """
     changed = setting_changes(desired, actual, keys)
     part = changed.where(F.col("object").isNull() | F.col("object").isin(*partial)).select(*keys, "object", "field", F.col("want").alias("value"))
     whole = changed.where(F.col("object").isNotNull() & ~F.col("object").isin(*partial)).select(*keys, "object").distinct()
-    full = desired.join(whole, [*keys, "object"], "left_semi").select(*keys, "object", "field", "value")
+    layers = desired.select(*keys, "object", "field", "value", F.lit(1).alias("_layer")).unionByName(actual.select(*keys, "object", "field", "value", F.lit(0).alias("_layer")))
+    full = layers.join(whole, [*keys, "object"], "left_semi").groupBy(*keys, "object", "field").agg(F.max_by("value", "_layer").alias("value"))
     both = part.unionByName(full)
     return both.groupBy(*keys, "object").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("body"))
 

@@ -6,25 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators.sequence import text_in_order
+from vellum.functions.tokens import TEXTS, PrintTexts, references_udf, spliced_udf
+
+
+def references(pages: DataFrame, key: str = "path", html: str = "html") -> DataFrame:
+    """key, tag, attr, ref, alt and spans of each href and src of a page's tags, entities decoded."""
+    return pages.select(key, F.explode(references_udf(html)).alias("r")).select(key, "r.*")
+
+
+def spliced(pages: DataFrame, edits: DataFrame, key: str, html: str) -> DataFrame:
+    """pages with the spans of edits(key, begin, end, new) replaced; the rest of a page stays byte for byte."""
+    per = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "new"))).alias("_edits"))
+    return pages.join(per, key, "left").withColumn(html, spliced_udf(html, "_edits")).drop("_edits")
 
 
 def rewrite_references(pages: DataFrame, resolved: DataFrame, key: str = "path", html: str = "html") -> DataFrame:
-    """pages with each href and src replaced by what resolved(key, ref, new) says; others stay.
+    """pages with each href and src of a tag replaced by what resolved(key, ref, new) says; others stay.
 
-    The page is cut at its references, joined, and put together in order; a reference
-    is looked up once however often it occurs.
+    Names in comments, scripts and plain text are no references.
     """
-    pattern = r'(?i)(?<=(?:href|src)=")[^"]*(?=")'
-    texts, refs = F.split(html, pattern, -1), tx.every(html, pattern, 0)
-    parts = pages.select(key, F.posexplode(F.arrays_zip(texts.alias("t"), refs.alias("r"))).alias("pos", "z")).select(key, "pos", "z.t", F.col("z.r").alias("ref"))
-    j = parts.join(resolved.select(key, "ref", "new"), [key, "ref"], "left")
-    return j.withColumn("piece", F.concat(F.coalesce("t", F.lit("")), F.coalesce("new", "ref", F.lit("")))).groupBy(key).agg(text_in_order("piece", ["pos"]).alias(html))
+    found = references(pages, key, html).join(resolved.select(key, "ref", "new"), [key, "ref"])
+    return spliced(pages, found.select(key, "begin", "end", as_value(F.col("new")).alias("new")), key, html)
+
 
+def as_value(new: Column) -> Column:
+    """An attribute's new value between the quotes it has; in quotes of its own where it had none."""
+    safe = F.replace(tx.escape(new, True), F.lit("'"), F.lit("&#39;"))
+    return F.when(F.col("quote") == "", F.concat(F.lit('"'), safe, F.lit('"'))).otherwise(safe)
 
-def joined_code_blocks(content: Column) -> Column:
-    """Code blocks that a platform split at blank lines are joined again."""
-    return F.regexp_replace(content, r"(?s)</code></pre>\s*<pre[^>]*><code>", "\n\n")
+
+#: What a platform makes of a code block: a code element for each line within one (fixed shape).
+SPLIT_BLOCK = r"(?s)<pre>\s*<code[^>]*>((?:\s*<code>(?:(?!</code>).)*+</code>)++)\s*</code>\s*</pre>"
+
+
+def joined_code_blocks(content: Column | str) -> Column:
+    """Code blocks that were cut into a code element for each line, as one pre with line ends; other blocks stay."""
+    content = tx.col(content)
+    gaps, inner = F.split(content, SPLIT_BLOCK, -1), tx.every(content, SPLIT_BLOCK, 1)
+    joined = F.transform(inner, lambda x: F.concat(F.lit("<pre>"), F.array_join(tx.every(x, r"(?s)<code>(.*?)</code>", 1), "\n"), F.lit("</pre>")))
+    return F.when(F.size(inner) > 0, F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(joined, i + 1), F.lit("")))), "")).otherwise(content)
 
 
 def code_block_repairs(rows: DataFrame, id: str, content: str) -> DataFrame:
@@ -32,11 +52,21 @@ def code_block_repairs(rows: DataFrame, id: str, content: str) -> DataFrame:
     return rows.withColumn("_new", joined_code_blocks(F.col(content))).where(F.col("_new") != F.col(content)).select(id, F.col("_new").alias(content))
 
 
-def images_or_placeholder(pages: DataFrame, files: DataFrame, key: str = "path", html: str = "html") -> DataFrame:
-    """key, ref, target, new for each image: its path from the root, or a placeholder if the file is missing."""
-    refs = pages.select(key, F.explode(F.array_distinct(tx.every(html, r'(?is)<img\b[^>]*?\bsrc="([^"]+)"'))).alias("ref")).where(~F.col("ref").rlike("^(?i)(https?:|data:)"))
-    j = refs.withColumn("target", tx.local_target(key, "ref")).join(files.select(F.col("path").alias("target"), F.lit(True).alias("there")), "target", "left")
-    return j.select(key, "ref", "target", F.when(F.col("there"), F.col("target")).otherwise("missing.svg").alias("new"))
+def image_outcomes(pages: DataFrame, files: DataFrame, key: str = "path", html: str = "html") -> DataFrame:
+    """key, target, missing, alt and spans of each image of a page that is a file of its own."""
+    images = references(pages, key, html).where("tag = 'img' and attr = 'src' and ref <> ''").where(~F.col("ref").rlike("^(http|data:|file:)"))
+    there = files.select(F.col("path").alias("target"), F.lit(True).alias("there")).distinct()
+    j = images.withColumn("target", tx.local_target(key, "ref")).join(there, "target", "left")
+    return j.select(key, "target", F.col("there").isNull().alias("missing"), "alt", "quote", "begin", "end", "tag_begin", "tag_end")
+
+
+def images_or_placeholder(pages: DataFrame, files: DataFrame, key: str = "path", html: str = "html", root: str = "", texts: PrintTexts = TEXTS) -> DataFrame:
+    """pages with images by their path from the root; one that is missing becomes a block with its alternative text, listed in `missing`."""
+    found = image_outcomes(pages, files, key, html)
+    block = F.concat(F.lit(f'<div class="pdf-missing-img"><strong>{texts.no_image}</strong><br>'), tx.escape(F.coalesce(F.nullif("alt", F.lit("")), F.lit(texts.no_alt)), True), F.lit("</div>"))
+    edits = found.select(key, F.when(F.col("missing"), F.col("tag_begin")).otherwise(F.col("begin")).alias("begin"), F.when(F.col("missing"), F.col("tag_end")).otherwise(F.col("end")).alias("end"), F.when(F.col("missing"), block).otherwise(as_value(F.concat(F.lit(root), "target"))).alias("new"))
+    lost = found.where("missing").groupBy(key).agg(F.array_sort(F.collect_set("target")).alias("missing"))
+    return spliced(pages, edits, key, html).join(lost, key, "left")
 
 
 def replace_section(log: DataFrame, new: DataFrame, key: str, body: str) -> DataFrame:

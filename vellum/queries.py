@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
+from vellum.functions.tokens import TEXTS
 from vellum.operators import assemble, menu, privacy, reconcile, runs, sequence
 from vellum.operators.contains import occurring
 
@@ -478,9 +479,16 @@ def rw6_all_or_nothing(t):
     return assemble.chapters_with_answers(rows, ["conv_id"]).select("conv_id", F.regexp_replace("answers", "^<ol>|</ol>$", "").alias("answers"))
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<script\b[^>]*/>', '', 'g'), '\bid="([^"]+)"', 'id="x-\1"', 'g') AS html FROM pages""")
+@query(rf"""WITH p AS (SELECT page_id, html || '<script>' || CASE page_id % 4 WHEN 0 THEN 'draw("</p>")' WHEN 1 THEN ' initChecklistSync( "a" ) ; ' WHEN 2 THEN chr(10) ELSE 'initChecklistSync(1); more()' END || '</script><script src="x.js">y</script>' AS html FROM pages),
+a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b[^>]*\bsrc="[^"]+"[^>]*>.*?</script>', '', 'g') AS html FROM p),
+b AS (SELECT page_id, regexp_replace(html, '(?is)<script\b[^>]*>\s*(initChecklistSync\s*\([^)]*\)\s*;?\s*)?</script>', '', 'g') AS html FROM a)
+SELECT page_id, md5(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', '{TEXTS.interactive}', 'g')) AS h FROM b""")
 def rw3_without_scripts(t):
-    return t.pages.select("page_id", F.regexp_replace(assemble.without_scripts(F.col("html")), r'\bid="([^"]+)"', 'id="x-$1"').alias("html"))
+    """Scripts of four kinds behind each page's own; only those that show something leave a note."""
+    kind = F.col("page_id") % 4
+    body = F.when(kind == 0, 'draw("</p>")').when(kind == 1, ' initChecklistSync( "a" ) ; ').when(kind == 2, "\n").otherwise("initChecklistSync(1); more()")
+    html = F.concat("html", F.lit("<script>"), body, F.lit('</script><script src="x.js">y</script>'))
+    return t.pages.select("page_id", F.md5(assemble.without_scripts(html).cast("binary")).alias("h"))
 
 
 @query("""SELECT o_custkey AS code, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS place FROM orders""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.corpus import Corpus
 from vellum.functions import kernels
 from vellum.functions import text as tx
+from vellum.functions.tokens import TEXTS
 from vellum.operators import answers, assemble, feedback, menu, privacy, reconcile, rewrite, sequence, worklist
 from vellum.plans import runner
 from vellum.queries import long, query
@@ -252,13 +253,17 @@ def rcn2_external_ids(t):
     return t.part.select("p_partkey", F.concat("p_brand", F.lit("#"), F.col("p_partkey").cast("string"), F.lit("@"), h).alias("external_id"))
 
 
-@query("SELECT l_orderkey, CASE WHEN n > 2 THEN 'bold' END AS reason FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")
+@query("""SELECT l_orderkey, CASE l_orderkey % 5 WHEN 0 THEN 'flag' WHEN 1 THEN 'bold' WHEN 2 THEN 'no signal' WHEN 3 THEN 'one column' ELSE CASE WHEN n > 2 THEN 'style' ELSE 'no signal' END END AS reason,
+l_orderkey % 5 < 2 OR (l_orderkey % 5 = 4 AND n > 2) AS is_header FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)""")
 def imp5_header_reason(t):
-    """Lines of an order as two-column rows of which the first is bold; two rows are too few for a header."""
+    """Lines of an order as a table: marked, bold in its first row (and in others, and with an empty cell), plain, of one column, or styled."""
     w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    rows = t.lineitem.withColumn("row", F.row_number().over(w) - 1).select("l_orderkey", "row", F.explode(F.array(F.lit(0), F.lit(1))).alias("col"))
-    cells = rows.select("*", (F.col("row") == 0).alias("all_bold"), F.lit(False).alias("header"), F.lit("x").alias("text"))
-    return assemble.header_reason(cells, ["l_orderkey"], F.lit(False))
+    kind = F.col("l_orderkey") % 5
+    cells = F.explode(F.when(kind == 3, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("col")
+    rows = t.lineitem.withColumn("row", F.row_number().over(w) - 1).select("l_orderkey", "row", cells)
+    text = F.when((kind == 1) & (F.col("col") == 1), "").otherwise("x")
+    cells = rows.select("*", ((kind == 1) & (F.col("col") == 0)).alias("all_bold"), ((kind == 0) & (F.col("row") == 0)).alias("header"), text.alias("text"))
+    return assemble.header_reason(cells, ["l_orderkey"], F.col("l_orderkey") % 5 > 2)
 
 
 @query(f"SELECT doc_id, 0::BIGINT AS chapters, count(*) AS n FROM ({LINES_SQL}) GROUP BY 1")
@@ -321,7 +326,7 @@ def hlp27_subtitles(t):
     return t.orders.groupBy("o_custkey").agg(f.alias("n_f"), F.count("*").alias("n")).select("*", assemble.subtitle(F.col("n_f"), F.col("n") - F.col("n_f"), False).alias("subtitle"))
 
 
-@query("SELECT page_id, '<p id=\"' || page_id || '-html-a\">' || page_id || '</p>' AS fragment FROM pages")
+@query(f"SELECT page_id, '{TEXTS.interactive}<p id=\"' || page_id || '-html-a\">' || page_id || '</p>' AS fragment FROM pages")
 def hlp28_page_transform(t):
     n = F.col("page_id").cast("string")
     pages = t.pages.select(F.concat(n, F.lit(".html")).alias("path"), F.concat(F.lit('<body><script>x</script><p id="a">'), n, F.lit('</p><div class="solution-container">s</div></body>')).alias("html"))

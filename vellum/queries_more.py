@@ -211,8 +211,8 @@ def imp1_package_topics(t):
 
 @query("SELECT c_custkey, 'S' || c_custkey AS code, c_name AS proposal, c_mktsegment AS note FROM customer")
 def src18_proposals(t):
-    body = F.concat(F.lit("## S"), F.col("c_custkey").cast("string"), F.lit("\n"), "c_name", F.lit("\nNoot: "), "c_mktsegment", F.lit("\n"))
-    files = t.customer.withColumn("b", body).groupBy("c_nationkey").agg(sequence.text_in_order("b", ["c_custkey"]).alias("text"))
+    body = F.concat(F.lit("## S"), F.col("c_custkey").cast("string"), F.lit(" \n"), "c_name", F.lit("\n\nVoor de lector: "), "c_mktsegment", F.lit("\n"))
+    files = t.customer.withColumn("b", body).groupBy("c_nationkey").agg(F.concat(F.lit("# T\n"), sequence.text_in_order("b", ["c_custkey"])).alias("text"))
     return answers.proposals(files, "c_nationkey").select(F.regexp_extract("code", r"\d+", 0).cast("long").alias("c_custkey"), "code", "proposal", "note")
 
 
@@ -268,12 +268,14 @@ def exp8_items(t):
     return got.select(F.col("path").cast("long").alias("doc_id"), long("nr").alias("nr"), kernels.well_formed_udf("xml").alias("broken"))
 
 
-@query(f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS number, md5(text) AS h FROM ({LINES_SQL}) WHERE trim(text) <> ''")
+@query("""SELECT doc_id, CASE WHEN i % 3 = 0 THEN 100 + i ELSE i END::BIGINT AS number, md5(line) AS h FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS lines FROM documents))""")
 def ext16_slides(t):
-    section = lambda x: F.concat(F.lit('<section class="slide">'), tx.escape(x), F.lit("</section>"))
+    """A document's lines as slides; every third has a number of its own, others are counted."""
+    attrs = lambda i: F.when((i + 1) % 3 == 0, F.concat(F.lit(' data-slide="'), (i + 101).cast("string"), F.lit('"'))).otherwise(F.lit(' data-nr="7"'))
+    section = lambda x, i: F.concat(F.lit('<section class="slide wide"'), attrs(i), F.lit(">"), tx.escape(x), F.lit("</section>"))
     decks = t.documents.select(F.col("doc_id").alias("path"), F.array_join(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), section), "\n").alias("html"))
     got = assemble.slides(decks)
-    plain = tx.decode_basic(F.regexp_replace("html", '^<section class="slide">|</section>$', ""))
+    plain = tx.decode_basic(F.regexp_replace("html", '^<section[^>]*>|</section>$', ""))
     return got.select(F.col("path").alias("doc_id"), long("number").alias("number"), F.md5(plain.cast("binary")).alias("h"))
 
 
@@ -352,9 +354,10 @@ def xml2_xhtml(t):
 
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
 def win8_collision_names(t):
-    """As many different names as parts of a brand, though many wish the same."""
-    assets = t.part.select(F.col("p_brand").alias("kind"), F.col("p_partkey").alias("ord"), F.concat(F.lit("x"), (F.col("p_size") % 3).cast("string"), F.lit(".png")).alias("wanted"), F.col("p_partkey").cast("string").cast("binary").alias("content"))
-    return privacy.stage_assets(assets, "kind", "content", "wanted", ["ord"]).groupBy(F.col("kind").alias("p_brand")).agg(F.countDistinct("name").alias("n"))
+    """As many names that differ in any case of letters as parts of a brand, though many wish the same."""
+    wanted = F.concat(F.when(F.col("p_partkey") % 2 == 0, "x").otherwise("X"), (F.col("p_size") % 3).cast("string"), F.when(F.col("p_partkey") % 5 == 0, ".PNG").otherwise(".png"))
+    assets = t.part.select(F.col("p_brand").alias("kind"), F.col("p_partkey").alias("ord"), wanted.alias("wanted"), F.col("p_partkey").cast("string").cast("binary").alias("content"))
+    return privacy.stage_assets(assets, "kind", "content", "wanted", ["ord"]).groupBy(F.col("kind").alias("p_brand")).agg(F.countDistinct(F.lower("name")).alias("n"))
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY lang, sha1(text) ORDER BY doc_id) > 1 AS reused FROM documents")
@@ -369,11 +372,13 @@ def str9_pseudonyms(t):
     return t.conversations.select("conv_id", "turn", long(n).alias("n"))
 
 
-@query("""SELECT page_id, len(regexp_extract_all(html, 'href="/[^"]*"'))::BIGINT AS n FROM pages""")
+@query(r"""SELECT page_id, md5(regexp_replace(html, '(href|src)="/([^"]*)"', '\1="root:/\2"', 'g') || '<!-- <a href="/c"> --><a href=' || chr(39) || 'root:/' || page_id || chr(39) || ' title="href=&quot;/t&quot;"> href="/text" </a>') AS h FROM pages""")
 def rw1_rewritten_references(t):
-    refs = t.pages.select("page_id", F.explode(F.array_distinct(tx.every("html", r'(?i)(?:href|src)="([^"]*)"'))).alias("ref")).where(F.col("ref").startswith("/"))
-    done = rewrite.rewrite_references(t.pages, refs.withColumn("new", F.concat(F.lit("root:"), "ref")), "page_id")
-    return done.select("page_id", long(F.regexp_count("html", F.lit('href="root:/'))).alias("n"))
+    """References from the root get a prefix; in comments and plain text nothing does."""
+    pages = t.pages.select("page_id", F.concat("html", F.lit("<!-- <a href=\"/c\"> --><a href='/"), F.col("page_id").cast("string"), F.lit("' title=\"href=&quot;/t&quot;\"> href=\"/text\" </a>")).alias("html"))
+    refs = rewrite.references(pages, "page_id").select("page_id", "ref").distinct().where(F.col("ref").startswith("/"))
+    done = rewrite.rewrite_references(pages, refs.withColumn("new", F.concat(F.lit("root:"), "ref")), "page_id")
+    return done.select("page_id", F.md5(F.col("html").cast("binary")).alias("h"))
 
 
 @query("""SELECT page_id, html || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '<h3>Oefening 3</h3>' ELSE '<h2>Oplossing</h2><p>x</p>' END || '<p>end</p>' AS html FROM pages""")
@@ -402,14 +407,21 @@ def j9_first_newer(t):
     return first_newer(d, s, "o_orderkey").select("o_orderkey", F.col("source_mtime").alias("first_newer"))
 
 
-@query("""SELECT p.page_id, string_agg(x.ref, '' ORDER BY x.ref) AS found FROM pages p, (VALUES ('a/1.png'), ('b/2.png')) x(ref) GROUP BY 1""")
+@query(r"""WITH e AS (SELECT DISTINCT page_id, regexp_replace(regexp_replace(href, '[?#].*$', ''), '^/+', '') AS entry FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS href FROM pages)),
+u AS (SELECT page_id, lower(regexp_extract(entry, '[^/]*$')) AS name, count(*) AS n FROM e GROUP BY ALL)
+SELECT e.page_id, entry, kind, CASE WHEN kind < 4 OR n = 1 THEN max(entry) OVER (PARTITION BY e.page_id, lower(entry)) END AS found FROM (SELECT *, unnest(range(5)) AS kind FROM e WHERE entry <> '') e JOIN u ON u.page_id = e.page_id AND u.name = lower(regexp_extract(entry, '[^/]*$'))""")
 def j21_locate(t):
-    """References found by exact path, or by a unique suffix, among each page's entries."""
+    """Each file that a page links to, asked for from the root, behind the platform's folder, with dots and in capitals, percent-encoded, and by its name alone."""
     from vellum.sources.package import locate
 
-    entries = t.pages.select("page_id", F.explode(F.array(F.lit("a/1.png"), F.lit("a/3.png"), F.lit("c/3.png"), F.lit("b/2.png"))).alias("entry"))
-    refs = t.pages.select("page_id", F.explode(F.array(F.lit("1.png"), F.lit("2.png"), F.lit("3.png"))).alias("ref"), F.lit("a/x").alias("base"))
-    return locate(refs, entries, "page_id", "ref", "base").where("found is not null").groupBy("page_id").agg(sequence.text_in_order("found", ["found"]).alias("found"))
+    href = F.explode(tx.every("html", 'href="(/[^"]*)"')).alias("href")
+    entries = t.pages.select("page_id", href).select("page_id", F.regexp_replace(F.regexp_replace("href", "[?#].*$", ""), "^/+", "").alias("entry")).distinct().where("entry <> ''")
+    e, name = F.col("entry"), F.substring_index("entry", "/", -1)
+    forms = [(F.concat(F.lit("/"), e, F.lit("?x=1#y")), "any"), (F.concat(F.lit("/content/enforced/99-unit/"), e), "any"), (F.concat(F.lit("../q/../../"), F.translate(e, "abcdefgnrst", "ABCDEFGNRST")), "zz/yy"), (F.replace(F.replace(e, F.lit("/"), F.lit("%2F")), F.lit("e"), F.lit("%65")), ""), (F.concat(F.lit("no/where/"), name), "zz")]
+    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), f.alias("ref"), F.lit(b).alias("base")) for k, (f, b) in enumerate(forms))))
+    refs = entries.select("page_id", "entry", asked.alias("a")).select("page_id", "entry", "a.*")
+    got = locate(refs, entries, "page_id", "ref", "base")
+    return got.select("page_id", "entry", long("kind").alias("kind"), "found")
 
 
 @query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import kernels
 from vellum.functions import text as tx
+from vellum.functions.tokens import TEXTS
 from vellum.operators import answers, assemble, feedback, menu, privacy, reconcile, rewrite, sequence, worklist
 from vellum.queries import long, paths, query
 from vellum.queries_more import LINES_SQL, QUESTIONS_SQL, docx_udf, line_questions, nation_menus, page_corpus
@@ -291,10 +292,14 @@ def str14_prefixed_ids(t):
     return t.pages.select("page_id", tx.prefix_ids(F.lit('id="a" href="#a"'), F.concat(F.lit("p"), F.col("page_id").cast("string"))).alias("html"))
 
 
-@query("SELECT doc_id, '<pre><code>' || lang || chr(10) || chr(10) || source || '</code></pre>' AS content FROM documents")
+@query("""WITH d AS (SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM documents)
+SELECT doc_id, md5('<p>a</p><pre>' || t || '</pre><pre><code>b</code></pre> <pre><code>c</code></pre>') AS h FROM d WHERE t <> ''""")
 def str15_code_blocks(t):
-    c = F.concat(F.lit("<pre><code>"), "lang", F.lit("</code></pre>\n<pre class='x'><code>"), "source", F.lit("</code></pre>"))
-    return rewrite.code_block_repairs(t.documents.withColumn("c", c), "doc_id", "c").select("doc_id", F.col("c").alias("content"))
+    """Each document's lines as a block that was cut into lines, beside whole blocks, which stay."""
+    cut = F.transform(F.split(tx.escape("text"), "\n", -1), lambda x: F.concat(F.lit("\n <code>"), x, F.lit("</code>")))
+    c = F.concat(F.lit('<p>a</p><pre> <code class="x">'), F.array_join(cut, ""), F.lit("\n</code></pre><pre><code>b</code></pre> <pre><code>c</code></pre>"))
+    rows = t.documents.where("text <> ''").withColumn("c", c)
+    return rewrite.code_block_repairs(rows, "doc_id", "c").select("doc_id", F.md5(F.col("c").cast("binary")).alias("h"))
 
 
 @query("SELECT o_orderkey, o_orderstatus || '|' || o_orderpriority AS vals FROM orders")
@@ -356,36 +361,68 @@ def arr2_ordered_lists(t):
 # ---------------------------------------------------------------- rewrites, plans, assembly
 
 
-@query("SELECT page_id, '<p><a href=\"https://e.example/' || page_id || '\">https://e.example/' || page_id || '</a></p>' AS html FROM pages")
+def _frame(page_id: str, kind: int) -> tuple[str, str]:
+    """A frame and what becomes of it; page_id stands for the page's own."""
+    link = lambda label, url, title="": f'<div class="pdf-note"><strong>{label}.</strong>{title}<br><a href="{url}">{url}</a></div>'
+    return [
+        (f'<iframe width="3" src="https://www.youtube.com/embed/v{page_id}?rel=0" title="A &amp; B"></iframe>', link("Video", f"https://www.youtube.com/watch?v=v{page_id}", " A &amp; B")),
+        (f"<IFRAME src='https://www.youtube-nocookie.com/embed/n{page_id}' title='YouTube video player'>no <b>frames</b></IFRAME>", link("Video", f"https://www.youtube.com/watch?v=n{page_id}")),
+        (f'<iframe src="/d2l/common/{page_id}"></iframe>', TEXTS.on_platform),
+        (f'<iframe src="https://x.panopto.eu/e?id={page_id}&amp;t=1"></iframe>', link("Video", f"https://x.panopto.eu/e?id={page_id}&amp;t=1")),
+        (f'<iframe title="Map" src="https://e.example/{page_id}">', link("Embedded page", f"https://e.example/{page_id}", " Map")),
+        (f'<!-- <iframe src="https://e.example/{page_id}"></iframe> -->', f'<!-- <iframe src="https://e.example/{page_id}"></iframe> -->'),
+    ][kind]
+
+
+@query("SELECT page_id, md5(html || CASE page_id % 6 " + " ".join(f"WHEN {k} THEN replace('{_frame('@', k)[1]}', '@', page_id::VARCHAR)" for k in range(6)) + " END) AS h FROM pages")
 def rw4_frames(t):
-    f = F.concat(F.lit('<iframe width="3" src="https://e.example/'), F.col("page_id").cast("string"), F.lit('"></iframe>'))
-    return t.pages.select("page_id", assemble.frames_to_links(f).alias("html"))
+    """Frames of six kinds behind each page: videos with and without titles, the platform's own, one that is never closed, one in a comment."""
+    n, frame = F.col("page_id").cast("string"), F.lit(None)
+    for k in range(6):
+        frame = F.when(F.col("page_id") % 6 == k, F.replace(F.lit(_frame("@", k)[0]), F.lit("@"), n)).otherwise(frame)
+    return t.pages.select("page_id", F.md5(assemble.frames_to_links(F.concat("html", frame)).cast("binary")).alias("h"))
 
 
-@query("SELECT page_id, page_id % 2 = 0 AS there FROM pages")
+@query("""SELECT page_id, md5(html || CASE page_id % 3 WHEN 0 THEN '<img src="img/' || page_id || '.png" alt="A">' WHEN 1 THEN '<div class="pdf-missing-img"><strong>Image missing</strong><br>A &lt;' || page_id || '&gt;</div>' ELSE '<div class="pdf-missing-img"><strong>Image missing</strong><br>image missing</div>' END || '<img src="https://e.example/x.png"><img src="data:x">') AS h,
+CASE WHEN page_id % 3 > 0 THEN 'img/' || page_id || '.png' END AS missing FROM pages""")
 def rw5_images(t):
-    n = F.col("page_id").cast("string")
-    pages = t.pages.select(F.concat(F.lit("p/"), n, F.lit(".html")).alias("path"), F.concat(F.lit('<img src="../img/'), n, F.lit('.png">')).alias("html"))
-    there = t.pages.where("page_id % 2 = 0").select(F.concat(F.lit("img/"), n, F.lit(".png")).alias("path"))
+    """An image behind each page, there for a third of them, with and without alternative text; remote ones stay."""
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 3
+    alt = F.when(kind == 0, ' alt="A"').when(kind == 1, F.concat(F.lit(' alt="A &lt;'), n, F.lit('>"'))).otherwise("")
+    pages = t.pages.select("page_id", F.concat(F.lit("p/"), n, F.lit(".html")).alias("path"), F.concat("html", F.lit('<img src="../img/'), n, F.lit('.png"'), alt, F.lit('><img src="https://e.example/x.png"><img src="data:x">')).alias("html"))
+    there = t.pages.where(kind == 0).select(F.concat(F.lit("img/"), n, F.lit(".png")).alias("path"))
     out = rewrite.images_or_placeholder(pages, there)
-    return out.select(F.regexp_extract("path", r"(\d+)\.html", 1).cast("long").alias("page_id"), (F.col("new") == F.col("target")).alias("there"))
+    return out.select("page_id", F.md5(F.col("html").cast("binary")).alias("h"), F.element_at("missing", 1).alias("missing"))
 
 
-@query("SELECT page_id, '<p>' || page_id || ' text</p>' AS html FROM pages")
+@query(r"""WITH b AS (SELECT page_id, regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) AS body FROM pages),
+p AS (SELECT page_id, '<h1 class="t">T</h1>' || chr(10) || CASE page_id % 3 WHEN 0 THEN '<p>intro <b>x</b></p>' WHEN 1 THEN '<div><p>stays</p></div>' ELSE '' END || '<div class="download-container"><p>d</p><ul><li><a href="y.pdf">y</a></li></ul>' || chr(10) || '</div>' || body AS romp FROM b),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(romp, '(?s)<script\b.*?</script>', '', 'g'), '(?s)<h1[^>]*>.*?</h1>\s*(<p\b[^>]*>.*?</p>)?', ''), '(?s)<div class="download-container">.*?</ul>\s*</div>', '', 'g'), '(?s)<a\b[^>]*>(.*?)</a>', '\1', 'g') AS html FROM p)
+SELECT page_id, CASE WHEN page_id % 7 > 1 THEN md5(html) END AS h, CASE page_id % 7 WHEN 0 THEN 'no body' WHEN 1 THEN 'no h1' END AS error FROM c""")
 def rw7_printable(t):
-    n = F.col("page_id").cast("string")
-    html = F.concat(F.lit('<body><div class="container"><h1>T</h1><p class="lead">l</p><p><a href="x.pdf">d</a></p><p>'), n, F.lit(' <a href="y.html">text</a></p></div></body>'))
-    return t.pages.select("page_id", assemble.printable(html).alias("html"))
-
-
-@query("SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal < 0) AS n_new, count(*) AS n FROM customer GROUP BY 1")
+    """Each page as a sheet: with heading, with and without intro, with downloads; some without body or heading."""
+    kind, seventh = F.col("page_id") % 3, F.col("page_id") % 7
+    intro = F.when(kind == 0, "<p>intro <b>x</b></p>").when(kind == 1, "<div><p>stays</p></div>").otherwise("")
+    head = F.concat(F.when(seventh == 1, "").otherwise('<h1 class="t">T</h1>\n'), intro, F.lit('<div class="download-container"><p>d</p><ul><li><a href="y.pdf">y</a></li></ul>\n</div>'))
+    body = F.regexp_extract("html", "(?is)<body[^>]*>(.*)</body>", 1)
+    plain = F.when(seventh == 1, F.regexp_replace(body, "(?is)<h1\\b[^>]*>.*?</h1>", "")).otherwise(body)
+    sheet = F.concat(F.lit("<html><head><title>a <h1></title></head>"), F.when(seventh == 0, "<main>").otherwise("<body class='x'>"), head, plain, F.when(seventh == 0, "</main>").otherwise("</body>"), F.lit("</html>"))
+    got = t.pages.select("page_id", assemble.printable(sheet).alias("p"))
+    return got.select("page_id", F.md5(F.col("p.html").cast("binary")).alias("h"), "p.error")
+
+
+@query("""WITH c AS (SELECT *, c_custkey % 4 AS k, '## S' || c_custkey AS head, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS note FROM customer),
+s AS (SELECT c_nationkey, c_custkey, c_acctbal < 0 AND k <> 1 AS changed, head || chr(10) || 'old  ' || c_name || chr(10) || CASE WHEN note <> '' THEN 'Voor de lector: ' || note || chr(10) ELSE '' END AS old,
+  head || chr(10) || chr(10) || CASE WHEN k = 0 THEN '' ELSE 'new' || chr(10) || 'text' || chr(10) || CASE WHEN note <> '' THEN chr(10) ELSE '' END END || CASE WHEN k = 0 THEN 'Voor de lector: ' || trim('De lector stuurde niets. ' || note) || chr(10) WHEN note <> '' THEN 'Voor de lector: ' || note || chr(10) ELSE '' END || chr(10) AS new FROM c)
+SELECT c_nationkey, md5('# T' || chr(10) || string_agg(CASE WHEN changed THEN new ELSE old END, '' ORDER BY c_custkey)) AS h, count(*) FILTER (WHERE changed) AS n FROM s GROUP BY 1""")
 def rw8_written_back(t):
-    """Proposals of a nation's customers with those in debt rewritten; all sections stay."""
-    code = F.concat(F.lit("S"), F.col("c_custkey").cast("string"))
-    files = t.customer.withColumn("b", F.concat(F.lit("## "), code, F.lit("\nold\n"))).groupBy("c_nationkey").agg(sequence.text_in_order("b", ["c_custkey"]).alias("text"))
-    new = t.customer.where("c_acctbal < 0").select(code.alias("code"), F.lit("brandnew").alias("proposal"))
+    """Proposals of a nation's customers; those in debt get a new text, an empty one, or the old one but for white space; all others stay byte for byte."""
+    code, k = F.concat(F.lit("S"), F.col("c_custkey").cast("string")), F.col("c_custkey") % 4
+    note = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Voor de lector: "), "c_mktsegment", F.lit("\n"))).otherwise("")
+    files = t.customer.withColumn("b", F.concat(F.lit("## "), code, F.lit("\nold  "), "c_name", F.lit("\n"), note)).groupBy("c_nationkey").agg(F.concat(F.lit("# T\n"), sequence.text_in_order("b", ["c_custkey"])).alias("text"))
+    new = t.customer.where("c_acctbal < 0").select(code.alias("code"), F.when(k == 0, "").when(k == 1, F.concat(F.lit("old "), "c_name")).otherwise(" new\r\ntext ").alias("proposal"))
     out = answers.written_back(files, new, "c_nationkey")
-    return out.select("c_nationkey", F.regexp_count("text", F.lit("brandnew")).cast("long").alias("n_new"), F.regexp_count("text", F.lit("## S")).cast("long").alias("n"))
+    return out.select("c_nationkey", F.md5(F.col("text").cast("binary")).alias("h"), long(F.size("changed")).alias("n"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'keep' WHEN o_custkey % 2 = 0 THEN 'replace' ELSE 'keep-with-warning' END AS what FROM orders")
@@ -401,11 +438,17 @@ def rcn8_publish(t):
     return feedback.publish(review, t.customer.select(code, F.col("c_custkey").alias("student_id")), "F").select("student_id", "kind", "text")
 
 
-@query("""SELECT c_custkey, 'segment' AS field, c_mktsegment AS value FROM customer WHERE c_acctbal < 0""")
+@query("""SELECT c_custkey, 'grades' AS object, unnest(['other', 'score']) AS field, unnest([c_name, c_mktsegment]) AS value FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT c_custkey, 'cover', 'text', c_mktsegment FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, NULL, 'segment', c_mktsegment FROM customer WHERE c_acctbal < 0""")
 def rcn3_settings_plan(t):
-    one = lambda v: t.customer.select("c_custkey", F.lit(None).cast("string").alias("object"), F.lit("segment").alias("field"), v.alias("value"), F.lit("string").alias("kind"))
-    plan = reconcile.settings_plan(one(F.col("c_mktsegment")), one(F.when(F.col("c_acctbal") < 0, "x").otherwise(F.col("c_mktsegment"))), ["c_custkey"], [])
-    return plan.select("c_custkey", F.explode("body").alias("field", "value"))
+    """A field, an object that goes whole with what else it has, and one of which only changes go."""
+    old = F.when(F.col("c_acctbal") < 0, "x").otherwise(F.col("c_mktsegment"))
+    one = lambda o, f, v: F.struct(F.lit(o).cast("string").alias("object"), F.lit(f).alias("field"), v.alias("value"), F.lit("string").alias("kind"))
+    side = lambda v, rest: t.customer.select("c_custkey", F.explode(F.array(one(None, "segment", v), one("grades", "score", v), one("cover", "text", v), *rest)).alias("s")).select("c_custkey", "s.*")
+    want = side(F.col("c_mktsegment"), [])
+    have = side(old, [one("grades", "other", F.col("c_name")), one("cover", "size", F.col("c_name"))])
+    plan = reconcile.settings_plan(want, have, ["c_custkey"], ["cover"])
+    return plan.select("c_custkey", "object", F.explode("body").alias("field", "value"))
 
 
 @query("SELECT n_regionkey, count(*) AS n_topics FROM nation GROUP BY 1")

@@ -9,6 +9,7 @@ from xml.etree import ElementTree as ET
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions import text as tx
 from vellum.functions.kernels import vectorised
 
 TOPIC = "struct<ord:int,title:string,module:array<string>,hidden:boolean,href:string,kind:string,dropbox_code:string>"
@@ -94,19 +95,35 @@ def topics(entries: DataFrame, key: str = "path") -> DataFrame:
 
 
 def locate(refs: DataFrame, entries: DataFrame, key: str, ref: str, base: str) -> DataFrame:
-    """refs with found: the exact entry, else the only one with that suffix, else the only one of that name.
+    """refs with found: the exact entry, else the only one that ends in that path, else the only one of that name; in any case of letters.
 
-    A cascade of equi-joins; every suffix of an entry is a row of the index.
+    A reference's path is percent-decoded.  From the root it is tried as it is, then as
+    what is behind /content/enforced/<unit>/; else from the base folder with dots
+    resolved, then as it is.  One equi-join: each reference asks for a few keys in order of
+    rank, and each entry is filed under its path and its suffixes where they are its own.
     """
-    want = refs.withColumn("_want", F.regexp_replace(F.concat(F.when(F.col(base) != "", F.concat(F.col(base), F.lit("/"))).otherwise(""), F.col(ref)), r"(^|/)\./", "$1"))
-    parts = F.split("entry", "/")
-    suffix = entries.select(key, "entry", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("s"))
-    unique = suffix.groupBy(key, "s").agg(F.count("*").alias("n"), F.min("entry").alias("entry")).where("n = 1")
-    exact = entries.select(key, F.col("entry").alias("_want"), F.col("entry").alias("_exact"))
-    by_suffix = unique.select(key, F.col("s").alias(ref), F.col("entry").alias("_suffix"))
-    by_name = unique.where(~F.col("s").contains("/")).select(key, F.col("s").alias("_name"), F.col("entry").alias("_base"))
-    out = want.join(exact, [key, "_want"], "left").join(by_suffix, [key, ref], "left").withColumn("_name", F.substring_index(ref, "/", -1)).join(by_name, [key, "_name"], "left")
-    return out.withColumn("found", F.coalesce("_exact", "_suffix", "_base")).drop("_want", "_name", "_exact", "_suffix", "_base")
+    path = tx.unquote(tx.url_path(ref))
+    joined = tx.fold_path(F.concat_ws("/", F.nullif(F.col(base), F.lit("")), path))
+    from_root = F.array(F.regexp_replace(path, "^/+", ""), tx.first(path, "/content/enforced/[^/]+/(.*)$"))
+    tried = F.when(path.startswith("/"), from_root).otherwise(F.array(F.regexp_replace(joined, "^[./]+", ""), path))
+    tried = F.filter(F.transform(tried, F.lower), lambda x: x.isNotNull() & (x != ""))
+    name = F.substring_index(F.element_at("_tried", 1), "/", -1)
+    as_kind = lambda k: F.transform("_tried", lambda x, i: F.struct(F.lit(k).alias("_kind"), i.alias("_nth"), x.alias("_s")))
+    exact, ends = as_kind(0), as_kind(1)
+    asked = F.concat(exact, ends, F.array(F.struct(F.lit(2).alias("_kind"), F.lit(0).alias("_nth"), name.alias("_s"))))
+    rows = refs.select(key, ref, base).distinct().withColumn("_tried", tried).where((path != "") & (F.size("_tried") > 0))
+    wants = rows.select(F.col(key).alias("_key"), F.col(ref).alias("_ref"), F.col(base).alias("_base"), F.explode(asked).alias("_w")).select("_key", "_ref", "_base", "_w.*")
+    parts = F.split(F.lower("entry"), "/")
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    filed = F.concat(
+        F.array(F.struct(F.lit(0).alias("_kind"), F.regexp_replace(F.lower("entry"), "^/+", "").alias("_s"))),
+        F.when(F.size(parts) > 1, F.transform(tails, lambda x: F.struct(F.lit(1).alias("_kind"), x.alias("_s")))).otherwise(F.expr("cast(array() as array<struct<_kind:int,_s:string>>)")),
+        F.array(F.struct(F.lit(2).alias("_kind"), F.element_at(parts, -1).alias("_s"))),
+    )
+    index = entries.select(F.col(key).alias("_key"), "entry", F.explode(filed).alias("_f")).groupBy("_key", "_f._kind", "_f._s").agg(F.count("*").alias("_n"), F.max("entry").alias("_entry")).where("_kind = 0 or _n = 1")
+    best = wants.join(index, ["_key", "_kind", "_s"]).groupBy("_key", "_ref", "_base").agg(F.min_by("_entry", F.struct("_kind", "_nth")).alias("found"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(ref) == F.col("_ref")) & F.col(base).eqNullSafe(F.col("_base"))
+    return refs.join(best, same, "left").drop("_key", "_ref", "_base")
 
 
 def only(topics: DataFrame, words: list[str]) -> DataFrame:
