@@ -15,9 +15,9 @@ Scale.  A source's rows are dealt over shards of about `shard_words` words and a
 third of all rows is many bounded windows.  There are about `most_shards` shards at
 most, one row each for the driver; beyond that shards grow with the input.
 
-Nulls and empty texts have size 0 and take 0.  A null source is a source of its own,
+Rows without id and of one text are one window.  Nulls and empty texts have size 0 and take 0.  A null source is a source of its own,
 the last.  Rows that repeat are separate rows.  Equal seeded hashes are ordered by
-doc_id and size.  A text of any length is a run of blocks like any other.  An empty
+doc_id, size and text.  A text of any length is a run of blocks like any other.  An empty
 table gives an empty result.  Only the id, the text and the source are read by `mix`;
 `apply_mix` carries all other columns along, whatever they are called.
 """
@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import checkpointed, n_words
@@ -85,13 +85,13 @@ def sainte_lague(votes: list[float], seats: int, most: list[int]) -> list[int]:
 
 
 def mix(docs: DataFrame, budget_share: float = 1.5, weights=WEIGHTS, cap: float = 2.0, block_words: int = 50, shard_words: int = 1_000_000, shard_rows: int = 100_000, most_shards: int = 100_000, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken (and source) for each row of docs.
+    """doc_id, size, source_size, target, taken (and source and text_key) for each row of docs.
 
     block_words bounds the rounding of a source's quota; shard_words, shard_rows and most_shards the rows of one window.
     """
     spark = docs.sparkSession
     name = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed))).otherwise(F.xxhash64(F.col(id_col), F.lit(seed)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), name.alias("dealt"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), name.alias("dealt"), text_key(F.col(text_col)).alias("text_key"))
     rows = checkpointed(rows)
     sums = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     found = {r["source"]: (r["words"], r["n"]) for r in sums}
@@ -102,9 +102,9 @@ def mix(docs: DataFrame, budget_share: float = 1.5, weights=WEIGHTS, cap: float
     plan = spark.createDataFrame([(k, s, g, max(1, math.ceil(s / words_each), math.ceil(found[k][1] / rows_each))) for k, s, g in zip(names, sizes, goal, strict=True)], "source string, source_size long, target double, n_shards long")
     # one row for each source: the number of distinct sources, checked before it is broadcast
     plan = F.broadcast(plan) if len(names) <= 100_000 else plan
-    laid = rows.join(plan, rows["source"].eqNullSafe(plan["source"]), "left").select("doc_id", rows["source"].alias("source"), "size", "source_size", "target", F.pmod("dealt", "n_shards").alias("shard"), F.xxhash64(F.lit(seed + 1), "dealt").alias("h"))
+    laid = rows.join(plan, rows["source"].eqNullSafe(plan["source"]), "left").select("doc_id", "text_key", rows["source"].alias("source"), "size", "source_size", "target", F.pmod("dealt", "n_shards").alias("shard"), F.xxhash64(F.lit(seed + 1), "dealt").alias("h"))
     per_shard = laid.groupBy("source", "shard").agg(F.sum("size").alias("words")).collect()
-    part = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size")
+    part = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size", "text_key")
     laid = laid.withColumn("end", F.sum("size").over(part.rowsBetween(Window.unboundedPreceding, 0)))
     shards: dict = {k: [] for k in names}
     for r in per_shard:
@@ -129,19 +129,33 @@ def mix(docs: DataFrame, budget_share: float = 1.5, weights=WEIGHTS, cap: float
 
     first = F.col("end") - F.col("size")
     taken = F.col("size") * F.col("whole") + chosen_words(F.col("end")) - chosen_words(first)
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "source")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "source", "text_key")
+
+
+def text_key(text: Column) -> Column:
+    """Tells texts apart; with the id and the source, rows that are the same."""
+    return F.xxhash64(F.lit(7), F.coalesce(text, F.lit("")))
 
 
 def apply_mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     """The rows of docs, all columns, as often as the mix takes them.
 
-    taken / size, rounded up or down by a seeded hash of doc_id so that sources keep
-    their targets: 0, 1 or 2 times.  A text without words costs nothing and stays once.
+    A row is taken taken / size times, rounded up or down by a seeded hash of its id and
+    text so that sources keep their targets: 0, 1 or 2 times.  Rows of equal id, source
+    and text, and only these, share one draw: their copies are summed up, rounded once and
+    dealt out over them evenly.  Rows without id are told apart by their texts.  A text
+    without words costs nothing and stays once.
     """
-    got = mix(docs, seed=seed, **options).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
-    u = F.pmod(F.xxhash64("doc_id", F.lit(seed + 3)), F.lit(1 << 30)) / float(1 << 30)
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + u)).cast("int")
-    plan = got.select(F.col("doc_id").alias("id"), times.alias("times")).where(F.col("times") > 0)
-    whole = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    copies = whole.join(plan, whole[f"c{docs.columns.index('doc_id')}"].eqNullSafe(plan["id"])).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
-    return copies.select(*whole.columns).toDF(*docs.columns)
+    got = mix(docs, seed=seed, **options).groupBy("doc_id", "source", "text_key").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("n"))
+    u = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed + 3)), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.when(F.col("size") == 0, F.col("n")).otherwise(F.floor(F.col("taken") * F.col("n") / F.col("size") + u))
+    plan = got.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("text_key").alias("p_key"), copies.cast("long").alias("p_copies"), F.col("n").alias("p_n")).where("p_copies > 0")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text", "source")}
+    whole = docs.toDF(*names)
+    plain = [n for n, f in zip(names, docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    joined = whole.join(plan, at["doc_id"].eqNullSafe(F.col("p_id")) & at["source"].cast("string").eqNullSafe(F.col("p_source")) & (text_key(at["text"]) == F.col("p_key")))
+    nth = F.row_number().over(Window.partitionBy("p_id", "p_source", "p_key").orderBy(F.xxhash64(*plain)))
+    times = F.floor(F.col("p_copies") / F.col("p_n")) + (nth <= F.col("p_copies") % F.col("p_n")).cast("int")
+    copies = joined.withColumn("p_times", F.when(F.col("p_n") == 1, F.col("p_copies")).otherwise(times).cast("int")).withColumn("p_copy", F.explode(F.array_repeat(F.lit(0), F.col("p_times"))))
+    return copies.select(*names).toDF(*docs.columns)
