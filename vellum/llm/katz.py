@@ -30,7 +30,7 @@ row for each, go through the driver.  Buckets and blocks have a bounded number o
 entries; their number, and that of the tasks, grows with the input.  Counts cover all
 training rows.
 
-A null text is empty: its one token is the end.  A text of any length is part of one
+Ids of any type come back as they were; a null id is kept.  A null text is empty: its one token is the end.  A text of any length is part of one
 block.  Rows that repeat count and score as often as they occur.  Without training rows
 every token is unseen, at probability 1.  An empty table gives an empty result.  Only
 the id and the text are read, and what `train` looks at, whatever other columns are
@@ -191,8 +191,7 @@ def _blocks(folder: str, hashes: str, block_words: int):
             order = order[order != START]
             tok = np.concatenate(parts)
             fresh = np.diff(np.maximum.accumulate(np.r_[START, tok])) > 0
-            known = np.array([x is not None for x in names])
-            data = pack(small_type(order, len(ids)), small_type(np.where(fresh, START, tok), len(ids)), np.array(lengths, dtype=np.uint32), np.array(train, dtype=np.uint8), np.array([x or 0 for x in names], dtype=np.int64), known.astype(np.uint8))
+            data = pack(small_type(order, len(ids)), small_type(np.where(fresh, START, tok), len(ids)), np.array(lengths, dtype=np.uint32), np.array(train, dtype=np.uint8), *_packed_ids(names))
             name = uuid.uuid4().hex
             for (store, path), content in zip(stores, (data, pack(np.diff(h[order], prepend=np.uint64(0)))), strict=True):
                 with store.open_output_stream(f"{path}/{name}", compression=None) as out:
@@ -239,6 +238,17 @@ def _distinct(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return ordered[fresh], at
 
 
+def _packed_ids(ids: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as bytes and their lengths, one more than that; 0 for null."""
+    raw = [None if x is None else str(x).encode("utf-8", "surrogatepass") for x in ids]
+    return np.frombuffer(b"".join(x or b"" for x in raw), np.uint8), np.array([0 if x is None else len(x) + 1 for x in raw], dtype=np.uint32)
+
+
+def _unpacked_ids(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    raw, ends = data.tobytes(), np.cumsum(np.maximum(sizes.astype(np.int64), 1) - 1)
+    return pa.array([raw[e - n + 1 : e].decode("utf-8", "surrogatepass") if n else None for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.string())
+
+
 def small_type(a: np.ndarray, size: int) -> np.ndarray:
     """Numbers below size in the narrowest type."""
     return a.astype(np.uint16 if size <= 1 << 16 else np.uint32)
@@ -259,13 +269,13 @@ class Block:
     """A block's tokens, and its distinct words and longer keys in the order they are asked for."""
 
     def __init__(self, data: bytes):
-        order, tok, length, train, names, known = unpack(data)
+        order, tok, length, train, *names = unpack(data)
         self.order = order.astype(np.int64)  #: word ids by hash, the order they are asked for
         self.types = len(order) + 1
         self.tok, self.length = tok.astype(np.int32), length.astype(np.int64)
         fresh = self.tok == START
         self.tok[fresh] = START + np.arange(1, fresh.sum() + 1)
-        self.docs = pa.array(names, mask=known == 0)
+        self.docs = _unpacked_ids(*names)
         self.begin = np.r_[0, np.cumsum(self.length)[:-1]].astype(np.int64)
         self.train = np.repeat(train.astype(bool), self.length)
         #: Place of each token in its text.
@@ -594,7 +604,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_words: int =
     spark = docs.sparkSession
     small_batches(spark)
     folder, hashes = scratch(spark, "katz-texts"), scratch(spark, "katz-hashes")
-    blocks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(_blocks(folder, hashes, block_words), "block string, tokens long"), "katz-blocks")
+    blocks = written(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train")).mapInArrow(_blocks(folder, hashes, block_words), "block string, tokens long"), "katz-blocks")
     spark_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a block is large
     try:
@@ -639,10 +649,10 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_words: int =
             if k < order:
                 hot = np.unique(_hot(tables[-1], lambda at, b: at + levels[-1].offset[b], hot_share * max(1, unigram.total)))
                 weight = _discounted(d)
-        out = written(with_answers(tables).mapInArrow(_score(folder, levels, unigram, train_docs), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
+        out = written(with_answers(tables).mapInArrow(_score(folder, levels, unigram, train_docs), "doc_id string, n_tokens long, n_known long, base_score double, score double"), "katz-scores")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", spark_rows)
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(unigram.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_tokens", "n_known", F.lit(unigram.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _discounted(d: np.ndarray):
