@@ -24,7 +24,7 @@ joined on id and digest, so that a payload with very many copies is no hot key o
 texts.
 
 A null html is an empty payload, a null url has an empty key, a null page_id comes
-before all others and in no reference.  Rows that repeat a page_id are records of their
+before all others and in no reference; an id that is no integer counts as null.  Rows that repeat a page_id are records of their
 own; they are responses if that id is the smallest of their payload.  Ties of key, time
 and id keep the order of the runs.  A payload of any length is one record, held whole by
 one task.  A capture time may be any 64-bit number of seconds; WARC-Date shows it within
@@ -209,7 +209,7 @@ def write_archives(pages: DataFrame, folder: str, at: Column, least_bytes: int =
     """Write pages(page_id, url, html) below folder; the index of committed records, as sorted runs.  at: capture time in epoch seconds."""
     small_batches(pages.sparkSession)
     body = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), at.cast("long").alias("at"), "html", F.sha2(body, 256).alias("digest"), (F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes).alias("long"))
+    rows = pages.select(F.col("page_id").try_cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), at.cast("long").alias("at"), "html", F.sha2(body, 256).alias("digest"), (F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes).alias("long"))
     ids = rows.where("long").select("page_id", "digest")
     first = written(ids.groupBy("digest").agg(F.min("page_id").alias("rep"), F.count("*").alias("n")).where("n > 1 and rep is not null").select(F.col("digest").alias("d"), "rep"), "warc-repeated")
     if first.count() <= broadcast_rows:
@@ -339,6 +339,6 @@ EPOCH, SPAN = 1_704_067_200, 315_360_000
 def archived(pages: DataFrame) -> DataFrame:
     """Write, merge the index, read back through it."""
     folder = scratch(pages.sparkSession, "warc")
-    at = F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(SPAN))
+    at = F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").try_cast("long"), F.lit(0)), F.lit(SPAN))
     runs = write_archives(pages.select("page_id", "url", "html"), folder, at)
     return read_archives(merge_index(runs), folder)
