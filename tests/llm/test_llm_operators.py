@@ -188,7 +188,7 @@ def test_levenshtein_automaton():
 def test_lexicon_prefilter_loses_nothing():
     rng = random.Random(5)
     terms = {"".join(rng.choice("abcd") for _ in range(rng.randint(5, 8))): 1.0 for _ in range(30)}
-    lex = toxicity.Lexicon(terms, {})
+    lex = toxicity.Lexicon(terms)
     for _ in range(3000):
         t = list(rng.choice(list(terms)))
         for _ in range(rng.randint(0, 2)):
@@ -200,23 +200,54 @@ def test_lexicon_prefilter_loses_nothing():
 
 
 def test_lexicon_walk_is_the_only_way(monkeypatch):
-    """Terms, misspelled terms and stems are all found by the automaton's walk; without it nothing is."""
-    lex = toxicity.Lexicon({"idiot": 1.0, "bad": 1.0}, {"grawl": 1.0})
-    words = "idiot idoit idiott ideot bad bads grawl grawlish grawling xgrawl gra other".split()
-    assert [lex._weigh(w) for w in words] == [1, 0, 0.7, 0.7, 1, 0, 1, 1, 1, 0, 0, 0]
+    """Terms and misspelled terms are found by the automaton's walk; without it nothing is."""
+    terms = {"idiot": 1.0, "bad": 1.0, "grawling": 1.0}
+    lex = toxicity.Lexicon(terms)
+    words = "idiot idoit idiott ideot bad bads grawling grawlin grawlish xgrawling gra other".split()
+    assert [lex._weigh(w) for w in words] == [1, 0, 0.7, 0.7, 1, 0, 1, 0.7, 0, 0.7, 0, 0]
+    assert [toxicity.Lexicon(terms, edits=0)._weigh(w) for w in words] == [1, 0, 0, 0, 1, 0, 1, 0, 0, 0, 0, 0]
     monkeypatch.setattr(toxicity.Lexicon, "matches", lambda self, word: [])
-    assert not any(toxicity.Lexicon({"idiot": 1.0, "bad": 1.0}, {"grawl": 1.0}).weights(words))
+    assert not any(toxicity.Lexicon(terms).weights(words))
+
+
+def test_toxicity_edits_carry_misspelled_documents(spark):
+    """Documents whose every term is misspelled: caught with edits, missed without; clean ones with look-alikes at two edits stay."""
+    rng = random.Random(31)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    bad = ["zorkel", "qumpit", "vaxxod", "wrindle"]
+    slip = lambda w, k: w[:k] + rng.choice(["", "y", w[k] + "y"]) + w[k + 1 :]
+    text = lambda more: " ".join(rng.sample([rng.choice(plain) for _ in range(40)] + more, 40 + len(more)))
+    seen = [(i, text([rng.choice(bad) for _ in range(4)] if i % 4 == 0 else []), int(i % 4 == 0)) for i in range(200)]
+    new = [(1000 + i, text([slip(rng.choice(bad), rng.randrange(1, 5)) for _ in range(5)]), 1) for i in range(60)]
+    clean = [(2000 + i, text([slip(slip(w, 1), 4) + "qq" for w in bad]), 0) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in seen + new + clean], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in seen], "doc_id long, toxic int")
+    caught = {}
+    for edits_ in (0, 1):
+        model = toxicity.learn(docs, labels, edits=edits_)
+        assert set(bad) <= set(model.terms)
+        flagged = {r["doc_id"] for r in rows(toxicity.score(docs, model)) if r["predicted"]}
+        assert not flagged & {i for i, *_ in clean}
+        caught[edits_] = len(flagged & {i for i, *_ in new}) / len(new)
+    assert caught[1] >= 0.95 and caught[0] == 0
+
+
+def naive_terms(texts, toxic, least=4, odds=20):
+    """The lexicon by definition, for texts that are no near copies."""
+    bad, good = (Counter(w for t, x in zip(texts, toxic, strict=True) if x == k for w in set(toxicity.TOKEN.findall(t.lower()))) for k in (1, 0))
+    n_bad, n_good = sum(toxic), len(toxic) - sum(toxic)
+    return {w for w, c in bad.items() if len(w) >= 3 and c >= least and (c + 0.5) * (n_good + 1) >= odds * (good[w] + 0.5) * (n_bad + 1)}
 
 
 def naive_toxicity(text, model):
-    """Context-weighted matches with an edit distance to every term, and a prefix test for every stem."""
+    """Context-weighted matches with an edit distance to every term."""
     low = (text or "").lower()
     spots = [(m.start(), m.end(), m[0]) for m in toxicity.TOKEN.finditer(low)]
     total = n = 0
     for i, (start, end, word) in enumerate(spots):
         w = word.translate(toxicity.LEET) if not word.isalpha() and any(c.isalpha() for c in word) else word
         near = [1.0 if w == t else 0.7 for t in model.terms if w == t or len(t) >= 5 and edits(w, t) == 1]
-        weight = max([*near, *(1.0 for s in model.stems if w.startswith(s))], default=0)
+        weight = max(near, default=0)
         if weight:
             n += 1
             a, b = max(0, i - 6), min(len(spots), i + 7)
@@ -247,7 +278,8 @@ def test_toxicity_query_against_brute_force(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs_df = common.table(spark, str(tmp_path), "documents")
     model = toxicity.learn(docs_df.select("doc_id", "text"), common.table(spark, str(tmp_path), "labels").where(common.fold("doc_id", 3) != 1))
-    assert set(bad) <= set(model.terms)
+    learned = [(t, x) for (i, t, *_), (_, _, x) in zip(docs, labels, strict=False) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert set(bad) <= set(model.terms) == naive_terms(*map(list, zip(*learned))) | set(toxicity.SEEDS)
     got = {r["doc_id"]: r for r in rows(queries.op2_toxicity(spark, str(tmp_path)))}
     assert len(got) == docs_df.count()
     for r in rows(docs_df):
@@ -259,10 +291,10 @@ def test_toxicity_query_against_brute_force(spark, tmp_path):
 
 
 def test_toxicity_context():
-    lex = toxicity.Lexicon({"idiot": 1.0}, {"grawl": 1.0})
+    lex = toxicity.Lexicon({"idiot": 1.0, "grawling": 1.0})
     plain = lex.score("you are an idiot idiot")[0]
     assert plain > lex.score('he said "idiot idiot" and left')[0] > 0
-    assert lex.score("an id10t, an idi0t")[1] == 2 and lex.score("grawlish grawling")[1] == 2
+    assert lex.score("an id10t, an idi0t")[1] == 2 and lex.score("growling grawling")[1] == 2
     assert lex.score(None) == lex.score("") == (0.0, 0)
 
 
@@ -275,6 +307,17 @@ def test_toxicity_edge(spark, edge, none):
     assert toxicity.learn(none, labels.limit(0)).terms == dict.fromkeys(toxicity.SEEDS, 1.0)
 
 
+def test_katz_ids_of_any_type(spark):
+    texts = corpus(3, 40)
+    base = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "no id")], "doc_id long, text string")
+    want = {r["doc_id"]: r["score"] for r in rows(katz.score(base, F.lit(True)))}
+    for kind, name in (("string", lambda i: f"é{i}"), ("int", lambda i: i), ("decimal(9,1)", lambda i: i)):
+        own = F.concat(F.lit("é"), F.col("doc_id").cast("string")) if kind == "string" else F.col("doc_id").cast(kind)
+        got = katz.score(base.withColumn("doc_id", own), F.lit(True))
+        assert got.schema["doc_id"].dataType.simpleString() == kind
+        assert {r["doc_id"]: r["score"] for r in rows(got)} == {None if k is None else name(k): v for k, v in want.items()}
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = queries.op2_toxicity(spark, d).where("held_out").join(common.table(spark, d, "labels"), "doc_id").select("toxic", "predicted", "score").toPandas()
@@ -915,6 +958,20 @@ def test_mixing_keeps_any_columns(spark, none):
     assert mixing.apply_mix(none).collect() == []
 
 
+def test_mixing_draws_row_by_row(spark):
+    """Rows without ids, and rows of one id, are mixed as rows with ids are."""
+    rng = random.Random(8)
+    make = lambda ids: table(spark, [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(5, 40))), "en", "s", 1) for i in ids])
+    for df in (make([None] * 500), make(range(500)), make([k // 50 for k in range(500)]), table(spark, [(7, "one text of five words", "en", "s", 1)] * 400)):
+        words = sum(len(r["text"].split()) for r in rows(df))
+        out = rows(mixing.apply_mix(df))
+        assert abs(sum(len(r["text"].split()) for r in out) / words - 1.5) < 0.06
+        times, had = Counter((r["doc_id"], r["text"]) for r in out), Counter((r["doc_id"], r["text"]) for r in rows(df))
+        assert all(times[k] <= 2 * n for k, n in had.items()) and set(times) <= set(had)
+        again = rows(mixing.apply_mix(df.repartition(3)))
+        assert Counter((r["doc_id"], r["text"]) for r in again) == times
+
+
 # ---------------------------------------------------------------- 10 sharding
 
 

@@ -1,15 +1,14 @@
 """Toxicity from a lexicon matched by Levenshtein automata.
 
-The lexicon is learned from labelled rows: whole words, and word stems shared by
-several words, that toxic documents hold far more often than others.  Terms and stems
-form one trie.  A word of a document is looked up by intersecting its Levenshtein
-automaton with the trie, after folding look-alike digits and signs: a term of five
-letters or more accepts one edit, a shorter term and a stem none; a stem accepts as
-soon as a beginning of the word has led to it.  Each match is weighed by its context
-window: quotation marks or a reporting verb around it lower it, a second person raises
-it.  The weights of a document of n words sum up to w; s = w / (1 + n / 100), since a
-few chance matches in a long text mean little.  Its score is 1 - 0.3 ** (s / cut),
-which is 0.7 at the cut that separates the labelled sample best.
+The lexicon is learned from labelled rows: words that toxic documents hold far more
+often than others.  They form one trie.  A word of a document is looked up by
+intersecting its Levenshtein automaton with the trie, after folding look-alike digits and
+signs: a term of five letters or more accepts one edit, at a lower weight, a shorter one
+none.  Each match is weighed by its context window: quotation marks or a reporting verb
+around it lower it, a second person raises it.  The weights of a document of n words
+sum up to w; s = w / (1 + n / 100), since a few chance matches in a long text mean
+little.  Its score is 1 - 0.3 ** (s / cut), which is 0.7 at the cut that separates the
+labelled sample best.
 
 Training reads at most `sample` labelled rows (seeded-hash order), kept as a table;
 scoring reads every whole text once, without a shuffle.  A term is in `min_docs` of the
@@ -18,11 +17,10 @@ that begin or end like no term are passed by without a walk through the trie; on
 leaves one half of a term as it is, so none is lost.
 
 Null and empty texts score 0.  A text of any length is scored whole, one at a time.
-Ties in the choice of terms go to the lower term, of a stem and its beginnings to the
-longer; at the cut a text counts as toxic.  Rows that repeat score alike.  Without
-labels the lexicon is `seeds` and the cut 1.  An empty table gives an empty result.
-Only the id and the text are read, whatever other columns are called; `keep_clean`
-carries them along.
+Ties in the choice of terms go to the lower term; at the cut a text counts as toxic.
+Rows that repeat score alike.  Without labels the lexicon is `seeds` and the cut 1.
+An empty table gives an empty result.  Only the id and the text are read, whatever
+other columns are called; `keep_clean` carries them along.
 """
 
 from __future__ import annotations
@@ -79,43 +77,39 @@ class Levenshtein:
 
 
 class Lexicon:
-    """Terms and stems in one trie; finds a word's weight."""
+    """Terms in a trie; finds a word's weight.  edits: how many a long term accepts."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: float = 0.7, long: int = 5, memo: int = 150_000):
-        self.terms, self.stems, self.fuzzy, self.long, self.memo = terms, stems, fuzzy, long, memo
+    def __init__(self, terms: dict[str, float], fuzzy: float = 0.7, long: int = 5, memo: int = 150_000, edits: int = 1):
+        self.terms, self.fuzzy, self.long, self.memo, self.edits = terms, fuzzy, long, memo, edits
         self.trie: dict = {}
         #: What a word that matches begins or ends with, by length.
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[int, set[str]] = {}
-        for kind, entries in (("term", terms), ("stem", stems)):
-            for t in entries:
-                node = self.trie
-                for c in t:
-                    node = node.setdefault(c, {})
-                node[kind] = t  # characters are keys of length one, so these are none
-                half = len(t) // 2 if kind == "term" and len(t) >= long else len(t)
-                self.heads.setdefault(half, set()).add(t[:half])
-                if half < len(t):
-                    self.tails.setdefault(len(t) - half, set()).add(t[half:])
+        for t in terms:
+            node = self.trie
+            for c in t:
+                node = node.setdefault(c, {})
+            node["term"] = t  # characters are keys of length one, so this is none
+            half = len(t) // 2 if len(t) >= long else len(t)
+            self.heads.setdefault(half, set()).add(t[:half])
+            if half < len(t):
+                self.tails.setdefault(len(t) - half, set()).add(t[half:])
         self.known: dict[str, float] = {}
 
     def may_match(self, word: str) -> bool:
         return any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items())
 
-    def matches(self, word: str) -> list[tuple[int, str, str]]:
-        """(edits, term or stem, which of them) of all entries that the word matches."""
-        auto, found = Levenshtein(word, 1), []
+    def matches(self, word: str) -> list[tuple[int, str]]:
+        """(edits, term) of all terms that the word matches."""
+        auto, found = Levenshtein(word, self.edits), []
         todo = [(self.trie, auto.start())]
         while todo:
             node, state = todo.pop()
             for c, child in node.items():
                 if c == "term":
                     d = auto.distance(state)
-                    if d is not None and d <= (len(child) >= self.long):
-                        found.append((d, child, c))
-                elif c == "stem":
-                    if any(e == 0 for _, e in state):
-                        found.append((0, child, c))
+                    if d is not None and d <= (self.edits if len(child) >= self.long else 0):
+                        found.append((d, child))
                 elif after := auto.step(state, c):
                     todo.append((child, after))
         return found
@@ -125,7 +119,7 @@ class Lexicon:
             word = word.translate(LEET)
         if not self.may_match(word):
             return 0.0
-        return max(((self.terms if kind == "term" else self.stems)[t] * (self.fuzzy if d else 1.0) for d, t, kind in self.matches(word)), default=0.0)
+        return max((self.terms[t] * (self.fuzzy if d else 1.0) for d, t in self.matches(word)), default=0.0)
 
     def weights(self, words: list[str]) -> list[float]:
         known, out = self.known, []
@@ -170,8 +164,8 @@ class Lexicon:
 @dataclass(frozen=True)
 class Model:
     terms: dict[str, float]
-    stems: dict[str, float]
     cut: float = 1.0
+    edits: int = 1
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +198,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lexicon(model: Model) -> Lexicon:
     """One lexicon for each Python worker."""
-    key = hashlib.sha256(repr((sorted(model.terms.items()), sorted(model.stems.items()))).encode()).hexdigest()
+    key = hashlib.sha256(repr((sorted(model.terms.items()), model.edits)).encode()).hexdigest()
     if key not in _LEXICA:
         _LEXICA.clear()
-        _LEXICA[key] = Lexicon(model.terms, model.stems)
+        _LEXICA[key] = Lexicon(model.terms, edits=model.edits)
     return _LEXICA[key]
 
 
@@ -245,7 +239,7 @@ def best_cut(s: np.ndarray, toxic: np.ndarray) -> float:
     return float((values[k] + (values[k - 1] if k else 0.0)) / 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, min_docs: int = 8, odds: float = 30.0, seeds: tuple[str, ...] = SEEDS, seed: int = 42) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, min_docs: int = 4, odds: float = 20.0, seeds: tuple[str, ...] = SEEDS, seed: int = 42, edits: int = 1) -> Model:
     """A model from labels(doc_id, toxic) and docs(doc_id, text); the caller leaves out what may not be learned from.
 
     odds: how much likelier a toxic document must be to hold a term than another is.
@@ -257,22 +251,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, min_docs: int
     n = {int(r["toxic"] > 0): r["n"] for r in rows.dropDuplicates(["doc_id"]).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad:
-        return Model(dict.fromkeys(seeds, 1.0), {})
+        return Model(dict.fromkeys(seeds, 1.0), edits=edits)
     # copies and near copies of one text count once, else each of their words looks telling
     once = rows.select("text", "toxic").mapInArrow(_sketch, "sketch long, text string, toxic int").groupBy("sketch").agg(F.min_by("text", F.struct("text")).alias("text"), F.max("toxic").alias("toxic"))
     counts = checkpointed(once.select("text", "toxic").mapInArrow(_words, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
-    enough = lambda least: (F.col("bad") >= least) & ((F.col("bad") + 0.5) * (good + 1) >= odds * (F.col("good") + 0.5) * (bad + 1))
-    stems = counts.where(F.length("word") >= 5).select("word", "bad", "good", F.explode(F.array(*(F.lit(k) for k in (4, 5, 6, 7)))).alias("k")).where(F.length("word") > F.col("k"))
-    stems = stems.groupBy(F.expr("substring(word, 1, k)").alias("word")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum((F.col("bad") > 0).cast("int")).alias("kinds"))
-    ranked = lambda df: df.withColumn("gain", F.col("bad") * F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5))).orderBy(F.desc("gain"), F.desc(F.length("word")), "word").collect()  # noqa: E731  words of the sample
-    words = [r["word"] for r in ranked(counts.where(enough(min_docs) & (F.length("word") >= 3)))]
-    shared: list[str] = []
-    for r in ranked(stems.where(enough(2 * min_docs) & (F.col("kinds") >= 4))):
-        if not any(r["word"].startswith(x) or x.startswith(r["word"]) for x in shared):  # one of each chain, the most telling
-            shared.append(r["word"])
-    model = Model(dict.fromkeys([*words, *seeds], 1.0), dict.fromkeys(shared, 1.0))
+    telling = (F.col("bad") >= min_docs) & ((F.col("bad") + 0.5) * (good + 1) >= odds * (F.col("good") + 0.5) * (bad + 1))
+    words = [r["word"] for r in counts.where(telling & (F.length("word") >= 3)).orderBy("word").collect()]  # words of the sample
+    model = Model(dict.fromkeys([*words, *seeds], 1.0), edits=edits)
     got = _raw(rows, model, "toxic", "text").select("s", F.col("doc_id").alias("toxic")).toPandas()  # a row for each of the sample
-    return Model(model.terms, model.stems, best_cut(got["s"].to_numpy(float), got["toxic"].to_numpy(int)))
+    return Model(model.terms, best_cut(got["s"].to_numpy(float), got["toxic"].to_numpy(int)), edits)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
