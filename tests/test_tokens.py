@@ -109,3 +109,14 @@ def test_slide_numbers(spark):
     deck = '<section class="slide a" data-slide="7">x</section><section data-nr="5" class="slide">n</section><section class="slide" data-nr="5">y</section>'
     got = [(r["pos"], r["number"]) for r in assemble.slides(spark.createDataFrame([("d", deck)], "path string, html string")).orderBy("pos").collect()]
     assert got == [(1, 7), (2, 2)]
+
+
+def test_segments():
+    from vellum.functions.segments import segments
+
+    got = lambda x: [(s["text"], s["styles"]) for s in segments(x)]
+    assert got("typ <code>ls</code> en") == [("typ ", []), ("ls", ["code"]), (" en", [])]
+    assert got("typ <code> ls </code> en ") == [("typ ", []), ("ls ", ["code"]), ("en", [])]
+    assert got(" <b>a<i>b</b>c</i> <b> </b>") == [("a", ["vet"]), ("b", ["cursief", "vet"]), ("c", [])]
+    assert got("a&lt;b&nbsp;<strong>x</strong><script><b>no</b></script><!-- <b>no</b> -->y") == [("a<b ", []), ("x", ["vet"]), ("y", [])]
+    assert got("a<!-- c --> b") == [("a", []), (" b", [])] and got("") == got(" <b> </b> ") == [] and got("</b>x<br/>y") == [("x", []), ("y", [])]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.operators.sequence import kth_to_kth, text_in_order
+from vellum.plans.gate import gated
 
 #: A heading that opens a block: question number, frame or section.
 KEY = r"^##\s+(?:(?i)(vraag|kader|sectie))\s*:?\s*(.*?)\s*$"
@@ -33,6 +34,13 @@ def match_answers(wanted: DataFrame, blocks: DataFrame, keys: list[str]) -> Data
     return j.select(*keys, "answer", problem.alias("problem"))
 
 
+def all_matched(matched: DataFrame, name: str) -> DataFrame:
+    """matched, if nothing is wrong with it; else all problems together, by kind, numbers first in their order (gate.Invalid)."""
+    number = F.col(name).try_cast("int")
+    checks = {p: F.col("problem") == p for p in ("no answer", "answers nothing", "answered twice")}
+    return gated(matched, checks, F.col(name).cast("string"), F.struct(number.isNull(), number, F.col(name)))
+
+
 def leftovers(matched: DataFrame, name: str) -> DataFrame:
     """Unused answers, numbers first in their order, then names."""
     number = F.col(name).try_cast("int")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
+from vellum.functions.images import image_info_udf
 from vellum.operators.privacy import is_empty_template, redacted, text_lines
 from vellum.operators.sequence import text_in_order
 
@@ -13,6 +14,8 @@ from vellum.operators.sequence import text_in_order
 CODE_CUT = 200_000
 #: Smallest side of an image that is kept, widest that is not resized, in pixels.
 SMALL, WIDE = 40, 1600
+#: Endings of images that are carried over (fixed values).
+CONVERTED = (".png", ".jpg", ".jpeg", ".gif", ".bmp")
 
 
 def without_cover(blocks: DataFrame, key: str = "path", look: int = 20) -> DataFrame:
@@ -52,8 +55,8 @@ def image_disposition(images: DataFrame, template_hashes: DataFrame, keys: list[
     t = template_hashes.select("sha", F.lit(True).alias("in_template")).distinct()
     d = (
         F.when(F.col("in_template"), "template")
+        .when(~F.coalesce(F.lower("ext").isin(*CONVERTED), F.lit(False)), "unsupported")
         .when(F.col("width").isNull() | F.col("height").isNull(), "unreadable")
-        .when(~F.lower("ext").isin(".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp"), "unsupported")
         .when((F.col("width") < SMALL) | (F.col("height") < SMALL), "small")
         .when(F.col("width") > WIDE, "resize")
         .otherwise("keep")
@@ -64,6 +67,19 @@ def image_disposition(images: DataFrame, template_hashes: DataFrame, keys: list[
     return out.withColumn("number", F.when(kept == 1, number)).drop("in_template")
 
 
+def images_of(files: DataFrame, template_hashes: DataFrame, keys: list[str], order: list[str], name: str = "name", content: str = "content") -> DataFrame:
+    """files with sha, ext, format, width, height, disposition and number, all from their bytes; the bytes stay behind.
+
+    name_out is what the image is called among its keys: its number, and jpg for a photograph, png for all else.
+    """
+    info = image_info_udf(content)
+    heads = files.withColumn("_i", info).withColumn("sha", F.sha2(F.col(content), 256)).withColumn("ext", tx.extension(name))
+    heads = heads.select(*(c for c in files.columns if c != content), "sha", "ext", "_i.format", "_i.width", "_i.height")
+    out = image_disposition(heads, template_hashes, keys, order)
+    kind = F.when(F.col("ext").isin(".jpg", ".jpeg"), ".jpg").otherwise(".png")
+    return out.withColumn("name_out", F.when(F.col("number").isNotNull(), F.concat(F.lpad(F.col("number").cast("string"), F.greatest(F.lit(2), F.length(F.col("number").cast("string"))), F.lit("0")), kind)))
+
+
 def code_text(c: Column) -> Column:
     return F.when(F.length(c) > CODE_CUT, F.concat(F.substring(c, 1, CODE_CUT), F.lit("\n... (cut)"))).otherwise(c)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
+from vellum.plans.gate import gated
 
 
 class ReconcileError(ValueError):
@@ -105,6 +106,18 @@ def at_most_one(rows: DataFrame, key: str, id: str, trashed: str | None = None)
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(id)).alias("ids")).where("n > 1")
 
 
+def by_external_id(wanted: DataFrame, rows: DataFrame, key: str, id: str, trashed: str | None = None) -> DataFrame:
+    """wanted with the id of its only live row, null without one; keys with several are told together with their ids (gate.Invalid).
+
+    The ids of a key are counted and bounded before they are named, so a key that very many rows share does no harm.
+    """
+    rows = live(rows, trashed) if trashed else rows
+    per = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min(id).alias(id), F.max(id).alias("_last"))
+    found = wanted.join(per, key, "left")
+    label = F.concat(F.col(key).cast("string"), F.lit(": "), F.col("_n").cast("string"), F.lit(" rows, "), F.col(id).cast("string"), F.lit(" to "), F.col("_last").cast("string"))
+    return gated(found, {"external ids of several rows": F.col("_n") > 1}, label).drop("_n", "_last")
+
+
 def coverage(objects: DataFrame, sources: DataFrame, covered: DataFrame, keys: list[str], source: str) -> DataFrame:
     """objects with status: no-source, covered (any source is) or uncovered.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions.tokens import TEXTS, PrintTexts, references_udf, spliced_udf
+from vellum.plans.gate import gated
 
 
 def references(pages: DataFrame, key: str = "path", html: str = "html") -> DataFrame:
@@ -69,6 +70,22 @@ def images_or_placeholder(pages: DataFrame, files: DataFrame, key: str = "path",
     return spliced(pages, edits, key, html).join(lost, key, "left")
 
 
+def absolute_references(pages: DataFrame, files: DataFrame | None, key: str = "path", html: str = "html", root: str = "") -> DataFrame:
+    """pages with each relative href and src as its path from the root, behind `root`; addresses, anchors and data stay.
+
+    With files, each reference must lead to one of them: all that do not are told
+    together (gate.Invalid) before any page is handed on.  Without, none is looked at.
+    """
+    found = references(pages, key, html).where(~F.col("ref").rlike(r"(?i)^(?:[a-z][a-z0-9+.-]*:|//|#|$)"))
+    found = found.withColumn("target", tx.local_target(key, "ref"))
+    if files is not None:
+        there = files.select(F.col("path").alias("target"), F.lit(True).alias("_there")).distinct()
+        found = found.join(there, "target", "left")
+        found = gated(found, {"references to nothing": F.col("_there").isNull()}, F.concat(F.col(key), F.lit(": "), "ref"))
+    tail = F.regexp_extract("ref", r"([?#].*)$", 1)
+    return spliced(pages, found.select(key, "begin", "end", as_value(F.concat(F.lit(root), "target", tail)).alias("new")), key, html)
+
+
 def replace_section(log: DataFrame, new: DataFrame, key: str, body: str) -> DataFrame:
     """A log by sections with those of new put in; other sections stay."""
     return new.select(key, body).unionByName(log.join(new.select(key), key, "left_anti").select(key, body))

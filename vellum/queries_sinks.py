@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators import reconcile, worklist
+from vellum.functions.images import cropped, figure_cm, image_info_udf, is_background
+from vellum.functions.segments import segments_udf
+from vellum.operators import feedback, reconcile, rewrite, worklist
 from vellum.operators.repair import repaired
 from vellum.queries import long, query
 from vellum.queries_more import page_corpus
-from vellum.sources import filesink, rest
+from vellum.sources import filesink, rest, sheets
 from vellum.sources.shared import new_path
 
 
@@ -91,3 +93,108 @@ def hlp6_outcomes(t):
     gone = t.customer.where("c_custkey % 2 = 0").select(F.lit("DELETE").alias("method"), F.lit("items").alias("path"), key.alias("external_id"), F.lit(None).cast("string").alias("body"))
     deleted = rest.send(gone, folder + "-2", **options)
     return posted.unionByName(deleted).groupBy("method", "state").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- spreadsheets
+
+
+def review_of_nations(t):
+    """A review workbook for each nation's customers: rows, and what they are about."""
+    code = F.concat(F.lit("S"), F.col("c_custkey").cast("string"))
+    book = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".xlsx"))
+    text = F.concat("c_mktsegment", F.lit(" <&> \n"), "c_name")
+    sheet = t.customer.select(book.alias("path"), F.col("c_name").alias("naam"), code.alias("code"), text.alias("voorstel"), F.when(F.col("c_acctbal") < 0, F.lit("")).when(F.col("c_custkey") % 3 == 0, F.concat(text, F.lit(" +"))).otherwise(F.concat(F.lit(" "), text)).alias("feedback"), F.when(F.col("c_custkey") % 2 == 0, "note").alias("noot"), F.when(F.col("c_acctbal") > 5000, "ja").alias("al_feedback"))
+    about = t.customer.select(book.alias("path"), "c_nationkey").distinct().select("path", F.lit("orgUnitId").alias("name"), F.col("c_nationkey").alias("value"), F.lit(0).alias("ord"))
+    return sheets.review_rows(sheet, about)
+
+
+def workbooks_in(t, root: str):
+    files = t.spark.read.format("binaryFile").load(f"{root}/*.xlsx")
+    return sheets.sheet_cells(files.select(F.substring_index("path", "/", -1).alias("path"), "content"))
+
+
+@query("""SELECT 'n' || c_nationkey || '.xlsx' AS path, row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(c_name), 'S' || c_custkey) AS "row", c_name AS naam, 'S' || c_custkey AS code, c_mktsegment || ' <&> ' || chr(10) || c_name AS voorstel,
+CASE WHEN c_acctbal < 0 THEN 'leeg' WHEN c_custkey % 3 = 0 THEN 'aangepast' ELSE 'voorstel' END AS decision, CASE WHEN c_custkey % 2 = 0 THEN 'note' ELSE '' END AS noot, CASE WHEN c_acctbal > 5000 THEN 'ja' ELSE '' END AS al FROM customer""")
+def snk10_review_workbooks(t):
+    """Review workbooks written, read back, and what the reviewer decided about each proposal."""
+    root = new_path(t.spark, "reviews")
+    sheets.write_workbooks(review_of_nations(t), root, sheets.REVIEW_LAYOUT)
+    got = sheets.reviewed(workbooks_in(t, root)).where("error is null")
+    return got.select("path", long("row").alias("row"), "naam", "code", "voorstel", sheets.decision(F.col("voorstel"), F.col("feedback")).alias("decision"), "noot", F.col("al_feedback").alias("al"))
+
+
+@query("""SELECT 'n' || c_nationkey || '.xlsx' AS path, sheet, n FROM (SELECT c_nationkey, 'Feedback' AS sheet, 6 * count(*) + 6 AS n FROM customer GROUP BY 1 UNION ALL SELECT c_nationkey, 'Dropbox', 2 FROM customer GROUP BY 1)""")
+def src_sheet_cells(t):
+    """Cells of each sheet of each nation's workbook, straight from its bytes."""
+    books = sheets.workbooks(review_of_nations(t), sheets.REVIEW_LAYOUT)
+    return sheets.sheet_cells(books).where("error is null").groupBy("path", "sheet").agg(F.count("value").alias("n"))
+
+
+# ---------------------------------------------------------------- images
+
+
+def picture(t):
+    """A picture's bytes for each part, as wide as its size tells: png with a density, gif, and one cut off."""
+    be = lambda c, n=8: F.unhex(F.lpad(F.hex(c.cast("long")), n, "0"))
+    wide, high = F.col("p_size") * 97, F.col("p_size") * 3 + 1
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), be(wide), be(high), F.unhex(F.lit("0802000000" "00000000" "00000009" "70485973" "00000EC4" "00000EC4" "01" "00000000")))
+    gif = F.concat(F.lit("GIF89a").cast("binary"), F.unhex(F.concat(F.substring(F.lpad(F.hex(wide), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(wide), 4, "0"), 1, 2), F.substring(F.lpad(F.hex(high), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(high), 4, "0"), 1, 2))))
+    kind = F.col("p_partkey") % 4
+    content = F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, F.substring(png, 1, 18)).otherwise(F.lit("no image").cast("binary"))
+    return t.part.select("p_partkey", "p_brand", "p_size", content.alias("content"), F.concat("p_brand", F.element_at(F.array(F.lit(".png"), F.lit(".GIF"), F.lit(".png"), F.lit(".emf")), (kind + 1).cast("int"))).alias("name"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'png' END AS format, CASE WHEN p_partkey % 4 < 2 THEN p_size * 97 END::BIGINT AS width, CASE WHEN p_partkey % 4 < 2 THEN p_size * 3 + 1 END::BIGINT AS height,
+CASE WHEN p_partkey % 4 = 0 THEN 96 END::BIGINT AS dpi, CASE p_partkey % 4 WHEN 2 THEN 'unreadable' WHEN 3 THEN 'unknown' ELSE 'ok' END AS status, CASE WHEN p_partkey % 4 < 2 THEN least(round(p_size * 97 / 96.0::DOUBLE * 2.54::DOUBLE * 1000), 15000) ELSE 15000 END::BIGINT AS mm100 FROM part""")
+def hlp25_figures(t):
+    """Format, size and density of each part's picture from its bytes, and its width in a report."""
+    rows = picture(t).select("p_partkey", image_info_udf("content").alias("i"))
+    return rows.select("p_partkey", "i.format", long("i.width").alias("width"), long("i.height").alias("height"), long(F.round("i.dpi")).alias("dpi"), "i.status", long(F.round(figure_cm(F.col("i.width")) * 1000)).alias("mm100"))
+
+
+@query("""WITH p AS (SELECT *, CASE WHEN p_partkey % 4 = 3 THEN 'unsupported' WHEN p_partkey % 4 = 2 THEN 'unreadable' WHEN p_size * 3 + 1 < 40 OR p_size * 97 < 40 THEN 'small' WHEN p_size * 97 > 1600 THEN 'resize' ELSE 'keep' END AS disposition FROM part),
+n AS (SELECT *, CASE WHEN disposition IN ('keep', 'resize') THEN count(*) FILTER (WHERE disposition IN ('keep', 'resize')) OVER (PARTITION BY p_brand ORDER BY p_partkey) END AS number FROM p)
+SELECT p_partkey, disposition, CASE WHEN number IS NOT NULL THEN lpad(number::VARCHAR, greatest(2, length(number::VARCHAR))::INTEGER, '0') || '.png' END AS name_out FROM n""")
+def hlp16_images(t):
+    """What becomes of each brand's pictures, numbered on, all told from their bytes."""
+    none = t.part.limit(0).select(F.lit("").alias("sha"))
+    return feedback.images_of(picture(t), none, ["p_brand"], ["p_partkey"]).select("p_partkey", "disposition", "name_out")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 3 = 0 AND l_partkey % 2 = 0 AS background, greatest(round(l_partkey * 0.5::DOUBLE), 1)::BIGINT AS width FROM lineitem""")
+def hlp31_pictures(t):
+    """Pictures at or near a slide's origin are backgrounds; a crop of a quarter on each side halves the pixels."""
+    x = F.when(F.col("l_suppkey") % 3 == 0, F.when(F.col("l_suppkey") % 2 == 0, -18_000).otherwise(17_999)).when(F.col("l_suppkey") % 3 == 1, 18_001)
+    y = F.when(F.col("l_partkey") % 2 == 0, F.lit(0)).otherwise(-18_001)
+    crop = F.array(F.lit(0.25), F.lit(0.1), F.lit(0.25), F.lit(0.0))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", is_background(x, y).alias("background"), long(cropped(F.col("l_partkey"), crop)).alias("width"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN t = '' THEN [role, ' ', 'a ', 'b'] ELSE [role, ' ' || t, ' ', 'a ', 'b'] END AS texts, CASE WHEN t = '' THEN 'vet||cursief|cursief,kbd' ELSE 'vet|||cursief|cursief,kbd' END AS styles FROM (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)""")
+def hlp24_segments(t):
+    """Turns as markup, and their segments with styles; blanks are folded across tags."""
+    html = F.concat(F.lit("<p>\n<b>"), "role", F.lit("</b><!-- no --> "), tx.escape("text"), F.lit("<script>'<i>'</script> \n<i> a <kbd>b</kbd> </i></p>\n"))
+    rows = t.conversations.select("conv_id", "turn", segments_udf(html).alias("s"))
+    return rows.select("conv_id", "turn", F.transform("s", lambda x: x["text"]).alias("texts"), F.array_join(F.transform("s", lambda x: F.array_join(x["styles"], ",")), "|").alias("styles"))
+
+
+# ---------------------------------------------------------------- gates
+
+
+@query(r"""SELECT page_id, md5(html || '<img src="/r/a/i' || page_id || '.png?v#x"><a href="#t"><a href="mailto:x">') AS h FROM pages""")
+def hlp20_absolute_references(t):
+    """Each page's own references, and one relative image that is there, made absolute; those that begin at the root stay."""
+    n = F.col("page_id").cast("string")
+    pages = t.pages.select("page_id", F.concat(F.lit("a/b/"), n, F.lit(".html")).alias("path"), F.concat("html", F.lit('<img src="../i'), n, F.lit('.png?v#x"><a href="#t"><a href="mailto:x">')).alias("html"))
+    rooted = rewrite.references(pages).where(F.col("ref").startswith("/")).select(F.regexp_replace(tx.local_target("path", "ref"), "^/+", "/").alias("path"))
+    there = t.pages.select(F.concat(F.lit("a/i"), n, F.lit(".png")).alias("path")).unionByName(rooted).distinct()
+    bare = pages.withColumn("html", F.replace("html", F.lit('="/'), F.lit('="root:/')))
+    done = rewrite.absolute_references(bare, there, root="/r/")
+    return done.select("page_id", F.md5(F.replace("html", F.lit('="root:/'), F.lit('="/')).cast("binary")).alias("h"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_custkey * 10 END AS id FROM customer""")
+def hlp2_by_external_id(t):
+    """Customers with the id of their live record; trashed doubles do not count."""
+    records = t.customer.where("c_custkey % 4 > 0").select("c_custkey", F.explode(F.array(F.struct((F.col("c_custkey") * 10).alias("id"), F.lit(None).cast("boolean").alias("trashed")), F.struct((F.col("c_custkey") * 10 + 1).alias("id"), F.lit(True).alias("trashed")))).alias("r")).select("c_custkey", "r.*")
+    return reconcile.by_external_id(t.customer.select("c_custkey"), records, "c_custkey", "id", "trashed")

@@ -110,6 +110,19 @@ def committed(spark: SparkSession, root: str, job: str) -> DataFrame:
     return spark.read.schema(schema).json(names) if names else spark.createDataFrame([], schema)
 
 
+def refuse_existing(spark: SparkSession, root: str, job: str, shown: int = 5) -> None:
+    """An error that names some of them if files of a committed job are in place already."""
+
+    def there(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = filesystem(root)
+        for batch in batches:
+            yield batch[["path"]][[system.get_file_info(f"{base}/{p}").type.name == "File" for p in batch["path"]]]
+
+    found = [r["path"] for r in committed(spark, root, job).mapInPandas(there, "path string").limit(shown).collect()]
+    if found:
+        raise FileExistsError(f"there already: {', '.join(sorted(found))}")
+
+
 def publish(spark: SparkSession, root: str, job: str) -> DataFrame:
     """path, bytes, state (written or unchanged) of a committed job, whose files are now in place."""
 
