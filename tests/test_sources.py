@@ -102,12 +102,56 @@ def test_change_feed_over_waves(spark, tmp_path):
     assert sorted((r["key"], r["hash"], r["status"]) for r in got) == [("a", "1", "new"), ("b", "1", "new"), ("b", "2", "changed"), ("c", "1", "new")]
 
 
-def test_latest_sink(spark, tmp_path):
-    sink = incremental.latest_sink(str(tmp_path), ["k"], ["t"])
-    make = lambda *r: spark.createDataFrame(list(r), "k string, t int, v string")
-    sink(make(("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")), 0)
-    sink(make(("a", 1, "old"), ("b", 3, "w")), 1)
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/1").collect()) == [("a", 2, "y"), ("b", 3, "w")]
+def test_snapshot(spark, tmp_path):
+    from vellum.streaming.snapshot import Snapshot
+
+    make = lambda *r: spark.createDataFrame(list(r), "k string, t int, v string, gone boolean")
+    path = f"file://{tmp_path}/snap"
+    snap = Snapshot(path, ["k"], ["t"], buckets=64, keep=2, deleted="gone")
+    assert snap.read(spark) is None and snap.merge(make(), 0) == {"buckets": [], "removed": []} and snap.read(spark) is None
+    snap.merge(make(*((f"k{i}", 1, "x" * 50, None) for i in range(500))), 1)
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "snap").rglob("*.parquet"))
+    whole = size()
+    got = snap.merge(make(("k7", 2, "new", False), ("k8", 0, "old", None), ("k7", 1, "x", None), ("k9", 3, None, True)), 2)
+    assert 1 <= len(got["buckets"]) <= 3 and size() - whole < whole / 8  # what a batch writes follows the batch
+    table = lambda: {r["k"]: (r["t"], r["v"]) for r in snap.read(spark).collect()}
+    now = table()
+    assert len(now) == 499 and now["k7"] == (2, "new") and now["k8"] == (1, "x" * 50) and "k9" not in now
+    assert snap.merge(make(("k7", 9, "again", None)), 2) == {"buckets": [], "removed": []} and table() == now  # the same batch once more
+    snap.merge(make(("k7", 3, "b3", None)), 3)
+    removed = snap.merge(make(("k7", 4, "b4", None)), 4)["removed"]
+    assert removed and not any((tmp_path / "snap" / r).exists() for r in removed) and table()["k7"] == (4, "b4")
+    assert Snapshot(path, ["k"], ["t"], buckets=7).buckets == 64  # fixed once it exists
+    # a batch that died before its manifest is not seen, and goes when the snapshot is compacted
+    (tmp_path / "snap/v0000000099-dead").mkdir()
+    before = table()
+    assert snap.compact(spark) >= 2 and table() == before and len([f for f in (tmp_path / "snap").iterdir() if f.is_dir()]) == 1
+    snap.merge(make(*((f"k{i}", 99, None, True) for i in range(500))), 5)
+    assert snap.read(spark) is None
+
+
+def test_latest_per_kind_closes_owners(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from vellum.streaming import latest
+
+    latest.uses_rocksdb(spark)
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    waves = [[("a", "docx", "s1", at(1), 1), ("a", "docx", "s2", at(1), 2), ("b", "zip", "s3", at(1, 5), 3)], [("a", "docx", "s0", at(0, 55), 9), ("a", "pdf", "s4", at(1, 30), 4), (None, "pdf", "x", at(1, 20), 1)], [("b", "zip", "s5", at(5), 5)], [("z", "q", "s6", at(9), 6)]]
+    schema = "who string, kind string, sub string, at timestamp, ord long"
+    (tmp_path / "in").mkdir()
+    for i, w in enumerate(waves):
+        spark.createDataFrame(w, schema).coalesce(1).write.parquet(f"{tmp_path}/w{i}")
+        f = next((tmp_path / f"w{i}").glob("*.parquet")).rename(tmp_path / f"in/{i}.parquet")
+        os.utime(f, (1e9 + i, 1e9 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = []
+    q = latest.latest_per_kind(stream, "who", "kind", "sub", "at", "ord").writeStream.foreachBatch(lambda b, i: out.extend((i, r["owner"], r["kind"], r["submission"], r["at"], r["status"]) for r in b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    changes = [r for r in out if r[-1] != "final"]
+    assert sorted(changes) == [(0, "a", "docx", "s2", at(1), "new"), (0, "b", "zip", "s3", at(1, 5), "new"), (1, "a", "pdf", "s4", at(1, 30), "new"), (2, "b", "zip", "s5", at(5), "replaced"), (3, "z", "q", "s6", at(9), "new")]
+    assert {r[1:4] for r in out if r[-1] == "final"} >= {("a", "docx", "s2"), ("a", "pdf", "s4")}
 
 
 def test_directory_corpus(spark, tmp_path):

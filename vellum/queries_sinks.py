@@ -198,3 +198,44 @@ def hlp2_by_external_id(t):
     """Customers with the id of their live record; trashed doubles do not count."""
     records = t.customer.where("c_custkey % 4 > 0").select("c_custkey", F.explode(F.array(F.struct((F.col("c_custkey") * 10).alias("id"), F.lit(None).cast("boolean").alias("trashed")), F.struct((F.col("c_custkey") * 10 + 1).alias("id"), F.lit(True).alias("trashed")))).alias("r")).select("c_custkey", "r.*")
     return reconcile.by_external_id(t.customer.select("c_custkey"), records, "c_custkey", "id", "trashed")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def event_waves(t, n: int = 5):
+    """The events as files of a folder, and a stream that takes one at a time."""
+    folder = new_path(t.spark, "waves")
+    events = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    events.repartition(n, "event_id").write.parquet(folder)
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def drained(t, stream, take) -> None:
+    """Run a stream until its folder is empty."""
+    query_ = stream.writeStream.foreachBatch(take).option("checkpointLocation", new_path(t.spark, "progress")).trigger(availableNow=True).start()
+    query_.awaitTermination()
+
+
+@query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1 HAVING arg_max(event_type, (ts, event_id)) <> (SELECT min(event_type) FROM events)""")
+def stream_latest_snapshot(t):
+    """The latest event of each user, kept by a stream in a snapshot of buckets; users whose latest is of the first type are gone."""
+    from vellum.streaming.snapshot import Snapshot
+
+    first = t.events.agg(F.min("event_type")).first()[0]
+    snap = Snapshot(new_path(t.spark, "snapshot"), ["user_id"], ["ts", "event_id"], buckets=16)
+    drained(t, event_waves(t), lambda batch, i: snap.merge(batch, i))
+    return snap.read(t.spark).where(F.col("event_type") != first).select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT user_id::VARCHAR AS owner, event_type AS kind, arg_max(event_id, (ts, event_id))::VARCHAR AS submission FROM events GROUP BY ALL""")
+def stream_latest_per_kind(t):
+    """The latest event of each user and type, as the stateful stream hands it on: of all that took over, the last one."""
+    from vellum.streaming import latest
+
+    latest.uses_rocksdb(t.spark)
+    path = new_path(t.spark, "latest")
+    events = event_waves(t, 3)
+    drained(t, latest.latest_per_kind(events, "user_id", "event_type", "event_id", "ts", "event_id", late="4000 days"), lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/{i}"))
+    got = t.spark.read.parquet(f"{path}/*").where("status <> 'final'")
+    return got.groupBy("owner", "kind").agg(F.max_by("submission", F.struct("at", "ord")).alias("submission"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,17 +43,6 @@ def merge_latest(batch: DataFrame, snapshot: DataFrame | None, keys: list[str],
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
-def latest_sink(path: str, keys: list[str], order: list[str]) -> Any:
-    """foreachBatch function that keeps the latest row of each key in path/<batch id>; a batch that runs again gives the same."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/{batch_id - 1}") if batch_id else None
-        merge_latest(batch, before, keys, order).write.mode("overwrite").parquet(f"{path}/{batch_id}")
-
-    return run
-
-
 def windowed_counts(stream: DataFrame, ts: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of a kind by time window, closed by a watermark."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
