@@ -87,7 +87,20 @@ def test_pseudonyms(spark):
     df = spark.createDataFrame([("zoë ZOË_x Berghes berghe",), ("Jan jan Janneke",), ("van de li",), ("anne ANNE Anne, neill",)], "t string")
     text, n = privacy.redacted(F.col("t"), privacy.name_patterns(names), "#")
     assert [tuple(r) for r in df.select(text, n).collect()] == [("zoë ZOË_x Berghes #", 1), ("# jan Janneke", 1), ("van de li", 0), ("anne ANNE #, #", 2)]
-    big = privacy.redact_large(df, spark.createDataFrame([(n,) for n in names], "name string"), "t", "name", "#")
+    big = privacy.redact_large(df, spark.createDataFrame([(n,) for n in names], "name string"), "t", "name", "t", "#")
+    assert {r["n_names"] for r in big.where("t like 'anne%'").collect()} == {2}
+    import random
+
+    rng = random.Random(4)
+    some = ["".join(rng.choice("abcéAB") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    texts = spark.createDataFrame([(i, None if i == 7 else "".join(rng.choice([rng.choice(some), rng.choice(some).upper(), "7", "_"]) + rng.choice(["", " ", "-", "_", "\n", "2"]) for _ in range(30))) for i in range(80)], "i int, t string")
+    people = some[:60]
+    pattern, count = privacy.redacted(F.col("t"), privacy.name_patterns(people), "#")
+    want = {r["i"]: (r["x"], r["n"]) for r in texts.select("i", pattern.alias("x"), count.alias("n")).collect()}
+    for bits in (15, 26):  # a full bitmap lets more words through and changes nothing
+        large = privacy.redact_large(texts, spark.createDataFrame([(n,) for n in [*people, None, ""]], "name string"), "t", "name", "i", "#", bits)
+        assert {r["i"]: (r["redacted"], r["n_names"]) for r in large.collect()} == want
+    assert sum(n for _, n in want.values()) > 50
     assert [r["redacted"] for r in big.orderBy("t").collect()] == [r["x"] for r in df.orderBy("t").select(text.alias("x")).collect()]
 
 

@@ -31,6 +31,21 @@ class Corpus:
     has_git: bool = True
     local: bool = True
     styles: dict[str, float] = field(default_factory=dict)
+    courses: bool = False  #: each top folder is a course with a menu and a style guide of its own
+
+    def is_own(self, name: str, path: str = "path"):
+        """Whether a path is the file of this name, in many courses that of any course."""
+        if not self.courses:
+            return F.col(path) == name
+        return (F.substring_index(path, "/", -(name.count("/") + 1)) == name) & (F.size(F.split(path, "/")) == name.count("/") + 2)
+
+    def course(self, path: str = "path"):
+        """The course of a path: its top folder and a slash; nothing where there is one course only."""
+        return F.concat(F.substring_index(path, "/", 1), F.lit("/")) if self.courses else F.lit("")
+
+    def in_course(self, path: str = "path"):
+        """A path as seen from its course."""
+        return F.regexp_replace(path, "^[^/]*/", "") if self.courses else F.col(path)
 
     @property
     def spark(self) -> SparkSession:
@@ -77,7 +92,7 @@ class Corpus:
     @cached_property
     def menu(self) -> DataFrame:
         """Flattened menu, see operators.menu.flatten."""
-        return menus.flatten(self.texts.where(F.col("path") == self.conf["menu"]).select("path", F.col("html").alias("doc"))).persist()
+        return menus.flatten(self.texts.where(self.is_own(self.conf["menu"])).select("path", F.col("html").alias("doc"))).persist()
 
     def in_syllabus(self, path: str):
         return F.col(path).startswith(self.conf["paths"]["syllabus_src"] + "/")

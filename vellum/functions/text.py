@@ -43,11 +43,13 @@ def numbered(c: Column | str, pattern: str, group: int = 0) -> Column:
     """Array of struct(nr, text): the 1-based line on which each match begins, and its group."""
     c = col(c)
     whole, texts, gaps = every(c, pattern, 0), every(c, pattern, group), F.split(c, pattern, -1)
-    # how many lines lie before match i: those of the gaps up to it and of the matches before it
-    gap_lines, own_lines = F.transform(gaps, newlines), F.transform(whole, newlines)
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    at = F.transform(whole, lambda _, i: F.struct((F.lit(1) + total(F.slice(gap_lines, F.lit(1), i + 1)) + total(F.slice(own_lines, F.lit(1), i))).alias("nr"), F.element_at(texts, i + 1).alias("text")))
-    return F.when(F.size(whole) > 0, at).otherwise(F.expr("cast(array() as array<struct<nr:int,text:string>>)"))
+    # one pass over gaps and matches in turn, with the line reached so far
+    step = lambda a, x: F.struct(
+        (a["line"] + newlines(x["gap"]) + newlines(F.coalesce(x["whole"], F.lit("")))).alias("line"),
+        F.when(x["whole"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct((a["line"] + newlines(x["gap"])).alias("nr"), x["text"].alias("text"))))).alias("out"),
+    )
+    start = F.struct(F.lit(1).alias("line"), F.expr("cast(array() as array<struct<nr:int,text:string>>)").alias("out"))
+    return F.aggregate(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), texts.alias("text")), start, step, lambda a: a["out"])
 
 
 def without_comments(c: Column | str) -> Column:

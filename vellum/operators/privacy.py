@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,18 +41,89 @@ def redacted(text: Column, patterns: list[str], by: str = "[naam]") -> tuple[Col
     return text, n
 
 
-def redact_large(rows: DataFrame, names: DataFrame, text: str, name: str, by: str = "[naam]") -> DataFrame:
-    """As redacted, for a name table too large for one pattern: words are joined with the table, not matched.
+NAME = re.compile(r"[^\W\d_]+")  #: words of a name
+RUN = re.compile(r"[^\W_]+")  #: letters and digits in a row; what is around them is a border
 
-    Adds redacted and n_names; the row order of words is kept.
+
+def _token(word: str) -> str | None:
+    """What a word of a name or text is looked up as: five letters or more in any case, three or four as they are; None for what names nobody."""
+    if len(word) < 3 or word.lower() in PARTICLES:
+        return None
+    return word.lower() if len(word) >= 5 else word
+
+
+#: Spark's xxhash64 of a text is XXH64 with this seed.
+SEED = 42
+
+
+def _candidates(bits: np.ndarray | None):
+    """mapInArrow body: (key, text) to (key, token) of the distinct words whose bit is set; without bits, of all words of names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = NAME if bits is None else RUN
+        for batch in batches:
+            keys, tokens, known = [], [], {}
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for w in set(pattern.findall(text or "")):
+                    token = known.get(w, 0)
+                    if token == 0:
+                        token = _token(w)
+                        if token is not None and bits is not None:
+                            at = xxhash.xxh64_intdigest(token, SEED) & (len(bits) * 8 - 1)
+                            token = token if bits[at >> 3] >> (at & 7) & 1 else None
+                        known[w] = token
+                    if token is not None:
+                        keys.append(i)
+                        tokens.append(token)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(tokens, pa.string())], names=["key", "token"])
+
+    return run
+
+
+def _replaced(by: str):
+    def run(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, own in zip(texts, names, strict=True):
+            found, n = frozenset(() if own is None else own), 0
+            if text is None or not found:
+                out.append((text, 0))
+                continue
+
+            def one(m, found=found):
+                nonlocal n
+                if _token(m[0]) in found:
+                    n += 1
+                    return by
+                return m[0]
+
+            out.append((RUN.sub(one, text), n))
+        return pd.DataFrame(out, columns=["text", "n"])
+
+    return lazy_udf(run, "struct<text:string,n:int>")
+
+
+def redact_large(rows: DataFrame, names: DataFrame, text: str, name: str, key: str, by: str = "[naam]", log2_bits: int = 26) -> DataFrame:
+    """As redacted, for a name table of any size: rows with redacted and n_names; key names a row.
+
+    A bitmap of fixed size (8 MB) tells each task which words may be names; only these are
+    joined with the names, and what is left of them, a few for each row, goes back to
+    the texts, in which one pass replaces them.  A border is whatever is no letter or digit,
+    and a word between two borders is whole, so the longest match is the word.  Texts
+    are moved once, to meet their names.
     """
-    token = F.explode(F.filter(F.regexp_extract_all(F.col(name), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*PARTICLES)))
-    tokens = names.select(token.alias("w")).select(F.when(F.length("w") >= 5, F.lower("w")).otherwise(F.col("w")).alias("w")).distinct()
-    base = rows.withColumn("_id", F.monotonically_increasing_id())
-    parts = base.select("_id", F.posexplode(F.split(text, r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})")).alias("pos", "part")).withColumn("w", F.when(F.length("part") >= 5, F.lower("part")).otherwise(F.col("part")))
-    marked = parts.join(tokens.withColumn("is_name", F.lit(True)), "w", "left")
-    joined = marked.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("is_name"), by).otherwise(F.col("part")).alias("p")))), lambda x: x["p"]), "").alias("redacted"), F.count("is_name").alias("n_names"))
-    return base.join(joined, "_id", "left").drop("_id")
+    spark = rows.sparkSession
+    tokens = names.select(F.lit(0).alias("key"), F.col(name).cast("string").alias("name")).mapInArrow(_candidates(None), "key int, token string").select("token").distinct()
+    at = F.pmod(F.xxhash64("token"), F.lit(1 << log2_bits)) + 1
+    parts = tokens.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # at most 2 ** log2_bits / 32768 rows
+    bits = np.zeros(1 << (log2_bits - 3), np.uint8)
+    for r in parts:
+        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+    kind = rows.schema[key].dataType.simpleString()
+    asked = rows.select(key, text).mapInArrow(lambda batches: _candidates(shared.value)(batches), f"key {kind}, token string")
+    per = asked.join(tokens, "token").groupBy("key").agg(F.collect_set("token").alias("_names"))
+    joined = rows.join(per.withColumnRenamed("key", "_key"), F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn("_r", _replaced(by)(F.col(text), F.col("_names"))).withColumn("redacted", F.col("_r.text")).withColumn("n_names", F.col("_r.n").cast("long")).drop("_r", "_names", "_key")
 
 
 def stable_codes(ids: DataFrame, known: DataFrame, id: str, prefix: str = "S") -> DataFrame:

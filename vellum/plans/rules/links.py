@@ -151,11 +151,11 @@ def orphan_image(c: Corpus) -> DataFrame:
     return found(images.join(occurring(images, texts), "name", "left_anti"), "used by no page")
 
 
-@rule("schrijfstijl-nummers", applies=lambda c: any_rows(c.texts.where(F.col("path") == c.conf["style_guide"]["file"]), "no style guide"))
+@rule("schrijfstijl-nummers", applies=lambda c: any_rows(c.texts.where(c.is_own(c.conf["style_guide"]["file"])), "no style guide"))
 def style_numbers(c: Corpus) -> DataFrame:
     """The local style guide refers to the base and uses no number that the base lacks."""
     conf = c.conf["style_guide"]
-    guide = c.texts.where(F.col("path") == conf["file"])
+    guide = c.texts.where(c.is_own(conf["file"]))
     known = c.spark.createDataFrame([(int(n),) for n in conf["base_numbers"]], "n int")
     used = guide.select("path", F.explode(tx.numbered("html", r"(?m)^#{2,6}\s+(\d+)\.", 1)).alias("m")).select("path", "m.nr", F.col("m.text").cast("int").alias("n"))
     return union(found(guide.where(~F.col("html").contains(conf["reference"])), "does not refer to the base guide"), found(used.join(known, "n", "left_anti"), F.concat(F.lit("unknown pattern "), F.col("n").cast("string")), line="nr"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.corpus import Corpus
 from vellum.functions import text as tx
-from vellum.functions.kernels import name_parser
+from vellum.functions.kernels import names_parser
 from vellum.operators import menu as menus
 from vellum.plans.registry import any_rows, found, rule, single, union
 from vellum.plans.rules.links import PLANNED, looked_up, starts_with_any
@@ -20,15 +20,18 @@ NO_FRAME = ("http", "#", "mailto:", "/", "tel:", "data:", "javascript:")
 
 
 def has_menu(c: Corpus):
-    return any_rows(c.texts.where(F.col("path") == c.conf["menu"]), "no menu")
+    return any_rows(c.texts.where(c.is_own(c.conf["menu"])), "no menu")
 
 
 def nodes(c: Corpus) -> DataFrame:
+    """Nodes of all menus; path is the menu's."""
     return menus.rows(c.menu)
 
 
 def targets(c: Corpus) -> DataFrame:
-    return nodes(c).where(F.col("kind").isin(*TARGETS)).select("path", "ord", "kind", "target")
+    """path, ord, kind, target from the corpus's root, and as written in the menu."""
+    rows = nodes(c).where(F.col("kind").isin(*TARGETS)).select("path", "ord", "kind", F.col("target").alias("written"))
+    return rows.withColumn("target", F.concat(c.course(), "written"))
 
 
 @rule("menu-targets", applies=has_menu)
@@ -39,14 +42,14 @@ def menu_targets(c: Corpus) -> DataFrame:
     """
     broken = found(c.menu.where("error is not null"), F.col("error"))
     rows = looked_up(targets(c), c)
-    parts = F.split("target", "/")
-    bare = (F.array_join(F.filter(parts, lambda s: ~s.isin("", ".")), "/") == F.col("target")) & ~F.array_contains(parts, "..")
-    say = lambda text: F.concat(F.col("kind"), F.lit(f" {text}: "), F.col("target"))
+    parts = F.split("written", "/")
+    bare = (F.array_join(F.filter(parts, lambda s: ~s.isin("", ".")), "/") == F.col("written")) & ~F.array_contains(parts, "..")
+    say = lambda text: F.concat(F.col("kind"), F.lit(f" {text}: "), F.col("written"))
     fine = rows.where(bare)
     kind = fine.where(F.col("kind").isin("page", "instructions") & ~F.col("target").endswith(".html"))
     cause = F.when(~F.col("is_file"), "does not exist").when(~F.col("exact"), "differs in case").when(F.lit(c.has_git) & ~F.col("tracked"), "is not under version control")
     rest = fine.where(~tx.basename("target").startswith(PLANNED)).withColumn("cause", cause).where("cause is not null")
-    return union(broken, found(rows.where(~bare), say("is not a bare path")), found(kind, say("is not HTML")), found(rest, F.concat(F.col("kind"), F.lit(" "), "cause", F.lit(": "), "target")))
+    return union(broken, found(rows.where(~bare), say("is not a bare path")), found(kind, say("is not HTML")), found(rest, F.concat(F.col("kind"), F.lit(" "), "cause", F.lit(": "), "written")))
 
 
 @rule("menu-ids", applies=has_menu)
@@ -67,7 +70,7 @@ def menu_qr(c: Corpus) -> DataFrame:
     text_of = lambda k: F.expr(f"if(schema_of_variant(element_at(m, '{k}')) = 'STRING', cast(element_at(m, '{k}') as string), null)")
     own = F.filter("keys", lambda k: k.isin("dropbox", "grade"))
     unknown = F.filter("keys", lambda k: ~k.isin("dropbox", "grade", "ans"))
-    dropboxes = topics.where("dropbox is not null").select(F.col("dropbox").alias("box")).distinct()
+    dropboxes = topics.where("dropbox is not null").select("path", F.col("dropbox").alias("box")).distinct()
     each = objects.withColumn("k", F.explode(own)).withColumn("val", F.when(F.col("k") == "dropbox", text_of("dropbox")).otherwise(text_of("grade")))
     boxes = objects.withColumn("box", text_of("dropbox")).where("box is not null")
     quiz = objects.where(F.array_contains("keys", "ans")).withColumn("a", F.element_at("m", F.lit("ans"))).withColumn("a_shape", F.schema_of_variant("a"))
@@ -81,7 +84,7 @@ def menu_qr(c: Corpus) -> DataFrame:
         found(objects.where(F.size(unknown) > 0), say("unknown field in qr: ", F.array_join(unknown, ", "))),
         found(objects.where(F.size(own) != 1), say("qr needs exactly one of dropbox and grade")),
         found(each.where(F.col("val").isNull() | (F.trim("val") == "")), say("a text is wanted in qr: ", F.col("k"))),
-        found(boxes.join(dropboxes, "box", "left_anti"), say("no such dropbox: ", F.col("box"))),
+        found(boxes.join(dropboxes, ["path", "box"], "left_anti"), say("no such dropbox: ", F.col("box"))),
         found(quiz.where(~F.col("a_shape").startswith("OBJECT")), say("the quiz is not an object")),
         found(fields.withColumn("k", F.explode(F.map_keys("am"))).where(~F.col("k").isin(*QUIZ_FIELDS)), say("unknown field in the quiz: ", F.col("k"))),
         found(wanted.where(~positive), say("a positive whole number is wanted: ", F.col("k"))),
@@ -93,9 +96,12 @@ def menu_orphan(c: Corpus) -> DataFrame:
     """Each checked site page below the configured roots is a page, or the instructions, of the menu."""
     roots = F.lit(False)
     for r in c.conf["check"]["orphan_roots"]:
-        roots = roots | F.col("path").startswith(r.rstrip("/") + "/") | (F.col("path") == r)
+        roots = roots | c.in_course().startswith(r.rstrip("/") + "/") | (c.in_course() == r)
     covered = targets(c).where(F.col("kind").isin("page", "instructions")).select(F.col("target").alias("path"))
-    return found(c.pages.where("is_site and is_checked").where(roots).select("path").join(covered, "path", "left_anti"), "not in the menu")
+    pages = c.pages.where("is_site and is_checked").where(roots).select("path").join(covered, "path", "left_anti")
+    if c.courses:  # of a course without a menu nothing is asked
+        pages = pages.withColumn("course", c.course()).join(c.menu.select(c.course().alias("course")).distinct(), "course", "left_semi")
+    return found(pages, "not in the menu")
 
 
 @rule("topic-frame", applies=has_menu)
@@ -125,17 +131,18 @@ def menu_names(c: Corpus) -> DataFrame:
         return single(c, "config", "check.names must be different words without colon or bracket")
     all_nodes = nodes(c)
     modules = all_nodes.where("kind = 'module'")
-    # the menu's module names, in order of first appearance: bounded by one menu
-    named = [r["own_name"] for r in modules.where("own_name is not null").groupBy("own_name").agg(F.min("ord").alias("ord")).orderBy("ord").collect()]
-    parse = name_parser(named, ungraded=words["ungraded"], test=words["test"], graded=words["graded"])
-    topics = all_nodes.where("kind = 'topic'")
-    drops = topics.where("dropbox is not null").withColumn("p", parse("dropbox", "name"))
-    good = drops.where("p.kind is not null").groupBy(F.col("dropbox").alias("box")).agg(F.max_by("p", "ord").alias("scored"))
+    # each menu's module names, in order of first appearance: an array bounded by one menu
+    first = modules.where("own_name is not null").groupBy("path", "own_name").agg(F.min("ord").alias("ord"))
+    named = first.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "own_name"))), lambda x: x["own_name"]).alias("names"))
+    parse = names_parser(ungraded=words["ungraded"], test=words["test"], graded=words["graded"])
+    topics = all_nodes.where("kind = 'topic'").join(named, "path", "left")
+    drops = topics.where("dropbox is not null").withColumn("p", parse("dropbox", "name", "names"))
+    good = drops.where("p.kind is not null").groupBy("path", F.col("dropbox").alias("box")).agg(F.max_by("p", "ord").alias("scored"))
     v = F.try_parse_json("qr")
     text_of = lambda k: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.try_variant_get(v, f"$.{k}", "string"))
     codes = topics.where(F.col("has_qr") & F.schema_of_variant(v).startswith("OBJECT")).withColumn("box", text_of("dropbox")).withColumn("grade", text_of("grade"))
-    by_grade = codes.where("box is null and grade is not null").withColumn("p", parse("grade", "name"))
-    scored = codes.join(good, "box").unionByName(by_grade.where("p.kind in ('test', 'assignment')").withColumnRenamed("p", "scored"), allowMissingColumns=True)
+    by_grade = codes.where("box is null and grade is not null").withColumn("p", parse("grade", "name", "names"))
+    scored = codes.join(good, ["path", "box"]).unionByName(by_grade.where("p.kind in ('test', 'assignment')").withColumnRenamed("p", "scored"), allowMissingColumns=True)
     want = expected_title(F.col("scored.kind"), F.col("scored.part"))
     return union(
         found(modules.where("bad_name"), F.concat(F.lit("module name: "), F.coalesce("id", F.lit("?")))),

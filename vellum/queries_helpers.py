@@ -134,11 +134,12 @@ def ext14_plain_text(t):
     return t.documents.select("doc_id", assemble.plain_text(F.concat(F.lit("<p>"), tx.escape("text"), F.lit("</p>"))).alias("plain"))
 
 
-@query("SELECT page_id, 7 + page_id % 2 AS number FROM pages")
+@query("SELECT page_id, unnest([7 + page_id % 2, 2, page_id + 100]) AS number FROM pages")
 def ext17_slide_numbers(t):
-    """A numbered slide and one without number; the attribute wins over the position."""
-    odd = F.col("page_id") % 2 == 1
-    deck = t.pages.select(F.col("page_id").alias("path"), F.concat(F.lit('<section class="slide" data-nr="'), F.when(odd, "8").otherwise("7"), F.lit('">x</section>')).alias("html"))
+    """A deck of each page: a numbered slide, one without number, which has its place, and one whose number stands within it."""
+    first = F.concat(F.lit('<section class="slide" data-slide="'), (F.col("page_id") % 2 + 7).cast("string"), F.lit('">x</section>'))
+    last = F.concat(F.lit('<section class="slide"><div data-slide="'), (F.col("page_id") + 100).cast("string"), F.lit('">'), "page_id", F.lit("</div></section>"))
+    deck = t.pages.select(F.col("page_id").alias("path"), F.concat(first, F.lit('<section class="slide" data-nr="9">y</section>'), last).alias("html"))
     return assemble.slides(deck).select(F.col("path").alias("page_id"), long("number").alias("number"))
 
 

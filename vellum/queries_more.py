@@ -372,6 +372,17 @@ def str9_pseudonyms(t):
     return t.conversations.select("conv_id", "turn", long(n).alias("n"))
 
 
+@query(r"""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(regexp_extract(text, '^[^\n.]*'), '\pL+')) AS w FROM conversations WHERE turn = 0),
+tok AS (SELECT DISTINCT CASE WHEN length(w) >= 5 THEN lower(w) ELSE w END AS t FROM names WHERE length(w) >= 3 AND lower(w) NOT IN ('van', 'de', 'der', 'den', 'het', 'ten', 'ter', 'te', 'la', 'le', 'du', 'des', 'da', 'dos', 'el', 'al', 'von', 'zu')),
+r AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[\pL\pN]+')) AS w FROM conversations)
+SELECT conv_id, turn, count(t)::BIGINT AS n FROM r LEFT JOIN tok ON t = CASE WHEN length(w) >= 5 THEN lower(w) ELSE w END GROUP BY ALL""")
+def str9_large_names(t):
+    """The words of each conversation's first sentence as names, replaced in all turns."""
+    first = t.conversations.where("turn = 0").select(F.regexp_extract("text", r"^[^\n.]*", 0).alias("name"))
+    rows = t.conversations.select("conv_id", "turn", "text", F.concat_ws(":", "conv_id", "turn").alias("key"))
+    return privacy.redact_large(rows, first, "text", "name", "key").select("conv_id", "turn", long("n_names").alias("n"))
+
+
 @query(r"""SELECT page_id, md5(regexp_replace(html, '(href|src)="/([^"]*)"', '\1="root:/\2"', 'g') || '<!-- <a href="/c"> --><a href=' || chr(39) || 'root:/' || page_id || chr(39) || ' title="href=&quot;/t&quot;"> href="/text" </a>') AS h FROM pages""")
 def rw1_rewritten_references(t):
     """References from the root get a prefix; in comments and plain text nothing does."""

@@ -91,14 +91,15 @@ SUPPLIER = r"[sS ](\d+)"
 
 
 def menu_corpus(t: Tables, topic, text=None, conf: dict | None = None) -> Corpus:
-    """A page and a menu topic for each supplier, in a module for each nation; topic: fields of an entry as JSON."""
+    """A course for each nation with a menu of its own, a page and a topic for each of its suppliers; topic: fields of an entry as JSON."""
     rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("k", F.col("s_suppkey") % 4).withColumn("key", F.col("s_suppkey").cast("string")).withColumn("page", F.concat(F.lit("Labo/s"), "key", F.lit(".html")))
+    course = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit("/"))
     modules = rows.withColumn("topic", topic).groupBy("n_nationkey", "n_name").agg(sequence.text_in_order("topic", ["s_suppkey"], ",").alias("items"))
-    one = F.concat(F.lit('{"id": "n'), F.col("n_nationkey").cast("string"), F.lit('", "title": "'), "n_name", F.lit('", "name": "'), "n_name", F.lit('", "items": ['), "items", F.lit("]}"))
-    doc = modules.withColumn("m", one).groupBy().agg(sequence.text_in_order("m", ["n_nationkey"], ",").alias("all"))  # a menu is one file
-    pages = rows.select(F.col("page").alias("path"), (F.lit("x") if text is None else text).alias("html"))
-    texts = pages.unionAll(doc.select(F.lit("menu.json"), F.concat(F.lit('{"modules": ['), F.coalesce("all", F.lit("")), F.lit("]}"))))
-    return Corpus(texts.select("path", F.lit(1.0).alias("mtime"), F.lit(True).alias("tracked")), texts, merge(DEFAULTS, conf or {}))
+    one = F.concat(F.lit('{"modules": [{"id": "n'), F.col("n_nationkey").cast("string"), F.lit('", "title": "'), "n_name", F.lit('", "name": "'), "n_name", F.lit('", "items": ['), "items", F.lit("]}]}"))
+    menus = modules.select(F.concat(course, F.lit("menu.json")).alias("path"), one.alias("html"))
+    pages = rows.select(F.concat(course, "page").alias("path"), (F.lit("x") if text is None else text).alias("html"))
+    texts = pages.unionAll(menus)
+    return Corpus(texts.select("path", F.lit(1.0).alias("mtime"), F.lit(True).alias("tracked")), texts, merge(DEFAULTS, conf or {}), courses=True)
 
 
 def entry(*fields) -> Column:
@@ -156,14 +157,17 @@ def rule_menu_orphan(t):
     return supplier_counts(menu_corpus(t, entry(to)), "menu-orphan", "pad")
 
 
-@query("SELECT s_suppkey, 2::BIGINT AS n FROM supplier WHERE s_suppkey % 4 = 1 AND s_suppkey > (SELECT min(s_suppkey) FROM supplier WHERE s_suppkey % 4 = 1) AND s_suppkey - 1 IN (SELECT s_suppkey FROM supplier)")
+@query("SELECT s_suppkey, 2::BIGINT AS n FROM (SELECT *, lag(s_suppkey) OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey) AS before FROM supplier) WHERE s_suppkey % 4 = 1 AND before IS NOT NULL")
 def rule_topic_frame(t):
-    """Two links to another page in the frame; links in a new one, to itself, to a file, and in a comment."""
-    before = (F.col("s_suppkey") - 1).cast("string")
+    """Two links to the course's page before in the frame; links in a new one, to itself, to a file, in a comment, and to another course's page that is not there."""
+    rows = t.supplier.withColumn("s_nationkey", (F.col("s_suppkey") % 3).cast("int"))
+    rows = rows.withColumn("before", F.lag("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    before = F.coalesce(F.col("before").cast("string"), F.lit("-none"))
     a = F.concat(F.lit('<a href="s'), before, F.lit(".html#x\"><a  href='s"), before, F.lit(".html'>"))
-    first = F.col("s_suppkey") == t.supplier.where("s_suppkey % 4 = 1").agg(F.min("s_suppkey")).first()[0]
-    text = by_k(F.concat(F.lit('<a target="_blank" href="s'), before, F.lit('.html">')), F.when(first, "x").otherwise(a), F.concat(F.lit("<!-- "), a, F.lit(" -->")), F.concat(F.lit('<a href="s'), "key", F.lit('.html#y"><a href="x.pdf">')))
-    return supplier_counts(menu_corpus(t, entry(F.lit(', "page": "'), F.col("page"), F.lit('"')), text), "topic-frame", "pad")
+    text = by_k(F.concat(F.lit('<a target="_blank" href="s'), before, F.lit('.html">')), a, F.concat(F.lit("<!-- "), a, F.lit(" -->")), F.concat(F.lit('<a href="s'), "key", F.lit('.html#y"><a href="x.pdf">')))
+    own = Tables(t.spark, t.dir)
+    own.supplier = rows
+    return supplier_counts(menu_corpus(own, entry(F.lit(', "page": "'), F.col("page"), F.lit('"')), text), "topic-frame", "pad")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 1 ELSE 0 END::BIGINT AS n FROM pages")
@@ -205,13 +209,17 @@ def file_corpus(texts: DataFrame, more: DataFrame | None = None, conf: dict | No
     return Corpus(files.select("path", "mtime", F.lit(True).alias("tracked")), texts, merge(DEFAULTS, conf or {}))
 
 
-@query("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) + 1 AS line FROM nation WHERE true QUALIFY n_nationkey % 3 = 1 UNION ALL SELECT NULL, NULL")
+@query("SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1 AS line FROM customer QUALIFY c_custkey % 3 = 1 UNION ALL SELECT DISTINCT c_nationkey, NULL, NULL FROM customer WHERE c_nationkey % 2 = 0")
 def rule_schrijfstijl_nummers(t):
-    """A guide with a section for each nation; the base lacks the numbers that leave 1, and the reference is missing."""
-    guide = one_text("SCHRIJFSTIJL.md", t.nation, F.concat(F.lit("## "), F.col("n_nationkey").cast("string"), F.lit(". "), "n_name"), ["n_nationkey"], "# Guide\n")
-    known = [n for n in range(1000) if n % 3 != 1]
-    found = runner.findings(file_corpus(guide, conf={"style_guide": {"base_numbers": known}}), only=["schrijfstijl-nummers"])
-    return found.select(F.regexp_extract("boodschap", r"pattern (\d+)", 1).try_cast("long").alias("n_nationkey"), F.col("regelnr").cast("long").alias("line"))
+    """A guide for each nation with a section for each of its customers; the base lacks the numbers that leave 1, and half the guides do not refer to it."""
+    line = F.concat(F.lit("## "), F.col("c_custkey").cast("string"), F.lit(". "), "c_name")
+    head = F.when(F.col("c_nationkey") % 2 == 0, "# Guide\n").otherwise(F.lit("# see ../base.md\n"))
+    guides = t.customer.withColumn("t", line).groupBy("c_nationkey").agg(sequence.text_in_order("t", ["c_custkey"], "\n").alias("t")).select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/SCHRIJFSTIJL.md")).alias("path"), F.concat(head, "t").alias("html"))
+    top = t.customer.agg(F.max("c_custkey")).first()[0] or 0
+    c = file_corpus(guides, conf={"style_guide": {"base_numbers": [n for n in range(top + 1) if n % 3 != 1], "reference": "../base.md"}})
+    c.courses = True
+    found = runner.findings(c, only=["schrijfstijl-nummers"])
+    return found.select(F.regexp_extract("pad", r"n(\d+)/", 1).cast("int").alias("c_nationkey"), F.regexp_extract("boodschap", r"pattern (\d+)", 1).try_cast("long").alias("c_custkey"), F.col("regelnr").cast("long").alias("line"))
 
 
 @query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 1 THEN 'a skill folder without its file' WHEN 2 THEN 'no base of this name' ELSE 'does not refer to its base' END AS cause FROM nation WHERE n_nationkey % 4 > 0")
@@ -233,8 +241,6 @@ def rule_syllabus_manifest(t):
     manifest = one_text("reference.js", rows.where("k <> 2"), topic, ["s_suppkey"], "window.R = { syllabus: { categories: [ { name: 'A', topics: [\n", "\n] } ] } };")
     pages = rows.select(F.concat(F.lit("Theorie/Syllabus/Theorie/s"), "key", F.lit(".html")).alias("path"), F.lit("x").alias("html"))
     found = runner.findings(file_corpus(pages.unionAll(manifest)), only=["syllabus-manifest"])
-    nameless = found.where("boodschap like '%a field is missing%'").count()
-    assert nameless == rows.where("k = 1").count()
     own = found.where("boodschap not like '%a field is missing%'").select(F.regexp_extract(F.concat("pad", F.lit(" "), "boodschap"), r"[sS](\d+)\.html", 1).cast("long").alias("s_suppkey"))
     return own.unionAll(rows.where("k = 1").select("s_suppkey")).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 

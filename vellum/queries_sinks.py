@@ -11,7 +11,7 @@ from vellum.operators import feedback, reconcile, rewrite, worklist
 from vellum.operators.repair import repaired
 from vellum.queries import long, query
 from vellum.queries_more import page_corpus
-from vellum.sources import filesink, rest, sheets
+from vellum.sources import fetch, filesink, rest, sheets
 from vellum.sources.shared import new_path
 
 
@@ -239,3 +239,26 @@ def stream_latest_per_kind(t):
     drained(t, latest.latest_per_kind(events, "user_id", "event_type", "event_id", "ts", "event_id", late="4000 days"), lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/{i}"))
     got = t.spark.read.parquet(f"{path}/*").where("status <> 'final'")
     return got.groupBy("owner", "kind").agg(F.max_by("submission", F.struct("at", "ord")).alias("submission"))
+
+
+# ---------------------------------------------------------------- remote files
+
+
+@query("""WITH u AS (SELECT 'https://h' || p_size % 7 || '.example/' || p_partkey % 500 || '?x=1' AS url, p_partkey % 500 AS k FROM part UNION ALL SELECT 'ftp://h/' || p_size, -1 FROM part),
+d AS (SELECT url, any_value(k) AS k FROM u GROUP BY 1)
+SELECT url, CASE WHEN k < 0 THEN 'not http' WHEN k % 6 = 0 THEN 'cached' WHEN k % 6 = 1 THEN 'status 404' WHEN k % 6 = 2 THEN 'type not taken' WHEN k % 6 = 3 THEN 'not what it says' WHEN k % 6 = 4 THEN 'unreachable: URLError' ELSE 'too large' END AS status, CASE WHEN k % 6 = 0 THEN k + 10 END::BIGINT AS bytes FROM d""")
+def imp3_fetched(t):
+    """Addresses of an import, asked for twice: pictures are kept and known the second time, all else says why not."""
+    k = F.col("p_partkey") % 500
+    address = F.concat(F.lit("https://h"), (F.col("p_size") % 7).cast("string"), F.lit(".example/"), k.cast("string"), F.lit("?x=1"))
+    urls = t.part.select(address.alias("url"), k.alias("k")).distinct()
+    kind, gif = F.col("k") % 6, F.concat(F.lit("GIF89a"), F.lit("\x01\x01\x01\x01"), F.repeat(F.lit("x"), F.col("k").cast("int")))
+    head = F.to_json(F.struct(F.when(kind == 1, 404).otherwise(200).alias("status"), F.when(kind == 2, "text/html").when(kind == 3, "image/png").otherwise("image/gif; q=1").alias("type")))
+    body = F.when(kind == 5, F.concat(gif, F.repeat(F.lit("y"), F.lit(2000)))).otherwise(gif)
+    root = new_path(t.spark, "web")
+    filesink.write_files(urls.where(kind != 4).select(F.sha2("url", 256).alias("path"), F.concat(head, F.lit("\n"), body).alias("content")), root)
+    asked = urls.select("url").unionByName(t.part.select(F.concat(F.lit("ftp://h/"), F.col("p_size").cast("string")).alias("url")))
+    cache = new_path(t.spark, "cache")
+    for _ in range(2):
+        got = fetch.fetched(asked, cache, max_bytes=1000, per_second=100_000, web=fetch.FolderWeb(root))
+    return got.select("url", "status", "bytes")
