@@ -293,7 +293,10 @@ def candidates(counts: Counts, least: int = 10, inside: int = 50) -> DataFrame:
 def collocations(docs: DataFrame, top: int = 2000, least: int = 10, inside: int = 50, **options) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top`."""
     counts = count(docs, least, **options)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = candidates(counts, least, inside).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # the first of each of 64 parts of a language, then the first of these: no task sees more than 64 * top
+    part = candidates(counts, least, inside).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    part = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     n = counts.words.groupBy("lang").agg(F.sum("f").alias("n"))
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
