@@ -361,6 +361,12 @@ def test_lines_rules():
     assert r.fails(b"a%%% b### c", b"a%%% b### c".split()) == "symbols"
     assert r.fails(b"BUY!! NOW!!", b"BUY!! NOW!!".split()) == "shouting"
     assert r.fails(b"All rights reserved 2020", b"All rights reserved 2020".split()) == "boilerplate"
+    for line in ("Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "TOUS DROITS RÉSERVÉS", "Unsere Datenschutzerklärung gilt.", "Lire la suite"):
+        assert r.fails(line.encode(), line.encode().split()) == "boilerplate", line
+    for line in ("Home About Contact Blog Login", "Startseite Über uns Kontakt", "Accueil À propos Contact", "INICIO NOSOTROS CONTACTO"):
+        assert r.fails(line.encode(), line.encode().split()) == "navigation", line
+    for line in ("Die Rechte der Leser sind alle gut.", "We went home.", "The contact at home was the news.", "Kontakt uns"):
+        assert r.fails(line.encode(), line.encode().split()) is None, line
     assert r.fails(prose.encode(), prose.encode().split()) is None
     for line in ("Home / About / Contact / Help", "Start » Products » Chairs", "One • Two • Three", "a | b"):
         assert r.fails(line.encode(), line.encode().split()) == "navigation", line

@@ -33,8 +33,20 @@ BLANKS = " \t\n\v\f\r"
 SEPARATORS = ("|", "/", ">", "*", "»", "›", "•", "·")
 #: Marks that end a line of prose, and what may close after them (fixed values).
 ENDS, CLOSERS = ".!?:;…。！？", "\"'”’»)]"
-#: Phrases of pages rather than of prose (fixed values).
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "read more", "sign in", "log in", "subscribe to our newsletter", "share on facebook", "javascript", "lorem ipsum")
+#: Phrases of pages rather than of prose, in English, German, French and Spanish (fixed values).
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "read more", "sign in", "log in", "subscribe to our newsletter", "share on facebook", "javascript", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookie-richtlinie", "hier klicken", "klicken sie hier", "weiterlesen", "newsletter abonnieren", "auf facebook teilen",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "conditions générales", "mentions légales", "cliquez ici", "lire la suite", "abonnez-vous à notre newsletter", "partager sur facebook",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso", "condiciones de uso", "aviso legal", "haga clic aquí", "leer más", "suscríbete a nuestro boletín", "compartir en facebook",
+)
+#: Words that entries of a navigation line are made of, in the same languages (fixed values).
+NAVIGATION = frozenset(
+    "home about contact blog news login logout register search menu sitemap help faq products services shop cart account "
+    "startseite über uns kontakt aktuelles anmelden abmelden registrieren suche suchen menü hilfe produkte leistungen warenkorb konto impressum "
+    "accueil propos actualités connexion déconnexion inscription recherche rechercher aide produits boutique panier compte "
+    "inicio acerca nosotros contacto noticias entrar salir registrarse buscar menú ayuda productos servicios tienda carrito cuenta".split()
+)
 
 
 @dataclass(frozen=True)
@@ -46,9 +58,11 @@ class LineRules:
     shout_share: float = 0.6  #: of words in capitals that end in two exclamation marks
     boilerplate_words: int = 40  #: a longer line that holds a boilerplate phrase is prose about it
     plain_words: int = 8  #: a line of so many words ends in a mark
+    nav_words: int = 12  #: a line of at most so many words, all but one of them of navigation, is navigation
     max_loss: float = 0.5
     boilerplate: tuple[str, ...] = field(default=BOILERPLATE)
     separators: tuple[str, ...] = field(default=SEPARATORS)
+    navigation: frozenset[str] = field(default=NAVIGATION)
 
     def fails(self, line: bytes, words: list[bytes]) -> str | None:
         """The name of the first rule that the line breaks."""
@@ -56,11 +70,13 @@ class LineRules:
         bars = {s.encode() for s in self.separators}
         if sum(w in bars for w in words) >= self.bar_share * n:
             return "navigation"
+        if 3 <= n <= self.nav_words and sum(w.decode("utf-8", "replace").lower() in self.navigation for w in words) >= n - 1:
+            return "navigation"
         if line.translate(None, SYMBOLS) != line and sum(w.translate(None, SYMBOLS) != w for w in words) >= self.symbol_share * n:
             return "symbols"
         if b"!!" in line and sum(w.endswith(b"!!") and (t := w.decode("utf-8", "replace")) == t.upper() for w in words) >= self.shout_share * n:
             return "shouting"
-        if n <= self.boilerplate_words and any(p in line.lower() for p in (p.encode() for p in self.boilerplate)):
+        if n <= self.boilerplate_words and any(p in low for low in [line.decode("utf-8", "surrogatepass").lower()] for p in self.boilerplate):
             return "boilerplate"
         if n >= self.plain_words and not words[-1].decode("utf-8", "replace").rstrip(CLOSERS).endswith(tuple(ENDS)):
             return "punctuation"

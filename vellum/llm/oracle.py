@@ -1,10 +1,18 @@
 """DuckDB equivalents of those queries that SQL can express."""
 
-from vellum.llm.lines import BOILERPLATE, CLOSERS, ENDS, SEPARATORS
-
 WORDS = r"[^\x20\x09-\x0D]+"
 
-CLOSING = "'" + CLOSERS.replace("'", "''") + "'"
+#: What the line rules look for, written out here again: the SQL takes nothing from the operator.
+CLOSING = """'"''”’»)]'"""
+ENDS = ".!?:;…。！？"
+SEPARATORS = "'|', '/', '>', '*', '»', '›', '•', '·'"
+BOILERPLATE = (
+    "all rights reserved|cookie policy|privacy policy|terms of use|terms of service|click here|read more|sign in|log in|subscribe to our newsletter|share on facebook|javascript|lorem ipsum"
+    "|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookie-richtlinie|hier klicken|klicken sie hier|weiterlesen|newsletter abonnieren|auf facebook teilen"
+    "|tous droits réservés|politique de confidentialité|conditions d''utilisation|conditions générales|mentions légales|cliquez ici|lire la suite|abonnez-vous à notre newsletter|partager sur facebook"
+    "|todos los derechos reservados|política de privacidad|política de cookies|términos de uso|condiciones de uso|aviso legal|haga clic aquí|leer más|suscríbete a nuestro boletín|compartir en facebook"
+)
+NAVIGATION = "home about contact blog news login logout register search menu sitemap help faq products services shop cart account startseite über uns kontakt aktuelles anmelden abmelden registrieren suche suchen menü hilfe produkte leistungen warenkorb konto impressum accueil propos actualités connexion déconnexion inscription recherche rechercher aide produits boutique panier compte inicio acerca nosotros contacto noticias entrar salir registrarse buscar menú ayuda productos servicios tienda carrito cuenta"
 
 LINES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -15,10 +23,11 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 l AS (SELECT doc_id, line, i, regexp_extract_all(line, '{WORDS}') AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
 ln AS (SELECT *, len(ws) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS dup FROM l WHERE len(ws) > 0),
 v AS (SELECT doc_id, n, dup,
-  len([x for x in ws if x IN ({", ".join(repr(x) for x in SEPARATORS)})]) >= 0.15::DOUBLE * n
+  len([x for x in ws if x IN ({SEPARATORS})]) >= 0.15::DOUBLE * n
+  OR (n BETWEEN 3 AND 12 AND len([x for x in ws if list_contains(string_split('{NAVIGATION}', ' '), lower(x))]) >= n - 1)
   OR (regexp_matches(line, '[#*$%&|<>]') AND len([x for x in ws if regexp_matches(x, '[#*$%&|<>]')]) >= 0.3::DOUBLE * n)
   OR (contains(line, '!!') AND len([x for x in ws if x LIKE '%!!' AND x = upper(x)]) >= 0.6::DOUBLE * n)
-  OR (n <= 40 AND regexp_matches(lower(line), '{"|".join(BOILERPLATE)}'))
+  OR (n <= 40 AND regexp_matches(lower(line), '{BOILERPLATE}'))
   OR (n >= 8 AND rtrim(ws[n], {CLOSING}) = rtrim(ws[n], {CLOSING} || '{ENDS}')) AS bad FROM ln),
 s AS (SELECT doc_id, count(*) FILTER (WHERE dup) AS n_dup_lines, coalesce(sum(n) FILTER (WHERE dup OR bad), 0) AS lost FROM v GROUP BY 1),
 j AS (SELECT b.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost FROM base b LEFT JOIN rep ON rep.doc_id = b.doc_id LEFT JOIN s ON s.doc_id = b.doc_id)
