@@ -8,11 +8,11 @@ shorter than that is hit when its whole text ends here.
 Normal form: A-Z to lower case; words are maximal runs of ASCII letters, digits and
 code points above 0x7F.
 
-Scale.  Documents are read once and never shuffled.  The items reach the driver in
-chunks of at most `chunk_words` words, one after the other; the documents stream
-through the automaton of one chunk, and what it hits travels with them to the next.
-Between two chunks the documents are a table in the shared folder, so that a worker
-holds one automaton at a time, whatever the benchmark's size.
+Scale.  The items reach the driver in chunks of at most `chunk_words` words, one after
+the other, and a worker holds the automaton of one chunk at a time, whatever the
+benchmark's size.  With one chunk the documents are read once and never shuffled.  With
+more they are written once, numbered, and read once for each chunk, which writes the spans of
+what it hits and no text; what was hit then meets the documents by number.
 
 Nulls: a null text or item has no words.  An item without words never hits.  An item
 without an id hits words, but is neither counted nor named.  Items that repeat all
@@ -25,8 +25,11 @@ held as its words.  Other columns are carried along whole, whatever they are cal
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import small_batches, utf8, written
 
 WINDOW = 13
+#: A word, before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes to their normal form; what is no word byte becomes a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -225,13 +230,54 @@ def _chunks(items: DataFrame, chunk_words: int, item_id: str, item_text: str) ->
     yield chunk
 
 
-def _hit(docs: DataFrame, items: DataFrame, window: int, chunk_words: int, text_col: str, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs, columns c0, c1 and so on, with the number of words, the hit spans and the items hit as last three columns."""
+def _hits_of(rows: DataFrame, items: list[tuple[object, list[bytes]]], window: int) -> DataFrame:
+    """__row, spans and items of those of rows(__row, text) that the items hit; texts stay behind."""
+    key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
+    shared = rows.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = _automaton(key, shared.value, window)
+        for batch in batches:
+            found = []
+            for row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, of = auto.hits(words_of(text))
+                if own:
+                    found.append((row, [x for ab in own for x in ab], sorted({str(x) for x in of if x is not None})))
+            cols = list(zip(*found, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), *HIT_KINDS[1:]], strict=True)], names=["__row", *HITS[1:]])
+
+    return rows.mapInArrow(run, f"__row long, {HITS[1]} array<bigint>, {HITS[2]} array<string>")
+
+
+def _merged(spans: pd.Series) -> pd.Series:
+    return pd.Series([[x for ab in _joined(list(zip(s[::2], s[1::2], strict=True))) for x in ab] for s in spans], dtype=object)
+
+
+def _hit(docs: DataFrame, items: DataFrame, window: int, chunk_words: int, text_col: str, item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
+    """docs, columns c0, c1 and so on, with the number of words, the hit spans and the items hit as last three columns.
+
+    Items of one chunk are looked for as the rows pass by.  For more, the rows are written
+    once, with a number each, and read once for each chunk; a chunk writes the spans of the rows it
+    hits and nothing else, and these are joined with the rows in the end (by broadcast
+    up to `broadcast_rows` rows that are hit).
+    """
     small_batches(docs.sparkSession)
-    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select("*", F.lit(0).cast("long").alias(HITS[0]), F.expr(f"cast(array() as array<bigint>) as {HITS[1]}"), F.expr(f"cast(array() as array<string>) as {HITS[2]}"))
-    for k, chunk in enumerate(_chunks(items, chunk_words, item_id, item_text)):
-        rows = _scan(written(rows, "decontamination") if k else rows, docs.columns.index(text_col), chunk, window)
-    return rows
+    none = [F.expr("cast(array() as array<bigint>)"), F.expr("cast(array() as array<string>)")]
+    rows, at = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), docs.columns.index(text_col)
+    chunks = _chunks(items, chunk_words, item_id, item_text)
+    first, second = next(chunks), next(chunks, None)
+    if second is None:
+        return _scan(rows.select("*", F.lit(0).cast("long").alias(HITS[0]), *(e.alias(c) for c, e in zip(HITS[1:], none, strict=True))), at, first, window)
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "decontamination")
+    texts = rows.select("__row", f"c{at}")
+    parts = [written(_hits_of(texts, chunk, window), "decontamination-spans") for chunk in itertools.chain((first, second), chunks)]
+    joined = F.pandas_udf(_merged, "array<bigint>")
+    per = reduce(DataFrame.unionAll, parts).groupBy("__row").agg(F.flatten(F.collect_list(HITS[1])).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(HITS[2])))).alias(HITS[2]))  # at most one row of each chunk
+    per = written(per.select(F.col("__row").alias("__hit"), joined("s").alias(HITS[1]), HITS[2]), "decontamination-hits")
+    per = F.broadcast(per) if per.count() <= broadcast_rows else per
+    n = F.coalesce(F.regexp_count(f"c{at}", F.lit(WORD)), F.lit(0)).cast("long").alias(HITS[0])
+    out = rows.join(per, rows["__row"] == per["__hit"], "left")
+    return out.select(*(f"c{i}" for i in range(len(docs.columns))), n, *(F.coalesce(c, e).alias(c) for c, e in zip(HITS[1:], none, strict=True)))
 
 
 #: Words in the spans, whose starts and ends alternate.
