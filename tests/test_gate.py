@@ -63,3 +63,30 @@ def test_lookups_and_answers_abort_together(spark):
         answers.all_matched(matched, "name")
     assert str(e.value) == "no answer: 1 (3)\nanswers nothing: 3 (9, 10, x)"
     assert answers.all_matched(matched.where("problem is null"), "name").count() == 1
+
+
+def test_sources_of_questions_abort_together(spark):
+    from vellum.operators import assemble
+
+    pages = spark.createDataFrame([("p.html", '<ol class="vragen"><li data-bron="a.html b.html">q</li><li data-bron=" c.html ">r</li></ol>'), ("q.html", "x")], "path string, html string")
+    files = lambda *names: spark.createDataFrame([(n,) for n in names], "path string")
+    with pytest.raises(gate.Invalid) as e:
+        assemble.checked_sources(pages, files("a.html"))
+    assert str(e.value) == "sources that are not there: 2 (p.html question 1: b.html, p.html question 2: c.html)"
+    assert assemble.checked_sources(pages, files("a.html", "b.html", "c.html")).count() == 2
+
+
+def test_docx_tables(spark):
+    import io
+    import zipfile
+
+    from vellum.sources import office
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    table = lambda style, flag, grid: f'<w:tbl><w:tblPr><w:tblStyle w:val="{style}"/><w:tblLook w:firstRow="{flag}"/></w:tblPr><w:tblGrid>{grid}</w:tblGrid></w:tbl>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/styles.xml", f'<w:styles {w}><w:style w:styleId="Plain"><w:tblStylePr w:type="firstRow"/></w:style><w:style w:styleId="Grid"><w:tblStylePr w:type="lastRow"/></w:style></w:styles>')
+        z.writestr("word/document.xml", f'<w:document {w}><w:body>{table("Plain", 1, "<w:gridCol w:w=\'1440\'/><w:gridCol/>")}{table("Plain", 0, "")}{table("Grid", 1, "")}<w:tbl/></w:body></w:document>')
+    (r,) = spark.createDataFrame([(out.getvalue(),)], "b binary").select(office.docx_tables_udf("b").alias("t")).collect()
+    assert [(t["table_no"], t["styled"], t["twips"]) for t in r["t"]] == [(0, True, ["1440", None]), (1, False, []), (2, False, []), (3, False, [])]

@@ -14,6 +14,7 @@ from vellum.functions.kernels import choices_udf, drop_solutions_udf, lazy_udf,
 from vellum.functions.tokens import frames_to_links_udf, printable_udf, without_scripts_udf
 from vellum.operators.privacy import item_hash
 from vellum.operators.sequence import nested_headings, text_in_order
+from vellum.plans.gate import gated
 
 # ---------------------------------------------------------------- pages of a bundle
 
@@ -95,6 +96,20 @@ def bundle(items: DataFrame, fragments: DataFrame, group: str = "module") -> Dat
     return rows.groupBy(group).agg(text_in_order("entry", ["place"]).alias("toc"), text_in_order("section", ["place"]).alias("html"))
 
 
+def sheet_of(target: Column | str) -> Column:
+    """struct(folder, page, pdf) of a sheet, named by its folder or by its page."""
+    t = F.regexp_replace(tx.col(target), "/+$", "")
+    is_page, above = t.endswith(".html"), tx.parent(t)
+    folder = F.when(~is_page, t).when(tx.basename(above) == "Theorie", tx.parent(above)).otherwise(above)
+    page = F.when(is_page, t).otherwise(F.concat(t, F.lit("/Theorie/Spiekblad.html")))
+    return F.struct(folder.alias("folder"), page.alias("page"), F.concat(F.replace(folder, F.lit("/"), F.lit("-")), F.lit("-spiekblad.pdf")).alias("pdf"))
+
+
+def lab_title(overview: Column | str) -> Column:
+    """The heading of a lab's overview page as text, without the word Labo before it; null without a heading."""
+    return F.regexp_replace(tx.strip(unescape_udf(F.regexp_replace(tx.first(overview, r"(?s)<h1[^>]*>(.*?)</h1>"), tx.TAG, ""))), r"^Labo\s+", "")
+
+
 def subtitle(n_exercises: Column, n_other: Column, with_solutions: bool) -> Column:
     base = F.when((n_exercises > 0) & (n_other > 0), "Theory and exercises").when(n_exercises > 0, "Exercises").otherwise("Theory")
     return F.concat(base, F.lit(" with solutions")) if with_solutions else base
@@ -158,6 +173,18 @@ def header_reason(rows: DataFrame, keys: list[str], styled: Column) -> DataFrame
     return per.withColumn("reason", reason).select(*keys, F.col("reason").isin("flag", "bold", "style").alias("is_header"), "reason")
 
 
+def fully_bold(runs: Column) -> Column:
+    """Whether every run with text is bold, and there is one: bold is then layout, not stress."""
+    shown = F.filter(runs, lambda r: F.trim(r["text"]) != "")
+    return (F.size(shown) > 0) & F.forall(shown, lambda r: r["bold"])
+
+
+def column_widths(twips: Column) -> Column:
+    """Millimetres of a table's columns; none at all if one of them is no whole number."""
+    whole = F.forall(twips, lambda w: F.coalesce(w.rlike("^[0-9]+$"), F.lit(False)))
+    return F.when(whole, F.transform(twips, lambda w: F.round(w.cast("long") / 1440 * 25.4, 1))).otherwise(F.expr("cast(array() as array<double>)"))
+
+
 def empty_columns(cells: DataFrame, keys: list[str]) -> DataFrame:
     """keys, col: columns without any text, in tables of two columns or more."""
     n = F.max("col").over(Window.partitionBy(*keys))
@@ -255,6 +282,20 @@ def question_groups(pages: DataFrame) -> DataFrame:
     return lists.join(nth, ["path", "list_no"]).select("path", F.explode(F.sequence("begin", F.col("begin") + F.col("n") - 1)).alias("nr"), "outer_heading", "inner_heading")
 
 
+def missing_sources(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """path, nr, source of the sources that questions name in data-bron and that are no file of the corpus."""
+    named = question_rows(pages).select("path", "nr", tx.first("tag", r'\bdata-bron="([^"]*)"').alias("s")).where("s is not null")
+    each = named.select("path", "nr", F.explode(F.filter(F.split(unescape_udf("s"), r"(?U)\s+"), lambda x: x != "")).alias("source"))
+    return each.join(files.select(F.col("path").alias("source")), "source", "left_anti").select("path", "nr", "source")
+
+
+def checked_sources(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """pages, if every source that a question names is there; else all that are missing are told together (gate.Invalid)."""
+    label = F.concat("path", F.lit(" question "), F.col("nr").cast("string"), F.lit(": "), "source")
+    gated(missing_sources(pages, files), {"sources that are not there": F.lit(True)}, label)
+    return pages
+
+
 def letter_skew(questions: DataFrame, least: int = 4) -> DataFrame:
     """Pages on which one letter is correct in more than half of the questions."""
     from vellum.operators.reconcile import majority

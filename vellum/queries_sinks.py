@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as tx
 from vellum.functions.images import cropped, figure_cm, image_info_udf, is_background
 from vellum.functions.segments import segments_udf
-from vellum.operators import feedback, reconcile, rewrite, worklist
+from vellum.operators import assemble, feedback, reconcile, rewrite, worklist
 from vellum.operators.repair import repaired
 from vellum.queries import long, query
 from vellum.queries_more import page_corpus
@@ -262,3 +262,35 @@ def imp3_fetched(t):
     for _ in range(2):
         got = fetch.fetched(asked, cache, max_bytes=1000, per_second=100_000, web=fetch.FolderWeb(root))
     return got.select("url", "status", "bytes")
+
+
+# ---------------------------------------------------------------- helpers of assemblers
+
+
+@query("""SELECT page_id, unnest([1, 2])::BIGINT AS nr, unnest(['no/' || page_id || '.html', 'a&b/' || page_id || '.html']) AS source FROM pages WHERE page_id % 2 = 1 UNION ALL SELECT page_id, 1, 'no/' || page_id || '.html' FROM pages WHERE page_id % 2 = 0""")
+def hlp18_missing_sources(t):
+    """Two questions on each page, with sources that are there, missing, written with entities, and in a comment."""
+    n = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<ol class="vragen"><li data-bron="p/'), n, F.lit(".html  no/"), n, F.lit('.html">q</li><!-- <li data-bron="gone">x</li> --><li data-bron="a&amp;b/'), n, F.lit('.html">r</li><li>s</li></ol>'))
+    pages = t.pages.select(F.concat(F.lit("p/"), n, F.lit(".html")).alias("path"), html.alias("html"))
+    files = pages.select("path").unionByName(t.pages.where("page_id % 2 = 0").select(F.concat(F.lit("a&b/"), n, F.lit(".html")).alias("path")))
+    return assemble.missing_sources(pages, files).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("page_id"), long("nr").alias("nr"), "source")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'Labo/' || n_name WHEN 1 THEN 'Labo/' || n_name ELSE 'Labo/' || n_name || '/Extra' END AS folder, CASE n_nationkey % 3 WHEN 0 THEN 'Labo/' || n_name || '/Theorie/Spiekblad.html' WHEN 1 THEN 'Labo/' || n_name || '/Theorie/x.html' ELSE 'Labo/' || n_name || '/Extra/x.html' END AS page,
+CASE n_nationkey % 3 WHEN 2 THEN 'Labo-' || n_name || '-Extra-spiekblad.pdf' ELSE 'Labo-' || n_name || '-spiekblad.pdf' END AS pdf, CASE WHEN n_nationkey % 4 > 0 THEN n_name || ' & <more>' END AS title FROM nation""")
+def hlp29_sheets(t):
+    """A sheet of each nation named by its folder, its page, or a page elsewhere; and its lab's title."""
+    base = F.concat(F.lit("Labo/"), "n_name")
+    target = F.when(F.col("n_nationkey") % 3 == 0, F.concat(base, F.lit("/"))).when(F.col("n_nationkey") % 3 == 1, F.concat(base, F.lit("/Theorie/x.html"))).otherwise(F.concat(base, F.lit("/Extra/x.html")))
+    overview = F.when(F.col("n_nationkey") % 4 > 0, F.concat(F.lit('<p>x</p><h1 class="a">Labo  <b>'), "n_name", F.lit("</b> &amp; &lt;more&gt;\n</h1><h1>no</h1>"))).otherwise("<h2>x</h2>")
+    return t.nation.select("n_nationkey", assemble.sheet_of(target).alias("s"), assemble.lab_title(overview).alias("title")).select("n_nationkey", "s.*", "title")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 > 0 THEN [round(l_partkey / 1440.0::DOUBLE * 25.4::DOUBLE, 1), round(l_suppkey / 1440.0::DOUBLE * 25.4::DOUBLE, 1)] ELSE [] END AS mm, l_linenumber % 2 = 0 AS bold FROM lineitem""")
+def hlp33_table_layout(t):
+    """Two columns of each line, a third of them with a width that is no number; and runs that are bold but for blanks."""
+    twips = F.array(F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_suppkey").cast("string")).otherwise("auto"))
+    run = lambda text, bold: F.struct(F.lit(text).alias("text"), bold.alias("bold"))
+    runs = F.array(run("x", F.lit(True)), run("  ", F.lit(False)), run("y", F.col("l_linenumber") % 2 == 0))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", assemble.column_widths(twips).alias("mm"), assemble.fully_bold(runs).alias("bold"))

@@ -12,6 +12,8 @@ from xml.etree import ElementTree as ET
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vellum.functions.kernels import vectorised
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
@@ -223,3 +225,27 @@ def _reader(parse, fields: str):
 
 read_docx = _reader(docx_blocks, BLOCK)
 read_pptx = _reader(pptx_blocks, SHAPE)
+
+
+def docx_tables(content: bytes) -> list[dict]:
+    """The tables of a document in order: whether their style sets off the first row and the table asks for it, and their columns' widths in twips.
+
+    A style that says nothing about first rows draws none, however the table's flag stands.
+    """
+    z = zipfile.ZipFile(io.BytesIO(content))
+    backed: set[str] = set()
+    if "word/styles.xml" in z.namelist():
+        for style in ET.fromstring(z.read("word/styles.xml")).iter(f"{W}style"):
+            if any(c.get(f"{W}type") == "firstRow" for c in style.findall(f"{W}tblStylePr")):
+                backed.add(style.get(f"{W}styleId", ""))
+    out = []
+    for n, t in enumerate(ET.fromstring(z.read("word/document.xml")).iter(f"{W}tbl")):
+        props, grid = t.find(f"{W}tblPr"), t.find(f"{W}tblGrid")
+        look = props.find(f"{W}tblLook") if props is not None else None
+        style = props.find(f"{W}tblStyle") if props is not None else None
+        asks = look is not None and look.get(f"{W}firstRow") == "1"
+        out.append({"table_no": n, "styled": asks and style is not None and style.get(f"{W}val") in backed, "twips": [c.get(f"{W}w") for c in grid.findall(f"{W}gridCol")] if grid is not None else []})
+    return out
+
+
+docx_tables_udf = vectorised(docx_tables, "array<struct<table_no:int,styled:boolean,twips:array<string>>>")
