@@ -32,14 +32,20 @@ def document_pattern(c: Corpus) -> str:
     return r"(?i)\.(" + "|".join([*DOCUMENTS, *extra]) + r")(?:[?#]|$)"
 
 
+def folders(c: Corpus) -> DataFrame:
+    """path of each folder that holds a file, however deep."""
+    parts = F.split("path", "/")
+    above = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")), lambda p: p != F.col("path"))
+    return c.files.select(F.explode(above).alias("path")).distinct()
+
+
 def looked_up(rows: DataFrame, c: Corpus, target: str = "target") -> DataFrame:
     """Adds exists (in any case), exact (in this case) and tracked for a path column.
 
     Two equi-joins with the file list, on the path and on its lower-cased form; a
     folder of a listed file exists too.
     """
-    folders = c.files.select(F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/")), lambda p: p != F.col("path"))).alias("path")).distinct()
-    known = c.files.select("path", F.coalesce("tracked", F.lit(False)).alias("tracked"), F.lit(True).alias("is_file")).unionByName(folders.select("path", F.lit(False).alias("tracked"), F.lit(False).alias("is_file")))
+    known = c.files.select("path", F.coalesce("tracked", F.lit(False)).alias("tracked"), F.lit(True).alias("is_file")).unionByName(folders(c).select("path", F.lit(False).alias("tracked"), F.lit(False).alias("is_file")))
     exact = known.select(F.col("path").alias(target), F.lit(True).alias("exact"), "tracked", "is_file")
     lower = known.select(F.lower("path").alias("low"), "is_file").groupBy("low").agg(F.max("is_file").alias("low_file"))
     out = rows.join(exact, target, "left").withColumn("low", F.lower(target)).join(lower, "low", "left")

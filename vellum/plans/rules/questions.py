@@ -12,7 +12,7 @@ from vellum.corpus import Corpus
 from vellum.functions import text as tx
 from vellum.functions.kernels import blanks_udf, choices_udf
 from vellum.plans.registry import WARNING, any_rows, found, rule, single, union
-from vellum.plans.rules.links import document_pattern, looked_up
+from vellum.plans.rules.links import document_pattern, folders, looked_up
 from vellum.sources.literals import manifest_modules
 
 CORRECT = r'class="[^"]*\bjuist\b'
@@ -85,21 +85,25 @@ def manifest(c: Corpus) -> DataFrame:
         empty = re.search(r"=\s*\{\s*\}\s*;", text)
         return single(c, name, "is empty", WARNING) if empty else single(c, name, "has no module")
     src, folder, labo = (conf["paths"][k] for k in ("syllabus_src", "syllabus_dir", "labo"))
-    folders = [r["path"] for r in c.files.select(tx.parent("path").alias("path")).distinct().collect() if r["path"]]
-    tops = {"/".join(f.split("/")[: k + 1]) for f in folders for k in range(f.count("/") + 1)}
+    bases = (labo, folder.rpartition("/")[0])
+    names = sorted({m["module"].lower() for m in modules})
+    # only the folders that a module of this manifest may mean: a few for each module
+    like = folders(c).where(tx.parent("path").isin(*bases) & F.lower(tx.basename("path")).isin(*names))
+    tops = sorted(r["path"] for r in like.collect())
 
     def theory(module: str) -> str:
         """The folder of a module's pages; of several candidates the last wins."""
         out = f"{labo}/{module.upper()}/Theorie"
-        for base in (labo, folder.rpartition("/")[0]):
-            for t in sorted(x for x in tops if x.rpartition("/")[0] == base and x.rpartition("/")[2].lower() == module.lower()):
+        for base in bases:
+            for t in (x for x in tops if x.rpartition("/")[0] == base and x.rpartition("/")[2].lower() == module.lower()):
                 out = src if t == folder else f"{t}/Theorie"
         return out
 
     rows = [(m["module"], theory(m["module"]), i, t.get("id"), t.get("name"), t.get("href"), json.dumps(sorted(t))) for m in modules for i, t in enumerate(m["topics"])]
     topics = c.spark.createDataFrame(rows, "module string, dir string, ord int, id string, name string, href string, keys string").withColumn("path", F.lit(name))
     at = [(m["module"], theory(m["module"]), m["n_categories"]) for m in modules]
-    heads = c.spark.createDataFrame([(a, d, n, d in tops) for a, d, n in at], "module string, dir string, n int, has_dir boolean").withColumn("path", F.lit(name))
+    there = folders(c).select(F.col("path").alias("dir"), F.lit(True).alias("there"))
+    heads = c.spark.createDataFrame(at, "module string, dir string, n int").join(there, "dir", "left").select("module", "dir", "n", F.coalesce("there", F.lit(False)).alias("has_dir")).withColumn("path", F.lit(name))
     topics = topics.join(heads.where("has_dir").select("module"), "module", "left_semi")
     say = lambda text, *more: F.concat(F.col("module"), F.lit(f": {text}"), *more)
     fields = topics.select("path", "module", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in ("id", "name", "href")))).alias("f")).where("coalesce(f.v, '') = ''")
