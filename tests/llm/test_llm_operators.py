@@ -700,6 +700,34 @@ def test_link_forest(spark, hot):
     assert {i: named.get(i, i) for i in range(len(fps))} == groups(fps, list(range(len(fps))))
 
 
+@pytest.mark.parametrize("hot", [20, 60, 20_000])
+def test_link_forest_with_crowded_neighbours(spark, monkeypatch, hot):
+    """A key with few rows of its own that very many rows of a near key probe: no task's key holds them all, no link is lost."""
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 1 << 32))
+    near = [base ^ (1 << b) for b in (3, 9, 20)]
+    high = lambda: int(rng.integers(0, 1 << 32)) << 32
+    fps = sorted({base | high() for _ in range(300)} | {near[int(rng.integers(0, 3))] | high() for _ in range(40)})
+    for x in fps[:120]:
+        for _ in range(int(rng.integers(1, 5))):
+            x ^= 1 << int(rng.integers(0, 64))
+        fps.append(x)
+    fps = np.array(sorted(set(fps)), dtype=np.uint64)
+    reps = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, rep long")
+    monkeypatch.setattr(simhash, "plan", lambda *a: [(list(range(32)), 1), (list(range(32, 48)), 1), (list(range(48, 64)), 0)])
+    up = simhash.Forest(len(fps))
+    up.add(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= simhash.DISTANCE))
+    named = {r["node"]: r["component"] for r in graph.components(simhash.link_forest(reps, hot=hot)).collect()}
+    assert [named.get(i, i) for i in range(len(fps))] == up.label.tolist()
+
+    def seen(distance):
+        return lambda batches: (pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["a", "b"]) for b in batches)
+
+    monkeypatch.setattr(simhash, "_links", seen)
+    most = simhash.link_forest(reps, hot=hot).groupBy("a").count().agg(F.max("count")).first()[0]
+    assert most <= 3 * hot and (hot < 100 or most > 300)
+
+
 def test_thresholds_cover_the_distance():
     options = simhash.groupings(np.eye(64))
     near = [[simhash.independent(np.full(64, 0.5), g) for g in groups] for groups in options]

@@ -16,8 +16,9 @@ fingerprint is filed under its bits in partition i and probes all keys within e_
 bits; candidates that share a key are verified.
 
 Scale.  Copies are one fingerprint from the start.  Keys are dealt over many tasks by
-hash; a key with over `hot` fingerprints is cut into cells (filed in one, probing
-all), so no key's group is ever one task's.  A task verifies in numpy, in bounded
+hash; a key that over `hot` rows come to, filed there or probing it from near keys, is
+cut into a grid of cells, filed rows across and looking rows down, of about `hot` of each,
+so no key's group is ever one task's.  A task verifies in numpy, in bounded
 steps, and emits a spanning forest of its links rather than the links: at most one
 row for each fingerprint it read.  No link between different fingerprints is lost
 for the components.  Nothing but bit statistics and counts reaches the driver.
@@ -210,8 +211,34 @@ def _extract(fp: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
+#: What a row is to its key: it looks at the filed rows behind it, is only looked at, or looks at all filed rows.
+FILED, TARGET, PROBE = 0, 1, 2
+
+
+def _flips(bits: int, e: int) -> list[int]:
+    """Nothing, and all changes of one to e of so many bits."""
+    return [0] + [sum(1 << b for b in c) for k in range(1, e + 1) for c in itertools.combinations(range(bits), k)]
+
+
+def _loads(plan: list[tuple[list[int], int]]):
+    """mapInArrow body: heavy (key, n) to the keys that their rows go to, as filed rows and as probes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            for part, (bits, e) in enumerate(plan):
+                shift = 3 if len(bits) < 61 else 0
+                own = np.flatnonzero((key & 7) == part) if shift else np.arange(len(key))
+                for f in _flips(len(bits), e):
+                    to = (key[own].view(np.uint64) ^ np.uint64(f << shift)).view(np.int64)
+                    zero = np.zeros(len(own), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(zero if f else n[own]), pa.array(n[own] if f else zero)], names=["key", "filed", "probes"])
+
+    return run
+
+
 def _filed(plan: list[tuple[list[int], int]], distance: int):
-    """mapInArrow body: fp, rep to rows (key, fp, rep, probe); the key holds the partition in its low three bits."""
+    """mapInArrow body: fp, rep to rows (key, fp, rep, role); the key holds the partition in its low three bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,10 +246,9 @@ def _filed(plan: list[tuple[list[int], int]], distance: int):
             rep = batch.column(1)
             for part, (bits, e) in enumerate(plan):
                 own = _extract(fp, bits)
-                flips = [0] + [sum(1 << b for b in c) for k in range(1, e + 1) for c in itertools.combinations(range(len(bits)), k)]
-                for f in flips:
+                for f in _flips(len(bits), e):
                     key = ((own ^ np.uint64(f)) * np.uint64(8) + np.uint64(part)) if len(bits) < 61 else (own ^ np.uint64(f))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), rep, pa.array(np.full(len(fp), f != 0))], names=["key", "fp", "rep", "probe"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), rep, pa.array(np.full(len(fp), PROBE if f else FILED, np.int32))], names=["key", "fp", "rep", "role"])
 
     return run
 
@@ -249,10 +275,11 @@ class Forest:
                 label[:] = up
 
 
-def verify(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, probe: np.ndarray, distance: int, step: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def verify(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, role: np.ndarray, distance: int, step: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as pairs of rep, of the links between rows that share a key."""
-    order = np.lexsort((probe, key))
-    key, fp, rep, probe = key[order], fp[order], rep[order], probe[order]
+    order = np.lexsort((role, key))
+    key, fp, rep, role = key[order], fp[order], rep[order], role[order]
+    probe = role == PROBE
     reps, node = np.unique(rep, return_inverse=True)
     forest = Forest(len(reps))
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
@@ -262,7 +289,7 @@ def verify(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, probe: np.ndarray,
     group = np.repeat(np.arange(len(start)), end - start)
     row = np.arange(len(key))
     first = np.where(probe, start[group], row + 1)
-    many = np.maximum(start[group] + filed[group] - first, 0)
+    many = np.where(role == TARGET, 0, np.maximum(start[group] + filed[group] - first, 0))
     busy = np.flatnonzero(many)
     cum = np.cumsum(many[busy])
     at = 0
@@ -283,8 +310,8 @@ def _links(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if cols:
-            key, fp, rep, probe = (np.concatenate(c) for c in zip(*cols, strict=True))
-            a, b = verify(key, fp.astype(np.int64).view(np.uint64), rep, probe.astype(bool), distance)
+            key, fp, rep, role = (np.concatenate(c) for c in zip(*cols, strict=True))
+            a, b = verify(key, fp.astype(np.int64).view(np.uint64), rep, role, distance)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -295,19 +322,31 @@ def link_forest(reps: DataFrame, distance: int = DISTANCE, hot: int = 20_000, ro
     spark = reps.sparkSession
     n = reps.count()
     found = plan(reps, n, distance)
-    filed = reps.select("fp", "rep").mapInArrow(_filed(found, distance), "key long, fp long, rep long, probe boolean")
-    per = sum(1 + sum(1 for k in range(1, e + 1) for _ in itertools.combinations(range(len(g)), k)) for g, e in found)
+    rows = "key long, fp long, rep long, role int"
+    filed = reps.select("fp", "rep").mapInArrow(_filed(found, distance), rows)
+    per = sum(len(_flips(len(g), e)) for g, e in found)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * per // rows_per_task))
-    exact = reps.select("fp", "rep").mapInArrow(_filed([(g, 0) for g, _ in found], distance), "key long, fp long, rep long, probe boolean")
-    crowded = exact.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / hot).cast("int").alias("cells"))
+    # a key is crowded by what is filed there and by what probes it from near keys: of keys with over hot / per rows
+    # all neighbours are counted; what lighter ones add to a key is less than hot
+    exact = reps.select("fp", "rep").mapInArrow(_filed([(g, 0) for g, _ in found], distance), rows).groupBy("key").agg(F.count("*").alias("n"))
+    load = exact.where(F.col("n") > max(1, hot // per)).mapInArrow(_loads(found), "key long, filed long, probes long").groupBy("key").agg(F.sum("filed").alias("filed"), F.sum("probes").alias("probes"))
+    cells = lambda c: F.greatest(F.lit(1), F.ceil(c / hot)).cast("int")
+    looking = F.col("probes") + F.when(F.col("filed") > hot, F.col("filed")).otherwise(0)  # filed rows of one column look at the others
+    crowded = load.where(F.col("filed") + F.col("probes") > hot).select(F.col("key").alias("hot_key"), cells(F.col("filed")).alias("across"), cells(looking).alias("down"))
     crowded = written(crowded, "simhash-hot")
     if not crowded.isEmpty():
         cut = filed.join(crowded, F.col("key") == F.col("hot_key"), "left")
-        # a filed row goes to one cell and probes the others, so that the cells of a key are compared with each other
-        own = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
-        cells = F.when(F.col("cells").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))
-        cut = cut.withColumn("cell", F.explode(cells)).withColumn("probe", F.col("probe") | (F.col("cells").isNotNull() & (F.col("cell") != own)))
-        filed = cut.select(F.when(F.col("cells").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cell")).alias("key"), "fp", "rep", "probe")
+        # cells in a grid: filed rows are dealt across, probing rows down.  A filed row is a target all down its
+        # column, looks at its column once, and probes the other columns in the row it is dealt to
+        x, y = (F.pmod(F.xxhash64("fp", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("across", "down")))
+        place = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
+        columns, lines = F.sequence(F.lit(0), F.col("across") - 1), F.sequence(F.lit(0), F.col("down") - 1)
+        as_probe = lambda i: place(i, y, F.lit(PROBE))
+        own = F.transform(lines, lambda j: place(x, j, F.when(j == 0, FILED).otherwise(TARGET)))
+        others = F.transform(F.filter(columns, lambda i: i != x), as_probe)
+        places = F.when(F.col("across").isNull(), F.array(place(F.lit(0), F.lit(0), F.col("role")))).when(F.col("role") == PROBE, F.transform(columns, as_probe)).otherwise(F.concat(own, others))
+        cut = cut.withColumn("place", F.explode(places))
+        filed = cut.select(F.when(F.col("across").isNull(), F.col("key")).otherwise(F.xxhash64("key", "place.i", "place.j")).alias("key"), "fp", "rep", F.col("place.role").alias("role"))
     return filed.repartition(int(tasks), "key").mapInArrow(_links(distance), "a long, b long")
 
 
