@@ -208,3 +208,12 @@ def test_slide_sections_keep_plain_shapes(spark):
     shapes = spark.createDataFrame([("p", 0, 1, "Title Slide", "title", "ctrTitle", "T"), ("p", 1, 1, "Title Slide", "text", None, "a<b"), ("p", 2, 1, "Title Slide", "text", "sldNum", "1"), ("p", 3, 2, "Content", "note", None, "n")], "path string, ord int, slide int, layout string, kind string, placeholder string, text string").withColumn("image", F.lit(None).cast("string"))
     got = {r["slide"]: r["html"] for r in assemble.slide_html(shapes).collect()}
     assert got == {1: '<section class="slide title"><h2>T</h2><p>a&lt;b</p></section>', 2: '<section class="slide content"><aside class="notes">n</aside></section>'}
+
+
+def test_column_widths_round_as_in_sql(spark):
+    """Every width up to 20,000 twips, among them halves of a tenth such as 6120 (107.95 mm)."""
+    import duckdb
+
+    got = spark.range(20_001).select("id", assemble.column_widths(F.array(F.col("id").cast("string")))[0])
+    assert rows(got) == duckdb.sql("SELECT w, round(w / 1440.0::DOUBLE * 25.4::DOUBLE, 1) FROM range(20001) t(w) ORDER BY w").fetchall()
+    assert rows(got.where("id = 6120")) == [(6120, 108.0)]

@@ -180,9 +180,12 @@ def fully_bold(runs: Column) -> Column:
 
 
 def column_widths(twips: Column) -> Column:
-    """Millimetres of a table's columns; none at all if one of them is no whole number."""
+    """Millimetres of a table's columns; none at all if one of them is no whole number.
+
+    The double is rounded after it is multiplied by ten, as databases do: 107.94999999999999 (6120) has 1079.5 tenths.
+    """
     whole = F.forall(twips, lambda w: F.coalesce(w.rlike("^[0-9]+$"), F.lit(False)))
-    return F.when(whole, F.transform(twips, lambda w: F.round(w.cast("long") / 1440 * 25.4, 1))).otherwise(F.expr("cast(array() as array<double>)"))
+    return F.when(whole, F.transform(twips, lambda w: F.round(w.cast("long") / 1440 * 25.4 * 10) / 10)).otherwise(F.expr("cast(array() as array<double>)"))
 
 
 def empty_columns(cells: DataFrame, keys: list[str]) -> DataFrame:
