@@ -151,3 +151,44 @@ def test_retries_and_secrets():
     with pytest.raises(rest.RestError) as e:
         c.send("PATCH", "p", {"a": 1})
     assert waits == [7.0] and "secret" not in str(e.value)
+
+
+def test_budget_looks_at_each_change_once():
+    """Many records within one minute: what a change costs does not grow with the records before it."""
+    calls = [0]
+
+    def clock():
+        calls[0] += 1
+        return calls[0] * 1e-6
+
+    b = rest.Budget(5, 60, clock)
+    for i in range(12_000):
+        b.spend(f"r{i}")
+    assert len(b.past) == 12_000 and calls[0] <= 4 * 12_000
+
+
+def test_budget_waits_for_every_change_again():
+    now, waits = [0.0], []
+
+    def sleep(s):
+        waits.append(s)
+        now[0] += s
+
+    b = rest.Budget(2, 60, lambda: now[0], sleep)
+    for at in (0, 20, 30, 65, 70, 200):
+        now[0] = max(now[0], at)
+        b.spend("a")
+    assert waits == [30.0, 15.0, 40.0] and len(b.past) == 1
+
+
+def test_few_bytes_go_to_many_tasks(spark, tmp_path):
+    """One small partition of requests is dealt out, a record's requests to one task."""
+    key = F.concat(F.lit("e"), (F.col("id") % 30).cast("string"))
+    posts = spark.range(60).coalesce(1).select(F.lit("POST").alias("method"), F.lit("items").alias("path"), key.alias("external_id"), F.to_json(F.struct(key.alias("external_id"))).alias("body"))
+    out = f"file://{tmp_path}/out"
+    done = rest.send(rest.dealt(posts), out, folder=f"file://{tmp_path}/s")
+    assert {(r["state"], r["count"]) for r in done.groupBy("state").count().collect()} == {("created", 30), ("present", 30)}
+    assert len(json.loads((tmp_path / "out/_committed").read_text())) >= 2
+    plan = spark.createDataFrame([(f"k{i}", 0, "post", "{}") for i in range(50)], "key string, step int, request string, body string")
+    used = rest.requests(plan, "items").groupBy(F.spark_partition_id()).count()
+    assert used.count() >= 2

@@ -86,10 +86,10 @@ def hlp6_outcomes(t):
     post = lambda content, *more: t.customer.select(F.col("c_custkey"), F.lit("POST").alias("method"), F.lit("items").alias("path"), key.alias("external_id"), F.to_json(F.struct(key.alias("external_id"), content.alias("content"), *more)).alias("body"))
     bad = F.when(F.col("c_custkey") % 7 == 0, True).alias("refuse")
     cols = ("method", "path", "external_id", "body")
-    rest.send(post(F.when(F.col("c_acctbal") < 0, "old").otherwise(F.col("c_name"))).where("c_custkey % 3 <> 0 and c_custkey % 7 <> 0").select(*cols), folder + "-seed", **options)
-    posted = rest.send(post(F.col("c_name"), bad).select(*cols), folder + "-1", **options)
+    rest.send(rest.dealt(post(F.when(F.col("c_acctbal") < 0, "old").otherwise(F.col("c_name"))).where("c_custkey % 3 <> 0 and c_custkey % 7 <> 0").select(*cols)), folder + "-seed", **options)
+    posted = rest.send(rest.dealt(post(F.col("c_name"), bad).select(*cols)), folder + "-1", **options)
     gone = t.customer.where("c_custkey % 2 = 0").select(F.lit("DELETE").alias("method"), F.lit("items").alias("path"), key.alias("external_id"), F.lit(None).cast("string").alias("body"))
-    deleted = rest.send(gone, folder + "-2", **options)
+    deleted = rest.send(rest.dealt(gone), folder + "-2", **options)
     return posted.unionByName(deleted).groupBy("method", "state").agg(F.count("*").alias("n"))
 
 

@@ -19,7 +19,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 import uuid
-from collections import defaultdict, deque
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -138,18 +138,26 @@ class Budget:
 
     def __init__(self, changes: int, seconds: float = 60, clock: Callable[[], float] = time.monotonic, sleep: Callable = time.sleep):
         self.changes, self.seconds, self.clock, self.sleep = changes, seconds, clock, sleep
-        self.past: dict[str, deque] = defaultdict(deque)
+        self.past: dict[str, deque] = {}
+        self.recent: deque[tuple[float, str]] = deque()  # the same changes in the order of time
+
+    def _forget(self, until: float) -> None:
+        """Drop the changes up to a time; each is met once, and records without any need no memory."""
+        while self.recent and self.recent[0][0] <= until:
+            record = self.recent.popleft()[1]
+            self.past[record].popleft()
+            if not self.past[record]:
+                del self.past[record]
 
     def spend(self, record: str) -> None:
-        past = self.past[record]
-        while past and past[0] <= self.clock() - self.seconds:
-            past.popleft()
-        if len(past) >= self.changes:
-            self.sleep(past[0] + self.seconds - self.clock())
-            past.popleft()
-        past.append(self.clock())
-        if len(self.past) > 10_000:  # records whose changes are all over need no memory
-            self.past = defaultdict(deque, {k: v for k, v in self.past.items() if v and v[-1] > self.clock() - self.seconds})
+        self._forget(self.clock() - self.seconds)
+        while len(past := self.past.get(record, ())) >= self.changes:
+            first = past[0]
+            self.sleep(max(0.0, first + self.seconds - self.clock()))
+            self._forget(max(first, self.clock() - self.seconds))
+        now = self.clock()
+        self.past.setdefault(record, deque()).append(now)
+        self.recent.append((now, record))
 
 
 @dataclass
@@ -240,8 +248,13 @@ class RestDataSource(DataSource):
 def requests(planned: DataFrame, path: str, key: str = "key", tasks: int | None = None) -> DataFrame:
     """method, path, external_id, body of a plan's steps(key, step, request, body); a record's steps are in one task, in order."""
     rows = planned.where("request <> 'report'").select(F.upper("request").alias("method"), F.lit(path).alias("path"), F.col(key).cast("string").alias("external_id"), F.when(F.col("request") != "delete", F.col("body")).alias("body"), "step")
-    dealt = rows.repartition(tasks, "external_id") if tasks else rows.repartition("external_id")
-    return dealt.sortWithinPartitions("external_id", "step").drop("step")
+    return dealt(rows, tasks).sortWithinPartitions("external_id", "step").drop("step")
+
+
+def dealt(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows with external_id, those of a record in one task.  A request costs time and few bytes, so the number of tasks is given and not left to the size of the rows."""
+    spark = rows.sparkSession
+    return rows.repartition(tasks or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "external_id")
 
 
 def send(rows: DataFrame, outcomes: str, **options: str) -> DataFrame:
