@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.sources import filesink, rest
-from vellum.sources.folder_service import FolderService
+from vellum.sources.folder_service import SHELVES, FolderService
 
 
 def rows(df):
@@ -192,3 +192,36 @@ def test_few_bytes_go_to_many_tasks(spark, tmp_path):
     plan = spark.createDataFrame([(f"k{i}", 0, "post", "{}") for i in range(50)], "key string, step int, request string, body string")
     used = rest.requests(plan, "items").groupBy(F.spark_partition_id()).count()
     assert used.count() >= 2
+
+
+def test_shelves_are_read_without_the_whole_collection(tmp_path):
+    """All shelves give what the collection has, each record once, and list each file once or twice and not once for each page."""
+    folder, listed = f"file://{tmp_path}/s", []
+
+    class Counting(FolderService):
+        def _files(self, name):
+            found = super()._files(name)
+            listed.append(len(found))
+            return found
+
+    w = writer(folder)
+    w.write(iter([("POST", "items", f"e{i}", json.dumps({"external_id": f"e{i}"})) for i in range(300)]))
+    w.write(iter([("DELETE", "items", f"e{i}", None) for i in range(0, 300, 3)]))
+    reader = rest.RestReader({"folder": folder, "path": "items", "pageSize": "2", "parts": "&".join(f"shelf={x}" for x in SHELVES), "tasks": "5"}, Counting(folder))
+    parts = reader.partitions()
+    assert len(parts) == 5 and listed == []  # the driver asks for nothing
+    got = [json.loads(r)["external_id"] for p in parts for _, r in reader.read(p)]
+    assert sorted(got) == sorted(f"e{i}" for i in range(300) if i % 3) and sum(listed) <= 400
+    plain = rest.RestReader({"folder": folder, "path": "items", "pageSize": "50"})
+    assert sorted(json.loads(r)["external_id"] for p in plain.partitions() for _, r in plain.read(p)) == sorted(got)
+
+
+def test_pages_of_a_part_are_all_read(tmp_path):
+    """A shelf of more records than a page holds."""
+    folder = f"file://{tmp_path}/s"
+    client = rest.client_of({"folder": folder})
+    for i in range(5):
+        client.send("POST", "items", {"external_id": "same", "v": i})
+    reader = rest.RestReader({"folder": folder, "path": "items", "pageSize": "2", "parts": "&".join(f"shelf={x}" for x in SHELVES)})
+    got = [(no, json.loads(r)["v"]) for p in reader.partitions() for no, r in reader.read(p)]
+    assert sorted(v for _, v in got) == list(range(5)) and sorted(no for no, _ in got) == [1, 1, 2, 2, 3]

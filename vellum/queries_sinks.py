@@ -11,7 +11,7 @@ from vellum.functions.segments import segments_udf
 from vellum.operators import assemble, feedback, reconcile, rewrite, worklist
 from vellum.operators.repair import repaired
 from vellum.queries import long, query
-from vellum.sources import fetch, filesink, rest, sheets
+from vellum.sources import fetch, filesink, folder_service, rest, sheets
 from vellum.sources.shared import new_path
 
 
@@ -66,13 +66,13 @@ def snk9_service_state(t):
     body = lambda k, v: F.to_json(F.struct(k.alias("external_id"), v.alias("content")))
     have = t.customer.where("c_custkey % 3 <> 0").select(key.alias("key"), F.when(F.col("c_acctbal") < 0, "old").otherwise(F.col("c_name")).alias("content"))
     seed = have.select(F.lit("POST").alias("method"), F.lit("items").alias("path"), F.col("key").alias("external_id"), body(F.col("key"), F.col("content")).alias("body"))
-    rest.send(seed, folder + "-seed", **options)
+    rest.send(rest.dealt(seed), folder + "-seed", **options)
     want = t.customer.where("c_custkey % 5 <> 0").select(key.alias("key"), F.col("c_name").alias("content"))
     steps = reconcile.action_plan(reconcile.plan(want, have, "key", "content")).join(want, "key", "left").withColumn("body", body(F.col("key"), F.col("content")))
     rows = rest.requests(steps, "items")
     for attempt in ("-1", "-2"):  # a second run changes nothing
         rest.send(rows, folder + attempt, **options)
-    got = t.spark.read.format("rest").option("folder", folder).option("path", "items").option("pageSize", "1000").load()
+    got = t.spark.read.format("rest").option("folder", folder).option("path", "items").option("pageSize", "1000").option("parts", "&".join(f"shelf={x}" for x in folder_service.SHELVES)).load()
     return got.select(F.get_json_object("json", "$.external_id").alias("external_id"), F.get_json_object("json", "$.content").alias("content"))
 
 

@@ -99,12 +99,28 @@ class Client:
     def page(self, path: str, no: int, size: int = 100) -> list:
         return list(self.get(f"{path}{'&' if '?' in path else '?'}page={no}&limit={size}")[1] or [])
 
+    def all_pages(self, path: str, size: int = 100) -> Iterator[tuple[int, list]]:
+        """(number, records) of each page; the first one tells how many there are."""
+        no, last = 1, 1
+        while no <= last:
+            headers, rows = self.get(f"{path}{'&' if '?' in path else '?'}page={no}&limit={size}")
+            last = int(headers.get("total-pages", 1) or 1)
+            yield no, list(rows or [])
+            no += 1
+
 
 class Page(InputPartition):
     def __init__(self, no: int):
         self.no = no
 
 
+class Parts(InputPartition):
+    """Filters of a collection, each read from its first page to its last by one task."""
+
+    def __init__(self, filters: list[str]):
+        self.filters = filters
+
+
 def client_of(options: dict[str, str], opener: Callable | None = None) -> Client:
     """The client that the options name; `folder` makes a folder of records answer in place of a server."""
     if folder := options.get("folder"):
@@ -114,7 +130,8 @@ def client_of(options: dict[str, str], opener: Callable | None = None) -> Client
 
 
 class RestReader(DataSourceReader):
-    """One partition for each page; a page is one request."""
+    """One partition for each page, and a page is one request; or with `parts` (filters such as `shelf=0af`, with & between them)
+    the filters dealt over `tasks` partitions, so that neither the driver nor a page meets the whole collection."""
 
     def __init__(self, options: dict[str, str], opener: Callable | None = None):
         self.options, self.opener = dict(options), opener
@@ -125,12 +142,21 @@ class RestReader(DataSourceReader):
     def size(self) -> int:
         return int(self.options.get("pagesize") or self.options.get("pageSize", 100))
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[InputPartition]:
+        if parts := self.options.get("parts"):
+            filters, tasks = parts.split("&"), int(self.options.get("tasks", 64))
+            return [Parts(filters[i::tasks]) for i in range(min(tasks, len(filters)))]
         return [Page(n + 1) for n in range(self.client().pages(self.options["path"], self.size()))]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        for row in self.client().page(self.options["path"], partition.no, self.size()):
-            yield (partition.no, json.dumps(row, ensure_ascii=False))
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        client, path = self.client(), self.options["path"]
+        if isinstance(partition, Page):
+            pages = [(partition.no, client.page(path, partition.no, self.size()))]
+        else:
+            pages = ((no, rows) for f in partition.filters for no, rows in client.all_pages(f"{path}?{f}", self.size()))
+        for no, rows in pages:
+            for row in rows:
+                yield (no, json.dumps(row, ensure_ascii=False))
 
 
 class Budget:
