@@ -163,3 +163,22 @@ def test_configuration():
     for bad in ({"nope": 1}, {"check": {"skip_pages": "a"}}, {"check": 3}, {"check": {"disable": []}}, []):
         with pytest.raises(conf.ConfigError):
             conf.merge(conf.DEFAULTS, bad)
+
+
+def test_numbers_of_names_are_collision_names():
+    """Wishes that are links of each other's chains, in any case, against the names written out."""
+    import random
+
+    assert k.chain("x-2-3") == ("x", 3) and k.chain("x-3") == ("x-3", 1) and k.chain("x-2-02") == ("x-2-02", 1) and k.chain("-2") == ("", 2) and k.chain_root("x-2-2-3") == "x"
+    assert k.chain("x-" + "9" * 5000) == ("x-" + "9" * 5000, 1)
+    rng = random.Random(5)
+    for _ in range(400):
+        wishes = [rng.choice("xXyß") + "".join(rng.choice(["-2", "-3", "-2-3", "-4", ""]) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(40))]
+        by_root, got = {}, []
+        for w in wishes:
+            stem, n = by_root.setdefault(k.chain_root(w.lower()), k.Numbers()).name(w)
+            assert k.chain(stem + "".join(f"-{i}" for i in range(2, n + 1))) == (stem, n)
+            got.append(stem + "".join(f"-{i}" for i in range(2, n + 1)))
+        assert got == k.collision_names(wishes)
+    many, numbers = 200_000, k.Numbers()
+    assert [numbers.name("x") for _ in range(many)][-1] == ("x", many)  # written out, these names have 120 GB

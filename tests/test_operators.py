@@ -217,3 +217,30 @@ def test_column_widths_round_as_in_sql(spark):
     got = spark.range(20_001).select("id", assemble.column_widths(F.array(F.col("id").cast("string")))[0])
     assert rows(got) == duckdb.sql("SELECT w, round(w / 1440.0::DOUBLE * 25.4::DOUBLE, 1) FROM range(20001) t(w) ORDER BY w").fetchall()
     assert rows(got.where("id = 6120")) == [(6120, 108.0)]
+
+
+def test_staged_names_are_those_written_out(spark):
+    """Names of every kind, also of none, against the plain rule; chains of chains, copies, a missing content."""
+    from vellum.functions.kernels import collision_names
+
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "b", None]), i, rng.choice(["x.png", "X.PNG", "x-2.png", "x-2-3.png", "y", ".x", "x-2-2.png", "long" * 30 + ".txt"]), rng.choice([None, f"c{i}", "same", f"d{i}"])) for i in range(300)]
+    df = spark.createDataFrame(data, "kind string, ord int, wanted string, content string").repartition(3)
+    got = {r["ord"]: (r["name"], r["reused"]) for r in privacy.stage_assets(df, "kind", "content", "wanted", ["ord"]).collect()}
+    want = {}
+    for kind in ("a", "b", None):
+        firsts, copies = {}, []
+        for _, i, wish, c in (r for r in data if r[0] == kind):
+            copies.append((i, c, c in firsts))
+            stem, dot, ext = wish.rpartition(".")
+            firsts.setdefault(c, stem[:80] + dot + ext if stem else wish)
+        names = dict(zip(firsts, collision_names(list(firsts.values())), strict=True))
+        want |= {i: (names[c], again) for i, c, again in copies}
+    assert got == want
+
+
+def test_many_assets_of_one_name(spark):
+    """30,000 contents that wish one name: written out, the names would have 2.6 GB; and a null kind is a kind."""
+    df = spark.range(30_000).select(F.lit(None).cast("string").alias("kind"), "id", F.lit("x.png").alias("wanted"), F.col("id").cast("string").alias("content"))
+    got = privacy.stage_assets(df, "kind", "content", "wanted", ["id"]).where("name_no = id + 1 and not reused")
+    assert got.select("id").count() == 30_000 and [len(r["name"]) for r in got.where("id in (0, 2)").select("name").collect()] == [5, 9]

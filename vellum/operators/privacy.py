@@ -194,25 +194,48 @@ def text_lines(text: Column) -> Column:
     return F.array_distinct(F.filter(folded, lambda x: x != ""))
 
 
-def _suffixed(names: pd.Series) -> pd.Series:
-    from vellum.functions.kernels import collision_names
+def _roots(stems: pd.Series) -> pd.Series:
+    from vellum.functions.kernels import chain_root
 
-    return names.map(lambda xs: None if xs is None else collision_names(list(xs)))
+    known = {x: chain_root(x) for x in stems.dropna().unique()}
+    return stems.map(known.get)
 
 
-collision_names_udf = lazy_udf(_suffixed, "array<string>")
+chain_root_udf = lazy_udf(_roots, "string")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: (kind, sha1, root, ext, stem, shown), sorted, to (kind, sha1, name_stem, name_no, name_ext)."""
+    from vellum.functions.kernels import Numbers
+
+    group = numbers = None
+    for batch in batches:
+        stems, nos = [], []
+        for *now, stem in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            if numbers is None or now != group:
+                group, numbers = now, Numbers()
+            own, no = (None, None) if stem is None else numbers.name(stem)
+            stems.append(own)
+            nos.append(no)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stems, pa.string()), pa.array(nos, pa.int64()), batch.column(5)], names=["_kind", "_sha1", "name_stem", "name_no", "name_ext"])
 
 
 def stage_assets(assets: DataFrame, kind: str, content: str, wanted: str, order: list[str], length: int = 80) -> DataFrame:
     """assets with sha1, name and reused: equal contents of a kind share the first one's name; names collide cumulatively.
 
-    The names of a kind are settled in one array of names only; contents stay out of it.
+    The n-th of one wish is x-2-3-...-n, so n such names have some n * n letters.  They
+    are settled as (name_stem, name_no, name_ext), one triple for each name, wish by wish
+    in the order of the sort, and `name` is put together only where it is read.
     """
     hashed = assets.withColumn("sha1", F.sha1(F.col(content)))
     w = Window.partitionBy(kind, "sha1").orderBy(*order)
     marked = hashed.withColumn("reused", F.row_number().over(w) > 1)
-    stem, ext = F.substring(F.regexp_replace(wanted, r"\.[^.]*$", ""), 1, length), F.regexp_extract(wanted, r"(\.[^.]*)$", 1)
-    firsts = marked.where(~F.col("reused")).select(kind, "sha1", *order, F.concat(stem, ext).alias("_want"))
-    lists = firsts.groupBy(kind).agg(F.array_sort(F.collect_list(F.struct(*order, "sha1", "_want"))).alias("xs"))
-    named = lists.select(kind, F.explode(F.arrays_zip(F.transform("xs", lambda x: x["sha1"]).alias("sha1"), collision_names_udf(F.transform("xs", lambda x: x["_want"])).alias("name"))).alias("z")).select(kind, "z.sha1", "z.name")
-    return marked.join(named, [kind, "sha1"])
+    cut, dot = F.substring(F.regexp_replace(wanted, r"\.[^.]*$", ""), 1, length), F.regexp_extract(wanted, r"(\.[^.]*)$", 1)
+    stem, ext = F.when(cut == "", dot).otherwise(cut), F.when(cut == "", "").otherwise(dot)  # .x has no extension
+    firsts = marked.where(~F.col("reused")).select(F.col(kind).alias("_kind"), F.col("sha1").alias("_sha1"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), stem.alias("_stem"), ext.alias("_ext"))
+    group = ["_kind", "_root", "_low"]
+    wishes = firsts.withColumn("_root", chain_root_udf(F.lower("_stem"))).withColumn("_low", F.lower("_ext"))
+    dealt = wishes.repartition(*group).sortWithinPartitions(*group, *(f"_o{i}" for i in range(len(order))), "_sha1").select("_kind", "_sha1", "_root", "_low", "_stem", "_ext")
+    named = dealt.mapInArrow(_numbered, f"_kind {assets.schema[kind].dataType.simpleString()}, _sha1 string, name_stem string, name_no long, name_ext string")
+    name = F.concat("name_stem", F.when(F.col("name_no") > 1, F.concat(F.lit("-"), F.array_join(F.sequence(F.lit(2), F.col("name_no")), "-"))).otherwise(""), "name_ext")
+    return marked.join(named, F.col(kind).eqNullSafe(F.col("_kind")) & F.col("sha1").eqNullSafe(F.col("_sha1")), "left").withColumn("name", name).drop("_kind", "_sha1")
