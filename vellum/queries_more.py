@@ -354,10 +354,10 @@ def xml2_xhtml(t):
 
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
 def win8_collision_names(t):
-    """As many names that differ in any case of letters as parts of a brand, though many wish the same."""
+    """As many names that differ in any case of letters as parts of a brand, though many wish the same; a name is its stem, number and extension, since the letters of all names grow with the square of the parts."""
     wanted = F.concat(F.when(F.col("p_partkey") % 2 == 0, "x").otherwise("X"), (F.col("p_size") % 3).cast("string"), F.when(F.col("p_partkey") % 5 == 0, ".PNG").otherwise(".png"))
     assets = t.part.select(F.col("p_brand").alias("kind"), F.col("p_partkey").alias("ord"), wanted.alias("wanted"), F.col("p_partkey").cast("string").cast("binary").alias("content"))
-    return privacy.stage_assets(assets, "kind", "content", "wanted", ["ord"]).groupBy(F.col("kind").alias("p_brand")).agg(F.countDistinct(F.lower("name")).alias("n"))
+    return privacy.stage_assets(assets, "kind", "content", "wanted", ["ord"]).groupBy(F.col("kind").alias("p_brand")).agg(F.countDistinct(F.lower("name_stem"), "name_no", F.lower("name_ext")).alias("n"))
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY lang, sha1(text) ORDER BY doc_id) > 1 AS reused FROM documents")
